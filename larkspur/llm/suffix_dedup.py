@@ -42,28 +42,35 @@ def repeated_windows(contents: list[bytes], windows: list[int], copies: list[int
     text[:-1] += 2
     text[starts[1:] - 1] = 1  # between contents: below each byte, so no common prefix of interest crosses it
     begins = starts[:-1]
-    n_win, weight = np.array(windows), np.array(copies)
+    weight = np.array(copies)
+    region = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    window = np.zeros(len(text), bool)
+    window[begins] = True
+    window[begins + windows] ^= True
+    window = np.logical_xor.accumulate(window)  # places where a window starts
     repeated = np.zeros(len(text), bool)
+    repeated[:-1] = window[:-1] & (weight[region] > 1)
     folder = scratch()
     try:
         for sa, lcp in sorted_suffixes(text, folder, length, memory):
-            run = np.cumsum(lcp < length)
-            sizes_of = np.bincount(run)
-            many = sizes_of[run] > 1
-            if not many.any() and weight.max() < 2:
-                continue
-            region = np.searchsorted(begins, sa, "right") - 1
-            ok = sa - begins[region] < n_win[region]
-            total = np.bincount(run[ok], weight[region[ok]], len(sizes_of))
-            repeated[sa[ok & (total[run] > 1)]] = True
+            alike = np.flatnonzero(lcp >= length)
+            if len(alike):
+                member = np.zeros(len(sa), bool)
+                member[alike] = member[alike - 1] = True
+                at = np.flatnonzero(member)
+                run = np.cumsum(lcp[at] < length)
+                places = sa[at]
+                ok = window[places]
+                total = np.bincount(run[ok], minlength=run[-1] + 1)
+                repeated[places[ok & (total[run] > 1)]] = True
     finally:
         shutil.rmtree(folder, ignore_errors=True)
-    out = []
-    for b, n in zip(begins.tolist(), windows, strict=True):
-        flags = np.diff(np.concatenate([[0], repeated[b : b + n].astype(np.int8), [0]]))
-        on = np.flatnonzero(flags == 1)
-        out.append(np.stack([on, np.flatnonzero(flags == -1) - on], 1))
-    return out
+    edge = np.flatnonzero(repeated[1:] != repeated[:-1]) + 1 if not repeated[0] else np.concatenate([[0], np.flatnonzero(repeated[1:] != repeated[:-1]) + 1])
+    runs = edge.reshape(-1, 2)
+    owner = region[runs[:, 0]]
+    runs = np.stack([runs[:, 0] - begins[owner], runs[:, 1] - runs[:, 0]], 1)
+    cut = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    return [runs[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def _shard(length: int):

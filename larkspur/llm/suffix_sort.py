@@ -155,11 +155,9 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
 
 def _kinds(text: np.ndarray) -> np.ndarray:
     """True for S suffixes (less than the next suffix)."""
-    n = len(text)
     up, same = text[:-1] < text[1:], text[:-1] == text[1:]
     settled = np.flatnonzero(~same)  # a run of equal symbols has the kind of its last
-    which = settled[np.searchsorted(settled, np.arange(n - 1))]
-    return np.append(up[which], True)
+    return np.append(np.repeat(up[settled], np.diff(settled, prepend=-1)), True)
 
 
 def _packed(text: np.ndarray, width: int, bits: int) -> np.ndarray:
@@ -187,24 +185,42 @@ def _common(keys: np.ndarray, width: int, bits: int, a: np.ndarray, b: np.ndarra
     return out
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string with a unique least last symbol, by prefix doubling in memory."""
+def _doubled(names: np.ndarray, start: tuple[np.ndarray, int] | None = None, levels: list | None = None) -> np.ndarray:
+    """The suffix array of a string with a unique least last symbol, by prefix doubling in memory.
+
+    start: numbers that order the suffixes by their first k symbols, and k. levels: gets (k, ranks by the
+    first k symbols) for each k at which some were equal.
+    """
     n = len(names)
-    rank, k = names.astype(np.int64), 1
+    key, k = start or (names, 1)
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - k] = rank[k:] + 1
-        key = rank * np.int64(n + 2) + ahead
         order = np.argsort(key)
         got = key[order]
-        fresh = np.concatenate([[0], np.cumsum(got[1:] != got[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
+        fresh = np.concatenate([[0], np.cumsum(got[1:] != got[:-1])]).astype(np.int32)
         if fresh[-1] == n - 1:
             return order
+        rank = np.empty(n, np.int32)
+        rank[order] = fresh
+        if levels is not None:
+            levels.append((k, rank))
+        key = rank.astype(np.int64) * np.int64(n + 2)
+        key[: n - k] += rank[k:] + 1
         k *= 2
 
 
+def _shared(names: np.ndarray, levels: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefixes, in symbols of `names`, of suffixes that the last level's doubling told apart."""
+    n, out = len(names), np.zeros(len(a), np.int64)
+    for k, rank in reversed(levels):
+        same = rank[np.minimum(a + out, n - 1)] == rank[np.minimum(b + out, n - 1)]
+        out[same] += k
+    live = np.arange(len(a))
+    for _ in range(levels[0][0] - 1):
+        live = live[names[np.minimum(a[live] + out[live], n - 1)] == names[np.minimum(b[live] + out[live], n - 1)]]
+        out[live] += 1
+    return out
+
+
 def _names(keys: np.ndarray, width: int, bits: int, stars: np.ndarray, n: int) -> np.ndarray:
     """Ranks of the S*-substrings (from one S* place to the next, both included)."""
     ends = np.append(stars[1:] + 1, n)
@@ -217,7 +233,7 @@ def _names(keys: np.ndarray, width: int, bits: int, stars: np.ndarray, n: int) -
         short = np.clip(width - left, 0, width).astype(np.uint64) * np.uint64(bits)
         fill = np.where(short >= bits * width, full, (np.uint64(1) << np.minimum(short, np.uint64(63))) - np.uint64(1))
         key = np.where(left <= 0, full, key | fill)  # a substring that ends here is greater than one that goes on
-        order = np.lexsort((key, group[live]))
+        order = np.lexsort((key, group[live])) if off else np.argsort(key)
         g, k = group[live][order], key[order]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
         first_of_group = np.concatenate([[True], g[1:] != g[:-1]])
@@ -256,10 +272,10 @@ def sorted_suffixes(text: np.ndarray, folder: str, cap: int = 1 << 30, memory: i
         shared = np.zeros(len(stars), np.int64)
     else:
         if len(stars) <= base:
-            order = _doubled(names)
-            nb = max(1, int(names.max()).bit_length())
+            nb, levels = max(1, int(names.max()).bit_length()), []
             nw = max(1, 64 // nb)
-            shared = np.concatenate([[0], _common(_packed(names, nw, nb), nw, nb, order[:-1], order[1:], cap)])
+            order = _doubled(names, (_packed(names, nw, nb), nw), levels)
+            shared = np.concatenate([[0], _shared(names, levels, order[:-1], order[1:])]) if levels else np.concatenate([[0], _common(_packed(names, nw, nb), nw, nb, order[:-1], order[1:], cap)])
         else:
             parts = list(sorted_suffixes(names, folder, cap, memory, base, depth + 1))[::-1]
             order = np.concatenate([x[0] for x in parts])
