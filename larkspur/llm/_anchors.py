@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import documents, durable, identity, partitions
+from larkspur.llm._spark import durable, identity, partitions
 
 #: Occurrences of one minimizer that a single group may hold before it is split by distance.
 HOT = 2000
@@ -183,8 +183,4 @@ def spread(docs: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
     """Documents with `spans`: what the shards found (h, b, ckey, runs), at each place where such a region lies."""
     places = regions.where("kind = 1").select("h", "b", "ckey", "key", "s")
     spans = durable(places.join(found, ["h", "b", "ckey"]).groupBy("key").agg(F.collect_list(F.struct("s", "runs")).alias("spans")), "spans")
-    return docs.select(identity().alias("key"), "doc_id", "text").join(spans, "key", "left").select("doc_id", "text", "spans")
-
-
-def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return documents(docs, id_col, text_col)
+    return docs.withColumn("key", identity()).join(spans, "key", "left").select("doc_id", "text", "spans", *(c for c in docs.columns if c == "row"))

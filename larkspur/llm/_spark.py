@@ -61,9 +61,18 @@ def identity(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit("")))
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, under the names that operators use; other columns may be named anything."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+    """Only the id and the text, under the names that operators use; other columns may be named anything.
+
+    With row, all other columns too, in one struct `row`.
+    """
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")] if row else []
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *rest)
+
+
+def restored(rows: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The columns that `documents(row=True)` took apart, with the text as it is now."""
+    return rows.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns))
 
 
 def local_path(path: str) -> str | None:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import documents
+from larkspur.llm._spark import documents, restored
 
 WORDS, MIN_ITEMS = 8, 2
 BLOCK_BYTES = 64 << 20
@@ -87,7 +87,7 @@ def _marker(shared, n: int):
                     runs, items = hits.get(d, ((), ()))
                     ranges.append([{"start": a, "end": b} for a, b in merged(runs)])
                     names.append(sorted(items))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first)), pa.array(ranges, RANGES), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "ranges", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first)), pa.array(ranges, RANGES), pa.array(names, pa.list_(pa.string())), *(c.slice(i, j - i) for c in batch.columns[2:])], ["doc_id", "text", "n_words", "ranges", "items", *batch.schema.names[2:]])
 
     return mark
 
@@ -115,27 +115,31 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 SCHEMA = "doc_id long, text string, n_words long, ranges array<struct<start: long, end: long>>, items array<string>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, ranges (merged [start, end) runs of hit words) and items (sorted ids) of each document."""
-    spark, docs = docs.sparkSession, documents(docs, id_col, text_col)
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rows: bool = False) -> DataFrame:
+    """doc_id, n_words, ranges (merged [start, end) runs of hit words) and items (sorted ids) of each document.
+
+    With rows, also the text and the other columns, as documents(row=True) has them.
+    """
+    spark, docs = docs.sparkSession, documents(docs, id_col, text_col, row=rows)
+    schema = SCHEMA + (f", row {docs.schema['row'].dataType.simpleString()}" if rows else "")
     passes = []
     for block in _blocks(benchmark, item_col, item_text_col):
-        passes.append(docs.mapInArrow(_marker(spark.sparkContext.broadcast(GramSet(block, n)), n), SCHEMA))
+        passes.append(docs.mapInArrow(_marker(spark.sparkContext.broadcast(GramSet(block, n)), n), schema))
     found = passes[0]
     if len(passes) > 1:
         for more in passes[1:]:
             found = found.unionAll(more)
         # equal rows of `documents` give equal marks, so their number is that of any pass
-        key = ["doc_id", "text", "n_words"]
+        key = ["doc_id", "text", "n_words", *(["row"] if rows else [])]
         found = found.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(passes)).cast("int").alias("times"))
-        found = found.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times").mapInArrow(_merge, SCHEMA)
-    return found if with_text else found.drop("text")
+        found = found.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(*key[:3], "ranges", "items", *key[3:]).mapInArrow(_merge, schema)
+    return found if rows else found.drop("text")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ranges = [[{"start": a, "end": b} for a, b in merged((x["start"], x["end"]) for x in r)] for r in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ranges, RANGES), batch.column(4)], names=batch.schema.names)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ranges, RANGES), *batch.columns[4:]], names=batch.schema.names)
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +161,12 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), *batch.columns[2:]], names=batch.schema.names)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = WORDS, min_items: int = MIN_ITEMS, **columns: str) -> DataFrame:
-    """doc_id and text without contamination: what = "documents" drops those with windows of min_items items or
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = WORDS, min_items: int = MIN_ITEMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without contamination: what = "documents" drops those with windows of min_items items or
     more, "spans" cuts the hit words (with what lies between them) out of every document."""
-    found = find_contamination(docs, benchmark, n, with_text=True, **columns)
+    found = find_contamination(docs, benchmark, n, id_col, text_col, item_col, item_text_col, rows=True)
     if what == "documents":
-        return found.where(F.size("items") < min_items).select("doc_id", "text")
-    return found.mapInArrow(_remover, SCHEMA).select("doc_id", "text")
+        found = found.where(F.size("items") < min_items)
+    else:
+        found = found.mapInArrow(_remover, found.schema)
+    return restored(found, docs.columns, text_col)

@@ -318,7 +318,9 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that lead their component: that of least id (of equal ids, any one)."""
-    found = jaccard_classes(docs, words, percent, id_col, text_col)
-    leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("leader")).distinct()
-    return docs.join(leaders, F.col(f"`{id_col}`").eqNullSafe(F.col("leader")), "left_semi").dropDuplicates([id_col])
+    """The rows of `docs` that lead their component: that of least id (of rows with equal ids, one)."""
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    found = jaccard_classes(docs, words, percent, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("leader"), F.coalesce("component_id", F.lit(NO_ID)).alias("c"))
+    leaders = found.where("leader = c").select("leader").distinct()
+    rows = docs.select(key.alias("leader"), F.struct("*").alias("row")).join(leaders, "leader", "left_semi").dropDuplicates(["leader"])
+    return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns))

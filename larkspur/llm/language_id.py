@@ -51,18 +51,22 @@ class Profiles:
         self.n = n
         self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CLASSES, dim))
         self.rows = np.full(CLASSES**n, -1, np.int32)
-        self.vectors = np.empty((0, dim), np.int8)
+        self.vectors, self.used = np.empty((0, dim), np.int8), 0
 
     def index(self, grams: np.ndarray) -> np.ndarray:
         """Rows of `vectors` for different n-gram numbers."""
         new = grams[self.rows[grams] < 0]
         if len(new):
+            if self.used + len(new) > len(self.vectors):
+                more = np.empty((max(4096, len(self.vectors), len(new)), self.letters.shape[1]), np.int8)
+                self.vectors = np.concatenate([self.vectors, more])
             made = np.ones((len(new), self.letters.shape[1]), np.int8)
             for place in range(self.n):
                 letter = (new // CLASSES ** (self.n - 1 - place)) % CLASSES
                 made *= np.roll(self.letters, place, axis=1)[letter]
-            self.rows[new] = np.arange(len(new)) + len(self.vectors)
-            self.vectors = np.concatenate([self.vectors, made])
+            self.rows[new] = np.arange(self.used, self.used + len(new))
+            self.vectors[self.used : self.used + len(new)] = made
+            self.used += len(new)
         return self.rows[grams]
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +175,15 @@ def identify(docs: DataFrame, payload: Column, text: Column, langs: list[str], p
     return rows.mapInArrow(_predictor(langs, protos, dim, n, seed), f"row {kind}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` that are in one of the languages: what is `und`, or nearer to the opposite of every
+    prototype than to any (score under `least`), goes. Prototypes are learned from the rows with a language."""
+    text = F.col(f"`{text_col}`")
+    model = learn(docs, text, F.col(f"`{lang_col}`"))
+    found = identify(docs, F.struct("*"), text, *model).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    return found.select(*(F.col(f"row.`{c}`") for c in docs.columns))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, crf_quality, decontaminate, language_id
+from larkspur.llm import chat_format, crf_quality, decontaminate, edit_fingerprint, kneser_ney, language_id
 from larkspur.llm._spark import table
+from larkspur.llm.jaccard_join import jaccard_classes
 from larkspur.llm.mixing import MIX_SQL, mix_plan
 from larkspur.llm.substring_dedup import substring_dedup
 from larkspur.llm.suffix_dedup import suffix_dedup
@@ -18,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
 
+def op2_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.edit_test(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.fold(F.col("doc_id"), 4) == 2
@@ -30,6 +35,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
@@ -38,6 +47,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), items.alias("items_sha256"), (n_items >= decontaminate.MIN_ITEMS).alias("contaminated"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.fold(F.col("doc_id"), 7) == 2
+    model = kneser_ney.train(docs.where(~held_out), F.col("text"))
+    found = kneser_ney.score(docs, model, F.struct("doc_id", held_out.alias("held_out")), F.col("text"))
+    return found.select("row.doc_id", "row.held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.fold(F.col("doc_id"), 5) == 0
@@ -59,8 +76,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op3_language_id, op4_source_mixing, op6_decontamination, op8_quality_crf, op9_chat_format, op10_suffix_array_dedup)
+    own = (op1_substring_dedup, op2_edit_fingerprint, op3_language_id, op4_source_mixing, op5_jaccard_join, op6_decontamination, op7_kneser_ney, op8_quality_crf, op9_chat_format, op10_suffix_array_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 

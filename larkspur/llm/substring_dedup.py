@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from larkspur.llm import _anchors as A
 from larkspur.llm import _text as X
+from larkspur.llm._spark import documents
 from larkspur.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -100,7 +101,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     With digest, kept_sha256 (lowercase hex of `kept` in UTF-8) takes the place of `kept`.
     """
     units = A.Units("words", window, min(GRAM, max(1, window // 2)))
-    docs = A.prepared(docs, id_col, text_col)
+    docs = documents(docs, id_col, text_col)
     regions = A.candidates(docs, units)
     found = A.sharded(regions, _shard(window), FOUND, shard_bytes)
     last = "kept_sha256 string" if digest else "kept string"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from larkspur.llm import _anchors as A
 from larkspur.llm import _text as X
-from larkspur.llm._spark import scratch
+from larkspur.llm._spark import documents, restored, scratch
 from larkspur.llm.suffix_sort import sorted_suffixes
 
 MIN_BYTES = 200
@@ -121,16 +121,33 @@ def _cutter(length: int, keep: bool):
     return cut
 
 
+def _spans(docs: DataFrame, min_bytes: int, shard_bytes: int) -> DataFrame:
+    """documents() with `spans`; docs: documents()."""
+    regions = A.candidates(docs.select("doc_id", "text"), A.Units("bytes", min_bytes, min(GRAM, max(1, min_bytes // 2))))
+    return A.spread(docs, regions, A.sharded(regions, _shard(min_bytes), FOUND, shard_bytes))
+
+
 def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed [start, end) byte runs) and kept (the other bytes).
 
     With digest, kept_sha256 (lowercase hex of `kept`) takes the place of `kept`.
     """
-    units = A.Units("bytes", min_bytes, min(GRAM, max(1, min_bytes // 2)))
-    docs = A.prepared(docs, id_col, text_col)
-    regions = A.candidates(docs, units)
-    found = A.sharded(regions, _shard(min_bytes), FOUND, shard_bytes)
+    found = _spans(documents(docs, id_col, text_col), min_bytes, shard_bytes)
     last = "kept_sha256 string" if digest else "kept binary"
-    return A.spread(docs, regions, found).mapInArrow(_cutter(min_bytes, not digest), f"doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, {last}")
+    return found.mapInArrow(_cutter(min_bytes, not digest), f"doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, {last}")
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of `docs`, all of them and with all their columns, whose texts lack the repeated bytes.
 
+    What a cut leaves of a character that it split goes too, so texts stay valid.
+    """
+    found = _spans(documents(docs, id_col, text_col, row=True), min_bytes, shard_bytes)
+    cut = _cutter(min_bytes, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [k.decode("utf-8", "ignore") for part in cut(iter([batch.select([0, 1, 2])])) for k in part.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(3)], ["text", "row"])
 
+    return restored(found.mapInArrow(run, f"text string, row {found.schema['row'].dataType.simpleString()}"), docs.columns, text_col)
