@@ -18,6 +18,7 @@ as the largest and is returned as null; an empty table gives an empty result; ot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ WORDS, PERCENT = 3, 90
 #: At most this many words have a frequency class; the others count as rare.
 FREQUENT = 1 << 17
 NO_ID = 2**63 - 1
+#: Ids that may be broadcast; of more, the texts are fetched by a shuffled join.
+SMALL_IDS = 100_000
 BOUNDARIES = (9, 19, 29)
 
 
@@ -211,10 +214,45 @@ def _verifier(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of sets whose Jaccard similarity is at least percent/100."""
-    pairs = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
-    return durable(pairs.select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long"), "links")
+@dataclass
+class _Comparison:
+    """Compares pairs of sets: first their heads, then, of those that may still link, the whole sets."""
+
+    docs: DataFrame
+    named: DataFrame  # rep, doc_id, k1, k2
+    heads: DataFrame  # rep, size, head
+    classes: object
+    words: int
+    percent: int
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose Jaccard similarity is at least percent/100."""
+        pairs = durable(self.plausible(pairs), "plausible")
+        wanted = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct().join(self.named, "rep")
+        wanted = durable(wanted, "wanted")
+        n = wanted.count()
+        if not n:
+            return pairs
+        ids = wanted.select("doc_id").distinct()
+        rows = self.docs.join(F.broadcast(ids) if n <= SMALL_IDS else ids, "doc_id")
+        rows = rows.mapInArrow(_set_maker(self.words, self.percent, self.classes, True), "rep long, tokens binary").withColumnRenamed("rep", "doc_id")
+        # rows under one id may hold other sets too; the set's own hash tells
+        tokens = durable(rows.join(F.broadcast(wanted) if n <= SMALL_IDS else wanted, "doc_id").mapInArrow(_own, "rep long, tokens binary"), "tokens")
+        both = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
+        return durable(both.select("a", "b", "x", "y").mapInArrow(_verifier(self.percent), "a long, b long"), "links")
+
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose heads share enough: of two sets that have `o` tokens in common, that with the earlier last
+        head token has at least (its head's length) - (its size) + o of them in both heads."""
+        a = self.heads.select(F.col("rep").alias("a"), F.col("size").alias("s"), F.col("head").alias("x"))
+        b = self.heads.select(F.col("rep").alias("b"), F.col("size").alias("t"), F.col("head").alias("y"))
+        o = F.ceil(F.lit(self.percent) * (F.col("s") + F.col("t")) / (100 + self.percent))
+        least = F.least(F.size("x") - F.col("s") + o, F.size("y") - F.col("t") + o)
+        return pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("x", "y")) >= F.greatest(F.lit(1), least)).select("a", "b")
+
+
+def _labelled(live: DataFrame, label: DataFrame) -> DataFrame:
+    return live.join(label, live.rep == label.id, "left").select("token", "band", "rep", "size", "at", F.coalesce("component", "rep").alias("c"))
 
 
 def _possible(percent: int, x: str, y: str, boundary: int) -> str:
@@ -248,33 +286,29 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     reps = durable(first.select("k1", "k2", F.xxhash64("k1", "k2").alias("rep"), F.col("m.doc_id").alias("doc_id"), F.col("m.size").alias("size"), F.col("m.prefix").alias("prefix")), "classes")
 
     take = F.least(F.col("size"), (F.col("size") * (100 - percent) / 100).cast("long") + 1).cast("int")
-    postings = reps.select("rep", "size", F.posexplode(F.slice("prefix", 1, take)).alias("at", "token"))
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = durable(postings.join(lists, "token").select("token", "rep", "size", "at", "n"), "postings")
-    mean = live.agg(F.avg("n").alias("m")).first()["m"] or 1.0
+    heads = reps.select("rep", "size", F.slice("prefix", 1, take).alias("head"))
+    postings = heads.select("rep", "size", F.posexplode("head").alias("at", "token"))
+    lists = durable(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    mean = lists.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
     histogram = {r["size"]: r["n"] for r in reps.where(F.col("size") <= 2 * BOUNDARIES[-1]).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     boundary = boundary_by_cost(histogram, mean, percent)
 
     edges = light_edges(reps.where(F.col("size") <= boundary), percent)
     # sizes that can link lie in one or two neighbouring bands; a set joins the lists of its band and the next
     band = F.floor(F.log(F.col("size").cast("double") + 1e-9) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int")
-    live = live.where(F.col("size") * 100 > boundary * percent).withColumn("band", F.explode(F.array(band, band + 1)))
-    live = durable(live.select("token", "band", "rep", "size", "at"), "bands")
-    needed = live.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = durable(live.join(needed.drop("n"), ["token", "band"]), "bands")
-    wanted = live.select("rep").distinct().join(reps.select("rep", "doc_id", "k1", "k2"), "rep")
-    of_wanted = docs.join(wanted.select("doc_id").distinct(), "doc_id").mapInArrow(_set_maker(words, percent, classes, True), "rep long, tokens binary")
-    # rows under one id may hold other sets too; the set's own hash tells
-    tokens = of_wanted.select(F.col("rep").alias("doc_id"), "tokens").join(wanted, "doc_id").mapInArrow(_own, "rep long, tokens binary").dropDuplicates(["rep"])
-    tokens = durable(tokens, "tokens")
+    live = postings.where(F.col("size") * 100 > boundary * percent).join(lists.select("token"), "token")
+    live = durable(live.withColumn("band", F.explode(F.array(band, band + 1))).select("token", "band", "rep", "size", "at"), "bands")
+    needed = live.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "band")
+    live = durable(live.join(needed, ["token", "band"]), "bands")
+    compare = _Comparison(docs, reps.select("rep", "doc_id", "k1", "k2"), heads, classes, words, percent)
 
     tested = None
     links = durable(edges, "links")
-    label = None
     for turn in range(2):
-        members = live if label is None else live.join(label, live.rep == label.id, "left").select("token", "band", "rep", "size", "at", F.coalesce("component", "rep").alias("c"))
-        if label is None:
-            members = members.withColumn("c", F.col("rep"))
+        if turn == 0:
+            members = live.withColumn("c", F.col("rep"))
+        else:
+            members = _labelled(live, label)
         member = F.struct("rep", "size", "at", "c")
         if turn == 0:
             pivots = members.groupBy("token", "band").agg(F.min(member).alias("p"))
@@ -287,17 +321,16 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = durable(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        links = links.unionAll(verified(pairs, tokens, percent))
+        links = links.unionAll(compare.links(pairs))
         label = durable(components(links), "components")
     # what is left: pairs of a list that lie in different components and were not compared
-    members = live.join(label, live.rep == label.id, "left").select("token", "band", "rep", "size", "at", F.coalesce("component", "rep").alias("c"))
+    members = _labelled(live, label)
     mixed = members.groupBy("token", "band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("token", "band")
     members = durable(members.join(mixed, ["token", "band"]), "rest")
     x, y = members.alias("x"), members.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & F.expr(_possible(percent, "x", "y", boundary)))
     rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = verified(durable(rest, "pairs"), tokens, percent)
-    label = durable(components(links.unionAll(more)), "components")
+    label = durable(components(links.unionAll(compare.links(durable(rest, "pairs")))), "components")
 
     named = reps.select("k1", "k2", "rep", "doc_id").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
