@@ -15,7 +15,11 @@ from pyspark.sql import types as T
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
-NULL_BOOL = F.lit(None).cast("boolean")
+
+
+def null_bool() -> Column:
+    return F.lit(None).cast("boolean")
+
 
 
 def family(t: T.DataType) -> str:
@@ -37,14 +41,14 @@ def compare(op: str, a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Co
     """= != < <= > >= with containment for array against scalar and NULL across families."""
     fa, fb = family(ta), family(tb)
     if "null" in (fa, fb):
-        return NULL_BOOL
+        return null_bool()
     if fa == "array" and fb != "array":
         if op not in ("=", "!=") or family(ta.elementType) != fb:
-            return NULL_BOOL
-        has = F.when(a.isNull() | b.isNull(), NULL_BOOL).otherwise(F.coalesce(F.array_contains(a, b), F.lit(False)))
+            return null_bool()
+        has = F.when(a.isNull() | b.isNull(), null_bool()).otherwise(F.coalesce(F.array_contains(a, b), F.lit(False)))
         return has if op == "=" else ~has
     if fa != fb:
-        return NULL_BOOL
+        return null_bool()
     if fa == "number":
         a, b = millis(a, ta), millis(b, tb)
     return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]

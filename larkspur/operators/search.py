@@ -344,7 +344,7 @@ class MatchPhrase(Query):
             hit = F.exists(rest[0], lambda s: _all([F.array_contains(r, s + k) for k, r in enumerate(rest[1:], 1)]))
             by = by.where(hit)
         else:
-            by = by.where(_near(F.array(*(F.try_element_at("p", F.lit(t)) for t in terms)), F.lit(self.slop)))
+            by = by.where(_near(F.array(*(F.try_element_at("p", F.lit(t)) for t in terms)), self.slop))
         return scored.join(by.select("doc"), "doc", "left_semi")
 
 
@@ -372,9 +372,12 @@ def least_moves(positions: list[list[int]]) -> int:
     return best
 
 
-@F.pandas_udf("boolean")
-def _near(positions: pd.Series, slop: pd.Series) -> pd.Series:
-    return pd.Series([least_moves([list(p) for p in ps]) <= s for ps, s in zip(positions, slop, strict=True)])
+def _near(positions: Column, slop: int) -> Column:
+    @F.pandas_udf("boolean")
+    def run(every: pd.Series) -> pd.Series:
+        return every.map(lambda ps: least_moves([list(p) for p in ps]) <= slop)
+
+    return run(positions)
 
 
 @dataclass
