@@ -28,7 +28,7 @@ from larkspur.llm._spark import durable, identity, partitions
 HOT = 2000
 #: Symbols of one document that are scanned at once.
 SEGMENT = 1 << 22
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 
 REGIONS = "kind byte, h long, b int, ckey long, key long, s long, n int, copies long, least long, content binary"
 

@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows that pass between Spark and a Python worker at once: texts may be long, and workers share an executor.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches down to BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +78,7 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     With row, all other columns too, in one struct `row`.
     """
+    small_batches(docs.sparkSession)
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")] if row else []
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *rest)
 

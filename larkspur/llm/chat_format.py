@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._spark import partitions
+from larkspur.llm._spark import partitions, small_batches
 
 # --- typed content -----------------------------------------------------------------------------------------
 
@@ -146,6 +146,7 @@ def format_turns(conversations: DataFrame, typed: bool = False, trained: tuple[s
 
     With typed, a text is JSON: a string, or a list of parts {"type": ..., ...}.
     """
+    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return rows.mapInArrow(_formatter(typed, trained, visitor or PartVisitor()), TURNS)
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
+from larkspur.llm._spark import small_batches
 
 MAX_TRAIN = 3000
 CUT = 0.3
@@ -202,6 +203,7 @@ def _scorer(crf: Crf, lines: bool):
 
 def score(docs: DataFrame, crf: Crf, payload: Column, text: Column, lines: bool = False) -> DataFrame:
     """row (the payload) and score of each row; with lines, also the probability of good for each line."""
+    small_batches(docs.sparkSession)
     rows = docs.select(payload.alias("row"), text.cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_scorer(crf, lines), f"row {kind}, score double" + ", lines array<double>" * lines)

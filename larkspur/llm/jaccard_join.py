@@ -136,12 +136,15 @@ def _set_maker(words: int, percent: int, shared, whole: bool):
             for i, j, data, offsets in X.chunks(batch.column(1)):
                 tokens, first = shingles(data, offsets, words, classes)
                 ids = batch.column(0).slice(i, j - i)
-                if whole:
-                    raw = tokens.tobytes()
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], ["rep", "tokens"])
-                    continue
                 keys = [xxhash.xxh3_128_digest(tokens[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                if whole:
+                    # rows under one id may hold other sets too; the set's own hash tells
+                    want = np.stack([batch.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in (2, 3)], 1)
+                    raw, ok = tokens.tobytes(), pa.array((keys == want).all(1))
+                    sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids, sets], ["rep", "tokens"]).filter(ok)
+                    continue
                 size = np.diff(first)
                 take = np.where(size > 0, size * (100 - percent) // 100 + 1, 0)
                 take = np.where(size <= BOUNDARIES[-1], size, take)  # small sets whole, for their subsets
@@ -233,11 +236,8 @@ class _Comparison:
         n = wanted.count()
         if not n:
             return pairs
-        ids = wanted.select("doc_id").distinct()
-        rows = self.docs.join(F.broadcast(ids) if n <= SMALL_IDS else ids, "doc_id")
-        rows = rows.mapInArrow(_set_maker(self.words, self.percent, self.classes, True), "rep long, tokens binary").withColumnRenamed("rep", "doc_id")
-        # rows under one id may hold other sets too; the set's own hash tells
-        tokens = durable(rows.join(F.broadcast(wanted) if n <= SMALL_IDS else wanted, "doc_id").mapInArrow(_own, "rep long, tokens binary"), "tokens")
+        rows = self.docs.join(F.broadcast(wanted) if n <= SMALL_IDS else wanted, "doc_id").select("rep", "text", "k1", "k2")
+        tokens = durable(rows.mapInArrow(_set_maker(self.words, self.percent, self.classes, True), "rep long, tokens binary"), "tokens")
         both = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
         return durable(both.select("a", "b", "x", "y").mapInArrow(_verifier(self.percent), "a long, b long"), "links")
 
@@ -340,16 +340,6 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(own, F.lit(NO_ID)).alias("component_id"))
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, tokens, rep, k1, k2) whose tokens are those of (k1, k2)."""
-    for batch in batches:
-        k1, k2 = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("k1", "k2"))
-        tokens = batch.column(batch.schema.get_field_index("tokens"))
-        same = [tuple(np.frombuffer(xxhash.xxh3_128_digest(t.as_buffer()), np.int64)) == k for t, k in zip(tokens, zip(k1, k2, strict=True), strict=True)]
-        rep = batch.column(batch.schema.get_field_index("rep"))
-        yield pa.RecordBatch.from_arrays([rep, tokens], ["rep", "tokens"]).filter(pa.array(same, pa.bool_()))
-
-
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that lead their component: that of least id (of rows with equal ids, one)."""
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))

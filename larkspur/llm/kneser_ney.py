@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import durable, local_path, new_path, partitions
+from larkspur.llm._spark import durable, local_path, new_path, partitions, small_batches
 
 #: Distinct keys that a task counts before it sends its blocks.
 HOLD = 1 << 21
@@ -287,6 +287,7 @@ def discount(c: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
 def train(docs: DataFrame, text: Column) -> Model:
     """Counts the model over all rows of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts, path = partitions(spark), new_path(spark, "kneser-ney")
     texts = docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     target = by_range(parts)
@@ -402,6 +403,7 @@ def log10_probabilities(r: Reader, hashes: np.ndarray, begin: np.ndarray) -> tup
 
 def score(docs: DataFrame, model: Model, payload: Column, text: Column) -> DataFrame:
     """row (the payload), n_tokens, n_known, base_score (add-one unigrams) and score (log10 of the model's probability)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(payload.alias("row"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
+from larkspur.llm._spark import small_batches
 
 DIM, GRAM, SEED = 512, 3, 20240607
 #: Letters beyond a-z share this many classes, by code point.
@@ -137,6 +138,7 @@ def _bundler(dim: int, n: int, seed: int):
 
 def learn(docs: DataFrame, text: Column, lang: Column, dim: int = DIM, n: int = GRAM, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Languages by code point and their prototypes (unit rows, less what all share), from rows with a lang."""
+    small_batches(docs.sparkSession)
     rows = docs.select(lang.cast("string").alias("lang"), text.cast("string").alias("text")).where("lang is not null and text is not null")
     got = rows.mapInArrow(_bundler(dim, n, seed), "lang string, at int, total long").groupBy("lang", "at").agg(F.sum("total").alias("total"))
     by: dict[str, np.ndarray] = {}
@@ -170,6 +172,7 @@ def _predictor(langs: list[str], protos: np.ndarray, dim: int, n: int, seed: int
 
 def identify(docs: DataFrame, payload: Column, text: Column, langs: list[str], protos: np.ndarray, dim: int = DIM, n: int = GRAM, seed: int = SEED) -> DataFrame:
     """row (the payload), lang_pred and score (cosine with the prototype, from 0 for -1 to 1) of each row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(payload.alias("row"), text.cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_predictor(langs, protos, dim, n, seed), f"row {kind}, lang_pred string, score double")

@@ -27,7 +27,7 @@ from larkspur.llm.suffix_sort import sorted_suffixes
 
 MIN_BYTES = 200
 GRAM = 64
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 QUEUE_BYTES = 16 << 20
 FOUND = "h long, b int, ckey long, runs binary"
 
