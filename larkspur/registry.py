@@ -541,3 +541,301 @@ def _(s, d):
 @add("ge3_morton")
 def _(s, d):
     return _points(s, d).select("c_custkey", G.morton(c("lat"), c("lon")).alias("z"))
+
+
+# --- full-text search -----------------------------------------------------------------------------------
+
+
+def _index(s: SparkSession, d: str) -> Q.Index:
+    return Q.Index(t(s, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id", [Q.TextField("text", "whitespace | lowercase")])
+
+
+# the same tokens in SQL: runs of anything but white space, in lower case
+_TOKENS = "tok AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos, len(w) AS length FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents)), post AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM tok GROUP BY doc_id, term)"
+_BM25 = "stat AS (SELECT count(DISTINCT doc_id) AS n, avg(length) AS m FROM (SELECT DISTINCT doc_id, length FROM tok)), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), scored AS (SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m)) AS part FROM post JOIN df USING (term), stat)"
+_HEAD = f"WITH {_TOKENS}, {_BM25} "
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.round("_score", 6).alias("score"))
+
+
+def _search(name: str, query: Q.Query, sql: str) -> None:
+    @add(name, _HEAD + sql)
+    def _(s, d):
+        return _scored(Q.search(_index(s, d), query))
+
+
+_search("ft8_match", Q.Match(["text"], "shall the und"), "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN ('shall', 'the', 'und') GROUP BY doc_id")
+_search("ft12_match_prefix", Q.prefix("text", "thn"), "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM post WHERE starts_with(term, 'thn')")
+_search("ft13_wildcard", Q.wildcard("text", "th?e*on"), "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM post WHERE regexp_full_match(term, 'th.e.*on')")
+_search("ft14_regexp", Q.regexp("text", "(an|on)[a-e]+s"), "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM post WHERE regexp_full_match(term, '(an|on)[a-e]+s')")
+_search("ft20_boolean", Q.And([Q.Match(["text"], "and"), Q.Match(["text"], "with"), Q.Not(Q.Match(["text"], "this"))]), "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN ('and', 'with') AND doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'this') GROUP BY doc_id HAVING count(*) = 2")
+_search("ft20_or", Q.Or([Q.Match(["text"], "les"), Q.Match(["text"], "los")]), "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN ('les', 'los') GROUP BY doc_id")
+_search("ft19_boosted", Q.Boosted(Q.Match(["text"], "for"), [Q.Match(["text"], "of")]), "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN ('for', 'of') AND doc_id IN (SELECT doc_id FROM post WHERE term = 'for') GROUP BY doc_id")
+_search("ft10_phrase", Q.MatchPhrase("text", "of the"), "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN ('of', 'the') AND doc_id IN (SELECT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the') GROUP BY doc_id")
+_search("ft16_query_string", Q.query_string('text:"in the" -text:und', ["text"]), "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN ('in', 'the') AND doc_id IN (SELECT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'in' AND b.term = 'the') AND doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'und') GROUP BY doc_id")
+
+
+@add("ft23_ranked_top_k", _HEAD + "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN ('from', 'she') GROUP BY doc_id ORDER BY sum(part) DESC, doc_id LIMIT 10")
+def _(s, d):
+    return _scored(Q.search(_index(s, d), Q.Match(["text"], "from she"), 10))
+
+
+@add("ft24_sorted_top_k", _HEAD + "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM post WHERE term = 'the') ORDER BY n_chars DESC, doc_id LIMIT 10")
+def _(s, d):
+    return Q.search(_index(s, d), Q.Match(["text"], "the"), 10, sort=("n_chars", "desc")).select("doc_id", "n_chars")
+
+
+@add("ft25_residual_predicate", _HEAD + "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM post WHERE term = 'the') AND source = 'src3' AND n_chars > 1000")
+def _(s, d):
+    return Q.search(_index(s, d), Q.Match(["text"], "the"), where=(c("source") == "src3") & (c("n_chars") > 1000)).select("doc_id")
+
+
+@add("ft26_ag18_facets", _HEAD + "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM post WHERE term IN ('the', 'la')) GROUP BY ALL")
+def _(s, d):
+    return Q.search(_index(s, d), Q.Match(["text"], "the la")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@add("ag20_terms_buckets", _HEAD + "SELECT source, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM post WHERE term = 'the') GROUP BY source ORDER BY n DESC, source LIMIT 10")
+def _(s, d):
+    return Q.search(_index(s, d), Q.Match(["text"], "the")).groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "source").limit(10)
+
+
+@add("ag21_date_histogram", "SELECT make_timestamp((epoch_us(ts) // 43200000000) * 43200000000) AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def _(s, d):
+    return TS.bucketed(t(s, d, "events"), "12h").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("ag22_composite_after", "SELECT event_type, user_id, count(*) AS n FROM events WHERE event_type > 'click' OR (event_type = 'click' AND user_id > 20) GROUP BY ALL ORDER BY event_type, user_id LIMIT 25")
+def _(s, d):
+    keys = t(s, d, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return keys.where((c("event_type") > "click") | ((c("event_type") == "click") & (c("user_id") > 20))).orderBy("event_type", "user_id").limit(25)
+
+
+@add("ag23_top_hits", "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) <= 2")
+def _(s, d):
+    return R.top_k_per_group(t(s, d, "documents"), ["source"], "n_chars", 2, pk=["doc_id"]).select("source", "doc_id")
+
+
+@add("ag19_metric_aggs", "SELECT count(DISTINCT source) AS card, round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.25), 4) AS p25, round(quantile_cont(n_chars, 0.99), 4) AS p99, count(lang) AS langs FROM documents")
+def _(s, d):
+    return t(s, d, "documents").agg(F.count_distinct("source").alias("card"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(R.percentile(c("n_chars"), 0.25), 4).alias("p25"), F.round(R.percentile(c("n_chars"), 0.99), 4).alias("p99"), F.count("lang").alias("langs"))
+
+
+@add("ft11_fuzzy")
+def _(s, d):
+    return _scored(Q.search(_index(s, d), Q.fuzzy("text", "tehm", 2)))
+
+
+@add("ft10_phrase_slop")
+def _(s, d):
+    return _scored(Q.search(_index(s, d), Q.MatchPhrase("text", "the of", 3)))
+
+
+@add("ft15_more_like_this")
+def _(s, d):
+    text = t(s, d, "benchmark").where("item_id = 3").first()["text"]
+    return _scored(Q.search(_index(s, d), Q.MoreLikeThis("text", text), 20))
+
+
+@add("ft17_18_multi_field")
+def _(s, d):
+    ix = Q.Index(t(s, d, "documents").select("doc_id", "text", "source"), "doc_id", [Q.TextField("text"), Q.TextField("source", "keyword", boost=2.0)])
+    return _scored(Q.search(ix, Q.MatchCross(["text", "source"], "src3 the"), 50))
+
+
+@add("ft22_synonyms")
+def _(s, d):
+    ix = Q.Index(t(s, d, "documents").select("doc_id", "text"), "doc_id", [Q.TextField("text", synonyms="shall, of the; this, that")])
+    return _scored(Q.search(ix, Q.Match(["text"], "this shall")))
+
+
+@add("ft27_suggest")
+def _(s, d):
+    return Q.suggest(_index(s, d), "text", "teh whith", 5)
+
+
+@add("ft28_explain_score", _HEAD + "SELECT term, round(part, 6) AS score FROM scored WHERE doc_id = 7 AND term IN ('the', 'and', 'zzz')")
+def _(s, d):
+    return Q.explain_score(_index(s, d), "text", "the and zzz", 7).select("term", F.round("score", 6).alias("score"))
+
+
+@add("ft29_sf14_highlight")
+def _(s, d):
+    return t(s, d, "documents").select("doc_id", Q.highlight(c("text"), ["the", "and"], size=80).alias("h"))
+
+
+@add("ft1_standard_analyzer", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+(?:[''’.][\\p{L}\\p{N}_]+)*')) AS n FROM documents")
+def _(s, d):
+    return t(s, d, "documents").select("doc_id", F.size(Q.analyze("standard", c("text"))).cast("long").alias("n"))
+
+
+@add("ft4_whitespace_keyword", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS n, [source] AS k FROM documents")
+def _(s, d):
+    return t(s, d, "documents").select("doc_id", F.size(Q.analyze("whitespace", c("text"))).cast("long").alias("n"), Q.analyze("keyword", c("source")).alias("k"))
+
+
+@add("ft5_ngrams", "SELECT n_nationkey, list_transform(range(1, least(len(n_name), 5) + 1), lambda k: lower(n_name[1:k])) AS e FROM nation")
+def _(s, d):
+    return t(s, d, "nation").select("n_nationkey", Q.analyze("edge_ngram(1,5)", c("n_name")).alias("e"))
+
+
+@add("ft2_3_6_custom_analyzers")
+def _(s, d):
+    return t(s, d, "documents").select("doc_id", F.size(Q.analyze("folding", c("text"))).alias("folded"), F.size(Q.analyze("english", c("text"))).alias("english"), F.size(Q.analyze("standard | lowercase | ascii_folding | alphanum_only | stopwords(the,of) | remove_long(12)", c("text"))).alias("custom"))
+
+
+@add("ve7_rrf_hybrid")
+def _(s, d):
+    docs = t(s, d, "documents").join(t(s, d, "embeddings"), c("doc_id") == c("vec_id"))
+    ix = Q.Index(docs.select("doc_id", "text"), "doc_id", [Q.TextField("text")])
+    text = V.ranked(Q.search(ix, Q.Match(["text"], "from the")), c("_score").desc(), "doc_id", 40)
+    near = V.nearest(docs, "embedding", _query_vector(s, d), 40, "doc_id")
+    return V.rrf([text, V.ranked(near, c("_distance").asc(), "doc_id", 40)], "doc_id", 20).select("doc_id", F.round("_rrf_score", 8).alias("score"))
+
+
+# --- PromQL ------------------------------------------------------------------------------------------
+
+START, END, STEP = 1704110400000, 1704153600000, 1800000  # 2024-01-01 12:00 to 24:00 by 30 min
+
+
+def _samples(s: SparkSession, d: str) -> DataFrame:
+    e = t(s, d, "events").select("event_type", (c("user_id") % 7).cast("string").alias("shard"), "ts", "value")
+    # one sample per series and ms
+    e = e.groupBy("event_type", "shard", F.timestamp_millis(F.unix_millis(c("ts").cast("timestamp"))).alias("ts")).agg(F.max("value").alias("value"))
+    return P.samples(e, ["event_type", "shard"], ["value"])
+
+
+def _prom(name: str, query: str, sql: str | None = None) -> None:
+    @add(name, sql and _GRID + sql)
+    def _(s, d):
+        out = P.query_range(_samples(s, d), query, START, END, STEP)
+        return out.select("step_ms", F.to_json("labels").alias("labels"), F.round("value", 6).alias("value"))
+
+
+_GRID = f"""WITH smp AS (SELECT event_type, CAST(user_id % 7 AS VARCHAR) AS shard, epoch_us(ts) // 1000 AS ms, max(value) AS v FROM events GROUP BY ALL),
+grid AS (SELECT unnest(range({START}, {END} + 1, {STEP})) AS step_ms),
+inst AS (SELECT step_ms, event_type, shard, arg_max(v, ms) AS v FROM smp JOIN grid ON ms <= step_ms AND ms >= step_ms - 300000 GROUP BY ALL),
+win AS (SELECT step_ms, event_type, shard, ms, v, lag(v) OVER w AS p FROM smp JOIN grid ON ms <= step_ms AND ms >= step_ms - 7200000 WINDOW w AS (PARTITION BY step_ms, event_type, shard ORDER BY ms)),
+agg AS (SELECT step_ms, event_type, shard, count(*) AS n, min(ms) AS a, max(ms) AS b, arg_min(v, ms) AS fv, arg_max(v, ms) AS lv, sum(v) AS sv, avg(v) AS av, min(v) AS mn, max(v) AS mx,
+  stddev_pop(v) AS sd, var_pop(v) AS vr, quantile_cont(v, 0.9) AS q9, coalesce(sum(CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END), 0) AS inc,
+  sum(CASE WHEN v <> p THEN 1 ELSE 0 END) AS ch, sum(CASE WHEN v < p THEN 1 ELSE 0 END) AS rs, regr_slope(v, (ms - step_ms) / 1000.0) AS sl, regr_intercept(v, (ms - step_ms) / 1000.0) AS ic FROM win GROUP BY ALL),
+ext AS (SELECT *, (b - a)::DOUBLE AS span, (b - a)::DOUBLE / nullif(n - 1, 0) AS mean, (a - (step_ms - 7200000))::DOUBLE AS ts0, (step_ms - b)::DOUBLE AS te FROM agg WHERE n >= 2 AND b > a),
+cnt AS (SELECT *, CASE WHEN inc > 0 AND fv >= 0 AND span * fv / inc < ts0 THEN span * fv / inc ELSE ts0 END AS tc FROM ext),
+rated AS (SELECT *, inc * (span + CASE WHEN tc < mean * 1.1 THEN tc ELSE mean / 2 END + CASE WHEN te < mean * 1.1 THEN te ELSE mean / 2 END) / span AS increase,
+  (lv - fv) * (span + CASE WHEN ts0 < mean * 1.1 THEN ts0 ELSE mean / 2 END + CASE WHEN te < mean * 1.1 THEN te ELSE mean / 2 END) / span AS delta FROM cnt)
+"""
+_BOTH = """'{"event_type":"' || event_type || '","shard":"' || shard || '"}' AS labels"""
+_NAMED = """'{"__name__":"value","event_type":"' || event_type || '","shard":"' || shard || '"}' AS labels"""
+_TYPE = """'{"event_type":"' || event_type || '"}' AS labels"""
+
+
+def _row(value: str, labels: str = _BOTH, source: str = "agg", tail: str = "") -> str:
+    return f"SELECT step_ms, {labels}, round({value}, 6) AS value FROM {source} {tail}"
+
+
+_prom("ps1_instant_selector", "value", _row("v", _NAMED, "inst"))
+_prom("ps2_matchers", 'value{event_type=~"c.*|view",shard!="3"}', _row("v", _NAMED, "inst", "WHERE regexp_full_match(event_type, 'c.*|view') AND shard <> '3'"))
+_prom("pf1_rate", "rate(value[2h])", _row("increase / 7200", source="rated"))
+_prom("pf1_increase", "increase(value[2h])", _row("increase", source="rated"))
+_prom("pf1_delta", "delta(value[2h])", _row("delta", source="rated"))
+for _f, _x in (("avg", "av"), ("min", "mn"), ("max", "mx"), ("sum", "sv"), ("count", "n::DOUBLE"), ("present", "1.0::DOUBLE"), ("stddev", "sd"), ("stdvar", "vr")):
+    _prom(f"pf3_4_{_f}_over_time", f"{_f}_over_time(value[2h])", _row(_x))
+_prom("pf3_last_over_time", "last_over_time(value[2h])", _row("lv", _NAMED))
+_prom("pf5_quantile_over_time", "quantile_over_time(0.9, value[2h])", _row("q9"))
+_prom("pf6_changes", "changes(value[2h])", _row("ch::DOUBLE"))
+_prom("pf6_resets", "resets(value[2h])", _row("rs::DOUBLE"))
+_prom("pf7_deriv", "deriv(value[2h])", _row("sl", tail="WHERE n >= 2 AND sl IS NOT NULL"))
+_prom("pf7_predict_linear", "predict_linear(value[2h], 600)", _row("ic + sl * 600", tail="WHERE n >= 2 AND sl IS NOT NULL"))
+_prom("pf2_irate", "irate(value[2h])")
+_prom("pf2_idelta", "idelta(value[2h])")
+_prom("pf5_mad_over_time", "mad_over_time(value[2h])")
+_prom("ps4_offset", "value offset 1h", f"SELECT step_ms, {_NAMED}, round(arg_max(v, ms), 6) AS value FROM smp JOIN grid ON ms + 3600000 <= step_ms AND ms + 3600000 >= step_ms - 300000 GROUP BY step_ms, event_type, shard")
+_prom("ps4_at", "value @ 1704120000")
+_prom("ps5_subquery", "max_over_time(sum by (event_type) (count_over_time(value[10m]))[1h:10m])")
+for _f, _x in (("sum", "sum(v)"), ("avg", "avg(v)"), ("min", "min(v)"), ("max", "max(v)"), ("count", "count(*)::DOUBLE"), ("group", "max(1.0::DOUBLE)"), ("stddev", "stddev_pop(v)"), ("stdvar", "var_pop(v)")):
+    _prom(f"pa1_{_f}_by", f"{_f} by (event_type) (value)", _row(_x, _TYPE, "inst", "GROUP BY step_ms, event_type"))
+_prom("pa1_sum_without", "sum without (shard) (value)", _row("sum(v)", _TYPE, "inst", "GROUP BY step_ms, event_type"))
+_prom("pa2_quantile", "quantile by (event_type) (0.75, value)", _row("quantile_cont(v, 0.75)", _TYPE, "inst", "GROUP BY step_ms, event_type"))
+_prom("pa3_topk", "topk(2, value)", _row("v", _NAMED, "(SELECT * FROM inst QUALIFY row_number() OVER (PARTITION BY step_ms ORDER BY v DESC, event_type, shard) <= 2)"))
+_prom("pa3_bottomk", "bottomk by (event_type) (1, value)", _row("v", _NAMED, "(SELECT * FROM inst QUALIFY row_number() OVER (PARTITION BY step_ms, event_type ORDER BY v, shard) <= 1)"))
+_prom("pa4_count_values", 'count_values("v", round(value))')
+_prom("pb1_arithmetic", "value * 2 - 1", _row("v * 2 - 1", source="inst"))
+_prom("pb1_division_by_zero", "(value - value) / 0 > 0 or value ^ 2 % 7", _row("(v * v) % 7", source="inst"))
+_prom("pb2_filter", "value > 40", _row("v", _NAMED, "inst", "WHERE v > 40"))
+_prom("pb2_bool", "value > bool 40", _row("CASE WHEN v > 40 THEN 1.0 ELSE 0.0 END::DOUBLE", source="inst"))
+_prom("pb3_one_to_one", "rate(value[2h]) / on(event_type, shard) avg_over_time(value[2h])", _row("increase / 7200 / av", source="rated", tail="WHERE av <> 0"))
+_prom("pb4_ignoring", "sum by (event_type) (value) - ignoring(shard) max by (event_type) (value)", _row("sum(v) - max(v)", _TYPE, "inst", "GROUP BY step_ms, event_type"))
+_prom("pb5_group_left", "value / on(event_type) group_left sum by (event_type) (value)", _row("v / sum(v) OVER (PARTITION BY step_ms, event_type)", source="inst"))
+_prom("pb6_or", 'value{shard="1"} or value{shard="2"}', _row("v", _NAMED, "inst", "WHERE shard IN ('1', '2')"))
+_prom("pb7_and", 'value and on(event_type) value{shard="1"}', _row("v", _NAMED, "inst", "WHERE (step_ms, event_type) IN (SELECT (step_ms, event_type) FROM inst WHERE shard = '1')"))
+_prom("pb7_unless", 'value unless on(event_type) value{shard="1"}', _row("v", _NAMED, "inst", "WHERE (step_ms, event_type) NOT IN (SELECT (step_ms, event_type) FROM inst WHERE shard = '1')"))
+_prom("pf8_absent", 'absent(value{event_type="nope",shard="x"})', "SELECT step_ms, '{\"event_type\":\"nope\",\"shard\":\"x\"}' AS labels, 1.0::DOUBLE AS value FROM grid")
+_prom("pf8_absent_over_time", 'absent_over_time(value{event_type="nope"}[1h])', "SELECT step_ms, '{\"event_type\":\"nope\"}' AS labels, 1.0::DOUBLE AS value FROM grid")
+_prom("pf9_time_vector", "vector(time())", "SELECT step_ms, '{}' AS labels, step_ms / 1000.0::DOUBLE AS value FROM grid")
+_prom("pf9_timestamp", "timestamp(value)", f"SELECT step_ms, {_BOTH}, round(max(ms) / 1000.0, 6) AS value FROM smp JOIN grid ON ms <= step_ms AND ms >= step_ms - 300000 GROUP BY step_ms, event_type, shard")
+_prom("pf9_scalar", "value - scalar(max(value))", _row("v - max(v) OVER (PARTITION BY step_ms)", source="inst"))
+for _f, _x in (("abs", "abs(v - 50)"), ("ceil", "ceil(v - 50)"), ("floor", "floor(v - 50)"), ("sgn", "sign(v - 50)::DOUBLE")):
+    _prom(f"pf10_{_f}", f"{_f}(value - 50)", _row(_x, source="inst"))
+_prom("pf10_exp", "exp(value / 100)", _row("exp(v / 100)", source="inst"))
+_prom("pf10_sqrt_ln_log", "sqrt(value) + ln(value + 1) + log2(value + 1) + log10(value + 1)", _row("sqrt(v) + ln(v + 1) + log2(v + 1) + log10(v + 1)", source="inst"))
+_prom("pf10_round", "round(value, 5)", _row("floor(v / 5 + 0.5) * 5", source="inst"))
+_prom("pf10_clamp", "clamp(value, 20, 60)", _row("least(60, greatest(20, v))", source="inst"))
+_prom("pf11_calendar", "hour() * 100 + minute() + day_of_week() + month() + year() + days_in_month() + day_of_year() + day_of_month()", "SELECT step_ms, '{}' AS labels, (hour(x) * 100 + minute(x) + dayofweek(x) + month(x) + year(x) + day(last_day(x)) + dayofyear(x) + day(x))::DOUBLE AS value FROM (SELECT step_ms, make_timestamp(step_ms * 1000) AS x FROM grid)")
+_prom("pf12_label_replace", 'label_replace(value, "s2", "x-$1", "shard", "(.)")', _row("v", """'{"__name__":"value","event_type":"' || event_type || '","s2":"x-' || shard || '","shard":"' || shard || '"}' AS labels""", "inst"))
+_prom("pf12_label_join", 'label_join(value, "both", "/", "event_type", "shard")', _row("v", """'{"__name__":"value","both":"' || event_type || '/' || shard || '","event_type":"' || event_type || '","shard":"' || shard || '"}' AS labels""", "inst"))
+_prom("pf13_sort_desc", "sort_desc(sum by (event_type) (value))", _row("sum(v)", _TYPE, "inst", "GROUP BY step_ms, event_type"))
+_prom("pe1_instant_of_range", "sum(rate(value[2h]))", _row("sum(increase / 7200)", "'{}' AS labels", "rated", "GROUP BY step_ms"))
+
+
+@add("pf14_histogram_quantile")
+def _(s, d):
+    e = t(s, d, "events").where("ts < timestamp_ntz'2024-01-02'")
+    bounds = [10.0, 25.0, 50.0, 75.0, float("inf")]
+    b = e.select("event_type", F.explode(F.array(*map(F.lit, bounds))).alias("b"), "value").where("value <= b").groupBy("event_type", "b").agg(F.count(F.lit(1)).cast("double").alias("hits"))
+    b = b.withColumn("le", F.when(c("b") == float("inf"), "+Inf").otherwise(c("b").cast("string"))).withColumn("ts", F.lit(START))
+    out = P.query(P.samples(b, ["event_type", "le"], ["hits"]), "histogram_quantile(0.9, hits)", START)
+    return out.select("step_ms", F.to_json("labels").alias("labels"), F.round("value", 6).alias("value"))
+
+
+@add("pe2_label_values", "SELECT DISTINCT event_type AS value FROM events")
+def _(s, d):
+    return P.label_values(_samples(s, d), "event_type")
+
+
+@add("pe2_label_names", "SELECT unnest(['__name__', 'event_type', 'shard']) AS label")
+def _(s, d):
+    return P.label_names(_samples(s, d))
+
+
+@add("pe2_series", "SELECT DISTINCT '{\"__name__\":\"value\",\"event_type\":\"' || event_type || '\",\"shard\":\"' || CAST(user_id % 7 AS VARCHAR) || '\"}' AS labels FROM events WHERE user_id % 7 IN (1, 2)")
+def _(s, d):
+    return P.series(_samples(s, d), 'value{shard="1"}', 'value{shard="2"}').select(F.to_json("labels").alias("labels"))
+
+
+# --- whole statements ---------------------------------------------------------------------------------
+
+
+def _engine(s: SparkSession, d: str):
+    from larkspur.engine import Engine
+
+    e = Engine(s)
+    for name, pk in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("nation", "n_nationkey"), ("documents", "doc_id"), ("embeddings", "vec_id")):
+        e.register(name, t(s, d, name), [pk])
+    e.register("events", t(s, d, "events").select("event_type", c("user_id").cast("string").alias("user"), "ts", "value"), (), ["event_type", "user"])
+    return e
+
+
+def _sql(name: str, text: str, oracle: str) -> None:
+    @add(name, oracle)
+    def _(s, d):
+        return _engine(s, d).sql(text)
+
+
+_sql("sql_group_having_order", "SELECT c_mktsegment AS seg, count(*) AS n, max(c_acctbal) AS top FROM customer WHERE c_acctbal > 0 GROUP BY seg HAVING n > 10 ORDER BY n DESC LIMIT 3", "SELECT c_mktsegment AS seg, count(*) AS n, max(c_acctbal) AS top FROM customer WHERE c_acctbal > 0 GROUP BY ALL HAVING count(*) > 10 ORDER BY n DESC LIMIT 3")
+_sql("sql_join_group", "SELECT n.n_name AS name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", "SELECT n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+_sql("sql_top_k_by", "SELECT p_brand, p_partkey FROM part GROUP BY p_brand TOP 2 BY p_size ASC", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size NULLS LAST, p_partkey) <= 2")
+_sql("sql_timeseries_buckets", "SELECT time_bucket(6h, ts) AS b, event_type, count(value) AS n, min(value) AS lo, last(value) AS l FROM events WHERE event_type != 'view' GROUP BY b, event_type", "SELECT make_timestamp((epoch_us(ts) // 21600000000) * 21600000000) AS b, event_type, count(value) AS n, min(value) AS lo, arg_max(value, ts) AS l FROM events WHERE event_type <> 'view' GROUP BY ALL")
+_sql("sql_union_order", "SELECT c_nationkey AS k FROM customer UNION SELECT n_nationkey FROM nation ORDER BY k DESC LIMIT 7", "SELECT k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT n_nationkey FROM nation) ORDER BY k DESC LIMIT 7")
+_sql("sql_case_folding_like", "SELECT p_partkey FROM part WHERE p_type ILIKE '%brass%' AND NOT p_brand LIKE 'Brand#1%' AND p_size BETWEEN 5 AND 20", "SELECT p_partkey FROM part WHERE p_type ILIKE '%brass%' AND p_brand NOT LIKE 'Brand#1%' AND p_size BETWEEN 5 AND 20")
