@@ -85,7 +85,7 @@ class PartVisitor:
 # --- the template -------------------------------------------------------------------------------------------
 
 OPEN, CLOSE = "<turn ", "</turn>"
-_CONTROL = re.compile(r"\\|<turn |</turn>|### |>\n")
+_CONTROL = re.compile(r"\\|<(?=turn |/turn>)|>(?=\n|\Z)|#(?=## )")
 _TURN = re.compile(r"<turn ((?:\\.|[^\\])*?)>\n((?:\\.|[^\\])*?)</turn>\n", re.S)
 
 

@@ -5,10 +5,11 @@ subsets: two sets that link have their intersection in common, and it lacks at m
 those that share a subset, each links to the smallest, and only if the sizes allow; two that don't link to it
 don't link to each other by that subset, so stars lose nothing.
 
-Large sets scan inverted lists, of which those of a set's first tokens are enough (as many as it may lack,
-and one). Tokens are ordered by the frequency of their rarest word, so the lists scanned are short. A list's
-sets first meet a pivot each; what is then still in different components is compared exhaustively, so every
-pair is either compared or joined by others.
+Large sets scan inverted lists of token blocks. The hash space is cut into ranges, one more than the elements
+in which two sets of a size band may differ, so sets that link have all tokens of some range in common; a
+list holds the sets that agree on a range. (Lists of single tokens put all documents that share a passage
+together.) A list's sets first meet a pivot each; what is then still in different components is
+compared exhaustively, so every pair is either compared or joined by others.
 
 Defined results: texts without words, and null texts, have an empty set and link with nothing; fewer words
 than a shingle make one shingle; rows with one doc_id are separate sets under that id; a null id counts
@@ -31,8 +32,6 @@ from larkspur.llm._spark import documents, durable
 from larkspur.llm.components import components
 
 WORDS, PERCENT = 3, 90
-#: At most this many words have a frequency class; the others count as rare.
-FREQUENT = 1 << 17
 NO_ID = 2**63 - 1
 #: Ids that may be broadcast; of more, the texts are fetched by a shuffled join.
 SMALL_IDS = 100_000
@@ -48,80 +47,28 @@ def prefix_length(size: int, percent: int) -> int:
     return lacking(size, percent) + 1 if size else 0
 
 
-# --- frequent words ---------------------------------------------------------------------------------------
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words that make up at least 1/FREQUENT of this task's words: at most FREQUENT rows."""
-    words, counts, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merge() -> None:
-        nonlocal words, counts, waiting
-        every = np.concatenate([words, *(w for w, _ in waiting)])
-        times = np.concatenate([counts, *(c for _, c in waiting)])
-        order = np.argsort(every)
-        every, times = every[order], times[order]
-        at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
-        words, counts, waiting = every[at], np.add.reduceat(times, at) if len(at) else times, []
-        keep = counts >= total / FREQUENT
-        words, counts = words[keep], counts[keep]
-
-    for batch in batches:
-        for _, _, data, offsets in X.chunks(batch.column(0)):
-            data = X.LOWER[data]
-            starts, ends, _ = X.word_spans(data, offsets)
-            total += len(starts)
-            waiting.append(np.unique(X.word_hashes(data, starts, ends), return_counts=True))
-            if len(waiting) >= 8:
-                merge()
-    merge()
-    yield pa.RecordBatch.from_arrays([pa.array(X.signed(words)), pa.array(counts), pa.array(np.full(len(words), total))], ["word", "n", "of"])
-
-
-class Classes:
-    """Frequency classes of words, in one slot per hash: where two words meet, the more frequent has it."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, bits: int = 19):
-        self.shift = np.uint64(64 - bits)
-        self.word, self.klass = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint8)
-        order = np.argsort(counts, kind="stable")
-        slot = (words[order] >> self.shift).astype(np.int64)
-        self.word[slot] = words[order]
-        self.klass[slot] = np.clip(np.log2(np.maximum(counts[order], 1)).astype(np.int64), 1, 63)
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        slot = (words >> self.shift).astype(np.int64)
-        return np.where(self.word[slot] == words, self.klass[slot], 0).astype(np.uint64)
-
+# --- sets -------------------------------------------------------------------------------------------------
 
-def frequent_words(docs: DataFrame) -> Classes:
-    got = docs.select("text").mapInArrow(_count_words, "word long, n long, of long")
-    got = got.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
-    order = np.lexsort((got["word"].to_numpy(), got["n"].to_numpy()))
-    return Classes(got["word"].to_numpy()[order].view(np.uint64), got["n"].to_numpy()[order])
+#: Least sizes of the bands; a band's greatest size is below 1.5 times its least, or the least is 1.
+EDGES = np.unique(np.ceil(1.5 ** np.arange(52)).astype(np.int64))
 
 
-# --- sets -------------------------------------------------------------------------------------------------
+def ranges_of(band: np.ndarray, percent: int) -> np.ndarray:
+    """Ranges of a band: more than two of its sets that link can differ in."""
+    return 2 * (EDGES[band + 1] - 1) * (100 - percent) // (100 + percent) + 1
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, words: int, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of all documents in the global order, and where each document's begin (n+1 long)."""
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of all documents, sorted within each, and where each document's begin (n+1 long)."""
     data = X.LOWER[data]
     starts, ends, first = X.word_spans(data, offsets)
-    hashes = X.word_hashes(data, starts, ends)
-    prefix, klass = X.PrefixHash(hashes), classes.of(hashes)
+    prefix = X.PrefixHash(X.word_hashes(data, starts, ends))
     count = np.diff(first)
     m = np.where(count >= words, count - words + 1, (count > 0).astype(np.int64))
     doc = np.repeat(np.arange(len(count)), m)
     begin = np.concatenate([[0], np.cumsum(m)])
     at = first[doc] + np.arange(len(doc)) - begin[doc]
-    end = np.minimum(at + words, first[doc + 1])
-    token = prefix.spans(at, end) >> np.uint64(6)
-    rare = klass[at]
-    for k in range(1, words):
-        rare = np.minimum(rare, klass[np.minimum(at + k, end - 1)])
-    token |= rare << np.uint64(58)
+    token = prefix.spans(at, np.minimum(at + words, first[doc + 1]))
     order = np.lexsort((token, doc))
     token, doc = token[order], doc[order]
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]) if len(token) else np.empty(0, bool)
@@ -129,12 +76,28 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int, classes: Classes
     return token, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
-def _set_maker(words: int, percent: int, shared, whole: bool):
+def blocks(tokens: np.ndarray, first: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each document's token ranges in a given band (-1: none), and where each document's begin."""
+    k = np.where(band >= 0, ranges_of(np.maximum(band, 0), percent), 0)
+    begin = np.concatenate([[0], np.cumsum(k)])
+    doc = np.repeat(np.arange(len(band)), np.diff(first))
+    use = k[doc] > 0
+    doc, own = doc[use], tokens[use]
+    at = ((own >> np.uint64(32)) * k[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + begin[doc]
+    sums = np.zeros(int(begin[-1]), np.uint64)
+    if len(own):
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sums[at[cut]] = np.add.reduceat(X.mix(own + np.uint64(0x632BE59BD9B4E019)), cut)
+    of = np.repeat(np.arange(len(band)), k)
+    place = (np.arange(len(sums)) - begin[of]).astype(np.uint64)
+    return X.mix(sums + place * np.uint64(0x9E3779B97F4A7C15) + band[of].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), begin
+
+
+def _set_maker(words: int, percent: int, whole: bool):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
         for batch in batches:
             for i, j, data, offsets in X.chunks(batch.column(1)):
-                tokens, first = shingles(data, offsets, words, classes)
+                tokens, first = shingles(data, offsets, words)
                 ids = batch.column(0).slice(i, j - i)
                 keys = [xxhash.xxh3_128_digest(tokens[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -146,12 +109,16 @@ def _set_maker(words: int, percent: int, shared, whole: bool):
                     yield pa.RecordBatch.from_arrays([ids, sets], ["rep", "tokens"]).filter(ok)
                     continue
                 size = np.diff(first)
-                take = np.where(size > 0, size * (100 - percent) // 100 + 1, 0)
-                take = np.where(size <= BOUNDARIES[-1], size, take)  # small sets whole, for their subsets
-                ends = np.cumsum(take)
-                pick = np.repeat(first[:-1] - (ends - take), take) + np.arange(int(take.sum()))
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(X.signed(tokens[pick])))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), prefix], ["doc_id", "size", "k1", "k2", "prefix"])
+                band = np.searchsorted(EDGES, size, "right") - 1
+                up = np.where((size > 0) & (100 * size >= percent * EDGES[np.maximum(band, 0) + 1]), band + 1, -1)
+                (x, bx), (y, by) = (blocks(tokens, first, b, percent) for b in (band, up))
+                lists = [np.concatenate([x[a:b], y[c:d]]) for a, b, c, d in zip(bx[:-1], bx[1:], by[:-1], by[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array((bx + by).astype(np.int32)), pa.array(X.signed(np.concatenate(lists))))
+                few = np.where(size <= BOUNDARIES[-1], size, 0)
+                ends = np.cumsum(few)
+                pick = np.repeat(first[:-1] - (ends - few), few) + np.arange(int(few.sum()))
+                small = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(X.signed(tokens[pick])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), small, lists], ["doc_id", "size", "k1", "k2", "small", "lists"])
 
     return make
 
@@ -178,8 +145,8 @@ def _subsets(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rep, prefix in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = prefix.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for rep, small in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = small.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 if len(tokens):
                     sums, sizes = subset_sums(tokens, lacking(len(tokens), percent))
                     out.append((sums, sizes, rep, len(tokens)))
@@ -192,8 +159,8 @@ def _subsets(percent: int):
 
 
 def light_edges(small: DataFrame, percent: int) -> DataFrame:
-    """Links between small sets: rep, prefix (all tokens)."""
-    subsets = small.select("rep", "prefix").mapInArrow(_subsets(percent), "s1 long, s2 long, common long, rep long, size long")
+    """Links between small sets: rep, small (all tokens)."""
+    subsets = small.select("rep", "small").mapInArrow(_subsets(percent), "s1 long, s2 long, common long, rep long, size long")
     least = subsets.groupBy("s1", "s2", "common").agg(F.min(F.struct("size", "rep")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = subsets.join(least, ["s1", "s2", "common"]).where(f"100 * common >= {percent} * (size + least.size - common) and rep <> least.rep")
     return met.select(F.col("rep").alias("a"), F.col("least.rep").alias("b"))
@@ -219,46 +186,34 @@ def _verifier(percent: int):
 
 @dataclass
 class _Comparison:
-    """Compares pairs of sets: first their heads, then, of those that may still link, the whole sets."""
+    """Fetches and compares the sets of pairs."""
 
     docs: DataFrame
     named: DataFrame  # rep, doc_id, k1, k2
-    heads: DataFrame  # rep, size, head
-    classes: object
     words: int
     percent: int
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose Jaccard similarity is at least percent/100."""
-        pairs = durable(self.plausible(pairs), "plausible")
         wanted = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct().join(self.named, "rep")
         wanted = durable(wanted, "wanted")
         n = wanted.count()
         if not n:
             return pairs
         rows = self.docs.join(F.broadcast(wanted) if n <= SMALL_IDS else wanted, "doc_id").select("rep", "text", "k1", "k2")
-        tokens = durable(rows.mapInArrow(_set_maker(self.words, self.percent, self.classes, True), "rep long, tokens binary"), "tokens")
+        tokens = durable(rows.mapInArrow(_set_maker(self.words, self.percent, True), "rep long, tokens binary"), "tokens")
         both = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
         return durable(both.select("a", "b", "x", "y").mapInArrow(_verifier(self.percent), "a long, b long"), "links")
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose heads share enough: of two sets that have `o` tokens in common, that with the earlier last
-        head token has at least (its head's length) - (its size) + o of them in both heads."""
-        a = self.heads.select(F.col("rep").alias("a"), F.col("size").alias("s"), F.col("head").alias("x"))
-        b = self.heads.select(F.col("rep").alias("b"), F.col("size").alias("t"), F.col("head").alias("y"))
-        o = F.ceil(F.lit(self.percent) * (F.col("s") + F.col("t")) / (100 + self.percent))
-        least = F.least(F.size("x") - F.col("s") + o, F.size("y") - F.col("t") + o)
-        return pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("x", "y")) >= F.greatest(F.lit(1), least)).select("a", "b")
-
 
 def _labelled(live: DataFrame, label: DataFrame) -> DataFrame:
-    return live.join(label, live.rep == label.id, "left").select("token", "band", "rep", "size", "at", F.coalesce("component", "rep").alias("c"))
+    return live.join(label, live.rep == label.id, "left").select("list", "rep", "size", F.coalesce("component", "rep").alias("c"))
 
 
 def _possible(percent: int, x: str, y: str, boundary: int) -> str:
-    """Whether two sets with a common token at places i and j of sizes s and t can link, and not both are small."""
-    need = f"{100 + percent} * (least({x}.at, {y}.at) + 1 + least({x}.size - {x}.at - 1, {y}.size - {y}.at - 1)) >= {percent} * ({x}.size + {y}.size)"
-    return f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) and greatest({x}.size, {y}.size) > {boundary} and {need}"
+    """Whether two sets can link by their sizes, and not both are small."""
+    low, high = f"least({x}.size, {y}.size)", f"greatest({x}.size, {y}.size)"
+    return f"100 * {low} >= {percent} * {high} and {high} > {boundary}"
 
 
 def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) -> int:
@@ -277,45 +232,33 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links of at least percent/100 similarity)."""
-    spark = docs.sparkSession
     docs = documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    classes = spark.sparkContext.broadcast(frequent_words(docs))  # at most FREQUENT words
-    sets = durable(docs.mapInArrow(_set_maker(words, percent, classes, False), "doc_id long, size long, k1 long, k2 long, prefix array<long>"), "sets")
-    # one set of each class, named by its least id; the second key tells apart different sets under one id
-    first = sets.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "size", "prefix")).alias("m"))
-    reps = durable(first.select("k1", "k2", F.xxhash64("k1", "k2").alias("rep"), F.col("m.doc_id").alias("doc_id"), F.col("m.size").alias("size"), F.col("m.prefix").alias("prefix")), "classes")
-
-    take = F.least(F.col("size"), (F.col("size") * (100 - percent) / 100).cast("long") + 1).cast("int")
-    heads = reps.select("rep", "size", F.slice("prefix", 1, take).alias("head"))
-    postings = heads.select("rep", "size", F.posexplode("head").alias("at", "token"))
-    lists = durable(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    sets = durable(docs.mapInArrow(_set_maker(words, percent, False), "doc_id long, size long, k1 long, k2 long, small array<long>, lists array<long>"), "sets")
+    # one set of each class, named by its hash and fetched by its least id
+    first = sets.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "size", "small", "lists")).alias("m"))
+    reps = durable(first.select("k1", "k2", F.xxhash64("k1", "k2").alias("rep"), "m.*"), "classes")
+
+    postings = reps.select("rep", "size", F.explode("lists").alias("list"))
+    lists = durable(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     mean = lists.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
     histogram = {r["size"]: r["n"] for r in reps.where(F.col("size") <= 2 * BOUNDARIES[-1]).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     boundary = boundary_by_cost(histogram, mean, percent)
 
     edges = light_edges(reps.where(F.col("size") <= boundary), percent)
-    # sizes that can link lie in one or two neighbouring bands; a set joins the lists of its band and the next
-    band = F.floor(F.log(F.col("size").cast("double") + 1e-9) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int")
-    live = postings.where(F.col("size") * 100 > boundary * percent).join(lists.select("token"), "token")
-    live = durable(live.withColumn("band", F.explode(F.array(band, band + 1))).select("token", "band", "rep", "size", "at"), "bands")
-    needed = live.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "band")
-    live = durable(live.join(needed, ["token", "band"]), "bands")
-    compare = _Comparison(docs, reps.select("rep", "doc_id", "k1", "k2"), heads, classes, words, percent)
-
-    tested = None
+    live = durable(postings.where(F.col("size") * 100 > boundary * percent).join(lists.select("list"), "list"), "postings")
+    compare = _Comparison(docs, reps.select("rep", "doc_id", "k1", "k2"), words, percent)
+
+    tested = label = None
     links = durable(edges, "links")
     for turn in range(2):
+        members = live.withColumn("c", F.col("rep")) if turn == 0 else _labelled(live, label)
+        member = F.struct("rep", "size", "c")
         if turn == 0:
-            members = live.withColumn("c", F.col("rep"))
-        else:
-            members = _labelled(live, label)
-        member = F.struct("rep", "size", "at", "c")
-        if turn == 0:
-            pivots = members.groupBy("token", "band").agg(F.min(member).alias("p"))
+            pivots = members.groupBy("list").agg(F.min(member).alias("p"))
         else:  # a pivot outside the first one's component
-            lowest = members.groupBy("token", "band").agg(F.min_by("c", member).alias("c0"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
-            pivots = members.join(lowest, ["token", "band"]).where("c <> c0").groupBy("token", "band").agg(F.min(member).alias("p"))
-        pairs = members.select("token", "band", member.alias("m")).join(pivots, ["token", "band"]).where("m.c <> p.c and " + _possible(percent, "m", "p", boundary))
+            lowest = members.groupBy("list").agg(F.min_by("c", member).alias("c0"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
+            pivots = members.join(lowest, "list").where("c <> c0").groupBy("list").agg(F.min(member).alias("p"))
+        pairs = members.select("list", member.alias("m")).join(pivots, "list").where("m.c <> p.c and " + _possible(percent, "m", "p", boundary))
         pairs = pairs.select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -325,10 +268,10 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         label = durable(components(links), "components")
     # what is left: pairs of a list that lie in different components and were not compared
     members = _labelled(live, label)
-    mixed = members.groupBy("token", "band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("token", "band")
-    members = durable(members.join(mixed, ["token", "band"]), "rest")
+    mixed = members.groupBy("list").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("list")
+    members = durable(members.join(mixed, "list"), "rest")
     x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & F.expr(_possible(percent, "x", "y", boundary)))
+    rest = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & F.expr(_possible(percent, "x", "y", boundary)))
     rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     label = durable(components(links.unionAll(compare.links(durable(rest, "pairs")))), "components")
 
