@@ -839,3 +839,198 @@ _sql("sql_top_k_by", "SELECT p_brand, p_partkey FROM part GROUP BY p_brand TOP 2
 _sql("sql_timeseries_buckets", "SELECT time_bucket(6h, ts) AS b, event_type, count(value) AS n, min(value) AS lo, last(value) AS l FROM events WHERE event_type != 'view' GROUP BY b, event_type", "SELECT make_timestamp((epoch_us(ts) // 21600000000) * 21600000000) AS b, event_type, count(value) AS n, min(value) AS lo, arg_max(value, ts) AS l FROM events WHERE event_type <> 'view' GROUP BY ALL")
 _sql("sql_union_order", "SELECT c_nationkey AS k FROM customer UNION SELECT n_nationkey FROM nation ORDER BY k DESC LIMIT 7", "SELECT k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT n_nationkey FROM nation) ORDER BY k DESC LIMIT 7")
 _sql("sql_case_folding_like", "SELECT p_partkey FROM part WHERE p_type ILIKE '%brass%' AND NOT p_brand LIKE 'Brand#1%' AND p_size BETWEEN 5 AND 20", "SELECT p_partkey FROM part WHERE p_type ILIKE '%brass%' AND p_brand NOT LIKE 'Brand#1%' AND p_size BETWEEN 5 AND 20")
+
+
+# --- the rest of the inventory, through statements and requests ------------------------------------------------
+
+_sql("pr4_literals", "SELECT n_nationkey, 1 AS i, 2.5 AS f, 1e3 AS e, 'it''s' AS s, true AS b, 5m AS d FROM nation", "SELECT n_nationkey, 1::BIGINT AS i, 2.5::DOUBLE AS f, 1000.0::DOUBLE AS e, 'it''s' AS s, true AS b, 300000::BIGINT AS d FROM nation")
+_sql("fi11_having_alias", "SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey HAVING total > 2500000 AND count(*) > 3", "SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 2500000 AND count(*) > 3")
+_sql("sf15_cast", "SELECT p_partkey, CAST(p_retailprice AS INT) AS i, CAST(p_size AS STRING) AS s, CAST(p_name AS FLOAT) AS x FROM part", "SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS VARCHAR) AS s, CAST(NULL AS DOUBLE) AS x FROM part")
+_sql("sf2_now_once", "SELECT n_nationkey FROM nation WHERE now() IS NOT NULL AND now() >= to_timestamp(0)", "SELECT n_nationkey FROM nation")
+_sql("ag19_distinct_aggregates", "SELECT count(DISTINCT l.c_nationkey) AS n, approx_count_distinct(l.c_mktsegment) AS m FROM customer l", "SELECT count(DISTINCT c_nationkey) AS n, count(DISTINCT c_mktsegment) AS m FROM customer")
+_sql("so2_limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC LIMIT 10 OFFSET 5", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 10 OFFSET 5")
+_sql("so5_time_sliced_limit", "SELECT event_type, user, ts FROM events ORDER BY ts DESC, user LIMIT 20", "SELECT event_type, CAST(user_id AS VARCHAR) AS user, ts FROM events ORDER BY ts DESC, CAST(user_id AS VARCHAR) LIMIT 20")
+_sql("se4_select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+_sql("sc12_sql_series_labels", "SELECT DISTINCT event_type FROM events", "SELECT DISTINCT event_type FROM events")
+_sql("ag9_sql_rate", "SELECT event_type, count(value) AS n FROM events GROUP BY event_type HAVING increase(value) > 0", "SELECT event_type, count(value) AS n FROM events GROUP BY event_type")
+
+
+@add("pr5_bind_parameters", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000 ORDER BY c_custkey LIMIT 15")
+def _(s, d):
+    return _engine(s, d).sql("SELECT c_custkey FROM customer WHERE c_mktsegment = ? AND c_acctbal > ? ORDER BY c_custkey LIMIT ?", "BUILDING", 9000, 15)
+
+
+@add("ag17_partial_then_final", _ROLL.format(step=86400000000))
+def _(s, d):
+    hours = TS.rollup(t(s, d, "events"), ["event_type"], ["value"], "1h")
+    return _rounded(TS.reroll(hours, ["event_type"], "value", "1d"))
+
+
+@add("st4_tumbling_window", "SELECT make_timestamp((epoch_us(ts) // 900000000) * 900000000) AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def _(s, d):
+    w = F.window(c("ts").cast("timestamp"), "15 minutes")
+    return t(s, d, "events").groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(c("w.start").cast("timestamp_ntz").alias("bucket"), "n")
+
+
+@add("st10_alter_retention", "SELECT count(*) AS n FROM events WHERE (epoch_us(ts) // 1000) >= (SELECT max((epoch_us(ts) // 1000)) FROM events) - 3600000")
+def _(s, d):
+    e = _engine(s, d)
+    e.sql("ALTER TABLE events SET (retention = 1h)")
+    return e.sql("SELECT count(*) AS n FROM events")
+
+
+@add("sc14_json_documents", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events UNION ALL SELECT -1, 7")
+def _(s, d):
+    rows = t(s, d, "events").select("event_id", F.from_json("props", "k long").alias("p")).select("event_id", "p.k")
+    return R.upsert(rows, s.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(7).cast("long").alias("k")), ["event_id"])
+
+
+@add("sc15_bulk_actions", "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 1 THEN 'new' ELSE n_name END AS n_name FROM nation WHERE n_nationkey % 5 <> 2 UNION ALL SELECT 100, 'made'")
+def _(s, d):
+    from larkspur.sources.ingest import apply_bulk
+
+    n = t(s, d, "nation").select("n_nationkey", "n_name")
+    doc = F.to_json(F.struct("n_nationkey", F.lit("new").alias("n_name")))
+    act = n.where("n_nationkey % 5 in (1, 2, 3)").select(c("n_nationkey").cast("long").alias("seq"), F.element_at(F.array(F.lit("index"), F.lit("delete"), F.lit("create")), c("n_nationkey") % 5).alias("action"), c("n_nationkey").cast("string").alias("id"), doc.alias("doc"))
+    act = act.unionAll(s.createDataFrame([(99, "create", "100", '{"n_nationkey": 100, "n_name": "made"}')], act.schema))
+    return apply_bulk(n, act, "n_nationkey", "n_nationkey int, n_name string")
+
+
+@add("sc17_text_exposition", "SELECT 'nation_keys' AS name, n_name AS nation, 1000::BIGINT + n_regionkey AS ts, n_nationkey::DOUBLE AS value FROM nation")
+def _(s, d):
+    from larkspur.sources.ingest import exposition
+
+    line = F.concat(F.lit('nation_keys{nation="'), c("n_name"), F.lit('"} '), c("n_nationkey"), F.lit(" "), c("n_regionkey") + 1000)
+    got = exposition(t(s, d, "nation").select(line.alias("value")).unionAll(s.createDataFrame([("# HELP x",)], "value string")), 0)
+    return got.select(c("labels")["__name__"].alias("name"), c("labels")["nation"].alias("nation"), "ts", "value")
+
+
+@add("sc21_memory_table", "SELECT r_regionkey, r_name FROM region")
+def _(s, d):
+    return t(s, d, "region").select("r_regionkey", "r_name").cache()
+
+
+@add("sc24_show_tables", "SELECT unnest(['customer', 'documents', 'embeddings', 'events', 'nation', 'orders', 'part']) AS name, unnest(['table', 'table', 'table', 'timeseries', 'table', 'table', 'table']) AS detail")
+def _(s, d):
+    return _engine(s, d).sql("SHOW TABLES")
+
+
+@add("dm1_rename", "SELECT n_nationkey AS id, n_name FROM nation")
+def _(s, d):
+    e = _engine(s, d)
+    e.sql("ALTER TABLE nation RENAME TO countries")
+    e.sql("ALTER TABLE countries RENAME COLUMN n_nationkey TO id")
+    return e.sql("SELECT id, n_name FROM countries")
+
+
+@add("dm5_transaction", "SELECT count(*) AS n FROM nation")
+def _(s, d):
+    e = _engine(s, d)
+    e.sql("BEGIN")
+    e.sql("DELETE FROM nation WHERE n_regionkey = 1")
+    e.sql("ROLLBACK")
+    return e.sql("SELECT count(*) AS n FROM nation")
+
+
+@add("dm6_7_timeseries_insert", "SELECT 'a' AS host, 2::BIGINT AS n, 5.0::DOUBLE AS last")
+def _(s, d):
+    e = _engine(s, d)
+    e.sql("CREATE TIMESERIES TABLE m SERIES KEY (host) OOO 1s")
+    e.sql("INSERT INTO m (host, ts, v) VALUES ('a', 1000, 1.0), ('a', 9000, 5.0), ('a', 2000, 3.0)")
+    return e.sql("SELECT host, count(v) AS n, last(v) AS last FROM m GROUP BY host")
+
+
+@add("dm8_explain")
+def _(s, d):
+    return _engine(s, d).sql("EXPLAIN SELECT c_custkey FROM customer WHERE c_custkey = 5")
+
+
+@add("dm10_databases", "SELECT 'default' AS name, '' AS detail UNION ALL SELECT 'other', ''")
+def _(s, d):
+    e = _engine(s, d)
+    e.sql("CREATE DATABASE other")
+    return e.sql("SHOW DATABASES")
+
+
+@add("dm11_describe_full", "SELECT 'n_nationkey' AS field, 'int' AS types, count(*) AS present FROM nation UNION ALL SELECT 'n_name', 'string', count(*) FROM nation UNION ALL SELECT 'n_regionkey', 'int', count(*) FROM nation")
+def _(s, d):
+    return _engine(s, d).sql("DESCRIBE nation FULL")
+
+
+@add("dm12_rollup_statement", "SELECT event_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type, count(value) AS n FROM events GROUP BY event_type) GROUP BY event_type")
+def _(s, d):
+    e = _engine(s, d)
+    e.sql("CREATE ROLLUP ev_1h ON events BUCKET 1h")
+    return e.sql("SELECT event_type, sum(value_count) AS n FROM ev_1h GROUP BY event_type")
+
+
+_search("ft9_dis_max_all_fields", Q.Match([], "with this"), "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN ('with', 'this') GROUP BY doc_id")
+
+
+@add("ft21_field_boost", _HEAD + "SELECT doc_id, round(sum(part) * 2.5, 6) AS score FROM scored WHERE term = 'with' GROUP BY doc_id")
+def _(s, d):
+    ix = Q.Index(t(s, d, "documents").select("doc_id", "text"), "doc_id", [Q.TextField("text", "whitespace | lowercase", boost=2.5)])
+    return _scored(Q.search(ix, Q.Match(["text"], "with")))
+
+
+@add("ft30_saved_index", _HEAD + "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term = 'are' GROUP BY doc_id")
+def _(s, d):
+    import tempfile
+
+    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-index-")
+    return _scored(Q.search(_index(s, d).saved(f"{folder}/postings"), Q.Match(["text"], "are")))
+
+
+def _dsl(name: str, body: dict, oracle: str | None, table: str = "documents") -> None:
+    @add(name, oracle)
+    def _(s, d):
+        from larkspur.plans import dsl
+        from larkspur.plans import sql as A
+
+        e = _engine(s, d)
+        e.sql("CREATE SEARCH INDEX ix ON documents (text) WITH (text.analyzer = 'whitespace | lowercase')")
+        key = e.table(table).pk[0]
+        return e.select(A.Select([A.Item(A.Col(key), None)], table, table, where=dsl.expression(body)))
+
+
+_dsl("ft31_dsl_bool", {"bool": {"must": [{"match": {"text": "the"}}], "filter": {"range": {"n_chars": {"gte": 500, "lt": 3000}}}, "must_not": [{"term": {"source": "src1"}}]}}, _HEAD + "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM post WHERE term = 'the') AND n_chars >= 500 AND n_chars < 3000 AND source <> 'src1'")
+_dsl("ft31_dsl_should", {"bool": {"should": [{"match": {"text": "les"}}, {"prefix": {"text": "thn"}}]}}, _HEAD + "SELECT DISTINCT doc_id FROM post WHERE term = 'les' OR starts_with(term, 'thn')")
+_dsl("ft31_dsl_terms_exists", {"bool": {"filter": [{"terms": {"lang": ["fr", "de"]}}, {"exists": {"field": "source"}}]}}, "SELECT doc_id FROM documents WHERE lang IN ('fr', 'de') AND source IS NOT NULL")
+_dsl("ft31_dsl_phrase", {"match_phrase": {"text": "of the"}}, f"WITH {_TOKENS} SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
+_dsl("ft31_dsl_query_string", {"query_string": {"query": "+with +from"}}, _HEAD + "SELECT doc_id FROM post WHERE term IN ('with', 'from') GROUP BY doc_id HAVING count(*) = 2")
+_dsl("ft31_dsl_multi_match", {"multi_match": {"query": "for", "fields": ["text"]}}, _HEAD + "SELECT doc_id FROM post WHERE term = 'for'")
+_dsl("ft31_dsl_match_all", {"match_all": {}}, "SELECT n_nationkey FROM nation", "nation")
+
+
+@add("ft32_dsl_hits", _HEAD + "SELECT CAST(doc_id AS VARCHAR) AS id, source FROM documents JOIN (SELECT doc_id, sum(part) AS score FROM scored WHERE term = 'she' GROUP BY doc_id) USING (doc_id) ORDER BY score DESC, doc_id LIMIT 7")
+def _(s, d):
+    e = _engine(s, d)
+    e.sql("CREATE SEARCH INDEX ix ON documents (text) WITH (text.analyzer = 'whitespace | lowercase')")
+    hits = e.search("documents", {"query": {"match": {"text": "she"}}, "size": 7, "_source": ["source"]})["hits"]["hits"]
+    return s.createDataFrame([(h["_id"], h["_source"]["source"]) for h in hits], "id string, source string")
+
+
+@add("so7_dsl_search_after", "SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size < 30 OR (p_size = 30 AND p_partkey > 100) ORDER BY p_size DESC, p_partkey LIMIT 12")
+def _(s, d):
+    hits = _engine(s, d).search("part", {"sort": [{"p_size": "desc"}], "search_after": [30, 100], "size": 12})["hits"]["hits"]
+    return s.createDataFrame([(h["_id"],) for h in hits], "id string")
+
+
+@add("ve9_dsl_knn", f"SELECT CAST(vec_id AS VARCHAR) AS id, round(1 / (1 + d), 6) AS score FROM (SELECT vec_id, {_METRICS['cosine']} AS d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)) ORDER BY d, vec_id LIMIT 6")
+def _(s, d):
+    hits = _engine(s, d).search("embeddings", {"knn": {"field": "embedding", "query_vector": _query_vector(s, d), "k": 6}})["hits"]["hits"]
+    return s.createDataFrame([(h["_id"], round(h["_score"], 6)) for h in hits], "id string, score double")
+
+
+@add("ps6_fields_as_metrics", "SELECT 'a' AS metric, count(*) AS n FROM events WHERE value IS NOT NULL UNION ALL SELECT 'b', count(*) FROM events")
+def _(s, d):
+    e = t(s, d, "events").select("event_type", "ts", c("value").alias("a"), c("event_id").cast("double").alias("b"))
+    return P.samples(e, ["event_type"], ["a", "b"]).groupBy(P.label("__name__").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("ge4_5_envelope_and_cover", f"SELECT c_custkey FROM {_POINTS} WHERE lat BETWEEN 10 AND 30 AND lon BETWEEN 20 AND 45")
+def _(s, d):
+    z = G.morton(c("lat"), c("lon")).bitwiseXOR(F.lit(-(2**63)))  # signed order of unsigned codes
+    ranges = F.array(*(F.struct(F.lit(a - 2**63).alias("a"), F.lit(b - 2**63).alias("b")) for a, b in G.cover((10.0, 20.0, 30.0, 45.0))))
+    inside = F.exists(ranges, lambda r: z.between(r["a"], r["b"]))
+    return _points(s, d).where(inside).where(G.geo_bbox(c("lat"), c("lon"), 10, 20, 30, 45)).select("c_custkey")
