@@ -139,7 +139,9 @@ def candidates(docs: DataFrame, units: Units, hot: int = HOT) -> DataFrame:
     found = texts.mapInArrow(_finder(units), "h long, key long, at long")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     parts = F.least(F.lit(units.width), F.greatest(F.lit(1), F.ceil(F.col("c") / hot))).cast("int")
-    per_doc = found.join(often.select("h", parts.alias("parts")), "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "parts")).alias("found"))
+    # a table of its own, so that the join's large partitions can be split
+    often = durable(often.select("h", parts.alias("parts")), "minimizers")
+    per_doc = found.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "parts")).alias("found"))
     per_doc = durable(per_doc, "anchors")
     joined = docs.select(identity().alias("key"), "doc_id", "text").join(per_doc, "key")
     joined = joined.select("key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text", "found")

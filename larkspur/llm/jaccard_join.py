@@ -5,11 +5,11 @@ subsets: two sets that link have their intersection in common, and it lacks at m
 those that share a subset, each links to the smallest, and only if the sizes allow; two that don't link to it
 don't link to each other by that subset, so stars lose nothing.
 
-Large sets scan inverted lists of token blocks. The hash space is cut into ranges, one more than the elements
-in which two sets of a size band may differ, so sets that link have all tokens of some range in common; a
-list holds the sets that agree on a range. (Lists of single tokens put all documents that share a passage
-together.) A list's sets first meet a pivot each; what is then still in different components is
-compared exhaustively, so every pair is either compared or joined by others.
+Large sets scan inverted lists, of which those of a set's first tokens are enough (as many as it may lack,
+and one) when all sets order tokens alike. Tokens come in order of document frequency, counted over all
+documents, so tokens of one document, which no list needs, come first and the lists scanned are short. A
+list's sets first meet a pivot each; what is then still in different components is compared exhaustively, so
+every pair is either compared or joined by others.
 
 Defined results: texts without words, and null texts, have an empty set and link with nothing; fewer words
 than a shingle make one shingle; rows with one doc_id are separate sets under that id; a null id counts
@@ -21,6 +21,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import documents, durable
+from larkspur.llm._blocks import BLOCK, blocks, by_range, ensure, gathered, map_array, merged, write_array
+from larkspur.llm._spark import documents, durable, new_path, partitions, release
 from larkspur.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -47,15 +50,71 @@ def prefix_length(size: int, percent: int) -> int:
     return lacking(size, percent) + 1 if size else 0
 
 
-# --- sets -------------------------------------------------------------------------------------------------
+# --- document frequencies -----------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Frequencies:
+    """Tokens that several documents have, by their leading bits, in sorted arrays with the log2 of their number.
+
+    Two tokens that agree in those bits count as one, which changes the order of tokens, never a result.
+    """
+
+    path: str
+    parts: int
+    bits: int
+
+    def heads(self, tokens: np.ndarray) -> np.ndarray:
+        return tokens & ~np.uint64((1 << (64 - self.bits)) - 1)
+
+    def classes(self, tokens: np.ndarray) -> np.ndarray:
+        """0 for tokens of one document, else 1 + log2 of the number of documents."""
+        different, inverse = np.unique(self.heads(tokens), return_inverse=True)
+        out = np.zeros(len(different), np.uint8)
+        part = by_range(self.parts)(different)
+        cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            have, kinds = _arrays(self, int(part[a]))
+            if len(have):
+                at = np.minimum(np.searchsorted(have, different[a:b]), len(have) - 1)
+                out[a:b] = np.where(have[at] == different[a:b], kinds[at], 0)
+        return out[inverse]
+
 
-#: Least sizes of the bands; a band's greatest size is below 1.5 times its least, or the least is 1.
-EDGES = np.unique(np.ceil(1.5 ** np.arange(52)).astype(np.int64))
+@lru_cache(maxsize=4096)
+def _arrays(f: Frequencies, part: int) -> tuple[np.ndarray, np.ndarray]:
+    return map_array(f"{f.path}/tokens-{part}", np.uint64), map_array(f"{f.path}/classes-{part}", np.uint8)
 
 
-def ranges_of(band: np.ndarray, percent: int) -> np.ndarray:
-    """Ranges of a band: more than two of its sets that link can differ in."""
-    return 2 * (EDGES[band + 1] - 1) * (100 - percent) // (100 + percent) + 1
+def frequencies(docs: DataFrame, words: int) -> Frequencies:
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    f = Frequencies(new_path(spark, "frequencies"), partitions(spark), min(64, max(24, int(size).bit_length() + 10)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for _, _, data, offsets in X.chunks(batch.column(0)):
+                    yield np.unique(f.heads(shingles(data, offsets, words)[0]), return_counts=True)
+
+        return blocks(parts(), by_range(f.parts))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, keys, counts in merged(batches):
+            many = counts[:, 0] > 1
+            write_array(f"{f.path}/tokens-{p}", keys[many])
+            write_array(f"{f.path}/classes-{p}", np.minimum(1 + np.log2(counts[many, 0]), 63).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["p"])
+
+    have = {r.p for r in gathered(docs.select("text").mapInArrow(count, BLOCK), f.parts).mapInArrow(write, "p int").collect()}
+    for p in set(range(f.parts)) - have:
+        ensure(f"{f.path}/tokens-{p}", np.uint64)
+        ensure(f"{f.path}/classes-{p}", np.uint8)
+    release(spark)
+    return f
+
+
+# --- sets -------------------------------------------------------------------------------------------------
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,24 +135,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return token, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
-def blocks(tokens: np.ndarray, first: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each document's token ranges in a given band (-1: none), and where each document's begin."""
-    k = np.where(band >= 0, ranges_of(np.maximum(band, 0), percent), 0)
-    begin = np.concatenate([[0], np.cumsum(k)])
-    doc = np.repeat(np.arange(len(band)), np.diff(first))
-    use = k[doc] > 0
-    doc, own = doc[use], tokens[use]
-    at = ((own >> np.uint64(32)) * k[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + begin[doc]
-    sums = np.zeros(int(begin[-1]), np.uint64)
-    if len(own):
-        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        sums[at[cut]] = np.add.reduceat(X.mix(own + np.uint64(0x632BE59BD9B4E019)), cut)
-    of = np.repeat(np.arange(len(band)), k)
-    place = (np.arange(len(sums)) - begin[of]).astype(np.uint64)
-    return X.mix(sums + place * np.uint64(0x9E3779B97F4A7C15) + band[of].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), begin
-
-
-def _set_maker(words: int, percent: int, whole: bool):
+def _set_maker(words: int, percent: int, order: Frequencies | None):
+    """Sets with the lists of their first tokens in order; without an order, the whole sets of given keys."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in X.chunks(batch.column(1)):
@@ -101,7 +145,7 @@ def _set_maker(words: int, percent: int, whole: bool):
                 ids = batch.column(0).slice(i, j - i)
                 keys = [xxhash.xxh3_128_digest(tokens[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                if whole:
+                if order is None:
                     # rows under one id may hold other sets too; the set's own hash tells
                     want = np.stack([batch.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in (2, 3)], 1)
                     raw, ok = tokens.tobytes(), pa.array((keys == want).all(1))
@@ -109,11 +153,13 @@ def _set_maker(words: int, percent: int, whole: bool):
                     yield pa.RecordBatch.from_arrays([ids, sets], ["rep", "tokens"]).filter(ok)
                     continue
                 size = np.diff(first)
-                band = np.searchsorted(EDGES, size, "right") - 1
-                up = np.where((size > 0) & (100 * size >= percent * EDGES[np.maximum(band, 0) + 1]), band + 1, -1)
-                (x, bx), (y, by) = (blocks(tokens, first, b, percent) for b in (band, up))
-                lists = [np.concatenate([x[a:b], y[c:d]]) for a, b, c, d in zip(bx[:-1], bx[1:], by[:-1], by[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array((bx + by).astype(np.int32)), pa.array(X.signed(np.concatenate(lists))))
+                klass = order.classes(tokens)
+                doc = np.repeat(np.arange(len(size)), size)
+                ranked = np.lexsort((tokens, klass, doc))
+                rank = np.arange(len(tokens)) - first[doc]
+                head = ranked[rank < size[doc] * (100 - percent) // 100 + 1]
+                head = head[klass[head] > 0]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[head], np.arange(len(size) + 1)).astype(np.int32)), pa.array(X.signed(tokens[head])))
                 few = np.where(size <= BOUNDARIES[-1], size, 0)
                 ends = np.cumsum(few)
                 pick = np.repeat(first[:-1] - (ends - few), few) + np.arange(int(few.sum()))
@@ -201,7 +247,7 @@ class _Comparison:
         if not n:
             return pairs
         rows = self.docs.join(F.broadcast(wanted) if n <= SMALL_IDS else wanted, "doc_id").select("rep", "text", "k1", "k2")
-        tokens = durable(rows.mapInArrow(_set_maker(self.words, self.percent, True), "rep long, tokens binary"), "tokens")
+        tokens = durable(rows.mapInArrow(_set_maker(self.words, self.percent, None), "rep long, tokens binary"), "tokens")
         both = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
         return durable(both.select("a", "b", "x", "y").mapInArrow(_verifier(self.percent), "a long, b long"), "links")
 
@@ -233,12 +279,16 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links of at least percent/100 similarity)."""
     docs = documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    sets = durable(docs.mapInArrow(_set_maker(words, percent, False), "doc_id long, size long, k1 long, k2 long, small array<long>, lists array<long>"), "sets")
+    order = frequencies(docs, words)
+    sets = durable(docs.mapInArrow(_set_maker(words, percent, order), "doc_id long, size long, k1 long, k2 long, small array<long>, lists array<long>"), "sets")
     # one set of each class, named by its hash and fetched by its least id
     first = sets.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "size", "small", "lists")).alias("m"))
     reps = durable(first.select("k1", "k2", F.xxhash64("k1", "k2").alias("rep"), "m.*"), "classes")
 
-    postings = reps.select("rep", "size", F.explode("lists").alias("list"))
+    # sizes that can link lie in one or two neighbouring bands; a set joins the lists of its band and the next
+    band = F.floor(F.log(F.col("size").cast("double") + 1e-9) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int")
+    postings = reps.select("rep", "size", F.explode("lists").alias("token")).withColumn("band", F.explode(F.array(band, band + 1)))
+    postings = postings.select("rep", "size", F.struct("token", "band").alias("list"))
     lists = durable(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     mean = lists.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
     histogram = {r["size"]: r["n"] for r in reps.where(F.col("size") <= 2 * BOUNDARIES[-1]).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}

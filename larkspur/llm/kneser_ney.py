@@ -18,163 +18,24 @@ columns are ignored.
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import durable, local_path, new_path, partitions, small_batches
+from larkspur.llm._blocks import BLOCK, SCHEMA, blocks, by_hash, by_range, ensure, gathered, map_array, merged, write_array
+from larkspur.llm._spark import durable, new_path, partitions, small_batches
 
-#: Distinct keys that a task counts before it sends its blocks.
-HOLD = 1 << 21
 END = np.uint64(0x5EED0FE4D0FE4D01)
 NONE = np.uint64(2**32 - 1)  # the number of an unknown word
 START = np.uint64(2**32 - 2)
 
 
-# --- arrays in the shared folder ----------------------------------------------------------------------------
-
-
-def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    path = local_path(uri)
-    return (fs.LocalFileSystem(), path) if path else fs.FileSystem.from_uri(uri)
-
-
-def write_array(uri: str, values: np.ndarray) -> None:
-    """Whole or not at all: a task that is run again replaces the array by the same."""
-    system, path = _filesystem(uri)
-    system.create_dir(os.path.dirname(path), recursive=True)
-    draft = f"{path}.{os.urandom(6).hex()}"
-    with system.open_output_stream(draft) as out:
-        out.write(np.ascontiguousarray(values).view(np.uint8).data if len(values) else b"")
-    system.move(draft, path)
-
-
-@lru_cache(maxsize=1)
-def _copies() -> str:
-    folder = tempfile.mkdtemp(prefix="larkspur-model-")
-    atexit.register(shutil.rmtree, folder, True)
-    return folder
-
-
-def map_array(uri: str, dtype: type) -> np.ndarray:
-    """The array, memory-mapped: in place where workers see the shared folder, else from a copy of this worker's."""
-    path = local_path(uri)
-    if path is None:
-        system, source = fs.FileSystem.from_uri(uri)
-        path = os.path.join(_copies(), uri.replace("/", "_"))
-        with system.open_input_stream(source) as src, open(path, "wb") as dst:
-            shutil.copyfileobj(src, dst, 1 << 20)
-    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-
-
-# --- blocks ------------------------------------------------------------------------------------------------
-
-BLOCK = "p int, keys binary, counts binary"
-_SCHEMA = pa.schema([("p", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-
-def pack(values: np.ndarray, sorted_keys: bool) -> bytes:
-    """Byte planes of the differences (for sorted keys) or of the numbers, compressed."""
-    values = values.astype(np.uint64)
-    if sorted_keys:
-        values = np.diff(values, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack(data: bytes, sorted_keys: bool) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    values = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
-    return np.cumsum(values) if sorted_keys else values
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted different keys and the sums of their counts (rows of counts)."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts, at, axis=0)
-
-
-def _blocks(parts: Iterator[tuple[np.ndarray, np.ndarray]], target: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Sums (keys, counts) and yields blocks per target partition; counts: one column or more."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = base = 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        keys, counts = held[0]
-        p = target(keys)
-        order = np.argsort(p, kind="stable")
-        keys, counts, p = keys[order], counts[order], p[order]
-        at = np.append(np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])), len(p))
-        rows = [(int(p[a]), pack(keys[a:b], True), b"".join(len(c).to_bytes(4, "little") + c for c in (pack(counts[a:b, k], False) for k in range(counts.shape[1])))) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
-
-    for keys, counts in parts:
-        held.append((keys, counts.reshape(len(keys), -1)))
-        size += len(keys)
-        if size > base + HOLD:
-            held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-            base = size = len(held[0][0])
-            if size > HOLD:
-                yield from out()
-                held, size, base = [], 0, 0
-    if held:
-        held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-        if len(held[0][0]):
-            yield from out()
-
-
-def _counts(data: bytes) -> np.ndarray:
-    columns, at = [], 0
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 4], "little")
-        columns.append(unpack(data[at + 4 : at + 4 + n], False))
-        at += 4 + n
-    return np.stack(columns, 1).astype(np.int64)
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(partition, keys, counts) of rows in order of partition."""
-    now, held, size, base = None, [], 0, 0
-    for batch in batches:
-        for p, keys, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if p != now and held:
-                yield now, *summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-                held, size, base = [], 0, 0
-            now = p
-            held.append((unpack(keys, True), _counts(counts)))
-            size += len(held[-1][0])
-            if size > base + HOLD:
-                held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                size = base = len(held[0][0])
-    if held:
-        yield now, *summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-
-
-def by_range(parts: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Partitions that follow the order of 64-bit hashes."""
-    return lambda keys: ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-
-
-def by_hash(parts: int) -> Callable[[np.ndarray], np.ndarray]:
-    ranges = by_range(parts)
-    return lambda keys: ranges(X.mix(keys))
-
-
 # --- counting ----------------------------------------------------------------------------------------------
 
 
@@ -293,18 +154,15 @@ def train(docs: DataFrame, text: Column) -> Model:
     target = by_range(parts)
 
     def word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _blocks((np.unique(t, return_counts=True) for t, _ in _columns(batches)), target)
+        return blocks((np.unique(t, return_counts=True) for t, _ in _columns(batches)), target)
 
     def word_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, keys, counts in _merged(batches):
+        for p, keys, counts in merged(batches):
             write_array(f"{path}/words-{p}", keys)
             write_array(f"{path}/counts-{p}", counts[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["p", "words", "tokens"])
 
-    def gathered(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "p").sortWithinPartitions("p")
-
-    got = {r.p: r for r in gathered(texts.mapInArrow(word_blocks, BLOCK)).mapInArrow(word_arrays, "p int, words long, tokens long").collect()}  # one row per partition
+    got = {r.p: r for r in gathered(texts.mapInArrow(word_blocks, BLOCK), parts).mapInArrow(word_arrays, "p int, words long, tokens long").collect()}  # one row per partition
     for p in range(parts):
         if p not in got:
             write_array(f"{path}/words-{p}", np.empty(0, np.uint64))
@@ -323,14 +181,14 @@ def train(docs: DataFrame, text: Column) -> Model:
             for t, begin in _columns(batches):
                 yield np.unique(pair_keys(reader(draft).words(t)[0], begin, start), return_counts=True)
 
-        return _blocks(parts_of(), spread)
+        return blocks(parts_of(), spread)
 
     def by_number(keys: np.ndarray) -> np.ndarray:
         return (keys // np.uint64(chunk)).astype(np.int32)
 
     def pair_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Writes the pairs; passes on, per word number, what it adds up to as context and as word."""
-        for p, keys, counts in _merged(batches):
+        for p, keys, counts in merged(batches):
             c = counts[:, 0]
             write_array(f"{path}/pairs-{p}", keys)
             write_array(f"{path}/times-{p}", np.minimum(c, 2**32 - 1).astype(np.uint32))
@@ -339,16 +197,16 @@ def train(docs: DataFrame, text: Column) -> Model:
             as_word = np.stack([zero, zero, zero, zero, zero + 1], 1)
             numbers = np.concatenate([keys >> np.uint64(32), keys & np.uint64(2**32 - 1)])
             totals = np.array([[(c == k).sum() for k in (1, 2, 3, 4)] + [len(keys)]])
-            for block in _blocks(iter([(numbers, np.concatenate([as_context, as_word]))]), by_number):
+            for block in blocks(iter([(numbers, np.concatenate([as_context, as_word]))]), by_number):
                 yield block
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([totals.astype(np.int64).tobytes()], pa.binary())], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([totals.astype(np.int64).tobytes()], pa.binary())], schema=SCHEMA)
 
-    middle = durable(gathered(texts.mapInArrow(pair_blocks, BLOCK)).mapInArrow(pair_arrays, BLOCK), "contexts")
+    middle = durable(gathered(texts.mapInArrow(pair_blocks, BLOCK), parts).mapInArrow(pair_arrays, BLOCK), "contexts")
     totals = np.sum([np.frombuffer(r.counts, np.int64) for r in middle.where("p = -1").collect()] or [np.zeros(5, np.int64)], 0)  # one row per partition
     d2 = discounts(totals[:4])
 
     def context_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, keys, counts in _merged(batches):
+        for p, keys, counts in merged(batches):
             at, size = (keys - np.uint64(p * chunk)).astype(np.int64), min(chunk, n_words + 1 - p * chunk)
             table = np.zeros((size, 5), np.int64)
             table[at] = counts
@@ -359,7 +217,7 @@ def train(docs: DataFrame, text: Column) -> Model:
             a = table[:, 4]
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([int((a == k).sum())]) for k in (1, 2, 3, 4)), pa.array([int((a >= 3).sum())])], ["p", "n1", "n2", "n3", "n4", "more"])
 
-    rows = gathered(middle.where("p >= 0")).mapInArrow(context_arrays, "p int, n1 long, n2 long, n3 long, n4 long, more long").collect()
+    rows = gathered(middle.where("p >= 0"), parts).mapInArrow(context_arrays, "p int, n1 long, n2 long, n3 long, n4 long, more long").collect()
     n = [sum(r[k] for r in rows) for k in ("n1", "n2", "n3", "n4", "more")]
     d1, pairs = discounts(np.array(n[:4])), int(totals[4])
     rest1 = (d1[0] * n[0] + d1[1] * n[1] + d1[2] * n[4]) / pairs if pairs else 1.0
@@ -370,18 +228,11 @@ def train(docs: DataFrame, text: Column) -> Model:
             for kind, dtype in (("total", np.int64), ("rest", np.float64), ("before", np.int64)):
                 write_array(f"{path}/{kind}-{p}", np.zeros(size, dtype))
     for p in range(parts):
-        _ensure(f"{path}/pairs-{p}", np.uint64)
-        _ensure(f"{path}/times-{p}", np.uint32)
+        ensure(f"{path}/pairs-{p}", np.uint64)
+        ensure(f"{path}/times-{p}", np.uint32)
     return Model(path, parts, begins, draft.n_tokens, chunk, d2, d1, pairs, rest1)
 
 
-def _ensure(uri: str, dtype: type) -> None:
-    """An empty array where no task had anything to write."""
-    system, path = _filesystem(uri)
-    if system.get_file_info(path).type == fs.FileType.NotFound:
-        write_array(uri, np.empty(0, dtype))
-
-
 # --- scoring ----------------------------------------------------------------------------------------------
 
 

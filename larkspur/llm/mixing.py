@@ -68,6 +68,8 @@ def planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, payloa
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"), F.col(f"`{id_col}`").cast("long").alias("id"), *payload)
     rows = rows.withColumn("class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
+    if not payload:
+        rows = durable(rows, "sizes")  # texts are read once
     counted = durable(rows.groupBy("source", "class").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "classes")
     rows = null_safe_join(rows, counted.select("source", "class", F.ceil(F.col("n") / BLOCK).alias("blocks")), ["source", "class"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))

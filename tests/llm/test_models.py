@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import crf_quality, edit_fingerprint, kneser_ney, language_id
+from larkspur.llm import _blocks, crf_quality, edit_fingerprint, kneser_ney, language_id
 
 TABLE = "/root/testdata/sf0.01/{}.parquet"
 
@@ -97,7 +97,7 @@ def reference(train, test):
 
 
 def test_kneser_ney_equals_reference(docs, texts, nothing, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "HOLD", 500)
+    monkeypatch.setattr(_blocks, "HOLD", 500)
     train = {d: t for d, t in texts.items() if d % 3}
     model = kneser_ney.train(docs.where("doc_id % 3 <> 0"), F.col("text"))
     got = {r.row: r for r in kneser_ney.score(docs, model, F.col("doc_id"), F.col("text")).collect()}
@@ -112,7 +112,7 @@ def test_kneser_ney_equals_reference(docs, texts, nothing, monkeypatch):
 
 def test_blocks_round_trip():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
-    assert (kneser_ney.unpack(kneser_ney.pack(keys, True), True) == keys).all()
+    assert (_blocks.unpack(_blocks.pack(keys, True), True) == keys).all()
 
 
 def test_fingerprints(spark, docs, texts, nothing):
