@@ -159,12 +159,13 @@ def _set_maker(words: int, percent: int, order: Frequencies | None):
                 rank = np.arange(len(tokens)) - first[doc]
                 head = ranked[rank < size[doc] * (100 - percent) // 100 + 1]
                 head = head[klass[head] > 0]
+                own = size - np.bincount(doc[klass > 0], minlength=len(size))  # tokens that no other document has
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[head], np.arange(len(size) + 1)).astype(np.int32)), pa.array(X.signed(tokens[head])))
                 few = np.where(size <= BOUNDARIES[-1], size, 0)
                 ends = np.cumsum(few)
                 pick = np.repeat(first[:-1] - (ends - few), few) + np.arange(int(few.sum()))
                 small = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(X.signed(tokens[pick])))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), small, lists], ["doc_id", "size", "k1", "k2", "small", "lists"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(own), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), small, lists], ["doc_id", "size", "own", "k1", "k2", "small", "lists"])
 
     return make
 
@@ -253,13 +254,14 @@ class _Comparison:
 
 
 def _labelled(live: DataFrame, label: DataFrame) -> DataFrame:
-    return live.join(label, live.rep == label.id, "left").select("list", "rep", "size", F.coalesce("component", "rep").alias("c"))
+    return live.join(label, live.rep == label.id, "left").select("list", "rep", "size", "own", F.coalesce("component", "rep").alias("c"))
 
 
 def _possible(percent: int, x: str, y: str, boundary: int) -> str:
-    """Whether two sets can link by their sizes, and not both are small."""
+    """Whether two sets can link by their sizes and by the tokens that others have, and not both are small."""
     low, high = f"least({x}.size, {y}.size)", f"greatest({x}.size, {y}.size)"
-    return f"100 * {low} >= {percent} * {high} and {high} > {boundary}"
+    common = f"{100 + percent} * least({x}.size - {x}.own, {y}.size - {y}.own) >= {percent} * ({x}.size + {y}.size)"
+    return f"100 * {low} >= {percent} * {high} and {high} > {boundary} and {common}"
 
 
 def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) -> int:
@@ -280,15 +282,15 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """doc_id, n_shingles and component_id (least doc_id reachable by links of at least percent/100 similarity)."""
     docs = documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     order = frequencies(docs, words)
-    sets = durable(docs.mapInArrow(_set_maker(words, percent, order), "doc_id long, size long, k1 long, k2 long, small array<long>, lists array<long>"), "sets")
+    sets = durable(docs.mapInArrow(_set_maker(words, percent, order), "doc_id long, size long, own long, k1 long, k2 long, small array<long>, lists array<long>"), "sets")
     # one set of each class, named by its hash and fetched by its least id
-    first = sets.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "size", "small", "lists")).alias("m"))
+    first = sets.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "size", "own", "small", "lists")).alias("m"))
     reps = durable(first.select("k1", "k2", F.xxhash64("k1", "k2").alias("rep"), "m.*"), "classes")
 
     # sizes that can link lie in one or two neighbouring bands; a set joins the lists of its band and the next
     band = F.floor(F.log(F.col("size").cast("double") + 1e-9) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int")
-    postings = reps.select("rep", "size", F.explode("lists").alias("token")).withColumn("band", F.explode(F.array(band, band + 1)))
-    postings = postings.select("rep", "size", F.struct("token", "band").alias("list"))
+    postings = reps.select("rep", "size", "own", F.explode("lists").alias("token")).withColumn("band", F.explode(F.array(band, band + 1)))
+    postings = postings.select("rep", "size", "own", F.struct("token", "band").alias("list"))
     lists = durable(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     mean = lists.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
     histogram = {r["size"]: r["n"] for r in reps.where(F.col("size") <= 2 * BOUNDARIES[-1]).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -302,7 +304,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = durable(edges, "links")
     for turn in range(2):
         members = live.withColumn("c", F.col("rep")) if turn == 0 else _labelled(live, label)
-        member = F.struct("rep", "size", "c")
+        member = F.struct("own", "rep", "size", "c")  # the pivot has fewest tokens of its own: it is nearest to what the others vary
         if turn == 0:
             pivots = members.groupBy("list").agg(F.min(member).alias("p"))
         else:  # a pivot outside the first one's component
