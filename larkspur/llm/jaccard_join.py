@@ -7,7 +7,7 @@ don't link to each other by that subset, so stars lose nothing.
 
 Large sets scan inverted lists, of which those of a set's first tokens are enough (as many as it may lack,
 and one) when all sets order tokens alike. Tokens come in order of document frequency, counted over all
-documents, so tokens of one document, which no list needs, come first and the lists scanned are short. A
+different sets, so tokens of one document, which no list needs, come first and the lists scanned are short. A
 list's sets first meet a pivot each; what is then still in different components is compared exhaustively, so
 every pair is either compared or joined by others.
 
@@ -135,6 +135,26 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return token, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
+def _key_maker(words: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in X.chunks(batch.column(1)):
+                tokens, first = shingles(data, offsets, words)
+                keys = [xxhash.xxh3_128_digest(tokens[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["doc_id", "k1", "k2"])
+
+    return make
+
+
+def one_of_each(docs: DataFrame, words: int) -> DataFrame:
+    """`docs` less those whose set a document of lesser id has too: copies must not make a text's tokens frequent."""
+    keys = durable(docs.mapInArrow(_key_maker(words), "doc_id long, k1 long, k2 long"), "keys")
+    least = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = durable(keys.join(least, ["k1", "k2"]).where("doc_id <> least").select("doc_id").distinct(), "copies")
+    return docs.join(F.broadcast(copies) if copies.count() <= SMALL_IDS else copies, "doc_id", "left_anti")
+
+
 def _set_maker(words: int, percent: int, order: Frequencies | None):
     """Sets with the lists of their first tokens in order; without an order, the whole sets of given keys."""
 
@@ -281,7 +301,7 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links of at least percent/100 similarity)."""
     docs = documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    order = frequencies(docs, words)
+    order = frequencies(one_of_each(docs, words), words)
     sets = durable(docs.mapInArrow(_set_maker(words, percent, order), "doc_id long, size long, own long, k1 long, k2 long, small array<long>, lists array<long>"), "sets")
     # one set of each class, named by its hash and fetched by its least id
     first = sets.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "size", "own", "small", "lists")).alias("m"))
