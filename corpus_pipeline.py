@@ -29,8 +29,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of less than two benchmark items."""
-    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of any benchmark item."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

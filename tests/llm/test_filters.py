@@ -136,6 +136,14 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted(r.doc_id for r in ran.collect()) == ids
 
 
+def test_pipeline_drops_documents_with_one_whole_item(spark, tmp_path):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, item), (2, "one two three four five six seven eight")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, f"before {item} after"), (2, f"x {' '.join(item.split()[:8])}"), (3, f"y {' '.join(item.split()[:7])}"), (4, None)]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
 def test_fold_matches_crc32(docs):
     import zlib
 
