@@ -6,8 +6,10 @@ prefix-summed over the source's documents in order of size, one random offset is
 for each integer that the running sum crosses. Documents of like size lie together, so a source's words come
 near its target.
 
-Prefix sums over a source are made of block offsets (one row per size class and block) and ranks within
-blocks of at most about BLOCK documents, so no source meets in one task.
+Prefix sums over a source are made of block offsets (one row per block) and ranks within blocks. Blocks are
+ranges of the order itself: a size class or, of one with more than BLOCK documents, each size or, of one with
+more, ranges of ids of about BLOCK documents; so no source meets in one task, and where the cuts lie never
+changes a result. Only documents of one size and one id (or none) stay together whatever their number.
 
 Defined results: a null text has size 0; sources are ordered by code point, null last, and null is a source
 of its own; a source without words has target 0 and takes nothing; equal rows are separate documents; an
@@ -70,17 +72,31 @@ def planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, payloa
     rows = rows.withColumn("class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
     if not payload:
         rows = durable(rows, "sizes")  # texts are read once
-    counted = durable(rows.groupBy("source", "class").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "classes")
-    rows = null_safe_join(rows, counted.select("source", "class", F.ceil(F.col("n") / BLOCK).alias("blocks")), ["source", "class"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    per_block = rows.groupBy("source", "class", "block").agg(F.count(F.lit(1)).alias("n"))
-    ahead = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("class", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    per_block = per_block.select("source", "class", "block", ahead.alias("ahead"))
+    counted = durable(rows.groupBy("source", "class", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
+    of_class = counted.groupBy("source", "class").agg((F.sum("n") > BLOCK).alias("by_size"))
+    rows = null_safe_join(rows, of_class, ["source", "class"])
+    rows = rows.withColumn("part", F.when(F.col("by_size"), F.col("size")).otherwise(F.lit(0))).drop("by_size")
+    most = counted.agg(F.max("n")).first()[0] or 0
+    if most > BLOCK:
+        parts = -(-most // BLOCK)
+        large = counted.where(F.col("n") > BLOCK).select("source", "size")
+        cuts = F.percentile_approx("id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))
+        cuts = durable(null_safe_join(rows.select("source", "size", "id"), large, ["source", "size"]).groupBy("source", "size").agg(F.array_distinct(cuts).alias("cuts")), "cuts")
+        cuts = cuts.select(F.col("source").alias("source_c"), F.col("size").alias("size_c"), "cuts")
+        rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("source_c")) & (F.col("size") == F.col("size_c")), "left").drop("source_c", "size_c")
+        below = F.size(F.filter("cuts", lambda c: c < F.col("id")))
+        block = F.when(F.col("cuts").isNull() | (F.size("cuts") == 0), F.lit(0)).when(F.col("id").isNull(), F.size("cuts") + 1).otherwise(below)
+        rows = rows.withColumn("block", block).drop("cuts")
+    else:
+        rows = rows.withColumn("block", F.lit(0))
+    per_block = rows.groupBy("source", "class", "part", "block").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("class", "part", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per_block = per_block.select("source", "class", "part", "block", ahead.alias("ahead"))
     step = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(F.lit(0)).cast("long")
-    per_source = targets(counted.select("source", "size"), weights, share, cap).withColumn("step", step)
+    per_source = targets(counted.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap).withColumn("step", step)
     per_block = durable(null_safe_join(per_block, per_source, ["source"]), "blocks")
-    rank = F.row_number().over(W.partitionBy("source", "class", "block").orderBy("size", F.col("id").asc_nulls_last()))
-    rows = null_safe_join(rows.withColumn("rank", rank), per_block, ["source", "class", "block"])
+    rank = F.row_number().over(W.partitionBy("source", "class", "part", "block").orderBy("size", F.col("id").asc_nulls_last()))
+    rows = null_safe_join(rows.withColumn("rank", rank), per_block, ["source", "class", "part", "block"])
     rows = rows.withColumn("upto", (F.col("ahead") + F.col("rank")) * F.col("step") + F.lit(offset(seed)))
     return rows.withColumn("copies", F.expr(f"(upto div {UNIT}) - ((upto - step) div {UNIT})"))
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import chat_format, decontaminate, language_id, queries
+from larkspur.llm import chat_format, decontaminate, language_id, mixing, queries
 from larkspur.llm.mixing import mix, mix_plan
 
 
@@ -59,6 +59,20 @@ def test_queries_equal_sql(spark, name):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(str(r) for r in spark.createDataFrame(want.fetchall(), got.select(*want.columns).schema).collect())
 
 
+@pytest.mark.parametrize("block", [2, 7])
+def test_mixing_in_small_blocks_equals_sql(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rows = [(k * 37 % 101 if k % 9 else None, "w " * (k % 4 + k % 3 * 7), ("a", "b", None)[k % 5 % 3]) for k in range(180)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()["op4_source_mixing"])
+    got = queries.op4_source_mixing(spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in spark.createDataFrame(want.fetchall(), got.schema).collect())
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert mix(docs).count() == mix_plan(docs).agg(F.sum("copies")).first()[0]
+
+
 TEXT = st.lists(st.sampled_from([*"ab\\<>#/ \né", "<turn ", "</turn>", "### ", ">\n", "</turn>\n"]), max_size=30).map("".join)
 
 
