@@ -142,17 +142,25 @@ def _key_maker(words: int):
                 tokens, first = shingles(data, offsets, words)
                 keys = [xxhash.xxh3_128_digest(tokens[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["doc_id", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["doc_id", "text_id", "k1", "k2"])
 
     return make
 
 
 def one_of_each(docs: DataFrame, words: int) -> DataFrame:
-    """`docs` less those whose set a document of lesser id has too: copies must not make a text's tokens frequent."""
-    keys = durable(docs.mapInArrow(_key_maker(words), "doc_id long, k1 long, k2 long"), "keys")
-    least = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = durable(keys.join(least, ["k1", "k2"]).where("doc_id <> least").select("doc_id").distinct(), "copies")
-    return docs.join(F.broadcast(copies) if copies.count() <= SMALL_IDS else copies, "doc_id", "left_anti")
+    """One row of `docs` (doc_id, text, text_id) for each different set: copies must not make a text's tokens frequent."""
+    keys = durable(docs.select("doc_id", "text", "text_id").mapInArrow(_key_maker(words), "doc_id long, text_id long, k1 long, k2 long"), "keys")
+    row = F.struct("doc_id", "text_id")
+    least = keys.groupBy("k1", "k2").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = durable(keys.join(least, ["k1", "k2"]).groupBy("doc_id", "text_id").agg(F.first(row == F.col("least")).alias("leads"), F.count(F.lit(1)).alias("n")), "copies")
+    # rows of one id and text are one set, so a row leaves with its equals, or they lead and one of them stays
+    copies = shared.where("not leads or n > 1").select("doc_id", "text_id")
+    once = docs.join(F.broadcast(copies) if copies.count() <= SMALL_IDS else copies, ["doc_id", "text_id"], "left_anti").select("doc_id", "text", "text_id")
+    equal = shared.where("leads and n > 1").select("doc_id", "text_id")
+    n = equal.count()
+    if n:
+        once = once.unionAll(docs.join(F.broadcast(equal) if n <= SMALL_IDS else equal, ["doc_id", "text_id"], "left_semi").select("doc_id", "text", "text_id").dropDuplicates(["doc_id", "text_id"]))
+    return once
 
 
 def _set_maker(words: int, percent: int, order: Frequencies | None):
@@ -185,7 +193,7 @@ def _set_maker(words: int, percent: int, order: Frequencies | None):
                 ends = np.cumsum(few)
                 pick = np.repeat(first[:-1] - (ends - few), few) + np.arange(int(few.sum()))
                 small = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(X.signed(tokens[pick])))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(own), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), small, lists], ["doc_id", "size", "own", "k1", "k2", "small", "lists"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(own), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), small, lists, batch.column(2).slice(i, j - i)], ["doc_id", "size", "own", "k1", "k2", "small", "lists", "text_id"])
 
     return make
 
@@ -298,11 +306,11 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
     return min(usable, key=lambda b: (cost(b), b)) if usable else 0
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id reachable by links of at least percent/100 similarity)."""
-    docs = documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (NO_ID for null), text_id, size, and the component and its least doc_id (null for empty sets) of each row."""
+    docs = documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
     order = frequencies(one_of_each(docs, words), words)
-    sets = durable(docs.mapInArrow(_set_maker(words, percent, order), "doc_id long, size long, own long, k1 long, k2 long, small array<long>, lists array<long>"), "sets")
+    sets = durable(docs.mapInArrow(_set_maker(words, percent, order), "doc_id long, size long, own long, k1 long, k2 long, small array<long>, lists array<long>, text_id long"), "sets")
     # one set of each class, named by its hash and fetched by its least id
     first = sets.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "size", "own", "small", "lists")).alias("m"))
     reps = durable(first.select("k1", "k2", F.xxhash64("k1", "k2").alias("rep"), "m.*"), "classes")
@@ -349,8 +357,13 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     named = reps.select("k1", "k2", "rep", "doc_id").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("k1", "k2", "component_id")
-    out = sets.select("doc_id", "size", "k1", "k2").join(named, ["k1", "k2"], "left")
+    named = named.join(least, "component").select("k1", "k2", "component", "component_id")
+    return sets.select("doc_id", "text_id", "size", "k1", "k2").join(named, ["k1", "k2"], "left").drop("k1", "k2")
+
+
+def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id reachable by links of at least percent/100 similarity)."""
+    out = _classes(docs, words, percent, id_col, text_col)
     own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(own, F.lit(NO_ID)).alias("component_id"))
 

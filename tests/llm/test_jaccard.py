@@ -73,6 +73,49 @@ def test_shuffled_fetch_and_keep_one(spark, monkeypatch):
     assert sorted(r.doc_id for r in got.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
 
 
+def of_rows(rows, words=3, percent=90):
+    """Set and component (least row number) of each row by all pairs of different sets, whatever the ids."""
+    lower = [(t or "").encode().translate(LOWER).split() for _, t in rows]
+    sets = [frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset() for w in lower]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if common and 100 * common >= percent * (len(a) + len(sets[j]) - common):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return sets, [root(i) for i in range(len(rows))]
+
+
+def odd_ids():
+    r = random.Random(5)
+    a, b, c = ([r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(900)) for _ in range(n)] for n in (30, 200, 40))
+    near = [*b[:100], "new", *b[101:]]
+    rows = [(3, a), (None, a), (None, b), (9, near), (None, c), (None, c), (5, a), (5, c[:25]), (7, c[:25]), (7, b[50:90])]
+    return [*((d, " ".join(w)) for d, w in rows), (None, None), (None, " "), (None, " "), (7, "")]
+
+
+def test_rows_that_share_an_id_with_a_copy_are_counted(spark, monkeypatch):
+    rows = odd_ids()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = df.selectExpr(f"coalesce(doc_id, {jaccard_join.NO_ID}) AS doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS text_id")
+    sets, part = of_rows(rows)
+    for small in (jaccard_join.SMALL_IDS, 0):
+        monkeypatch.setattr(jaccard_join, "SMALL_IDS", small)
+        once = [r.text for r in jaccard_join.one_of_each(plain, 3).collect()]
+        assert len(once) == len(set(sets)) and set(of_rows([(0, t) for t in once])[0]) == set(sets)
+    got = jaccard_classes(df).collect()
+    id_of = lambda p: min((2**63 if d is None else d) for (d, _), q in zip(rows, part, strict=True) if q == p)
+    want = [(d, len(s), (None if id_of(p) == 2**63 else id_of(p)) if s else d) for (d, _), s, p in zip(rows, sets, part, strict=True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_empty(nothing):
     assert jaccard_classes(nothing).count() == 0
 
