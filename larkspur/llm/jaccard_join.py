@@ -369,9 +369,16 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that lead their component: that of least id (of rows with equal ids, one)."""
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    found = jaccard_classes(docs, words, percent, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("leader"), F.coalesce("component_id", F.lit(NO_ID)).alias("c"))
-    leaders = found.where("leader = c").select("leader").distinct()
-    rows = docs.select(key.alias("leader"), F.struct("*").alias("row")).join(leaders, "leader", "left_semi").dropDuplicates(["leader"])
+    """One row of `docs` of each component, of its least id, and all rows with an empty set.
+
+    Of a component's rows under its least id, that whose text has the least hash stays, and one of equal texts.
+    """
+    key, text = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    found = durable(_classes(docs, words, percent, id_col, text_col), "found")
+    leaders = found.where("size > 0 and doc_id = component_id").groupBy("component").agg(F.min("doc_id").alias("leader"), F.min("text_id").alias("text_id"))
+    empty = found.where("size = 0").select(F.col("doc_id").alias("leader"), "text_id", F.lit(True).alias("empty")).distinct()
+    kept = leaders.select("leader", "text_id", F.lit(False).alias("empty")).unionAll(empty)
+    rows = docs.select(key.alias("leader"), F.xxhash64(text).alias("text_id"), F.struct("*").alias("row")).join(kept, ["leader", "text_id"])
+    each = F.when(F.col("empty"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    rows = rows.withColumn("each", each).dropDuplicates(["leader", "text_id", "each"])
     return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -93,6 +93,21 @@ def of_rows(rows, words=3, percent=90):
     return sets, [root(i) for i in range(len(rows))]
 
 
+def check_kept(rows, kept, words, percent):
+    """One row of each component, under its least id, and all empty ones."""
+    sets, part = of_rows(rows, words, percent)
+    size = lambda d: 2**63 if d is None else d
+    least = {}
+    for (d, _), s, p in zip(rows, sets, part, strict=True):
+        if s:
+            least[p] = min(least.get(p, 2**64), size(d))
+    have = {(d, t): p for (d, t), s, p in zip(rows, sets, part, strict=True) if s}
+    full = [(d, t) for d, t in kept if (d, t) in have]
+    assert sorted((have[r], size(r[0])) for r in full) == sorted(least.items())
+    void = sorted(str(r) for r, s in zip(rows, sets, strict=True) if not s)
+    assert sorted(str(r) for r in kept if r not in have) == void
+
+
 def odd_ids():
     r = random.Random(5)
     a, b, c = ([r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(900)) for _ in range(n)] for n in (30, 200, 40))
@@ -101,6 +116,12 @@ def odd_ids():
     return [*((d, " ".join(w)) for d, w in rows), (None, None), (None, " "), (None, " "), (7, "")]
 
 
+def test_keep_one_row_of_each_component_whatever_its_id(spark):
+    rows = odd_ids()
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    check_kept(rows, [tuple(r) for r in kept], 3, 90)
+
+
 def test_rows_that_share_an_id_with_a_copy_are_counted(spark, monkeypatch):
     rows = odd_ids()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
