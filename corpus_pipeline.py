@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that 90 % Jaccard links join, that of least doc_id."""
-    return keep_one(docs)
+    """Of each group of documents that links of 80 % Jaccard similarity of five-word shingles join, that of least doc_id."""
+    return keep_one(docs, words=5, percent=80)
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,6 +137,17 @@ def test_rows_that_share_an_id_with_a_copy_are_counted(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_near_duplicates_stage_equals_brute_force(spark):
+    import corpus_pipeline
+
+    rows = variants(4)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    check_kept(rows, kept, 5, 80)
+    parts = [len(set(of_rows(rows, w, p)[1])) for w, p in ((5, 80), (3, 90))]
+    assert parts[0] < parts[1] and len(kept) == parts[0]
+
+
 def test_empty(nothing):
     assert jaccard_classes(nothing).count() == 0
 
