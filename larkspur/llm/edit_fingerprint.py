@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import documents, partitions
+from larkspur.llm._spark import documents, durable, partitions, small_batches
+from larkspur.llm.components import components
 
 SAMPLES, PERIOD, KINDS, GRAM, SEED = 192, 1 << 14, 256, 3, 20240607
 LEAST = 0.8
@@ -206,27 +207,68 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return documents(docs, id_col, text_col).mapInArrow(_printer, "doc_id long, n_chars long, fingerprint string")
 
 
-def near_pairs(prints: DataFrame, bands: int = 16, digits: int = 6, least: float = LEAST) -> DataFrame:
-    """Verified candidates: a, b (a's fingerprint leads a band of b's) and likeness of at least `least`.
+#: Samples under which texts also have bands of SHORT symbols, as one difference may be in each longer band.
+FEW_SAMPLES, SHORT = 125, 2
+
+
+def _bands(digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, bands = [], []
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                item = parse(text)
+                runs = [(item[0], item[2], digits), (item[0] + 1, _coarser(item, item[0] + 1, _levels())[1], digits)]
+                if len(item[2]) < FEW_SAMPLES:
+                    runs.append((item[0], item[2], SHORT))
+                for level, symbols, width in runs:
+                    values = DIGITS[symbols].tobytes().decode()
+                    own = [f"{level}:{width}:{k}:{values[k : k + width]}" for k in range(0, len(values) - width + 1, width)]
+                    bands += own
+                    reps += [rep] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(bands, pa.string())], ["rep", "band"])
+
+    return run
+
+
+def near_pairs(prints: DataFrame, digits: int = 6, least: float = LEAST) -> DataFrame:
+    """Verified pairs: a, b (a's id is the lesser) and likeness of at least `least`; they join the same documents
+    as all pairs that are so alike and share a band.
 
     prints: doc_id, fingerprint. Equal fingerprints count once, under their least id. A band is a run of
-    `digits` sampled symbols (four bits each), of a stated place, level and value; each member of a band
-    meets its leader only, so a band of any size makes as many pairs as it has members.
+    `digits` sampled symbols (four bits each), of a stated place, level and value; runs cover the whole sample
+    of a text's level and of the next coarser one. A band's members first meet its leader; those that are then
+    in different components are compared pair by pair, so many unlike texts with one band cost their square.
     """
+    small_batches(prints.sparkSession)
     one = prints.where("length(fingerprint) > 2").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    level, symbols = F.split("fingerprint", ":")[0], F.split("fingerprint", ":")[1]
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("k"), level.alias("l"), F.substring(symbols, k * digits + 1, F.lit(digits)).alias("v")))
-    rows = one.withColumn("band", F.explode(keys)).where(f"length(band.v) = {digits}")
-    leaders = rows.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = rows.join(leaders, "band").where("doc_id <> first.doc_id").select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("first.fingerprint").alias("x"), F.col("fingerprint").alias("y")).distinct()
+    one = durable(one.select(F.xxhash64("fingerprint").alias("rep"), "doc_id", "fingerprint"), "prints")
+    rows = one.select("rep", "fingerprint").mapInArrow(_bands(digits), "rep long, band string")
+    rows = durable(rows, "bands")
+    leaders = rows.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = durable(rows.join(leaders, "band").where("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             like = [likeness(parse(x), parse(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             keep = pa.array([v >= least for v in like], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(like, pa.float64())], names=["a", "b", "likeness"]).filter(keep)
-
-    return pairs.mapInArrow(verify, "a long, b long, likeness double")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(like, pa.float64())], names=["u", "v", "likeness"]).filter(keep)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        x, y = (one.select(F.col("rep").alias(k), F.col("fingerprint").alias(name)) for k, name in (("u", "x"), ("v", "y")))
+        return durable(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long, likeness double"), "links")
+
+    found = links(met)
+    label = durable(components(found.select(F.col("u").alias("a"), F.col("v").alias("b"))), "components")
+    members = rows.join(label, rows.rep == label.id, "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = members.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band")
+    members = durable(members.join(mixed, "band"), "rest")
+    x, y = members.alias("x"), members.alias("y")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")))
+    rest = rest.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
+    found = found.unionAll(links(rest))
+    x, y = (one.select(F.col("rep").alias(k), F.col("doc_id").alias(name)) for k, name in (("u", "x"), ("v", "y")))
+    swap = F.col("x") > F.col("y")
+    return found.join(x, "u").join(y, "v").select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"), "likeness")
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,6 +141,42 @@ def test_fingerprints(spark, docs, texts, nothing):
     assert len(alone) == 1 and alone[0].near_next == 1
 
 
+def near_components(pairs, ids):
+    up = {d: d for d in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {d: root(d) for d in ids}
+
+
+def test_near_pairs_join_what_brute_force_joins(spark):
+    import itertools
+    import random
+
+    r = random.Random(9)
+    some = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    head, rows = some(300), []
+    for n in (4, 12, 60, 124, 190, 250, 380, 900):  # a header that unlike texts share, edits at either end, several levels
+        for shared in ("", head):
+            base = shared + some(n)
+            k, m = max(1, len(base) // 25), len(base)
+            rows += [base, some(k) + base[k:], base[: m - k] + some(k), base[: m - k], base + some(k), base[: m // 2] + some(k) + base[m // 2 + k :]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    prints = edit_fingerprint.fingerprints(df)
+    of = {x.doc_id: edit_fingerprint.parse(x.fingerprint) for x in prints.collect()}
+    pairs = [(x.a, x.b) for x in edit_fingerprint.near_pairs(prints).collect()]
+    want = [(a, b) for a, b in itertools.combinations(sorted(of), 2) if edit_fingerprint.likeness(of[a], of[b]) >= edit_fingerprint.LEAST]
+    assert set(pairs) <= set(want) and len(want) > 100
+    got, whole = near_components(pairs, of), near_components(want, of)
+    assert got == whole
+
+
 @pytest.mark.parametrize("few", [0, 5, 48])
 def test_walks_equal_steps(few, monkeypatch):
     import random
