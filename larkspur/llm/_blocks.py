@@ -92,7 +92,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at, axis=0)
 
 
-def blocks(parts: Iterator[tuple[np.ndarray, np.ndarray]], target: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+def blocks(parts: Iterator[tuple[np.ndarray, np.ndarray]], target: Callable[[np.ndarray], np.ndarray], hold: int = HOLD) -> Iterator[pa.RecordBatch]:
     """Sums (keys, counts) and yields blocks per target partition; counts: one column or more."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = base = 0
@@ -109,10 +109,10 @@ def blocks(parts: Iterator[tuple[np.ndarray, np.ndarray]], target: Callable[[np.
     for keys, counts in parts:
         held.append((keys, counts.reshape(len(keys), -1)))
         size += len(keys)
-        if size > base + HOLD:
+        if size > base + hold:
             held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
             base = size = len(held[0][0])
-            if size > HOLD:
+            if size > hold:
                 yield from out()
                 held, size, base = [], 0, 0
     if held:
@@ -130,7 +130,7 @@ def _counts(data: bytes) -> np.ndarray:
     return np.stack(columns, 1).astype(np.int64)
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def merged(batches: Iterator[pa.RecordBatch], hold: int = HOLD) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(partition, keys, counts) of rows in order of partition."""
     now, held, size, base = None, [], 0, 0
     for batch in batches:
@@ -141,7 +141,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
             now = p
             held.append((unpack(keys, True), _counts(counts)))
             size += len(held[-1][0])
-            if size > base + HOLD:
+            if size > base + hold:
                 held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
                 size = base = len(held[0][0])
     if held:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,21 +44,64 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/larkspur/{what}-{uuid.uuid4().hex}"
+_open = threading.local()
 
 
-def durable(df: DataFrame, what: str) -> DataFrame:
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one; an open workspace() removes it when it ends."""
+    path = f"{shared_dir(spark)}/larkspur/{what}-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None):
+        _open.paths[-1].append(path)
+    return path
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Removes at its end what durable() and new_path() made within, but for what was written by the function it gives."""
+    paths = _open.paths = getattr(_open, "paths", None) or []
+    paths.append([])
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        mine = paths.pop()
+        try:
+            return durable(df, what)
+        finally:
+            paths.append(mine)
+
+    try:
+        yield keep
+    finally:
+        for path in paths.pop():
+            remove(spark, path)
+
+
+def durable(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: later stages survive the loss of any executor.
 
     Shuffle files of the finished part are released at once, so the disk held is that of the largest part.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable) -> Callable:
+    """`run`, a function for mapInArrow, in a worker that returns what it freed to the system: idle workers stay small."""
+
+    @functools.wraps(run)
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another libc
+            pass
+
+    return trimmed
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -8,8 +8,10 @@ don't link to each other by that subset, so stars lose nothing.
 Large sets scan inverted lists, of which those of a set's first tokens are enough (as many as it may lack,
 and one) when all sets order tokens alike. Tokens come in order of document frequency, counted over all
 different sets, so tokens of one document, which no list needs, come first and the lists scanned are short. A
-list's sets first meet a pivot each; what is then still in different components is compared exhaustively, so
-every pair is either compared or joined by others.
+list's sets first meet a pivot each. What is then still in different components is compared within the list, by
+bounds that no linked pair can miss: sizes, tokens of one document, places of the common token, and parity
+bitmaps (each token flips one bit of 1024; bits that differ are at most the tokens that differ). Only pairs within
+all bounds leave the join and are compared token by token, so every pair is compared, excluded or joined by others.
 
 Defined results: texts without words, and null texts, have an empty set and link with nothing; fewer words
 than a shingle make one shingle; rows with one doc_id are separate sets under that id; a null id counts
@@ -31,14 +33,20 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
 from larkspur.llm._blocks import BLOCK, blocks, by_range, ensure, gathered, map_array, merged, write_array
-from larkspur.llm._spark import documents, durable, new_path, partitions, release
+from larkspur.llm._spark import documents, durable, lean, new_path, partitions, release, workspace
 from larkspur.llm.components import components
 
 WORDS, PERCENT = 3, 90
 NO_ID = 2**63 - 1
-#: Ids that may be broadcast; of more, the texts are fetched by a shuffled join.
+#: Ids that may be broadcast; of more, the sets are fetched by a shuffled join.
 SMALL_IDS = 100_000
 BOUNDARIES = (9, 19, 29)
+#: Distinct tokens that a task counts before it sends its blocks.
+HOLD = 1 << 20
+#: Words of 64 bits in a parity bitmap.
+PARITY = 16
+#: Sets of one list that are compared in one group; of longer lists, each pair of blocks is a group.
+LIST_BLOCK = 4096
 
 
 def lacking(size: int, percent: int) -> int:
@@ -86,27 +94,28 @@ def _arrays(f: Frequencies, part: int) -> tuple[np.ndarray, np.ndarray]:
     return map_array(f"{f.path}/tokens-{part}", np.uint64), map_array(f"{f.path}/classes-{part}", np.uint8)
 
 
-def frequencies(docs: DataFrame, words: int) -> Frequencies:
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    f = Frequencies(new_path(spark, "frequencies"), partitions(spark), min(64, max(24, int(size).bit_length() + 10)))
+def frequencies(sets: DataFrame) -> Frequencies:
+    """Of sets (size, tokens)."""
+    spark = sets.sparkSession
+    size = sets.agg(F.sum("size")).first()[0] or 0
+    f = Frequencies(new_path(spark, "frequencies"), partitions(spark), min(64, max(24, int(size).bit_length() + 13)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                for _, _, data, offsets in X.chunks(batch.column(0)):
-                    yield np.unique(f.heads(shingles(data, offsets, words)[0]), return_counts=True)
+                for _, _, tokens, _ in token_chunks(batch.column(0)):
+                    yield np.unique(f.heads(tokens), return_counts=True)
 
-        return blocks(parts(), by_range(f.parts))
+        return blocks(parts(), by_range(f.parts), HOLD)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, keys, counts in merged(batches):
+        for p, keys, counts in merged(batches, HOLD):
             many = counts[:, 0] > 1
             write_array(f"{f.path}/tokens-{p}", keys[many])
             write_array(f"{f.path}/classes-{p}", np.minimum(1 + np.log2(counts[many, 0]), 63).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["p"])
 
-    have = {r.p for r in gathered(docs.select("text").mapInArrow(count, BLOCK), f.parts).mapInArrow(write, "p int").collect()}
+    have = {r.p for r in gathered(sets.select("tokens").mapInArrow(lean(count), BLOCK), f.parts).mapInArrow(lean(write), "p int").collect()}
     for p in set(range(f.parts)) - have:
         ensure(f"{f.path}/tokens-{p}", np.uint64)
         ensure(f"{f.path}/classes-{p}", np.uint8)
@@ -135,69 +144,70 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return token, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
-def _key_maker(words: int):
+def token_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, tokens, where each row's begin) of runs of rows of stored sets."""
+    for i, j, data, offsets in X.chunks(column, 2 * X.CHUNK_BYTES):
+        yield i, j, np.frombuffer(data.tobytes(), np.uint64), offsets // 8
+
+
+def _tokens(words: int):
+    """(row, doc_id, text_id, text) to the sets: their hash of 128 bits, size and sorted tokens."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in X.chunks(batch.column(1)):
+            for i, j, data, offsets in X.chunks(batch.column(3)):
                 tokens, first = shingles(data, offsets, words)
-                keys = [xxhash.xxh3_128_digest(tokens[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["doc_id", "text_id", "k1", "k2"])
+                raw, ends = tokens.tobytes(), (8 * first).tolist()
+                sets = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), np.int64).reshape(-1, 2)
+                some = [batch.column(k).slice(i, j - i) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*some, pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(np.diff(first)), pa.array(sets, pa.binary())], ["row", "doc_id", "text_id", "k1", "k2", "size", "tokens"])
 
     return make
 
 
-def one_of_each(docs: DataFrame, words: int) -> DataFrame:
-    """One row of `docs` (doc_id, text, text_id) for each different set: copies must not make a text's tokens frequent."""
-    keys = durable(docs.select("doc_id", "text", "text_id").mapInArrow(_key_maker(words), "doc_id long, text_id long, k1 long, k2 long"), "keys")
-    row = F.struct("doc_id", "text_id")
-    least = keys.groupBy("k1", "k2").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = durable(keys.join(least, ["k1", "k2"]).groupBy("doc_id", "text_id").agg(F.first(row == F.col("least")).alias("leads"), F.count(F.lit(1)).alias("n")), "copies")
-    # rows of one id and text are one set, so a row leaves with its equals, or they lead and one of them stays
-    copies = shared.where("not leads or n > 1").select("doc_id", "text_id")
-    once = docs.join(F.broadcast(copies) if copies.count() <= SMALL_IDS else copies, ["doc_id", "text_id"], "left_anti").select("doc_id", "text", "text_id")
-    equal = shared.where("leads and n > 1").select("doc_id", "text_id")
-    n = equal.count()
-    if n:
-        once = once.unionAll(docs.join(F.broadcast(equal) if n <= SMALL_IDS else equal, ["doc_id", "text_id"], "left_semi").select("doc_id", "text", "text_id").dropDuplicates(["doc_id", "text_id"]))
-    return once
+def of_rows(sets: DataFrame, rows: DataFrame, anti: bool = False) -> DataFrame:
+    """Those sets whose `row` is among `rows`, or with anti is not; few rows are broadcast."""
+    return sets.join(F.broadcast(rows) if rows.count() <= SMALL_IDS else rows, "row", "left_anti" if anti else "left_semi")
 
 
-def _set_maker(words: int, percent: int, order: Frequencies | None):
-    """Sets with the lists of their first tokens in order; without an order, the whole sets of given keys."""
+def _list_maker(percent: int, order: Frequencies):
+    """(row, tokens) to what the join needs of a set: lists of its first tokens in order, the small sets, the parity bitmap."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in X.chunks(batch.column(1)):
-                tokens, first = shingles(data, offsets, words)
-                ids = batch.column(0).slice(i, j - i)
-                keys = [xxhash.xxh3_128_digest(tokens[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                if order is None:
-                    # rows under one id may hold other sets too; the set's own hash tells
-                    want = np.stack([batch.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in (2, 3)], 1)
-                    raw, ok = tokens.tobytes(), pa.array((keys == want).all(1))
-                    sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids, sets], ["rep", "tokens"]).filter(ok)
-                    continue
+            for i, j, tokens, first in token_chunks(batch.column(1)):
                 size = np.diff(first)
                 klass = order.classes(tokens)
                 doc = np.repeat(np.arange(len(size)), size)
-                ranked = np.lexsort((tokens, klass, doc))
+                # tokens are sorted within a set, and so stay within a class
+                ranked = np.argsort((doc << 6) | klass, kind="stable")
                 rank = np.arange(len(tokens)) - first[doc]
                 head = ranked[rank < size[doc] * (100 - percent) // 100 + 1]
                 head = head[klass[head] > 0]
-                own = size - np.bincount(doc[klass > 0], minlength=len(size))  # tokens that no other document has
+                own = size - np.bincount(doc[klass > 0], minlength=len(size))  # tokens that no other set has
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[head], np.arange(len(size) + 1)).astype(np.int32)), pa.array(X.signed(tokens[head])))
                 few = np.where(size <= BOUNDARIES[-1], size, 0)
                 ends = np.cumsum(few)
                 pick = np.repeat(first[:-1] - (ends - few), few) + np.arange(int(few.sum()))
                 small = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(X.signed(tokens[pick])))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(own), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), small, lists, batch.column(2).slice(i, j - i)], ["doc_id", "size", "own", "k1", "k2", "small", "lists", "text_id"])
+                bits = parity(tokens, doc, len(size))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(own), small, lists, *(pa.array(bits[:, k].copy()) for k in range(PARITY))], ["row", "size", "own", "small", "lists", *BITS])
 
     return make
 
 
+BITS = [f"p{k}" for k in range(PARITY)]
+
+
+def parity(tokens: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sets a bitmap, as int64 words, in which each token has flipped one bit."""
+    wide = 64 * PARITY
+    at = (X.mix(tokens * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - wide.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(doc * wide + at, minlength=n * wide).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, wide), axis=1, bitorder="little").view(np.int64)
+
+
 # --- small sets -------------------------------------------------------------------------------------------
 
 
@@ -235,7 +245,7 @@ def _subsets(percent: int):
 
 def light_edges(small: DataFrame, percent: int) -> DataFrame:
     """Links between small sets: rep, small (all tokens)."""
-    subsets = small.select("rep", "small").mapInArrow(_subsets(percent), "s1 long, s2 long, common long, rep long, size long")
+    subsets = small.select("rep", "small").mapInArrow(lean(_subsets(percent)), "s1 long, s2 long, common long, rep long, size long")
     least = subsets.groupBy("s1", "s2", "common").agg(F.min(F.struct("size", "rep")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = subsets.join(least, ["s1", "s2", "common"]).where(f"100 * common >= {percent} * (size + least.size - common) and rep <> least.rep")
     return met.select(F.col("rep").alias("a"), F.col("least.rep").alias("b"))
@@ -259,39 +269,60 @@ def _verifier(percent: int):
     return run
 
 
+def _differ(x: str, y: str) -> str:
+    """At least so many tokens are in one of two sets only."""
+    return " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in BITS)
+
+
 @dataclass
 class _Comparison:
     """Fetches and compares the sets of pairs."""
 
-    docs: DataFrame
-    named: DataFrame  # rep, doc_id, k1, k2
-    words: int
+    sets: DataFrame  # row, tokens
+    reps: DataFrame  # rep, size, bitmaps
     percent: int
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose bitmaps allow a link."""
+        x, y = (self.reps.select("rep", "size", *BITS).alias(n) for n in "xy")
+        both = pairs.join(x, F.col("a") == F.col("x.rep"))
+        allowed = f"{100 - self.percent} * (x.size + y.size) >= {100 + self.percent} * ({_differ('x', 'y')})"
+        return durable(both.join(y, (F.col("b") == F.col("y.rep")) & F.expr(allowed)).select("a", "b"), "plausible")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose Jaccard similarity is at least percent/100."""
-        wanted = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct().join(self.named, "rep")
-        wanted = durable(wanted, "wanted")
-        n = wanted.count()
-        if not n:
-            return pairs
-        rows = self.docs.join(F.broadcast(wanted) if n <= SMALL_IDS else wanted, "doc_id").select("rep", "text", "k1", "k2")
-        tokens = durable(rows.mapInArrow(_set_maker(self.words, self.percent, None), "rep long, tokens binary"), "tokens")
-        both = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
-        return durable(both.select("a", "b", "x", "y").mapInArrow(_verifier(self.percent), "a long, b long"), "links")
+        wanted = durable(pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct(), "wanted")
+        tokens = durable(of_rows(self.sets, wanted), "tokens", "uncompressed")
+        both = pairs.join(tokens.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b")
+        return durable(both.select("a", "b", "x", "y").mapInArrow(lean(_verifier(self.percent)), "a long, b long"), "links")
 
 
 def _labelled(live: DataFrame, label: DataFrame) -> DataFrame:
-    return live.join(label, live.rep == label.id, "left").select("list", "rep", "size", "own", F.coalesce("component", "rep").alias("c"))
+    return live.join(label, live.rep == label.id, "left").drop("id").withColumn("c", F.coalesce("component", "rep")).drop("component")
 
 
 def _possible(percent: int, x: str, y: str, boundary: int) -> str:
-    """Whether two sets can link by their sizes and by the tokens that others have, and not both are small."""
+    """Whether two sets can link by their sizes, by the tokens that others have and by where the token that they share stands, and not both are small.
+
+    Of the first token that they share: all that they share further stands behind it in both.
+    """
     low, high = f"least({x}.size, {y}.size)", f"greatest({x}.size, {y}.size)"
-    common = f"{100 + percent} * least({x}.size - {x}.own, {y}.size - {y}.own) >= {percent} * ({x}.size + {y}.size)"
+    common = f"{100 + percent} * least({x}.size - greatest({x}.own, {x}.at), {y}.size - greatest({y}.own, {y}.at)) >= {percent} * ({x}.size + {y}.size)"
     return f"100 * {low} >= {percent} * {high} and {high} > {boundary} and {common}"
 
 
+def _rest(members: DataFrame, percent: int, boundary: int, block: int) -> DataFrame:
+    """Pairs (a, b) of sets of one list, in different components, that all bounds allow; members: list, rep, size, own, at, c, bitmaps."""
+    sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = members.join(sizes, "list").withColumn("own_block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own_block").alias("i"), F.greatest(k, "own_block").alias("j")))
+    rows = durable(rows.withColumn("cell", F.explode(cells)).drop("blocks"), "cells")
+    x, y = rows.alias("x"), rows.alias("y")
+    allowed = f"x.rep < y.rep and x.c <> y.c and (x.own_block <> y.own_block or x.cell.i = x.cell.j) and {_possible(percent, 'x', 'y', boundary)} and {100 - percent} * (x.size + y.size) >= {100 + percent} * ({_differ('x', 'y')})"
+    pairs = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.cell") == F.col("y.cell")) & F.expr(allowed))
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) -> int:
     """The size up to which subsets cost less: their number against tokens scanned times the mean list met."""
 
@@ -306,33 +337,49 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
     return min(usable, key=lambda b: (cost(b), b)) if usable else 0
 
 
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """row (unique), doc_id, text_id, k1, k2, size, tokens of documents (doc_id, text), each tokenised once."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    return durable(rows.mapInArrow(lean(_tokens(words)), "row long, doc_id long, text_id long, k1 long, k2 long, size long, tokens binary"), "sets", "uncompressed")
+
+
+def one_of_each(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal sets (k1, k2, least: their least doc_id, rep: its row), and those rows' sets."""
+    some = sets.where("size > 0")
+    reps = durable(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("n")).select("k1", "k2", "n", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("least")), "classes")
+    copied = reps.where("n > 1").select("k1", "k2", "rep")
+    copies = durable(some.select("k1", "k2", "row").join(copied, ["k1", "k2"]).where("row <> rep").select("row"), "copies")
+    return reps.select("k1", "k2", "rep", "least"), of_rows(some, copies, anti=True)
+
+
 def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id (NO_ID for null), text_id, size, and the component and its least doc_id (null for empty sets) of each row."""
-    docs = documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
-    order = frequencies(one_of_each(docs, words), words)
-    sets = durable(docs.mapInArrow(_set_maker(words, percent, order), "doc_id long, size long, own long, k1 long, k2 long, small array<long>, lists array<long>, text_id long"), "sets")
-    # one set of each class, named by its hash and fetched by its least id
-    first = sets.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "size", "own", "small", "lists")).alias("m"))
-    reps = durable(first.select("k1", "k2", F.xxhash64("k1", "k2").alias("rep"), "m.*"), "classes")
+    with workspace(docs.sparkSession) as keep:
+        return keep(_linked(_sets(documents(docs, id_col, text_col), words), percent), "components")
+
+
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    named, once = one_of_each(sets)
+    order = frequencies(once)
+    reps = once.select("row", "tokens").mapInArrow(lean(_list_maker(percent, order)), f"row long, size long, own long, small array<long>, lists array<long>, {', '.join(f'{b} long' for b in BITS)}")
+    reps = durable(reps.withColumnRenamed("row", "rep"), "heads")
 
     # sizes that can link lie in one or two neighbouring bands; a set joins the lists of its band and the next
     band = F.floor(F.log(F.col("size").cast("double") + 1e-9) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int")
-    postings = reps.select("rep", "size", "own", F.explode("lists").alias("token")).withColumn("band", F.explode(F.array(band, band + 1)))
-    postings = postings.select("rep", "size", "own", F.struct("token", "band").alias("list"))
+    postings = reps.select("rep", "size", "own", F.posexplode("lists").alias("k", "token")).withColumn("band", F.explode(F.array(band, band + 1)))
+    postings = postings.select("rep", "size", "own", (F.col("own") + F.col("k")).alias("at"), F.struct("token", "band").alias("list"))
     lists = durable(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     mean = lists.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
     histogram = {r["size"]: r["n"] for r in reps.where(F.col("size") <= 2 * BOUNDARIES[-1]).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     boundary = boundary_by_cost(histogram, mean, percent)
 
-    edges = light_edges(reps.where(F.col("size") <= boundary), percent)
     live = durable(postings.where(F.col("size") * 100 > boundary * percent).join(lists.select("list"), "list"), "postings")
-    compare = _Comparison(docs, reps.select("rep", "doc_id", "k1", "k2"), words, percent)
-
+    compare = _Comparison(sets.select("row", "tokens"), reps, percent)
+    links = durable(light_edges(reps.where(F.col("size") <= boundary), percent), "links")
     tested = label = None
-    links = durable(edges, "links")
     for turn in range(2):
         members = live.withColumn("c", F.col("rep")) if turn == 0 else _labelled(live, label)
-        member = F.struct("own", "rep", "size", "c")  # the pivot has fewest tokens of its own: it is nearest to what the others vary
+        member = F.struct("own", "rep", "size", "at", "c")  # the pivot has fewest tokens of its own: it is nearest to what the others vary
         if turn == 0:
             pivots = members.groupBy("list").agg(F.min(member).alias("p"))
         else:  # a pivot outside the first one's component
@@ -342,21 +389,19 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         pairs = pairs.select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs, "pairs")
+        pairs = compare.plausible(pairs)
         tested = pairs if tested is None else tested.unionAll(pairs)
         links = links.unionAll(compare.links(pairs))
-        label = durable(components(links), "components")
+        label = components(links)
     # what is left: pairs of a list that lie in different components and were not compared
     members = _labelled(live, label)
     mixed = members.groupBy("list").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("list")
-    members = durable(members.join(mixed, "list"), "rest")
-    x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & F.expr(_possible(percent, "x", "y", boundary)))
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    label = durable(components(links.unionAll(compare.links(durable(rest, "pairs")))), "components")
-
-    named = reps.select("k1", "k2", "rep", "doc_id").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    members = durable(members.join(mixed, "list").join(reps.select("rep", *BITS), "rep"), "rest")
+    rest = durable(_rest(members, percent, boundary, LIST_BLOCK).join(tested, ["a", "b"], "left_anti"), "pairs")
+    label = components(links.unionAll(compare.links(rest)))
+
+    named = named.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("k1", "k2", "component", "component_id")
     return sets.select("doc_id", "text_id", "size", "k1", "k2").join(named, ["k1", "k2"], "left").drop("k1", "k2")
 
@@ -374,7 +419,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col
     Of a component's rows under its least id, that whose text has the least hash stays, and one of equal texts.
     """
     key, text = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    found = durable(_classes(docs, words, percent, id_col, text_col), "found")
+    found = _classes(docs, words, percent, id_col, text_col)
     leaders = found.where("size > 0 and doc_id = component_id").groupBy("component").agg(F.min("doc_id").alias("leader"), F.min("text_id").alias("text_id"))
     empty = found.where("size = 0").select(F.col("doc_id").alias("leader"), "text_id", F.lit(True).alias("empty")).distinct()
     kept = leaders.select("leader", "text_id", F.lit(False).alias("empty")).unionAll(empty)

@@ -125,12 +125,14 @@ def test_keep_one_row_of_each_component_whatever_its_id(spark):
 def test_rows_that_share_an_id_with_a_copy_are_counted(spark, monkeypatch):
     rows = odd_ids()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    plain = df.selectExpr(f"coalesce(doc_id, {jaccard_join.NO_ID}) AS doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS text_id")
+    plain = df.selectExpr("doc_id", "coalesce(text, '') AS text")
     sets, part = of_rows(rows)
     for small in (jaccard_join.SMALL_IDS, 0):
         monkeypatch.setattr(jaccard_join, "SMALL_IDS", small)
-        once = [r.text for r in jaccard_join.one_of_each(plain, 3).collect()]
-        assert len(once) == len(set(sets)) and set(of_rows([(0, t) for t in once])[0]) == set(sets)
+        named, once = jaccard_join.one_of_each(jaccard_join._sets(plain, 3))
+        full = {x for x in sets if x}
+        assert named.count() == len(full)
+        assert sorted(r.size for r in once.collect()) == sorted(map(len, full)) and once.select("k1", "k2").distinct().count() == len(full)
     got = jaccard_classes(df).collect()
     id_of = lambda p: min((2**63 if d is None else d) for (d, _), q in zip(rows, part, strict=True) if q == p)
     want = [(d, len(s), (None if id_of(p) == 2**63 else id_of(p)) if s else d) for (d, _), s, p in zip(rows, sets, part, strict=True)]
@@ -148,6 +150,39 @@ def test_near_duplicates_stage_equals_brute_force(spark):
     assert parts[0] < parts[1] and len(kept) == parts[0]
 
 
+def around(seed, n=70, base=200):
+    """Variants of one text, most of which link to none or only through another."""
+    r = random.Random(seed)
+    words = [f"{r.choice('abcdefgh')}{i}" for i in range(base)]
+    rows = []
+    for d in range(n):
+        w = list(words)
+        for _ in range(r.randint(0, 9)):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice(([], [f"n{r.randrange(9)}"], [w[k], f"n{r.randrange(9)}"]))
+        rows.append((d * 13 % 997, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_variants_that_mostly_do_not_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
+    rows = around(block)
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = brute(rows)
+    assert 5 < len({c for _, c in want.values()}) < len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+def test_parity_is_a_lower_bound():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 2**63, 900).astype(np.uint64)
+    for n in (0, 5, 200):
+        both = np.concatenate([x, x[n:], r.integers(0, 2**63, n).astype(np.uint64)])
+        a, b = jaccard_join.parity(both, np.repeat([0, 1], 900), 2)
+        assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= 2 * n and (n or (a == b).all())
+
+
 def test_empty(nothing):
     assert jaccard_classes(nothing).count() == 0
 
