@@ -245,7 +245,7 @@ def _subsets(percent: int):
 
 def light_edges(small: DataFrame, percent: int) -> DataFrame:
     """Links between small sets: rep, small (all tokens)."""
-    subsets = small.select("rep", "small").mapInArrow(lean(_subsets(percent)), "s1 long, s2 long, common long, rep long, size long")
+    subsets = durable(small.select("rep", "small").mapInArrow(lean(_subsets(percent)), "s1 long, s2 long, common long, rep long, size long"), "subsets")
     least = subsets.groupBy("s1", "s2", "common").agg(F.min(F.struct("size", "rep")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = subsets.join(least, ["s1", "s2", "common"]).where(f"100 * common >= {percent} * (size + least.size - common) and rep <> least.rep")
     return met.select(F.col("rep").alias("a"), F.col("least.rep").alias("b"))
