@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import durable, identity, partitions
+from larkspur.llm._spark import durable, identity, lean, partitions
 
 #: Occurrences of one minimizer that a single group may hold before it is split by distance.
 HOT = 2000
@@ -136,7 +136,7 @@ def candidates(docs: DataFrame, units: Units, hot: int = HOT) -> DataFrame:
     """Rows of REGIONS: kind 1, where a region lies (document key, first window, windows); kind 0, a region's
     symbols, with the copies that one task saw and the least doc_id among them."""
     texts = docs.select(identity().alias("key"), "text")
-    found = texts.mapInArrow(_finder(units), "h long, key long, at long")
+    found = texts.mapInArrow(lean(_finder(units)), "h long, key long, at long")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     parts = F.least(F.lit(units.width), F.greatest(F.lit(1), F.ceil(F.col("c") / hot))).cast("int")
     # a table of its own, so that the join's large partitions can be split
@@ -145,7 +145,7 @@ def candidates(docs: DataFrame, units: Units, hot: int = HOT) -> DataFrame:
     per_doc = durable(per_doc, "anchors")
     joined = docs.select(identity().alias("key"), "doc_id", "text").join(per_doc, "key")
     joined = joined.select("key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text", "found")
-    return durable(joined.mapInArrow(_regions(units), REGIONS), "regions")
+    return durable(joined.mapInArrow(lean(_regions(units)), REGIONS), "regions")
 
 
 def sharded(regions: DataFrame, index: Callable, schema: str, shard_bytes: int) -> DataFrame:
@@ -178,7 +178,7 @@ def sharded(regions: DataFrame, index: Callable, schema: str, shard_bytes: int)
         if ids:
             yield from index(ids, *rest)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def spread(docs: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:

@@ -86,18 +86,41 @@ def durable(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lean(run: Callable) -> Callable:
-    """`run`, a function for mapInArrow, in a worker that returns what it freed to the system: idle workers stay small."""
+_caches: dict[str, list[Callable[[], None]]] = {}
+
+
+def cached(owner: str, size: int) -> Callable[[Callable], Callable]:
+    """An lru_cache of a worker's that lasts from task to task, until a function of another owner runs there."""
+
+    def wrap(f: Callable) -> Callable:
+        out = functools.lru_cache(size)(f)
+        _caches.setdefault(owner, []).append(out.cache_clear)
+        return out
+
+    return wrap
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another libc
+        pass
+
+
+def lean(run: Callable, owner: str = "") -> Callable:
+    """`run`, a function for mapInArrow, in a worker that drops other owners' caches and returns what it freed to the
+    system: workers are reused by later stages and share an executor's memory with others."""
 
     @functools.wraps(run)
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in run(batches):
-            yield out
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another libc
-            pass
+        stale = [clear for other, clears in _caches.items() if other != owner for clear in clears]
+        for clear in stale:
+            clear()
+        if stale:
+            _trim()
+        yield from run(batches)
+        _trim()
 
     return trimmed
 

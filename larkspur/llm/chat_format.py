@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._spark import partitions, small_batches
+from larkspur.llm._spark import lean, partitions, small_batches
 
 # --- typed content -----------------------------------------------------------------------------------------
 
@@ -148,7 +148,7 @@ def format_turns(conversations: DataFrame, typed: bool = False, trained: tuple[s
     """
     small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(_formatter(typed, trained, visitor or PartVisitor()), TURNS)
+    return rows.mapInArrow(lean(_formatter(typed, trained, visitor or PartVisitor())), TURNS)
 
 
 CONVERSATIONS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, n_tokens_expanded long"
@@ -191,4 +191,4 @@ def read_back(turns: DataFrame) -> DataFrame:
     """What a reader gets back from formatted turns, per conversation."""
     rows = turns.repartition(partitions(turns.sparkSession), "conv_id")
     rows = rows.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "formatted")
-    return rows.mapInArrow(_fold, CONVERSATIONS)
+    return rows.mapInArrow(lean(_fold), CONVERSATIONS)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import small_batches
+from larkspur.llm._spark import lean, small_batches
 
 MAX_TRAIN = 3000
 CUT = 0.3
@@ -168,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("good"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    got = rows.join(F.broadcast(marks), "doc_id").select("good", "text").mapInArrow(_measurer, "good int, features binary, length binary").collect()
+    got = rows.join(F.broadcast(marks), "doc_id").select("good", "text").mapInArrow(lean(_measurer), "good int, features binary, length binary").collect()
     if not got:
         return Crf(np.zeros(N_FEATURES), 0.0, 1.0)
     # in a fixed order, so that sums of floats are the same in each run
@@ -206,4 +206,4 @@ def score(docs: DataFrame, crf: Crf, payload: Column, text: Column, lines: bool
     small_batches(docs.sparkSession)
     rows = docs.select(payload.alias("row"), text.cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_scorer(crf, lines), f"row {kind}, score double" + ", lines array<double>" * lines)
+    return rows.mapInArrow(lean(_scorer(crf, lines)), f"row {kind}, score double" + ", lines array<double>" * lines)

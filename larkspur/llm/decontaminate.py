@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import documents, restored
+from larkspur.llm._spark import documents, lean, restored
 
 WORDS, MIN_ITEMS = 8, 2
 BLOCK_BYTES = 64 << 20
@@ -124,7 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, id
     schema = SCHEMA + (f", row {docs.schema['row'].dataType.simpleString()}" if rows else "")
     passes = []
     for block in _blocks(benchmark, item_col, item_text_col):
-        passes.append(docs.mapInArrow(_marker(spark.sparkContext.broadcast(GramSet(block, n)), n), schema))
+        passes.append(docs.mapInArrow(lean(_marker(spark.sparkContext.broadcast(GramSet(block, n)), n)), schema))
     found = passes[0]
     if len(passes) > 1:
         for more in passes[1:]:
@@ -132,7 +132,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, id
         # equal rows of `documents` give equal marks, so their number is that of any pass
         key = ["doc_id", "text", "n_words", *(["row"] if rows else [])]
         found = found.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(passes)).cast("int").alias("times"))
-        found = found.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(*key[:3], "ranges", "items", *key[3:]).mapInArrow(_merge, schema)
+        found = found.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(*key[:3], "ranges", "items", *key[3:]).mapInArrow(lean(_merge), schema)
     return found if rows else found.drop("text")
 
 
@@ -168,5 +168,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, what: str = "docu
     if what == "documents":
         found = found.where(F.size("items") < min_items)
     else:
-        found = found.mapInArrow(_remover, found.schema)
+        found = found.mapInArrow(lean(_remover), found.schema)
     return restored(found, docs.columns, text_col)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import documents, durable, partitions, small_batches
+from larkspur.llm._spark import documents, durable, lean, partitions, small_batches
 from larkspur.llm.components import components
 
 SAMPLES, PERIOD, KINDS, GRAM, SEED = 192, 1 << 14, 256, 3, 20240607
@@ -204,7 +204,7 @@ def _printer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars (code points) and fingerprint of each row."""
-    return documents(docs, id_col, text_col).mapInArrow(_printer, "doc_id long, n_chars long, fingerprint string")
+    return documents(docs, id_col, text_col).mapInArrow(lean(_printer), "doc_id long, n_chars long, fingerprint string")
 
 
 #: Samples under which texts also have bands of SHORT symbols, as one difference may be in each longer band.
@@ -242,7 +242,7 @@ def near_pairs(prints: DataFrame, digits: int = 6, least: float = LEAST) -> Data
     small_batches(prints.sparkSession)
     one = prints.where("length(fingerprint) > 2").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     one = durable(one.select(F.xxhash64("fingerprint").alias("rep"), "doc_id", "fingerprint"), "prints")
-    rows = one.select("rep", "fingerprint").mapInArrow(_bands(digits), "rep long, band string")
+    rows = one.select("rep", "fingerprint").mapInArrow(lean(_bands(digits)), "rep long, band string")
     rows = durable(rows, "bands")
     leaders = rows.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = durable(rows.join(leaders, "band").where("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
@@ -255,7 +255,7 @@ def near_pairs(prints: DataFrame, digits: int = 6, least: float = LEAST) -> Data
 
     def links(pairs: DataFrame) -> DataFrame:
         x, y = (one.select(F.col("rep").alias(k), F.col("fingerprint").alias(name)) for k, name in (("u", "x"), ("v", "y")))
-        return durable(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long, likeness double"), "links")
+        return durable(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(lean(verify), "u long, v long, likeness double"), "links")
 
     found = links(met)
     label = durable(components(found.select(F.col("u").alias("a"), F.col("v").alias("b"))), "components")
@@ -340,4 +340,4 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     to = F.array(F.struct("part", F.lit(0).alias("donor")), F.struct(F.col("before").alias("part"), F.lit(1).alias("donor")))
     rows = rows.withColumn("to", F.explode(to)).where("to.part is not null").select("to.part", "to.donor", "doc_id", "text")
     rows = rows.repartition(n, "part").sortWithinPartitions("part", "donor", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.mapInArrow(_in_order, EDITED)
+    return rows.mapInArrow(lean(_in_order), EDITED)

@@ -23,8 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,7 +31,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
 from larkspur.llm._blocks import BLOCK, blocks, by_range, ensure, gathered, map_array, merged, write_array
-from larkspur.llm._spark import documents, durable, lean, new_path, partitions, release, workspace
+from larkspur.llm._spark import cached, documents, durable, lean, new_path, partitions, release, workspace
 from larkspur.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -42,7 +40,9 @@ NO_ID = 2**63 - 1
 SMALL_IDS = 100_000
 BOUNDARIES = (9, 19, 29)
 #: Distinct tokens that a task counts before it sends its blocks.
-HOLD = 1 << 20
+HOLD = 1 << 19
+#: Tokens, copies of a token in several tasks among them, of a partition that one task merges.
+MERGED = 1 << 20
 #: Words of 64 bits in a parity bitmap.
 PARITY = 16
 #: Sets of one list that are compared in one group; of longer lists, each pair of blocks is a group.
@@ -89,7 +89,7 @@ class Frequencies:
         return out[inverse]
 
 
-@lru_cache(maxsize=4096)
+@cached("jaccard", 4096)
 def _arrays(f: Frequencies, part: int) -> tuple[np.ndarray, np.ndarray]:
     return map_array(f"{f.path}/tokens-{part}", np.uint64), map_array(f"{f.path}/classes-{part}", np.uint8)
 
@@ -98,7 +98,7 @@ def frequencies(sets: DataFrame) -> Frequencies:
     """Of sets (size, tokens)."""
     spark = sets.sparkSession
     size = sets.agg(F.sum("size")).first()[0] or 0
-    f = Frequencies(new_path(spark, "frequencies"), partitions(spark), min(64, max(24, int(size).bit_length() + 13)))
+    f = Frequencies(new_path(spark, "frequencies"), partitions(spark, -(-size // MERGED)), min(64, max(24, int(size).bit_length() + 13)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -109,13 +109,13 @@ def frequencies(sets: DataFrame) -> Frequencies:
         return blocks(parts(), by_range(f.parts), HOLD)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, keys, counts in merged(batches, HOLD):
+        for p, keys, counts in merged(batches, HOLD // 2):
             many = counts[:, 0] > 1
             write_array(f"{f.path}/tokens-{p}", keys[many])
             write_array(f"{f.path}/classes-{p}", np.minimum(1 + np.log2(counts[many, 0]), 63).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["p"])
 
-    have = {r.p for r in gathered(sets.select("tokens").mapInArrow(lean(count), BLOCK), f.parts).mapInArrow(lean(write), "p int").collect()}
+    have = {r.p for r in gathered(sets.select("tokens").mapInArrow(lean(count, "jaccard"), BLOCK), f.parts).mapInArrow(lean(write, "jaccard"), "p int").collect()}
     for p in set(range(f.parts)) - have:
         ensure(f"{f.path}/tokens-{p}", np.uint64)
         ensure(f"{f.path}/classes-{p}", np.uint8)
@@ -245,7 +245,7 @@ def _subsets(percent: int):
 
 def light_edges(small: DataFrame, percent: int) -> DataFrame:
     """Links between small sets: rep, small (all tokens)."""
-    subsets = durable(small.select("rep", "small").mapInArrow(lean(_subsets(percent)), "s1 long, s2 long, common long, rep long, size long"), "subsets")
+    subsets = durable(small.select("rep", "small").mapInArrow(lean(_subsets(percent), "jaccard"), "s1 long, s2 long, common long, rep long, size long"), "subsets")
     least = subsets.groupBy("s1", "s2", "common").agg(F.min(F.struct("size", "rep")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = subsets.join(least, ["s1", "s2", "common"]).where(f"100 * common >= {percent} * (size + least.size - common) and rep <> least.rep")
     return met.select(F.col("rep").alias("a"), F.col("least.rep").alias("b"))
@@ -294,7 +294,7 @@ class _Comparison:
         wanted = durable(pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct(), "wanted")
         tokens = durable(of_rows(self.sets, wanted), "tokens", "uncompressed")
         both = pairs.join(tokens.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b")
-        return durable(both.select("a", "b", "x", "y").mapInArrow(lean(_verifier(self.percent)), "a long, b long"), "links")
+        return durable(both.select("a", "b", "x", "y").mapInArrow(lean(_verifier(self.percent), "jaccard"), "a long, b long"), "links")
 
 
 def _labelled(live: DataFrame, label: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """row (unique), doc_id, text_id, k1, k2, size, tokens of documents (doc_id, text), each tokenised once."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
-    return durable(rows.mapInArrow(lean(_tokens(words)), "row long, doc_id long, text_id long, k1 long, k2 long, size long, tokens binary"), "sets", "uncompressed")
+    return durable(rows.mapInArrow(lean(_tokens(words), "jaccard"), "row long, doc_id long, text_id long, k1 long, k2 long, size long, tokens binary"), "sets", "uncompressed")
 
 
 def one_of_each(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -361,7 +361,7 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
 def _linked(sets: DataFrame, percent: int) -> DataFrame:
     named, once = one_of_each(sets)
     order = frequencies(once)
-    reps = once.select("row", "tokens").mapInArrow(lean(_list_maker(percent, order)), f"row long, size long, own long, small array<long>, lists array<long>, {', '.join(f'{b} long' for b in BITS)}")
+    reps = once.select("row", "tokens").mapInArrow(lean(_list_maker(percent, order), "jaccard"), f"row long, size long, own long, small array<long>, lists array<long>, {', '.join(f'{b} long' for b in BITS)}")
     reps = durable(reps.withColumnRenamed("row", "rep"), "heads")
 
     # sizes that can link lie in one or two neighbouring bands; a set joins the lists of its band and the next

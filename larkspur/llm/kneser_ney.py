@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
 from larkspur.llm._blocks import BLOCK, SCHEMA, blocks, by_hash, by_range, ensure, gathered, map_array, merged, write_array
-from larkspur.llm._spark import durable, new_path, partitions, small_batches
+from larkspur.llm._spark import cached, durable, lean, new_path, partitions, small_batches
 
 END = np.uint64(0x5EED0FE4D0FE4D01)
 NONE = np.uint64(2**32 - 1)  # the number of an unknown word
@@ -123,7 +122,7 @@ class Reader:
         return self.values(kind, place, p, dtype)
 
 
-@lru_cache(maxsize=2)
+@cached("kneser_ney", 2)
 def reader(model: Model) -> Reader:
     return Reader(model)
 
@@ -162,7 +161,7 @@ def train(docs: DataFrame, text: Column) -> Model:
             write_array(f"{path}/counts-{p}", counts[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["p", "words", "tokens"])
 
-    got = {r.p: r for r in gathered(texts.mapInArrow(word_blocks, BLOCK), parts).mapInArrow(word_arrays, "p int, words long, tokens long").collect()}  # one row per partition
+    got = {r.p: r for r in gathered(texts.mapInArrow(lean(word_blocks, "kneser_ney"), BLOCK), parts).mapInArrow(lean(word_arrays, "kneser_ney"), "p int, words long, tokens long").collect()}  # one row per partition
     for p in range(parts):
         if p not in got:
             write_array(f"{path}/words-{p}", np.empty(0, np.uint64))
@@ -201,7 +200,7 @@ def train(docs: DataFrame, text: Column) -> Model:
                 yield block
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([totals.astype(np.int64).tobytes()], pa.binary())], schema=SCHEMA)
 
-    middle = durable(gathered(texts.mapInArrow(pair_blocks, BLOCK), parts).mapInArrow(pair_arrays, BLOCK), "contexts")
+    middle = durable(gathered(texts.mapInArrow(lean(pair_blocks, "kneser_ney"), BLOCK), parts).mapInArrow(lean(pair_arrays, "kneser_ney"), BLOCK), "contexts")
     totals = np.sum([np.frombuffer(r.counts, np.int64) for r in middle.where("p = -1").collect()] or [np.zeros(5, np.int64)], 0)  # one row per partition
     d2 = discounts(totals[:4])
 
@@ -217,7 +216,7 @@ def train(docs: DataFrame, text: Column) -> Model:
             a = table[:, 4]
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([int((a == k).sum())]) for k in (1, 2, 3, 4)), pa.array([int((a >= 3).sum())])], ["p", "n1", "n2", "n3", "n4", "more"])
 
-    rows = gathered(middle.where("p >= 0"), parts).mapInArrow(context_arrays, "p int, n1 long, n2 long, n3 long, n4 long, more long").collect()
+    rows = gathered(middle.where("p >= 0"), parts).mapInArrow(lean(context_arrays, "kneser_ney"), "p int, n1 long, n2 long, n3 long, n4 long, more long").collect()
     n = [sum(r[k] for r in rows) for k in ("n1", "n2", "n3", "n4", "more")]
     d1, pairs = discounts(np.array(n[:4])), int(totals[4])
     rest1 = (d1[0] * n[0] + d1[1] * n[1] + d1[2] * n[4]) / pairs if pairs else 1.0
@@ -268,7 +267,7 @@ def score(docs: DataFrame, model: Model, payload: Column, text: Column) -> DataF
                 total = lambda x, doc=doc, n=j - i: np.bincount(doc, x, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), pa.array(total(c > 0).astype(np.int64)), pa.array(total(np.log10((c + 1) / base))), pa.array(total(p))], ["row", "n_tokens", "n_known", "base_score", "score"])
 
-    return rows.mapInArrow(run, f"row {kind}, n_tokens long, n_known long, base_score double, score double")
+    return rows.mapInArrow(lean(run, "kneser_ney"), f"row {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def perplexity(score: Column, n_tokens: Column) -> Column:

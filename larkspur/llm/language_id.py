@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import small_batches
+from larkspur.llm._spark import cached, lean, small_batches
 
 DIM, GRAM, SEED = 512, 3, 20240607
 #: Letters beyond a-z share this many classes, by code point.
@@ -109,7 +109,7 @@ class Profiles:
         return self.vectors[at].astype(np.float32)
 
 
-@lru_cache(maxsize=2)
+@cached("language_id", 2)
 def _profiles(dim: int, n: int, seed: int) -> Profiles:
     return Profiles(dim, n, seed)
 
@@ -140,7 +140,7 @@ def learn(docs: DataFrame, text: Column, lang: Column, dim: int = DIM, n: int =
     """Languages by code point and their prototypes (unit rows, less what all share), from rows with a lang."""
     small_batches(docs.sparkSession)
     rows = docs.select(lang.cast("string").alias("lang"), text.cast("string").alias("text")).where("lang is not null and text is not null")
-    got = rows.mapInArrow(_bundler(dim, n, seed), "lang string, at int, total long").groupBy("lang", "at").agg(F.sum("total").alias("total"))
+    got = rows.mapInArrow(lean(_bundler(dim, n, seed), "language_id"), "lang string, at int, total long").groupBy("lang", "at").agg(F.sum("total").alias("total"))
     by: dict[str, np.ndarray] = {}
     for r in got.collect():  # languages x dim numbers
         by.setdefault(r.lang, np.zeros(dim))[r.at] = r.total
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, payload: Column, text: Column, langs: list[str], p
     small_batches(docs.sparkSession)
     rows = docs.select(payload.alias("row"), text.cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predictor(langs, protos, dim, n, seed), f"row {kind}, lang_pred string, score double")
+    return rows.mapInArrow(lean(_predictor(langs, protos, dim, n, seed), "language_id"), f"row {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from larkspur.llm import _anchors as A
 from larkspur.llm import _text as X
-from larkspur.llm._spark import documents
+from larkspur.llm._spark import documents, lean
 from larkspur.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -105,4 +105,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     regions = A.candidates(docs, units)
     found = A.sharded(regions, _shard(window), FOUND, shard_bytes)
     last = "kept_sha256 string" if digest else "kept string"
-    return A.spread(docs, regions, found).mapInArrow(_cutter(window, not digest), f"doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, {last}")
+    return A.spread(docs, regions, found).mapInArrow(lean(_cutter(window, not digest)), f"doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, {last}")

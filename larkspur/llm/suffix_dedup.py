@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from larkspur.llm import _anchors as A
 from larkspur.llm import _text as X
-from larkspur.llm._spark import documents, restored, scratch
+from larkspur.llm._spark import documents, lean, restored, scratch
 from larkspur.llm.suffix_sort import sorted_suffixes
 
 MIN_BYTES = 200
@@ -134,7 +134,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc
     """
     found = _spans(documents(docs, id_col, text_col), min_bytes, shard_bytes)
     last = "kept_sha256 string" if digest else "kept binary"
-    return found.mapInArrow(_cutter(min_bytes, not digest), f"doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, {last}")
+    return found.mapInArrow(lean(_cutter(min_bytes, not digest)), f"doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, {last}")
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -150,4 +150,4 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "d
             kept = [k.decode("utf-8", "ignore") for part in cut(iter([batch.select([0, 1, 2])])) for k in part.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(3)], ["text", "row"])
 
-    return restored(found.mapInArrow(run, f"text string, row {found.schema['row'].dataType.simpleString()}"), docs.columns, text_col)
+    return restored(found.mapInArrow(lean(run), f"text string, row {found.schema['row'].dataType.simpleString()}"), docs.columns, text_col)
