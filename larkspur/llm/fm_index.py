@@ -1,5 +1,9 @@
 """A compressed FM-index over integer symbols: a wavelet matrix of bit-packed levels with block ranks.
 
+The suffix array is there only while the index is built. What stays is, for each symbol, as many bits as the shard's
+alphabet needs, one byte for the common prefix with the suffix before (up to the threshold), and a bit that starts a
+class of suffixes that share `threshold` symbols; with block ranks about half of the symbols at 8 bytes.
+
 Queries run in lock step, one backward step for all at a time. Matching statistics are kept up to a threshold:
 once a match is longer, its interval is cut back to that of its first `threshold` symbols.
 """
@@ -21,12 +25,22 @@ class Bits:
         padded = np.zeros((n // 64 + 1) * 64, bool)
         padded[:n] = flags
         self.words = np.packbits(padded, bitorder="little").view(U64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))]).astype(np.int64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))]).astype(np.int32 if n < 2**31 else np.int64)
 
     def rank1(self, i: np.ndarray) -> np.ndarray:
         w = i >> 6
         mask = (U64(1) << (i & 63).astype(U64)) - U64(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & mask)
+        return self.before[w].astype(np.int64) + np.bitwise_count(self.words[w] & mask)
+
+    def select1(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th (from 0) set bit."""
+        w = np.searchsorted(self.before, k, "right") - 1
+        bits = np.unpackbits(np.ascontiguousarray(self.words[w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return 64 * w + (np.cumsum(bits, 1) > (k - self.before[w])[:, None]).argmax(1)
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.before.nbytes
 
 
 class WaveletMatrix:
@@ -61,25 +75,43 @@ class FMIndex:
         inside[self.begins + sizes] = False
         inside[-1] = False
         text[inside] = ids + 2
-        self.sa = _doubled(text)
+        sa = _doubled(text)
         top = max(1, int(text.max()).bit_length())
         width = 64 // top
         keys = _packed(text, width, top)
-        lcp = np.concatenate([[0], _common(keys, width, top, self.sa[:-1], self.sa[1:], threshold)])
-        self.lcp = np.minimum(lcp, threshold)
-        self.lcp_end = np.append(self.lcp, 0)
+        lcp = np.concatenate([[0], _common(keys, width, top, sa[:-1], sa[1:], threshold)])
+        lcp = np.minimum(lcp, threshold)
+        #: common prefixes, and 0 behind the last suffix
+        self.lcp = np.append(lcp, 0).astype(np.uint8 if threshold < 256 else np.int32)
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 2))])
-        self.wavelet = WaveletMatrix(text[self.sa - 1], top)
+        self.wavelet = WaveletMatrix(text[sa - 1], top)
         self.base = self.wavelet.rank(np.arange(len(self.alphabet) + 2), np.zeros(len(self.alphabet) + 2, np.int64))
-        #: suffixes that share `threshold` symbols form a class
-        edge = self.lcp < threshold
-        self.class_of = np.cumsum(edge) - 1
-        self.class_starts = np.append(np.flatnonzero(edge), n)
+        #: suffixes that share `threshold` symbols form a class; one behind the last ends it
+        self.edges = Bits(np.append(lcp < threshold, True))
         self.n = n
-
-    def owner(self) -> np.ndarray:
-        """The sequence in which each suffix, in suffix order, starts."""
-        return np.maximum(np.searchsorted(self.begins, self.sa, "right") - 1, 0)
+        self._places = sa
+
+    def least_of_class(self, values: np.ndarray) -> np.ndarray:
+        """The least, in each class of several suffixes, of what `values` has for the sequences they start in. Called
+        once after building: the suffix array goes then. shared(): which classes these are."""
+        owner = np.maximum(np.searchsorted(self.begins, self._places, "right") - 1, 0)
+        del self._places
+        starts = np.flatnonzero(self.lcp[:-1] < self.threshold)
+        several = np.diff(np.append(starts, self.n)) > 1
+        self.several = Bits(several)
+        return np.minimum.reduceat(values[owner], starts)[several]
+
+    def shared(self, lo: np.ndarray) -> np.ndarray:
+        """For a place in a class's interval, the class's number among those of several suffixes, or -1."""
+        c = self.edges.rank1(lo + 1) - 1
+        k = self.several.rank1(c)
+        return np.where(self.several.rank1(c + 1) > k, k, -1)
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of all that queries need."""
+        levels = [*self.wavelet.levels, self.edges, *([self.several] if hasattr(self, "several") else [])]
+        return sum(x.nbytes for x in levels) + sum(x.nbytes for x in (self.lcp, self.alphabet, self.counts, self.base, self.begins))
 
     def encode(self, symbols: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, symbols), max(0, len(self.alphabet) - 1))
@@ -94,12 +126,12 @@ class FMIndex:
 
     def parent(self, lo: int, hi: int) -> tuple[int, int, int]:
         """The interval and length of the longest proper prefix of a match that occurs elsewhere too."""
-        size = int(max(self.lcp_end[lo], self.lcp_end[hi]))
+        size = int(max(self.lcp[lo], self.lcp[hi]))
         if size == 0:
             return 0, self.n, 0
-        while self.lcp_end[lo] >= size:
+        while self.lcp[lo] >= size:
             lo -= 1
-        while self.lcp_end[hi] >= size:
+        while self.lcp[hi] >= size:
             hi += 1
         return lo, hi, size
 
@@ -133,6 +165,6 @@ class FMIndex:
             lo, hi, size = a, b, size + 1
             over = np.flatnonzero(size > self.threshold)
             if len(over):
-                c = self.class_of[lo[over]]
-                lo[over], hi[over], size[over] = self.class_starts[c], self.class_starts[c + 1], self.threshold
+                c = self.edges.rank1(lo[over] + 1) - 1
+                lo[over], hi[over], size[over] = self.edges.select1(c), self.edges.select1(c + 1), self.threshold
             yield order[:m], sizes[:m] - 1 - t, size, lo

@@ -28,21 +28,27 @@ from larkspur.llm.fm_index import FMIndex
 WINDOW = 50
 GRAM = 8
 SHARD_BYTES = 4 << 20
+#: Regions of documents that stream through an index together.
+STREAMED = 4096
 FOUND = "h long, b int, ckey long, runs binary"
 LAST = 2**63 - 1
 
 
 def earliest(contents: list[np.ndarray], windows: list[int], least: list[int], length: int) -> list[np.ndarray]:
     """For each content the least doc_id, over all contents, that holds each of its windows."""
-    index = FMIndex(contents, length)
-    of_class = np.minimum.reduceat(np.array(least, np.int64)[index.owner()], index.class_starts[:-1])
-    out = [np.full(n, LAST, np.int64) for n in windows]
-    begin = np.concatenate([[0], np.cumsum(windows)])
-    flat = np.full(int(begin[-1]), LAST, np.int64)
-    for query, at, size, lo in index.matches(contents):
-        hit = size >= length
-        flat[begin[query[hit]] + at[hit]] = of_class[index.class_of[lo[hit]]]
-    out = [flat[begin[i] : begin[i + 1]] for i in range(len(windows))]
+    index, least = FMIndex(contents, length), np.array(least, np.int64)
+    of_class = index.least_of_class(least)
+    out = []
+    for a in range(0, len(contents), STREAMED):
+        some = contents[a : a + STREAMED]
+        begin = np.concatenate([[0], np.cumsum(windows[a : a + STREAMED])])
+        flat = np.repeat(least[a : a + STREAMED], np.diff(begin))  # a window of one place is its own
+        for query, at, size, lo in index.matches(some):
+            hit = np.flatnonzero(size >= length)
+            k = index.shared(lo[hit])
+            hit, k = hit[k >= 0], k[k >= 0]
+            flat[begin[query[hit]] + at[hit]] = of_class[k]
+        out += [flat[begin[i] : begin[i + 1]] for i in range(len(some))]
     return out
 
 

@@ -82,6 +82,20 @@ def test_fm_index_matching_statistics(seed):
             assert m == z
 
 
+def test_fm_index_is_smaller_than_its_symbols():
+    r = np.random.default_rng(2)
+    words = r.integers(1, 2**63, 900).astype(np.uint64)
+    passages = [words[r.integers(0, 900, 90)] for _ in range(40)]
+    sequences = [np.concatenate([words[r.integers(0, 900, 20)], passages[r.integers(0, 40)]]) for _ in range(400)]
+    index = FMIndex(sequences, 50)
+    least = np.arange(400)
+    of_class = index.least_of_class(least)
+    assert not hasattr(index, "_places") and index.nbytes < sum(map(len, sequences)) * 8 * 0.6
+    bits = np.unpackbits(index.edges.words.view(np.uint8), bitorder="little")
+    at = np.flatnonzero(bits)
+    assert (index.edges.select1(np.arange(len(at))) == at).all() and len(of_class) < len(at)
+
+
 @pytest.mark.parametrize("split", [False, True])
 def test_suffix_dedup(docs, texts, split, monkeypatch):
     if split:
