@@ -5,14 +5,15 @@ order: text as it is, every other part as a placeholder, recording an attachment
 tokens that the placeholder stands for.
 
 A turn is `<turn ROLE>`, a line feed, its text, `</turn>` and a line feed. Control strings in texts and roles
-are escaped by a backslash, and so are backslashes, so that a reader gets every text back. The loss mask has
-the characters of assistants' texts.
+are escaped by a backslash, and so are backslashes, so that a reader gets every text back. Placeholders, such as
+`<image 0>`, are control strings too: one that a text spells is escaped, so only attachments have them, and a
+reader gets the parts back. The loss mask has the characters of assistants' texts, without placeholders.
 
 Turns are formatted row by row; a conversation's digest is a fold over its turns in order that streams
 through one task and keeps nothing of them, so its length is not bounded by memory.
 
-Defined results: null text and null role are empty; rows of one turn number follow each other by role, then
-text (nulls first); a null turn comes first; a null conversation is one of its own; an empty table gives an
+Defined results: null text and null role are empty; rows of one turn number follow each other by role
+(nulls first), then by their formatted text; a null turn comes first; a null conversation is one of its own; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -42,9 +43,25 @@ class Attachment:
 
 @dataclass
 class Flattened:
-    text: str = ""
+    """parts: texts, and for each attachment its number; neighbouring texts are one."""
+
+    parts: list[str | int] = field(default_factory=list)
     attachments: list[Attachment] = field(default_factory=list)
 
+    def add(self, text: str) -> None:
+        if self.parts and isinstance(self.parts[-1], str):
+            self.parts[-1] += text
+        elif text:
+            self.parts.append(text)
+
+    def placeholder(self, k: int) -> str:
+        return f"<{self.attachments[k].kind} {k}>"
+
+    @property
+    def text(self) -> str:
+        """With placeholders as they stand, unescaped."""
+        return "".join(x if isinstance(x, str) else self.placeholder(x) for x in self.parts)
+
 
 class PartVisitor:
     """Flattens typed parts; what a placeholder expands to in tokens is a matter of its kind."""
@@ -65,11 +82,11 @@ class PartVisitor:
 
     def visit_text(self, part: dict, out: Flattened) -> None:
         text = part.get("text")
-        out.text += "" if text is None else str(text)
+        out.add("" if text is None else str(text))
 
     def _attach(self, kind: str, part: dict, tokens: int, out: Flattened) -> None:
         out.attachments.append(Attachment(kind, str(part.get("ref") or part.get("url") or ""), max(1, tokens)))
-        out.text += f"<{kind} {len(out.attachments) - 1}>"
+        out.parts.append(len(out.attachments) - 1)
 
     def visit_image(self, part: dict, out: Flattened) -> None:
         across, down = (-(-int(part.get(k) or self.patch) // self.patch) for k in ("width", "height"))
@@ -85,7 +102,9 @@ class PartVisitor:
 # --- the template -------------------------------------------------------------------------------------------
 
 OPEN, CLOSE = "<turn ", "</turn>"
-_CONTROL = re.compile(r"\\|<(?=turn |/turn>)|>(?=\n|\Z)|#(?=## )")
+KINDS = ("image", "audio", "document")
+_CONTROL = re.compile(rf"\\|<(?=turn |/turn>|(?:{'|'.join(KINDS)}) \d+>)|>(?=\n|\Z)|#(?=## )")
+_PLACE = re.compile(rf"((?:\\.|[^\\<]|<(?!(?:{'|'.join(KINDS)}) \d+>))+)|<({'|'.join(KINDS)}) (\d+)>", re.S)
 _TURN = re.compile(r"<turn ((?:\\.|[^\\])*?)>\n((?:\\.|[^\\])*?)</turn>\n", re.S)
 
 
@@ -99,18 +118,33 @@ def unescape(text: str) -> str:
 
 def format_turn(role: str, text: str, trained: tuple[str, ...] = ("assistant",)) -> tuple[str, list[tuple[int, int]]]:
     """The marked turn and the [start, end) characters of it that count for the loss."""
-    head, body = f"{OPEN}{escape(role)}>\n", escape(text)
-    return f"{head}{body}{CLOSE}\n", [(len(head), len(head) + len(body))] if role in trained else []
+    return format_parts(role, Flattened([text]), trained)
+
+
+def format_parts(role: str, flat: Flattened, trained: tuple[str, ...] = ("assistant",)) -> tuple[str, list[tuple[int, int]]]:
+    """The same for flattened parts: texts are escaped, placeholders stand as they are and outside the loss."""
+    out, spans = f"{OPEN}{escape(role)}>\n", []
+    for part in flat.parts:
+        piece = escape(part) if isinstance(part, str) else flat.placeholder(part)
+        if isinstance(part, str):
+            spans.append((len(out), len(out) + len(piece)))
+        out += piece
+    return f"{out}{CLOSE}\n", (spans or [(len(out), len(out))]) if role in trained else []
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """Roles and texts, read back."""
+    """Roles and texts, read back; a placeholder reads as it stands."""
+    return [(role, "".join(x if isinstance(x, str) else f"<{x[0]} {x[1]}>" for x in parts)) for role, parts in parse_parts(formatted)]
+
+
+def parse_parts(formatted: str) -> list[tuple[str, list[str | tuple[str, int]]]]:
+    """Roles and parts, read back: texts, and (kind, number) of attachments."""
     out, at = [], 0
     while at < len(formatted):
         m = _TURN.match(formatted, at)
         if not m:
             raise ValueError(f"no turn at character {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
+        out.append((unescape(m[1]), [unescape(p[1]) if p[1] else (p[2], int(p[3])) for p in _PLACE.finditer(m[2])]))
         at = m.end()
     return out
 
@@ -131,7 +165,7 @@ def _formatter(typed: bool, trained: tuple[str, ...], visitor: PartVisitor):
                 if typed and content:
                     content = json.loads(text)
                 flat = visitor.visit(content)
-                formatted, spans = format_turn(role or "", flat.text, trained)
+                formatted, spans = format_parts(role or "", flat, trained)
                 out.append(formatted)
                 loss.append([{"start": a, "end": b} for a, b in spans])
                 refs.append([{"kind": a.kind, "ref": a.ref, "tokens": a.tokens} for a in flat.attachments])
