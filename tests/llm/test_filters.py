@@ -29,6 +29,8 @@ def test_decontamination(spark, docs, nothing, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)  # several broadcast blocks
     several = decontaminate.find_contamination(df, bench)
     assert read(several) == want and several.count() == len(rows)
+    maps = decontaminate.remove_contaminated(df.selectExpr("*", "map('k', doc_id) AS more"), bench)  # a column that cannot be grouped by
+    assert sorted(r.more["k"] for r in maps.collect()) == [2, 3, 4, 5, 6, 6]
     assert decontaminate.find_contamination(nothing, bench).count() == 0
     assert all(not r["items"] for r in decontaminate.find_contamination(docs, bench.limit(0)).collect())
 
@@ -48,6 +50,18 @@ def test_mixing(spark, docs, nothing):
     assert len(none) == 3 and all(r.taken == 0 and r.target == 0 for r in none)
 
 
+def test_gram_set_is_a_few_times_its_text():
+    import pickle
+    import random
+
+    r = random.Random(4)
+    items = [(str(k), " ".join("%05x" % r.randrange(16**5) for _ in range(200)).encode()) for k in range(400)]
+    size = sum(len(t) for _, t in items)
+    got = decontaminate.GramSet(items, 8)
+    assert len(pickle.dumps(got)) - len(got.filter) < 5 * size
+    assert got.lengths == [8] and len(got.hashes) == 400 * 193
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     folder = "/root/testdata/sf0.001"
@@ -73,7 +87,31 @@ def test_mixing_in_small_blocks_equals_sql(spark, monkeypatch, tmp_path, block):
     assert mix(docs).count() == mix_plan(docs).agg(F.sum("copies")).first()[0]
 
 
-TEXT = st.lists(st.sampled_from([*"ab\\<>#/ \né", "<turn ", "</turn>", "### ", ">\n", "</turn>\n"]), max_size=30).map("".join)
+TEXT = st.lists(st.sampled_from([*"ab\\<>#/ \né", "<turn ", "</turn>", "### ", ">\n", "</turn>\n", "<image 0>", "<audio 12>", "<document ", "1>"]), max_size=30).map("".join)
+PART = st.one_of(TEXT, TEXT.map(lambda t: {"type": "text", "text": t}), st.sampled_from([{"type": k, "ref": "r"} for k in chat_format.KINDS]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<turn x>"]), st.lists(PART, max_size=6)), max_size=4))
+def test_parts_round_trip(turns):
+    """Against a second reading: what the parts say, with neighbouring texts joined."""
+    whole, want, loss = "", [], []
+    for role, parts in turns:
+        flat = chat_format.PartVisitor().visit(parts)
+        formatted, spans = chat_format.format_parts(role, flat)
+        plain, k = [], 0
+        for p in parts:
+            text = p if isinstance(p, str) else p.get("text")
+            if text is None:
+                plain.append((p["type"], k))
+                k += 1
+            elif text:
+                plain = [*plain[:-1], plain[-1] + text] if plain and isinstance(plain[-1], str) else [*plain, text]
+        want.append((role, plain))
+        whole += formatted
+        got = "".join(chat_format.unescape(formatted[a:b]) for a, b in spans)
+        assert got == ("".join(x for x in plain if isinstance(x, str)) if role == "assistant" else "")
+    assert chat_format.parse_parts(whole) == want
 
 
 @settings(max_examples=300, deadline=None)
@@ -108,6 +146,10 @@ def test_conversations(spark):
     assert got[2].n_turns == 1 and got[2].loss_chars == 0 and got[None].n_turns == 1
     assert chat_format.read_back(chat_format.format_turns(df.limit(0))).count() == 0
     typed = spark.createDataFrame([(1, 0, "user", json.dumps([{"type": "image", "ref": "x"}])), (1, 1, "assistant", json.dumps("yes"))], "conv_id long, turn long, role string, text string")
+    forged = spark.createDataFrame([(1, 0, "user", json.dumps(["see <image 0> ", {"type": "image", "ref": "x"}]))], "conv_id long, turn long, role string, text string")
+    one = chat_format.format_turns(forged, typed=True).first()
+    assert chat_format.parse_parts(one.formatted) == [("user", ["see <image 0> ", ("image", 0)])]
+    assert chat_format.read_back(chat_format.format_turns(forged, typed=True)).first().n_attachments == 1
     first = chat_format.format_turns(typed, typed=True).where("turn = 0").first()
     assert "image 0" in first.formatted and first.attachments[0].ref == "x" and first.n_tokens_expanded == 1
 
