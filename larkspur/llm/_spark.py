@@ -140,6 +140,13 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n longs that a hash partitioning into n deals to n different partitions: number k to partition k."""
+    rows = spark.range(16 * n + 64).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()  # n rows
+    by = {r.p: r.id for r in rows}
+    return [by.get(k, -1 - k) for k in range(n)]
+
+
 def identity(doc_id: str = "doc_id", text: str = "text") -> Column:
     """One long for a row's id and text, the same in each scan; rows equal in both share it."""
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit("")))

@@ -22,12 +22,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
 from larkspur.llm._spark import lean, small_batches
 
 MAX_TRAIN = 3000
+#: Bytes of text after which no further document is taken: the driver holds 58 numbers for each of their lines.
+MAX_BYTES = 24 << 20
 CUT = 0.3
 
 #: byte classes: other, lower, upper, digit, space, sentence marks, quotes and dashes, symbols, rules, beyond ASCII, control
@@ -162,13 +165,21 @@ def _measurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["good", "features", "length"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Crf:
-    """The field learned from `labels` (id, 0 or 1) of at most max_train documents."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Crf:
+    """The field learned from `labels` (id, 0 or 1) of at most max_train different documents.
+
+    They come in order of a hash of their ids; none is taken once those before it have max_bytes of text.
+    """
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("y")).dropna()
     marks = marks.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("good"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    got = rows.join(F.broadcast(marks), "doc_id").select("good", "text").mapInArrow(lean(_measurer), "good int, features binary, length binary").collect()
+    rows = rows.join(F.broadcast(marks), "doc_id").withColumn("text_id", F.xxhash64("text"))  # at most max_train marks
+    # whole documents, as many as fit
+    first = rows.select("doc_id", "text_id", F.octet_length("text").alias("size")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "text_id").limit(max_train)
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id", "text_id")  # over at most max_train rows
+    kept = first.withColumn("before", F.sum("size").over(order) - F.col("size")).where(F.col("before") < max_bytes).select("doc_id", "text_id")
+    got = rows.join(F.broadcast(kept), ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"]).select("good", "text").mapInArrow(lean(_measurer), "good int, features binary, length binary").collect()
     if not got:
         return Crf(np.zeros(N_FEATURES), 0.0, 1.0)
     # in a fixed order, so that sums of floats are the same in each run
