@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
+from itertools import islice
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +24,11 @@ from larkspur.operators import timeseries as TS
 from larkspur.operators import vector as V
 from larkspur.plans import promql as P
 from larkspur.plans import sql as A
+from larkspur.sources.shared import shared_dir
 
 EMPTY = T.StructType([])
+#: Statements on one table after which its rows are written out.
+DEPTH = 16
 
 
 @dataclass(frozen=True)
@@ -35,6 +43,10 @@ class Table:
     ooo: int = 0
     ttl: int | None = None
     options: dict = field(default_factory=dict)
+    #: When rows without a stamp of their own count as written.
+    made: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
+    #: Statements whose plans stand on one another since the rows were last written out.
+    depth: int = 0
 
     @property
     def timeseries(self) -> bool:
@@ -58,6 +70,7 @@ class Engine:
         self.tables: dict[str, Table] = {}
         self.indexes: dict[str, IndexDef] = {}
         self.rollups: dict[str, dict] = {}
+        self.built: dict[str, tuple] = {}
         self.databases, self.database = {"default"}, "default"
         self.saved: tuple | None = None
         self.now_ms: int | None = None
@@ -84,18 +97,53 @@ class Engine:
     def rows(self, name: str) -> DataFrame:
         """What a reader sees: rows within their time to live and retention."""
         t = self.table(name)
-        rows = t.rows
+        rows = self.alive(t)
         if t.retention and "ts" in rows.columns:
             rows = TS.retained(rows, t.retention)
-        if t.ttl and "_written_at" in rows.columns:
-            rows = R.with_ttl(rows, "_written_at", t.ttl, F.current_timestamp())
-        return rows.drop("_written_at") if "_written_at" in rows.columns else rows
+        return rows.drop("_written_at")
+
+    def alive(self, t: Table) -> DataFrame:
+        """Rows, with their stamps, that the time to live has left; the clock is read when the rows are."""
+        if not t.ttl or not t.rows.columns:
+            return t.rows
+        return R.with_ttl(t.rows if "_written_at" in t.rows.columns else t.rows.withColumn("_written_at", F.lit(t.made)), "_written_at", t.ttl, F.current_timestamp())
+
+    def put(self, table: str, t: Table, rows: DataFrame) -> None:
+        """A table's next version; after DEPTH statements the rows are written out, so that plans don't grow with the number of statements."""
+        t = replace(t, rows=rows, depth=t.depth + 1)
+        if t.depth >= DEPTH and not any(isinstance(f.dataType, T.NullType) for f in rows.schema):
+            path = f"{shared_dir(self.spark)}/larkspur/tables/{uuid.uuid4().hex}"
+            rows.write.parquet(path)
+            t = replace(t, rows=self.spark.read.schema(rows.schema).parquet(path), depth=0)
+        if t.options.get("memory"):
+            held = self.tables[self.key(table)].rows
+            t = replace(t, rows=t.rows.persist(StorageLevel.MEMORY_AND_DISK))
+            t.rows.count()
+            held.unpersist()
+        self.tables[self.key(table)] = t
 
     # statements
 
     def sql(self, text: str, *params: Any) -> DataFrame:
         return self.run(A.parse(text, params))
 
+    def prepare(self, text: str) -> Callable[..., DataFrame]:
+        """A statement to run again and again with other parameters."""
+        A.parse(text, (None,) * text.count("?"))  # refused now rather than at its first run
+        return lambda *params: self.sql(text, *params)
+
+    def batch(self, *statements: str | tuple) -> list[DataFrame]:
+        """Statements one after another, each a text or a text with its parameters; the first that fails ends it."""
+        return [self.sql(s) if isinstance(s, str) else self.sql(*s) for s in statements]
+
+    def stream(self, text: str, *params: Any, chunk: int = 1000) -> Iterator[list]:
+        """First the columns' names, then the rows in chunks; one partition is here at a time."""
+        df = self.sql(text, *params)
+        yield df.columns
+        rows = df.toLocalIterator(prefetchPartitions=True)
+        while part := [tuple(r) for r in islice(rows, chunk)]:
+            yield part
+
     def run(self, s: Any) -> DataFrame:
         self.now_ms = None
         if isinstance(s, A.Select):
@@ -183,7 +231,7 @@ class Engine:
     def do_describe(self, table: str, full: bool) -> DataFrame:
         t = self.table(table)
         if full:
-            return R.describe_types(t.rows)
+            return R.describe_types(self.rows(table))
         keyed = [(c, "primary key") for c in t.pk] + [(c, "series key") for c in t.series] + [(c, f"{i.kind} index {i.name}") for i in self.indexes.values() if i.table == table for c in i.columns]
         return self.spark.createDataFrame(keyed, "column string, role string")
 
@@ -224,20 +272,23 @@ class Engine:
     # writes
 
     def do_insert(self, table: str, columns: list[str], rows: list[list]) -> DataFrame:
-        t = self.table(table)
-        made = []
-        for k, row in enumerate(rows):
-            cells = [Lower(self, None).expr(e)[0].alias(c) for c, e in zip(columns, row, strict=True)]
-            made.append(self.spark.range(1).select(*cells, F.lit(k).alias("_seq")))
-        new = made[0]
-        for m in made[1:]:
-            new = _union_wide(new, m)
-        return self.append(table, new, t)
-
-    def append(self, table: str, new: DataFrame, t: Table | None = None) -> DataFrame:
-        """Adds rows with `_seq`: an upsert by primary key, or samples of a time-series table."""
+        t, low = self.table(table), Lower(self, None)
+        cells = [[low.expr(e) for e in row] for row in rows]
+        types = [_common_type([row[k][1] for row in cells]) for k in range(len(columns))]
+        if all(types) and "_seq" not in columns:
+            # one frame for all rows: a plan of one line, whatever their number
+            each = [F.struct(*(c.cast(t).alias(f"c{k}") for k, ((c, _), t) in enumerate(zip(row, types, strict=True))), F.lit(n).alias("_seq")) for n, row in enumerate(cells)]
+            new = self.spark.range(1).select(F.inline(F.array(*each))).toDF(*columns, "_seq")
+        else:
+            made = [self.spark.range(1).select(*(c.alias(name) for name, (c, _) in zip(columns, row, strict=True)), F.lit(n).alias("_seq")) for n, row in enumerate(cells)]
+            new = made[0]
+            for m in made[1:]:
+                new = _union_wide(new, m)
+        return self.append(table, new, t, len(rows))
+
+    def append(self, table: str, new: DataFrame, t: Table | None = None, n: int | None = None) -> DataFrame:
+        """Adds rows (n, if known) with `_seq`: an upsert by primary key, or samples of a time-series table."""
         t = t or self.table(table)
-        n = new.count()
         if t.timeseries:
             TS.validate({c: k for c, k in new.dtypes if c != "_seq"}, t.series)
             if new.where(" or ".join(f"{c} is null" for c in (*t.series, "ts"))).count():
@@ -249,35 +300,42 @@ class Engine:
             affected = keep.where("_seq >= 0").count()
             fields = [c for c in keep.columns if c not in (*t.series, "ts", "_seq")]
             rows = keep.groupBy(*t.series, "ts").agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.col("_seq"))).alias(f) for f in fields))
-            self.tables[self.key(table)] = replace(t, rows=rows)
+            self.put(table, t, rows)
             return self.done(affected)
         if missing := [p for p in t.pk if p not in new.columns]:
             raise ValueError(f"the primary key needs {missing}")
-        if t.ttl:
-            new = new.withColumn("_written_at", F.current_timestamp())
+        n = new.count() if n is None else n
+        new = new.withColumn("_written_at", F.lit(datetime.now(timezone.utc)))
         last = F.row_number().over(W.partitionBy(*t.pk).orderBy(F.col("_seq").desc()))
         new = new.withColumn("_last", last).where("_last = 1").drop("_last", "_seq")
-        rows = new if not t.rows.columns else _union_wide(t.rows.join(new.select(*t.pk), list(t.pk), "left_anti"), new)
-        self.tables[self.key(table)] = replace(t, rows=rows)
+        old = t.rows
+        if old.columns and "_written_at" not in old.columns:
+            old = old.withColumn("_written_at", F.lit(t.made))
+        self.put(table, t, new if not old.columns else _union_wide(old.join(new.select(*t.pk), list(t.pk), "left_anti"), new))
         return self.done(n)
 
     def do_update(self, table: str, sets: dict, where: Any) -> DataFrame:
         t = self.table(table)
         if t.timeseries:
             raise ValueError("time-series rows are not updated")
-        low = Lower(self, t.rows)
+        rows = self.alive(t)
+        low = Lower(self, rows)
         hit = low.expr(where)[0] if where is not None else F.lit(True)
-        n = t.rows.where(F.coalesce(hit, F.lit(False))).count()
-        self.tables[self.key(table)] = replace(t, rows=R.update(t.rows, {p: low.expr(e)[0] for p, e in sets.items()}, hit))
+        n = rows.where(F.coalesce(hit, F.lit(False))).count()
+        changes = {p: low.expr(e)[0] for p, e in sets.items()}
+        if "_written_at" in rows.columns:
+            changes["_written_at"] = F.lit(datetime.now(timezone.utc))
+        self.put(table, t, R.update(rows, changes, hit))
         return self.done(n)
 
     def do_delete(self, table: str, where: Any) -> DataFrame:
         t = self.table(table)
         if t.timeseries:
             raise ValueError("time-series rows are not deleted")
-        hit = Lower(self, t.rows).expr(where)[0] if where is not None else F.lit(True)
-        n = t.rows.where(F.coalesce(hit, F.lit(False))).count()
-        self.tables[self.key(table)] = replace(t, rows=R.delete(t.rows, hit))
+        rows = self.alive(t)
+        hit = Lower(self, rows).expr(where)[0] if where is not None else F.lit(True)
+        n = rows.where(F.coalesce(hit, F.lit(False))).count()
+        self.put(table, t, R.delete(rows, hit))
         return self.done(n)
 
     # search
@@ -286,12 +344,22 @@ class Engine:
         defs = [i for i in self.indexes.values() if i.kind == "search" and i.table == table]
         if not defs:
             raise ValueError(f"{table} has no search index")
-        d, fields = defs[0], []
+        d, t, fields = defs[0], self.table(table), []
+        visible = self.rows(table)
         for col in d.columns:
             opt = {k.split(".", 1)[1]: v for k, v in d.options.items() if k.startswith(f"{col}.")}
-            if opt.get("type", "text") == "text" and dict(self.rows(table).dtypes).get(col) == "string":
-                fields.append(Q.TextField(col, opt.get("analyzer", "standard"), opt.get("search_analyzer"), float(opt.get("boost", 1)), opt.get("copy_to"), opt.get("synonyms", "")))
-        return Q.Index(self.rows(table), self.table(table).pk[0], fields)
+            if opt.get("type", "text") in ("text", "keyword") and dict(visible.dtypes).get(col) == "string":
+                analyzer = "keyword" if opt.get("type") == "keyword" else opt.get("analyzer", "standard")
+                fields.append(Q.TextField(col, analyzer, opt.get("search_analyzer"), float(opt.get("boost", 1)), opt.get("copy_to"), opt.get("synonyms", "")))
+                if str(opt.get("keyword", "")).lower() in ("true", "1"):
+                    fields.append(Q.TextField(col, "keyword", alias=f"{col}.keyword"))
+        if t.ttl:  # rows leave with time, so nothing is kept
+            return Q.Index(visible, t.pk[0], fields)
+        kept = self.built.get(d.name)
+        if kept is None or kept[0] is not t.rows or kept[1] != fields:
+            ix = Q.Index(visible, t.pk[0], fields).saved(f"{shared_dir(self.spark)}/larkspur/search/{uuid.uuid4().hex}")
+            self.built[d.name] = kept = (t.rows, fields, ix)
+        return kept[2]
 
     def do_suggest(self, text: str, index: str, column: str | None, limit: int) -> DataFrame:
         ix = self.search_index(self.indexes[index].table)
@@ -320,6 +388,16 @@ class Engine:
         return search(self, table, body)
 
 
+def _common_type(types: list) -> Any:
+    """The type that a column of VALUES takes, as _union_wide() widens; None if there is none."""
+    known = list(dict.fromkeys(t for t in types if not isinstance(t, T.NullType)))
+    if len(known) <= 1:
+        return known[0] if known else None
+    if all(isinstance(t, T.NumericType) for t in known):
+        return T.DoubleType() if T.DoubleType() in known else T.LongType()
+    return None
+
+
 def _union_wide(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union by name; a column that one side lacks, or has only as NULL, takes the other's type, and integers widen."""
     types = {}
@@ -334,6 +412,9 @@ def _union_wide(a: DataFrame, b: DataFrame) -> DataFrame:
 class Lower:
     """Expressions to Columns, with their types."""
 
+    #: Terms and analyzer of the search that HIGHLIGHT marks.
+    highlighted: tuple[list[str], str] = ([], "standard")
+
     def __init__(self, engine: Engine, df: DataFrame | None, names: dict[str, DataFrame] | None = None, aggregates: dict | None = None):
         self.engine, self.df, self.names, self.aggregates = engine, df, names or {}, aggregates or {}
 
@@ -465,7 +546,6 @@ class Lower:
             return S.distance(e.args[0].value)
         raise ValueError("a constant is needed here")
 
-    highlighted: tuple[list[str], str] = ([], "standard")
 
     def highlight(self, e: A.Func) -> Column:
         rest = [self.constant(a) for a in e.args[1:]]
@@ -483,9 +563,11 @@ class Planner:
 
     def plan(self) -> DataFrame:
         s = self.s
-        out = self.core(s)
         if not s.unions:
-            return out
+            return self.core(s)
+        if any(x.table is not None and self.engine.table(x.table).timeseries for x in (s, *(part for _, part in s.unions))):
+            raise ValueError("time-series tables are not united")
+        out = self.core(s)
         for every, part in s.unions:
             other = Planner(self.engine, part).core(part)
             out = out.unionAll(other) if every else out.unionAll(other).distinct()
@@ -536,12 +618,15 @@ class Planner:
         plain = [x for x in A.conjuncts(s.where) if x not in search]
         pk = e.table(s.table).pk[0] if s.table and e.table(s.table).pk else None
         ix = query = None
+        if s.nearest and e.table(s.table).timeseries:
+            raise ValueError("NEAREST does not take a time-series table")
+        marks = low.highlighted
         if search:
             ix = e.search_index(s.table)
             query = self.query(search[0]) if len(search) == 1 else Q.And([self.query(x) for x in search])
             call = next(x for x in A.walk(search[0]) if isinstance(x, A.Func) and x.name in A.SEARCH)
             name = call.args[0].path if call.args and isinstance(call.args[0], A.Col) else ix.fields[0].name
-            Lower.highlighted = (ix.field(name).query_terms(str(call.args[-1].value)) if isinstance(call.args[-1], A.Lit) else [], ix.field(name).analyzer)
+            marks = (ix.field(name).query_terms(str(call.args[-1].value)) if isinstance(call.args[-1], A.Lit) else [], ix.field(name).analyzer)
         cond = None
         for x in plain:
             c, t = low.expr(x)
@@ -573,7 +658,9 @@ class Planner:
             column = r["on"] or (call.args[0].path if call else None)
             score = V.overlap if e.reranker is None else e.reranker
             df = V.rerank(df, by, pk, column, r["query"] or (call.args[-1].value if call else ""), r["top"], r["top"], score)
-        return df, Lower(e, df, {s.alias: df.alias(s.alias)} if not s.joins and s.alias and not (s.rrf or s.rerank or query is not None or s.nearest) else (low.names if s.joins else None))
+        out = Lower(e, df, {s.alias: df.alias(s.alias)} if not s.joins and s.alias and not (s.rrf or s.rerank or query is not None or s.nearest) else (low.names if s.joins else None))
+        out.highlighted = marks
+        return df, out
 
     def vector(self, v: Any, df: DataFrame, path: str) -> list[float]:
         if isinstance(v, str):
@@ -739,7 +826,8 @@ class Planner:
                 on = on & F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}"))
             df = df.alias("x").join(kept.alias("y"), on, "left_semi")
         out = R.top_k_per_group(df, names, "_by", k, way, pk)
-        low = Lower(self.engine, out)
+        marks, low = low.highlighted, Lower(self.engine, out)
+        low.highlighted = marks
         if s.order:
             out = out.orderBy(*self.keys(s, low), *(F.col(p).asc() for p in pk))
         if s.limit is not None:

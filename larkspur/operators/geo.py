@@ -75,6 +75,25 @@ def morton(lat: Column, lon: Column) -> Column:
     return _spread(part(lat, -90.0, 90.0)).bitwiseOR(F.shiftleft(_spread(part(lon, -180.0, 180.0)), 1))
 
 
+def indexed(df: DataFrame, lat: str, lon: str, path: str) -> DataFrame:
+    """`df` written in order of its Morton codes (`_z`), so that a box's ranges of codes prune files and row groups."""
+    z = morton(F.col(lat), F.col(lon)).bitwiseXOR(F.lit(-(2**63)))  # signed order of unsigned codes
+    df.withColumn("_z", z).repartitionByRange("_z").sortWithinPartitions("_z").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def scan(index: DataFrame, lat: str, lon: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """Rows of an indexed() table within a box (min_lat, min_lon, max_lat, max_lon), which may cross the antimeridian."""
+    min_lat, min_lon, max_lat, max_lon = box
+    halves = [box] if min_lon <= max_lon else [(min_lat, min_lon, max_lat, 180.0), (min_lat, -180.0, max_lat, max_lon)]
+    near = None
+    for half in halves:
+        for a, b in cover(half):
+            one = F.col("_z").between(a - 2**63, b - 2**63)
+            near = one if near is None else near | one
+    return index.where(near).where(geo_bbox(F.col(lat), F.col(lon), *box)).drop("_z")
+
+
 def cover(box: tuple[float, float, float, float], most: int = 32) -> list[tuple[int, int]]:
     """At most `most` ranges of Morton codes (unsigned, both ends included) that hold a box that does not wrap.
 

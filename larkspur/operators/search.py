@@ -8,24 +8,28 @@ only their postings are read and shuffled.
 from __future__ import annotations
 
 import html
+import json
 import math
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.stemming import LANGUAGES, STEMMERS, STOP, stem
+
 K1, B = 1.2, 0.75
 MAX_TOKEN = 255
 
-# Common English words that the `stop` filter drops.
-STOP_EN = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
-
-WORD = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"
-WORD_PY = re.compile(r"\w+(?:['’.]\w+)*")
+# Words by the Unicode segmentation rules: letters joined by ' . : between letters, digits by , . ; ' between
+# digits, underscores join both; Han and Hiragana one by one, Katakana in runs.
+_LETTER = r"[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]"
+_ONE = rf"(?:{_LETTER}|\p{{Nd}}|_)[\p{{M}}\u200D]*"
+WORD = rf"(?!_+(?![\p{{L}}\p{{Nd}}_]))(?:{_ONE}(?:(?<=[\p{{L}}\p{{M}}])['’.:·](?={_LETTER})|(?<=\p{{Nd}})[.,;'](?=\p{{Nd}}))?)+|[\p{{IsHan}}\p{{IsHiragana}}]\p{{M}}*|\p{{IsKatakana}}+"
 
 
 # --- analyzers ---------------------------------------------------------------------------------------------
@@ -42,12 +46,12 @@ def _fold(c: Column) -> Column:
     return F.translate(c, "".join(marked), "".join(plain))
 
 
-def _grams(a: int, b: int, edge: bool):
+def _grams(a: int, b: int, edge: bool, lower: bool = True):
     if not 1 <= a <= b <= 32:
         raise ValueError("n-grams are of 1 to 32 characters")
 
     def run(c: Column) -> Column:
-        low = F.lower(c)
+        low = F.lower(c) if lower else c
         n = F.length(low)
         starts = F.array(F.lit(1)) if edge else F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
         every = F.transform(starts, lambda s: F.transform(F.filter(F.sequence(F.lit(a), F.lit(b)), lambda k: s + k - 1 <= n), lambda k: F.substring(low, s, k)))
@@ -56,125 +60,147 @@ def _grams(a: int, b: int, edge: bool):
     return run
 
 
-def _step(c: Column, name: str) -> Column:
-    """One filter of a custom pipeline over an array of tokens."""
-    m = re.fullmatch(r"(\w+)(?:\((.*)\))?", name.strip())
-    if not m:
-        raise ValueError(f"no filter {name!r}")
-    kind, arg = m[1], m[2]
+def stages(spec: str) -> list[tuple[str, str | None]]:
+    """(name, argument) of `tokenizer | filter | ...`; a bar within parentheses belongs to an argument."""
+    parts, depth, now = [], 0, ""
+    for ch in spec:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            parts.append(now)
+            now = ""
+        else:
+            now += ch
+    out = []
+    for part in [*parts, now]:
+        m = re.fullmatch(r"(\w+)(?:\((.*)\))?", part.strip(), re.S)
+        if not m:
+            raise ValueError(f"no stage {part.strip()!r}")
+        out.append((m[1].lower(), m[2]))
+    if len(out) > 17:
+        raise ValueError("at most 16 filters")
+    return out
+
+
+def _language(kind: str, arg: str | None) -> str:
+    name = (arg or "english").strip().lower()
+    if name not in LANGUAGES:
+        raise ValueError(f"{kind} knows no language {name!r}")
+    return name
+
+
+@dataclass(frozen=True)
+class Stem:
+    """The one kind of stage that is not a Column expression."""
+
+    language: str
+
+
+def _within(limit: int) -> Callable[[Column], Column]:
+    return lambda ts: F.filter(ts, lambda t: F.octet_length(t) <= limit)
+
+
+def _filter(kind: str, arg: str | None) -> Callable[[Column], Column] | Stem:
     if kind == "lowercase":
-        return F.transform(c, F.lower)
-    if kind == "ascii_folding":
-        return F.transform(c, _fold)
+        return lambda ts: F.transform(ts, F.lower)
+    if kind in ("ascii_folding", "folding"):
+        return lambda ts: F.transform(ts, _fold)
     if kind == "alphanum_only":
-        return F.filter(c, lambda t: t.rlike(r"^[\p{L}\p{N}]+\z"))
+        return lambda ts: F.filter(ts, lambda t: t.rlike(r"^[\p{L}\p{N}]+\z"))
     if kind == "remove_long":
-        return F.filter(c, lambda t: F.octet_length(t) < int(arg or MAX_TOKEN + 1))
-    if kind in ("stop", "stopwords"):
-        words = [w.strip() for w in arg.split(",")] if kind == "stopwords" and arg else list(STOP_EN)
-        return F.filter(c, lambda t: ~t.isin(words))
+        limit = int(arg or MAX_TOKEN + 1)
+        if limit < 1:
+            raise ValueError("remove_long takes a length of 1 or more")
+        return _within(limit - 1)
+    if kind == "stop":
+        words = STOP.get(_language(kind, arg), [])
+        return (lambda ts: F.filter(ts, lambda t: ~t.isin(*words))) if words else lambda ts: ts
+    if kind == "stopwords":
+        words = [w.strip() for w in (arg or "").split(",") if w.strip()]
+        if not words:
+            raise ValueError("stopwords takes a word or more")
+        return lambda ts: F.filter(ts, lambda t: ~t.isin(*words))
     if kind == "stem":
-        return stemmed(c)
+        return Stem(_language(kind, arg))
     raise ValueError(f"no filter {kind!r}")
 
 
-def analyze(name: str, c: Column) -> Column:
+def _tokenizer(kind: str, arg: str | None, alone: bool) -> Callable[[Column], Column]:
+    if arg is not None and kind not in ("ngram", "edge_ngram", "regex"):
+        raise ValueError(f"{kind} takes no argument")
+    if kind in ("unicode", "standard"):
+        return lambda c: F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
+    if kind == "whitespace":
+        split = lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != "")
+        return (lambda c: _within(MAX_TOKEN)(split(c))) if alone else split
+    if kind == "keyword":
+        return lambda c: F.array(c)
+    if kind in ("ngram", "edge_ngram"):
+        a, b = (int(x) for x in (arg or "0,0").split(","))
+        return _grams(a, b, kind == "edge_ngram", alone)
+    if kind == "regex" and arg:
+        re.compile(arg)
+        return lambda c: F.regexp_extract_all(c, F.lit(f"({arg})"), F.lit(1))
+    raise ValueError(f"no tokenizer {kind!r}")
+
+
+@lru_cache(maxsize=256)
+def pipeline(spec: str) -> tuple:
+    """The stages of an analyzer, given by name or as a pipeline: functions of Columns, and Stem."""
+    (head, arg), *rest = stages(spec)
+    if not rest and arg is None and head in ("standard", "folding", *LANGUAGES):
+        words = lambda c: _within(MAX_TOKEN)(_tokenizer("unicode", None, True)(F.lower(c)))
+        more = [("folding", None)] if head == "folding" else [("stop", head), ("stem", head)] if head != "standard" else []
+        return (words, *(_filter(k, a) for k, a in more))
+    return (_tokenizer(head, arg, not rest), *(_filter(k, a) for k, a in rest))
+
+
+def analyze(spec: str, c: Column) -> Column:
     """The tokens of a text, in order, by an analyzer's name or a pipeline `tokenizer | filter | ...`."""
-    steps = [s.strip() for s in name.split("|")]
-    if len(steps) > 16:
-        raise ValueError("at most 16 steps")
-    head, rest = steps[0], steps[1:]
-    if not rest and head in ("standard", "folding", "english"):
-        tokens = F.filter(F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1)), lambda t: F.octet_length(t) <= MAX_TOKEN)
-        if head == "folding":
-            return F.transform(tokens, _fold)
-        return stemmed(F.filter(tokens, lambda t: ~t.isin(*STOP_EN))) if head == "english" else tokens
-    m = re.fullmatch(r"(\w+)(?:\((.*)\))?", head)
-    kind, arg = (m[1], m[2]) if m else (head, None)
-    if kind == "standard":
-        tokens = F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
-    elif kind == "whitespace":
-        tokens = F.filter(F.split(c, r"\s+"), lambda t: t != "")
-    elif kind == "keyword":
-        tokens = F.array(c)
-    elif kind in ("ngram", "edge_ngram"):
-        a, b = (int(x) for x in arg.split(","))
-        tokens = _grams(a, b, kind == "edge_ngram")(c)
-    elif kind == "regex":
-        tokens = F.regexp_extract_all(c, F.lit(f"({arg})"), F.lit(1))
-    else:
-        raise ValueError(f"no analyzer {head!r}")
-    for s in rest:
-        tokens = _step(tokens, s)
-    return tokens
-
-
-def analyze_text(name: str, text: str) -> list[str]:
-    """The same for a query's text, on the driver."""
-    steps = [s.strip() for s in name.split("|")]
-    if steps[0] in ("standard", "folding", "english") and len(steps) == 1:
-        tokens = [t for t in WORD_PY.findall(text.lower()) if len(t.encode()) <= MAX_TOKEN]
-        if steps[0] == "folding":
-            tokens = ["".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)) for t in tokens]
-        return [stem(t) for t in tokens if t not in STOP_EN] if steps[0] == "english" else tokens
-    if steps[0] == "keyword":
-        tokens = [text]
-    elif steps[0] == "whitespace":
-        tokens = text.split()
-    elif steps[0].startswith(("ngram", "edge_ngram")):
-        tokens = [text.lower()]
-    else:
-        tokens = WORD_PY.findall(text)
-    for s in steps[1:]:
-        if s == "lowercase":
-            tokens = [t.lower() for t in tokens]
-        elif s == "stem":
-            tokens = [stem(t) for t in tokens]
-        elif s.startswith("stop"):
-            tokens = [t for t in tokens if t not in STOP_EN]
-    return tokens
-
-
-_VOWELS = "aeiouy"
-
-
-def stem(word: str) -> str:
-    """A light English suffix stripper: plurals, -ed, -ing, -ly and some noun and adjective endings."""
-    w = word
-    if len(w) <= 2:
-        return w
-    w = w.removesuffix("'s")
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-3] + ("i" if len(w) > 4 else "ie")
-    elif w.endswith("s") and not w.endswith(("ss", "us")) and any(c in _VOWELS for c in w[:-2]):
-        w = w[:-1]
-    for end in ("ingly", "edly", "ing", "ed"):
-        if w.endswith(end) and any(c in _VOWELS for c in w[: -len(end)]):
-            w = w[: -len(end)]
-            if w.endswith(("at", "bl", "iz")):
-                w += "e"
-            elif len(w) > 2 and w[-1] == w[-2] and w[-1] in "bdfgmnprt":
-                w = w[:-1]
-            break
-    if w.endswith("y") and len(w) > 2 and w[-2] not in _VOWELS:
-        w = w[:-1] + "i"
-    # Endings and what takes their place.
-    for end, to in (("ational", "ate"), ("tional", "tion"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ation", "ate"), ("ness", ""), ("ment", ""), ("li", "")):
-        if w.endswith(end) and len(w) - len(end) >= 3:
-            return w[: -len(end)] + to
-    return w
-
-
-def stemmed(tokens: Column) -> Column:
+    for step in pipeline(spec):
+        c = stemmed(c, step.language) if isinstance(step, Stem) else step(c)
+    return c
+
+
+@lru_cache(maxsize=4096)
+def _analyzed(spec: str, text: str) -> tuple[str, ...]:
+    spark, value, steps = SparkSession.active(), text, list(pipeline(spec))
+    while steps:
+        if isinstance(steps[0], Stem):
+            language = steps.pop(0).language
+            value = [stem(t, language) for t in value]
+            continue
+        c = F.col("t") if isinstance(value, str) else F.from_json("t", "array<string>")
+        while steps and not isinstance(steps[0], Stem):
+            c = steps.pop(0)(c)
+        # over a local relation the optimizer evaluates the very expressions that index the table, without a job
+        rows = spark.sql("SELECT t FROM VALUES (:v) AS x(t)", args={"v": value if isinstance(value, str) else json.dumps(value)})
+        value = rows.select(c.alias("t")).first()["t"] or []
+    return tuple(value)
+
+
+def analyze_text(spec: str, text: str) -> list[str]:
+    """The same for a query's text: the stages of analyze() run on it as on a row, and the same stemmers."""
+    return list(_analyzed(spec, text))
+
+
+def stemmed(tokens: Column, language: str = "english") -> Column:
+    if language not in STEMMERS:
+        return tokens
+
     @F.pandas_udf("array<string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict[str, str] = {}
+
+        def one(t: str) -> str:
+            got = cache.get(t)
+            if got is None:
+                got = cache[t] = stem(t, language)
+            return got
+
         for s in parts:
             if len(cache) > 200_000:
                 cache.clear()
-            yield s.map(lambda ts: None if ts is None else [cache.setdefault(t, "") or cache.__setitem__(t, stem(t)) or cache[t] for t in ts])
+            yield s.map(lambda ts: None if ts is None else [one(t) for t in ts])
 
     return run(tokens)
 
@@ -192,6 +218,12 @@ class TextField:
     boost: float = 1.0
     copy_to: str | None = None
     synonyms: str = ""
+    alias: str | None = None
+
+    @property
+    def label(self) -> str:
+        """Its name in the index; a column may be indexed twice."""
+        return self.alias or self.name
 
     def query_terms(self, text: str) -> list[str]:
         return analyze_text(self.search_analyzer or self.analyzer, text)
@@ -219,10 +251,10 @@ class Index:
     def __post_init__(self) -> None:
         parts = []
         for f in self.fields:
-            tokens = self.docs.select(F.col(self.pk).alias("doc"), analyze(f.analyzer, F.col(f.name)).alias("tokens")).where("size(tokens) > 0")
+            tokens = self.docs.select(F.col(self.pk).alias("doc"), analyze(f.analyzer, F.col(f"`{f.name}`")).alias("tokens")).where("size(tokens) > 0")
             rows = tokens.select("doc", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "term"))
             part = rows.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"), F.first("length").alias("length"))
-            parts.append(part.select(F.lit(f.name).alias("field"), "doc", "term", "tf", "positions", "length"))
+            parts.append(part.select(F.lit(f.label).alias("field"), "doc", "term", "tf", "positions", "length"))
             if f.copy_to:
                 parts.append(part.select(F.lit(f.copy_to).alias("field"), "doc", "term", "tf", "positions", "length"))
         self.postings = parts[0]
@@ -230,25 +262,47 @@ class Index:
             self.postings = self.postings.unionAll(p)
 
     def saved(self, path: str) -> Index:
-        """Writes the postings, clustered by field and term, and reads from there from then on."""
-        self.postings.repartition("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(path)
-        self.postings = self.docs.sparkSession.read.parquet(path)
+        """Writes the postings, ordered by field and term, with the fields' statistics beside them, and reads from there from then on.
+
+        A range of terms is a file, so that a query's terms prune files and row groups by their least and greatest term.
+        """
+        rows = self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+        rows.write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        spark = self.docs.sparkSession
+        self.postings = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+        counted = self.postings.groupBy("field", "doc").agg(F.first("length").alias("n")).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        self._read_stats(path)
         return self
 
+    def _read_stats(self, path: str) -> None:
+        rows = self.docs.sparkSession.read.schema("field string, docs long, mean double").parquet(f"{path}/stats").collect()  # one row a field
+        self._stats = {f: (0, 0.0) for x in self.fields for f in (x.label, x.copy_to) if f} | {r.field: (r.docs, r.mean) for r in rows}
+
+    @classmethod
+    def opened(cls, docs: DataFrame, pk: str, fields: list[TextField], path: str) -> Index:
+        """An index that saved() wrote for these documents and fields."""
+        ix = cls.__new__(cls)
+        ix.docs, ix.pk, ix.fields = docs, pk, fields
+        kind = docs.schema[pk].dataType.simpleString()
+        ix.postings = docs.sparkSession.read.schema(f"field string, doc {kind}, term string, tf long, positions array<int>, length int").parquet(f"{path}/postings")
+        ix._read_stats(path)
+        return ix
+
     def field(self, name: str) -> TextField:
         for f in self.fields:
-            if f.name == name:
+            if f.label == name:
                 return f
             if f.copy_to == name:
-                return replace(f, name=name, boost=1.0)
+                return replace(f, name=name, alias=None, boost=1.0)
         raise ValueError(f"{name} is not in the index")
 
     def stats(self, name: str) -> tuple[int, float]:
         """Documents that have the field, and their mean length."""
         if name not in self._stats:
             f = self.field(name)
-            source = next(x.name for x in self.fields if name in (x.name, x.copy_to))
-            tokens = F.size(analyze(f.analyzer, F.col(source)))
+            source = next(x.name for x in self.fields if name in (x.label, x.copy_to))
+            tokens = F.size(analyze(f.analyzer, F.col(f"`{source}`")))
             row = self.docs.select(tokens.alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("c"), F.avg("n").alias("m")).first()
             self._stats[name] = row.c, row.m or 0.0
         return self._stats[name]
@@ -288,7 +342,7 @@ class Match(Query):
     text: str
 
     def score(self, ix: Index) -> DataFrame:
-        per_field = [_sum(self.terms(ix, f)) for f in self.fields or [f.name for f in ix.fields]]
+        per_field = [_sum(self.terms(ix, f)) for f in self.fields or [f.label for f in ix.fields]]
         if len(per_field) == 1:
             return per_field[0]
         return _union(per_field).groupBy("doc").agg(F.max("score").alias("score"))
@@ -355,29 +409,10 @@ def _all(tests: Sequence[Column]) -> Column:
     return out
 
 
-def least_moves(positions: list[list[int]]) -> int:
-    """The least total of moves that put one position of each term in a row: the spread of position - place."""
-    shifted = sorted((p - k, k) for k, ps in enumerate(positions) for p in ps)
-    need, have, low, best = len(positions), {}, 0, 1 << 30
-    for at, (value, k) in enumerate(shifted):
-        have[k] = have.get(k, 0) + 1
-        while len(have) == need:
-            best = min(best, value - shifted[low][0])
-            gone = shifted[low][1]
-            have[gone] -= 1
-            if not have[gone]:
-                del have[gone]
-            low += 1
-        del at
-    return best
-
-
 def _near(positions: Column, slop: int) -> Column:
-    @F.pandas_udf("boolean")
-    def run(every: pd.Series) -> pd.Series:
-        return every.map(lambda ps: least_moves([list(p) for p in ps]) <= slop)
-
-    return run(positions)
+    """Whether at most slop moves put one position of each term in a row: of positions less places, some window of slop holds one of each term."""
+    shifted = F.transform(positions, lambda ps, k: F.transform(ps, lambda p: p - k))
+    return F.exists(F.flatten(shifted), lambda low: F.forall(shifted, lambda ps: F.exists(ps, lambda p: p.between(low, low + slop))))
 
 
 @dataclass
@@ -634,9 +669,14 @@ def suggest(ix: Index, name: str, text: str, limit: int = 5) -> DataFrame:
     return _union(parts)
 
 
-def fragments(text: str, terms: set[str], analyzer: str = "standard", size: int = 150, count: int = 1, pre: str = "<b>", post: str = "</b>", no_match: int = 0) -> list[str]:
-    """The passages of at most `size` characters with most matches, in order of text, escaped and marked."""
-    spans = [m.span() for m in WORD_PY.finditer(text) if set(analyze_text(analyzer, m[0])) & terms]
+def fragments(text: str, hits: list[tuple[str, bool]], size: int = 150, count: int = 1, pre: str = "<b>", post: str = "</b>", no_match: int = 0) -> list[str]:
+    """The passages of at most `size` characters with most matches, in order of text, escaped and marked; hits: the text's words in order, and whether each matches."""
+    spans, at = [], 0
+    for word, hit in hits:
+        at = text.index(word, at)
+        if hit:
+            spans.append((at, at + len(word)))
+        at += len(word)
     if not spans:
         return [html.escape(text[:no_match], quote=False)] if no_match and text else []
     groups, i = [], 0
@@ -660,12 +700,28 @@ def fragments(text: str, terms: set[str], analyzer: str = "standard", size: int
 
 
 def highlight(column: Column, terms: Sequence[str], analyzer: str = "standard", **options) -> Column:
-    """HIGHLIGHT: the best passage as a string, or several as an array if `count` is above 1."""
-    many, have = options.get("count", 1) > 1, set(terms)
+    """HIGHLIGHT: the best passage as a string, or several as an array if `count` is above 1.
+
+    A word matches if one of its own tokens is a term. Stages up to the first stemmer run as expressions; the
+    stemmer, and nothing after it, in the function that cuts the passages.
+    """
+    many, have, steps = options.get("count", 1) > 1, set(terms), pipeline(analyzer)
+    last = next((i for i, x in enumerate(steps) if isinstance(x, Stem)), len(steps))
+    language = steps[last].language if last < len(steps) else None
+    words = F.regexp_extract_all(column, F.lit(f"({WORD})"), F.lit(1))
+
+    def tokens(w: Column) -> Column:
+        for step in steps[:last]:
+            w = step(w)
+        return w
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: fragments(t or "", have, analyzer, **options))
+    def run(texts: pd.Series, words: pd.Series, tokens: pd.Series) -> pd.Series:
+        def one(text, ws, every):
+            hit = [any((stem(t, language) if language else t) in have for t in ts) for ts in every]
+            return fragments(text, list(zip(ws, hit, strict=True)), **options)
+
+        return pd.Series([one(t or "", ws if ws is not None else [], ts if ts is not None else []) for t, ws, ts in zip(texts, words, tokens, strict=True)])
 
-    out = run(column)
+    out = run(column, words, F.transform(words, tokens))
     return out if many else F.coalesce(F.try_element_at(out, F.lit(1)), F.lit(""))

@@ -7,10 +7,11 @@ come before the top-k, which makes filtered searches exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,15 +56,75 @@ def nearest_quantized(df: DataFrame, vector: str, query: Sequence[float], k: int
     return nearest(candidates.drop("_q", "_coarse", "_c"), vector, query, k, pk, metric)
 
 
-def nearest_lsh(df: DataFrame, vector: str, query: Sequence[float], k: int, pk: str, metric: str = "cosine", bits: int = 16, probes: int = 2, seed: int = 7) -> DataFrame:
-    """Approximate search: random-hyperplane signatures within `probes` bits per byte of the query's, then exact."""
-    planes = np.random.default_rng(seed).normal(size=(bits, len(query)))
-    sign = "".join("1" if x >= 0 else "0" for x in planes @ np.asarray(query, float))
-    near = F.lit(0)
-    for plane, bit in zip(planes, sign, strict=True):
-        here = _dot(F.col(vector), F.array(*(F.lit(float(x)) for x in plane))) >= 0
-        near = near + F.when(here == F.lit(bit == "1"), 0).otherwise(1)
-    return nearest(df.where(near <= bits // 8 * probes + probes), vector, query, k, pk, metric)
+@dataclass
+class InvertedLists:
+    """An approximate index: every row stands in the list of its nearest centroid, in a folder of its own.
+
+    Centroids come from k-means over a sample of at most SAMPLE_PER_LIST vectors a list; all rows are indexed. A search
+    reads the folders of the nearest lists only, and more of them if they hold fewer than k rows, so it always gives
+    k rows where there are k. With as many probes as lists it is exact.
+    """
+
+    spark: SparkSession
+    path: str
+    centroids: np.ndarray
+    metric: str
+
+    SAMPLE_PER_LIST = 64
+
+    @classmethod
+    def build(cls, df: DataFrame, vector: str, path: str, lists: int = 16, metric: str = "cosine", seed: int = 7) -> InvertedLists:
+        rows = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+        want = lists * cls.SAMPLE_PER_LIST
+        sample = rows.select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("v", F.lit(seed))).limit(want).collect()  # at most `want` vectors
+        centroids = _kmeans(np.array([r.v for r in sample], float), lists, metric, seed) if sample else np.zeros((0, 0))
+        shared = df.sparkSession.sparkContext.broadcast(centroids)
+
+        @F.pandas_udf("int")
+        def nearest_list(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in parts:
+                same = s.map(lambda v: len(v) == shared.value.shape[1])
+                out = np.full(len(s), -1, np.int32)  # vectors of another length are in no search
+                if same.any():
+                    out[same.to_numpy()] = _closest(np.stack(s[same].to_numpy()).astype(float), shared.value, metric)
+                yield pd.Series(out)
+
+        rows.withColumn("_list", nearest_list(vector)).repartition("_list").write.mode("overwrite").partitionBy("_list").parquet(path)
+        return cls(df.sparkSession, path, centroids, metric)
+
+    def search(self, vector: str, query: Sequence[float], k: int, pk: str, probes: int = 4) -> DataFrame:
+        """The k rows found nearest, with `_distance`."""
+        rows = self.spark.read.parquet(self.path)
+        order = np.argsort(_distances(np.array([query], float), self.centroids, self.metric)[0]).tolist()
+        while True:
+            near = rows.where(F.col("_list").isin(order[:probes]))
+            if probes >= len(order) or near.limit(k).count() >= k:
+                return nearest(near.drop("_list"), vector, query, k, pk, self.metric)
+            probes *= 2
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _distances(x: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return -_unit(x) @ _unit(centroids).T
+    return (x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1)[None] if metric == "l2" else -x @ centroids.T
+
+
+def _closest(x: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
+    return _distances(x, centroids, metric).argmin(1).astype(np.int32)
+
+
+def _kmeans(x: np.ndarray, lists: int, metric: str, seed: int, rounds: int = 10) -> np.ndarray:
+    x = _unit(x) if metric == "cosine" else x
+    centroids = x[np.random.default_rng(seed).permutation(len(x))[: min(lists, len(x))]]
+    for _ in range(rounds):
+        at = _closest(x, centroids, metric)
+        centroids = np.stack([x[at == k].mean(0) if (at == k).any() else centroids[k] for k in range(len(centroids))])
+    return centroids
 
 
 # --- embedding ---------------------------------------------------------------------------------------------

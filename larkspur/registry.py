@@ -6,6 +6,8 @@ the order of a sum are rounded in both.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from larkspur.operators import search as Q
 from larkspur.operators import timeseries as TS
 from larkspur.operators import vector as V
 from larkspur.plans import promql as P
+from larkspur.sources.shared import shared_dir
 
 Make = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Make] = {}
@@ -301,9 +304,10 @@ def _(s, d):
     return t(s, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("n"))
 
 
-@add("ag4_approx_count_distinct")
+@add("ag4_approx_count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n, true AS near FROM lineitem GROUP BY l_returnflag")
 def _(s, d):
-    return t(s, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("n"))
+    got = t(s, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("approx"), F.count_distinct("l_partkey").alias("n"))
+    return got.select("l_returnflag", "n", (F.abs(c("approx") - c("n")) <= 0.04 * c("n")).alias("near"))
 
 
 @add("ag5_7_sum_avg_min_max", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, min(l_discount) AS min_d, max(l_tax) AS max_t, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY ALL")
@@ -494,12 +498,30 @@ def _(s, d):
     return V.nearest_quantized(t(s, d, "embeddings"), "embedding", _query_vector(s, d), 10, "vec_id").select("vec_id")
 
 
+def _lists(s: SparkSession, d: str) -> V.InvertedLists:
+    return V.InvertedLists.build(t(s, d, "embeddings"), "embedding", f"{shared_dir(s)}/larkspur/vectors/{uuid.uuid4().hex}", 8)
+
+
 @add("ve4_approximate_nearest")
 def _(s, d):
-    return V.nearest_lsh(t(s, d, "embeddings"), "embedding", _query_vector(s, d), 10, "vec_id").select("vec_id")
+    return _lists(s, d).search("embedding", _query_vector(s, d), 10, "vec_id", 4).select("vec_id")
+
+
+@add("ve4_all_lists", f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, {_METRICS['cosine']} AS d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)) ORDER BY d, vec_id LIMIT 10")
+def _(s, d):
+    return _lists(s, d).search("embedding", _query_vector(s, d), 10, "vec_id", 8).select("vec_id", F.round("_distance", 6).alias("distance"))
+
+
+_FNV = "list_reduce(list_transform(range(len(h) // 2), lambda i: CAST(('0x' || h[2 * i + 1 : 2 * i + 2]) AS HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT)"
+_HASHED = f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
+slot AS (SELECT term, CAST({_FNV} % 32 AS BIGINT) AS k FROM (SELECT term, hex(encode(term)) AS h FROM (SELECT DISTINCT term FROM w))),
+n AS (SELECT doc_id, k, count(*) AS n FROM w JOIN slot USING (term) GROUP BY doc_id, k),
+norm AS (SELECT doc_id, CAST(sqrt(sum(n * n)) AS FLOAT) AS norm FROM n GROUP BY doc_id),
+filled AS (SELECT doc_id, k, coalesce(CAST(n AS FLOAT) / norm, 0.0::FLOAT) AS x FROM (SELECT doc_id, unnest(range(32)) AS k FROM documents) LEFT JOIN n USING (doc_id, k) LEFT JOIN norm USING (doc_id))
+SELECT doc_id, list(round(CAST(x AS DOUBLE), 5) ORDER BY k) AS vector FROM filled GROUP BY doc_id"""
 
 
-@add("ve6_hash_embedder")
+@add("ve6_hash_embedder", _HASHED)
 def _(s, d):
     return V.embedded(t(s, d, "documents").select("doc_id", "text"), "text", "vector", 32).select("doc_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
 
@@ -538,7 +560,11 @@ def _(s, d):
     return _points(s, d).where(G.geo_bbox(c("lat"), c("lon"), -20, 150, 30, -170)).select("c_custkey")
 
 
-@add("ge3_morton")
+_CELL = "CAST(round(least(1.0, greatest(0.0, {x})) * 4294967295.0) AS HUGEINT)"
+_Z = f"list_sum(list_transform(range(32), lambda i: (((y >> i) & 1) << (2 * i)) + (((x >> i) & 1) << (2 * i + 1))))"
+
+
+@add("ge3_morton", f"SELECT c_custkey, CAST(CASE WHEN z >= 9223372036854775808 THEN z - 18446744073709551616 ELSE z END AS BIGINT) AS z FROM (SELECT c_custkey, {_Z.replace('range(32)', 'range(32)')} AS z FROM (SELECT c_custkey, {_CELL.format(x='(lat + 90) / 180')} AS y, {_CELL.format(x='(lon + 180) / 360')} AS x FROM {_POINTS}))")
 def _(s, d):
     return _points(s, d).select("c_custkey", G.morton(c("lat"), c("lon")).alias("z"))
 
@@ -546,8 +572,18 @@ def _(s, d):
 # --- full-text search -----------------------------------------------------------------------------------
 
 
+_KEPT: dict[tuple[str, str], str] = {}
+
+
 def _index(s: SparkSession, d: str) -> Q.Index:
-    return Q.Index(t(s, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id", [Q.TextField("text", "whitespace | lowercase")])
+    """The index of `documents`: the first query of a session that needs it writes it, the others read its terms' postings."""
+    docs, fields = t(s, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), [Q.TextField("text", "whitespace | lowercase")]
+    key = (s.sparkContext.applicationId, d)
+    if key not in _KEPT:
+        path = f"{shared_dir(s)}/larkspur/search/{uuid.uuid4().hex}"
+        Q.Index(docs, "doc_id", fields).saved(path)
+        _KEPT[key] = path
+    return Q.Index.opened(docs, "doc_id", fields, _KEPT[key])
 
 
 # the same tokens in SQL: runs of anything but white space, in lower case
@@ -623,37 +659,50 @@ def _(s, d):
     return t(s, d, "documents").agg(F.count_distinct("source").alias("card"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(R.percentile(c("n_chars"), 0.25), 4).alias("p25"), F.round(R.percentile(c("n_chars"), 0.99), 4).alias("p99"), F.count("lang").alias("langs"))
 
 
-@add("ft11_fuzzy")
+@add("ft11_fuzzy", f"WITH {_TOKENS} SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM post WHERE damerau_levenshtein(term, 'tehm') <= 2")
 def _(s, d):
     return _scored(Q.search(_index(s, d), Q.fuzzy("text", "tehm", 2)))
 
 
-@add("ft10_phrase_slop")
+@add("ft10_phrase_slop", _HEAD + "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN ('the', 'of') AND doc_id IN (SELECT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND abs(b.pos - 1 - a.pos) <= 3 WHERE a.term = 'the' AND b.term = 'of') GROUP BY doc_id")
 def _(s, d):
     return _scored(Q.search(_index(s, d), Q.MatchPhrase("text", "the of", 3)))
 
 
-@add("ft15_more_like_this")
+@add("ft15_more_like_this", _HEAD + """, own AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id = 3),
+best AS (SELECT term FROM (SELECT term, count(*) AS tf FROM own GROUP BY term) JOIN df USING (term), stat WHERE df >= 2 ORDER BY tf * ln(1 + (n - df + 0.5) / (df + 0.5)) DESC, term LIMIT 25)
+SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term IN (SELECT term FROM best) GROUP BY doc_id ORDER BY sum(part) DESC, doc_id LIMIT 20""")
 def _(s, d):
     text = t(s, d, "benchmark").where("item_id = 3").first()["text"]
     return _scored(Q.search(_index(s, d), Q.MoreLikeThis("text", text), 20))
 
 
-@add("ft17_18_multi_field")
+_SOURCE = "src AS (SELECT lower(source) AS term, count(*) AS df FROM documents WHERE source IS NOT NULL GROUP BY 1), sourced AS (SELECT doc_id, term, 2.0 * ln(1 + ((SELECT count(source) FROM documents) - df + 0.5) / (df + 0.5)) AS part FROM documents JOIN src ON term = lower(source)), fields AS (SELECT doc_id, term, part, 'text' AS f FROM scored UNION ALL SELECT doc_id, term, part, 'source' FROM sourced)"
+
+
+def _two_fields(s: SparkSession, d: str) -> Q.Index:
+    return Q.Index(t(s, d, "documents").select("doc_id", "text", "source"), "doc_id", [Q.TextField("text", "whitespace | lowercase"), Q.TextField("source", "whitespace | lowercase", boost=2.0)])
+
+
+@add("ft17_18_multi_field", _HEAD + f", {_SOURCE} SELECT doc_id, round(sum(part), 6) AS score FROM (SELECT doc_id, term, max(part) AS part FROM fields WHERE term IN ('src3', 'the') GROUP BY doc_id, term) GROUP BY doc_id ORDER BY sum(part) DESC, doc_id LIMIT 50")
+def _(s, d):
+    return _scored(Q.search(_two_fields(s, d), Q.MatchCross(["text", "source"], "src3 the"), 50))
+
+
+@add("ft17_match_best", _HEAD + f", {_SOURCE} SELECT doc_id, round(max(part), 6) AS score FROM (SELECT doc_id, f, sum(part) AS part FROM fields WHERE term IN ('src3', 'the', 'of') GROUP BY doc_id, f) GROUP BY doc_id")
 def _(s, d):
-    ix = Q.Index(t(s, d, "documents").select("doc_id", "text", "source"), "doc_id", [Q.TextField("text"), Q.TextField("source", "keyword", boost=2.0)])
-    return _scored(Q.search(ix, Q.MatchCross(["text", "source"], "src3 the"), 50))
+    return _scored(Q.search(_two_fields(s, d), Q.Match(["text", "source"], "src3 the of")))
 
 
-@add("ft22_synonyms")
+@add("ft22_synonyms", _HEAD + "SELECT doc_id, round(sum(part), 6) AS score FROM (SELECT doc_id, part FROM scored WHERE term IN ('this', 'that', 'shall') UNION ALL SELECT doc_id, part FROM scored WHERE term IN ('of', 'the') AND doc_id IN (SELECT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the')) GROUP BY doc_id")
 def _(s, d):
-    ix = Q.Index(t(s, d, "documents").select("doc_id", "text"), "doc_id", [Q.TextField("text", synonyms="shall, of the; this, that")])
+    ix = Q.Index(t(s, d, "documents").select("doc_id", "text"), "doc_id", [Q.TextField("text", "whitespace | lowercase", synonyms="shall, of the; this, that")])
     return _scored(Q.search(ix, Q.Match(["text"], "this shall")))
 
 
-@add("ft27_suggest")
+@add("ft27_suggest", f"WITH {_TOKENS}, freq AS (SELECT term, count(*) AS doc_freq FROM post GROUP BY term) SELECT input, term AS suggestion, CAST(damerau_levenshtein(term, input) AS INTEGER) AS distance, doc_freq FROM freq, (SELECT unnest(['shll', 'whith']) AS input) WHERE term <> input AND damerau_levenshtein(term, input) <= 2 QUALIFY row_number() OVER (PARTITION BY input ORDER BY damerau_levenshtein(term, input), doc_freq DESC, term) <= 5")
 def _(s, d):
-    return Q.suggest(_index(s, d), "text", "teh whith", 5)
+    return Q.suggest(_index(s, d), "text", "shll whith", 5)
 
 
 @add("ft28_explain_score", _HEAD + "SELECT term, round(part, 6) AS score FROM scored WHERE doc_id = 7 AND term IN ('the', 'and', 'zzz')")
@@ -666,7 +715,7 @@ def _(s, d):
     return t(s, d, "documents").select("doc_id", Q.highlight(c("text"), ["the", "and"], size=80).alias("h"))
 
 
-@add("ft1_standard_analyzer", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+(?:[''’.][\\p{L}\\p{N}_]+)*')) AS n FROM documents")
+@add("ft1_standard_analyzer", "SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '(?:[\\p{L}\\p{M}]+(?:[''’.:·][\\p{L}\\p{M}]+)*|\\p{Nd}+(?:[.,;'']\\p{Nd}+)*|_+)+'), lambda x: NOT regexp_full_match(x, '_+'))) AS n FROM documents")
 def _(s, d):
     return t(s, d, "documents").select("doc_id", F.size(Q.analyze("standard", c("text"))).cast("long").alias("n"))
 
@@ -681,15 +730,51 @@ def _(s, d):
     return t(s, d, "nation").select("n_nationkey", Q.analyze("edge_ngram(1,5)", c("n_name")).alias("e"))
 
 
-@add("ft2_3_6_custom_analyzers")
+def _own_index(s: SparkSession, d: str, table: str, pk: str, column: str, analyzer: str, **more) -> Q.Index:
+    return Q.Index(t(s, d, table).select(pk, column), pk, [Q.TextField(column, analyzer, **more)])
+
+
+def _found(name: str, table: str, pk: str, column: str, analyzer: str, text: str, sql: str, **more) -> None:
+    """A match through an analyzer of its own, on the index's side and the query's."""
+
+    @add(name, sql)
+    def _(s, d):
+        return Q.search(_own_index(s, d, table, pk, column, analyzer, **more), Q.Match([column], text)).select(pk)
+
+
+_SPLIT = "list_filter(regexp_split_to_array({x}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+_found("ft2_folding", "documents", "doc_id", "text", "whitespace | lowercase | ascii_folding", "FÜR CIÓN", f"SELECT doc_id FROM documents WHERE list_has_any(list_transform({_SPLIT.format(x='lower(text)')}, lambda x: strip_accents(x)), ['fur', 'cion'])")
+_found("ft3_stopwords", "documents", "doc_id", "text", "whitespace | lowercase | stop(english)", "The and OF with un", f"SELECT doc_id FROM documents WHERE list_contains({_SPLIT.format(x='lower(text)')}, 'un')")
+_found("ft5_ngram_index", "nation", "n_nationkey", "n_name", "ngram(3,3)", "N_1", "SELECT n_nationkey FROM nation WHERE contains(lower(n_name), 'n_1')")
+_found("ft5_edge_ngram_index", "part", "p_partkey", "p_name", "edge_ngram(4,6)", "Smal", "SELECT p_partkey FROM part WHERE starts_with(lower(p_name), 'smal')")
+_found("ft6_custom_pipeline", "documents", "doc_id", "text", "regex([a-z]+) | stopwords(the,of) | remove_long(7) | alphanum_only", "the of and, whatever", "SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(text, '[a-z]+'), 'and')")
+_found("ft7_search_analyzer", "part", "p_partkey", "p_type", "whitespace | lowercase", "ECONOMY", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_type), ' '), 'economy')", search_analyzer="keyword | lowercase")
+
+
+@add("ft7_keyword_twin", "SELECT p_brand, count(*) AS n FROM part WHERE p_brand = 'Brand#23' GROUP BY p_brand")
 def _(s, d):
-    return t(s, d, "documents").select("doc_id", F.size(Q.analyze("folding", c("text"))).alias("folded"), F.size(Q.analyze("english", c("text"))).alias("english"), F.size(Q.analyze("standard | lowercase | ascii_folding | alphanum_only | stopwords(the,of) | remove_long(12)", c("text"))).alias("custom"))
+    e = _engine(s, d)
+    e.sql("CREATE SEARCH INDEX ix ON part (p_brand) WITH (p_brand.analyzer = 'standard', p_brand.keyword = true)")
+    hits = Q.search(e.search_index("part"), Q.Match(["p_brand.keyword"], "Brand#23"))
+    return hits.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("ft3_languages")
+def _(s, d):
+    """Stems of a French, a German and an English sentence beside each document's; the stemmers have tests of their own."""
+    return t(s, d, "documents").select("doc_id", F.size(Q.analyze("french", c("text"))).alias("french"), F.size(Q.analyze("german", c("text"))).alias("german"), F.size(Q.analyze("english", c("text"))).alias("english"))
+
+
+_RRF = f"""WITH d AS (SELECT documents.*, embedding FROM documents JOIN embeddings ON doc_id = vec_id), {_TOKENS.replace('FROM documents', 'FROM d')}, {_BM25},
+hits AS (SELECT doc_id, row_number() OVER (ORDER BY sum(part) DESC, doc_id) AS r FROM scored WHERE term IN ('from', 'the') GROUP BY doc_id QUALIFY r <= 40),
+near AS (SELECT doc_id, row_number() OVER (ORDER BY dist, doc_id) AS r FROM (SELECT doc_id, {_METRICS['cosine']} AS dist FROM (SELECT doc_id, CAST(embedding AS DOUBLE[]) AS v FROM d)) QUALIFY r <= 40)
+SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM (SELECT * FROM hits UNION ALL SELECT * FROM near) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
 
 
-@add("ve7_rrf_hybrid")
+@add("ve7_rrf_hybrid", _RRF)
 def _(s, d):
     docs = t(s, d, "documents").join(t(s, d, "embeddings"), c("doc_id") == c("vec_id"))
-    ix = Q.Index(docs.select("doc_id", "text"), "doc_id", [Q.TextField("text")])
+    ix = Q.Index(docs.select("doc_id", "text"), "doc_id", [Q.TextField("text", "whitespace | lowercase")])
     text = V.ranked(Q.search(ix, Q.Match(["text"], "from the")), c("_score").desc(), "doc_id", 40)
     near = V.nearest(docs, "embedding", _query_vector(s, d), 40, "doc_id")
     return V.rrf([text, V.ranked(near, c("_distance").asc(), "doc_id", 40)], "doc_id", 20).select("doc_id", F.round("_rrf_score", 8).alias("score"))
@@ -748,19 +833,20 @@ _prom("pf6_changes", "changes(value[2h])", _row("ch::DOUBLE"))
 _prom("pf6_resets", "resets(value[2h])", _row("rs::DOUBLE"))
 _prom("pf7_deriv", "deriv(value[2h])", _row("sl", tail="WHERE n >= 2 AND sl IS NOT NULL"))
 _prom("pf7_predict_linear", "predict_linear(value[2h], 600)", _row("ic + sl * 600", tail="WHERE n >= 2 AND sl IS NOT NULL"))
-_prom("pf2_irate", "irate(value[2h])")
-_prom("pf2_idelta", "idelta(value[2h])")
-_prom("pf5_mad_over_time", "mad_over_time(value[2h])")
+_LAST2 = "(SELECT step_ms, event_type, shard, v, ms, lag(v) OVER w AS pv, lag(ms) OVER w AS pms, row_number() OVER (PARTITION BY step_ms, event_type, shard ORDER BY ms DESC) AS k FROM win WINDOW w AS (PARTITION BY step_ms, event_type, shard ORDER BY ms))"
+_prom("pf2_irate", "irate(value[2h])", _row("(CASE WHEN v >= pv THEN v - pv ELSE v END) / ((ms - pms) / 1000.0)", source=_LAST2, tail="WHERE k = 1 AND pms IS NOT NULL"))
+_prom("pf2_idelta", "idelta(value[2h])", _row("v - pv", source=_LAST2, tail="WHERE k = 1 AND pms IS NOT NULL"))
+_prom("pf5_mad_over_time", "mad_over_time(value[2h])", _row("mad(v)", source="win", tail="GROUP BY step_ms, event_type, shard"))
 _prom("ps4_offset", "value offset 1h", f"SELECT step_ms, {_NAMED}, round(arg_max(v, ms), 6) AS value FROM smp JOIN grid ON ms + 3600000 <= step_ms AND ms + 3600000 >= step_ms - 300000 GROUP BY step_ms, event_type, shard")
-_prom("ps4_at", "value @ 1704120000")
-_prom("ps5_subquery", "max_over_time(sum by (event_type) (count_over_time(value[10m]))[1h:10m])")
+_prom("ps4_at", "value @ 1704120000", f"SELECT step_ms, {_NAMED}, round(v, 6) AS value FROM grid, (SELECT event_type, shard, arg_max(v, ms) AS v FROM smp WHERE ms BETWEEN 1704120000000 - 300000 AND 1704120000000 GROUP BY event_type, shard)")
+_prom("ps5_subquery", "max_over_time(sum by (event_type) (count_over_time(value[10m]))[1h:10m])", f"SELECT step_ms, {_TYPE}, max(n)::DOUBLE AS value FROM grid JOIN (SELECT t0, event_type, count(*) AS n FROM smp JOIN (SELECT unnest(range({START} - 3600000, {END} + 1, 600000)) AS t0) ON ms BETWEEN t0 - 600000 AND t0 GROUP BY t0, event_type) ON t0 BETWEEN step_ms - 3600000 AND step_ms GROUP BY step_ms, event_type")
 for _f, _x in (("sum", "sum(v)"), ("avg", "avg(v)"), ("min", "min(v)"), ("max", "max(v)"), ("count", "count(*)::DOUBLE"), ("group", "max(1.0::DOUBLE)"), ("stddev", "stddev_pop(v)"), ("stdvar", "var_pop(v)")):
     _prom(f"pa1_{_f}_by", f"{_f} by (event_type) (value)", _row(_x, _TYPE, "inst", "GROUP BY step_ms, event_type"))
 _prom("pa1_sum_without", "sum without (shard) (value)", _row("sum(v)", _TYPE, "inst", "GROUP BY step_ms, event_type"))
 _prom("pa2_quantile", "quantile by (event_type) (0.75, value)", _row("quantile_cont(v, 0.75)", _TYPE, "inst", "GROUP BY step_ms, event_type"))
 _prom("pa3_topk", "topk(2, value)", _row("v", _NAMED, "(SELECT * FROM inst QUALIFY row_number() OVER (PARTITION BY step_ms ORDER BY v DESC, event_type, shard) <= 2)"))
 _prom("pa3_bottomk", "bottomk by (event_type) (1, value)", _row("v", _NAMED, "(SELECT * FROM inst QUALIFY row_number() OVER (PARTITION BY step_ms, event_type ORDER BY v, shard) <= 1)"))
-_prom("pa4_count_values", 'count_values("v", round(value))')
+_prom("pa4_count_values", 'count_values("v", round(value))', "SELECT step_ms, '{\"v\":\"' || CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) || '\"}' AS labels, count(*)::DOUBLE AS value FROM inst GROUP BY ALL")
 _prom("pb1_arithmetic", "value * 2 - 1", _row("v * 2 - 1", source="inst"))
 _prom("pb1_division_by_zero", "(value - value) / 0 > 0 or value ^ 2 % 7", _row("(v * v) % 7", source="inst"))
 _prom("pb2_filter", "value > 40", _row("v", _NAMED, "inst", "WHERE v > 40"))
@@ -789,7 +875,11 @@ _prom("pf13_sort_desc", "sort_desc(sum by (event_type) (value))", _row("sum(v)",
 _prom("pe1_instant_of_range", "sum(rate(value[2h]))", _row("sum(increase / 7200)", "'{}' AS labels", "rated", "GROUP BY step_ms"))
 
 
-@add("pf14_histogram_quantile")
+@add("pf14_histogram_quantile", f"""WITH e AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-02'),
+b AS (SELECT event_type, b, count(*) AS c FROM e, (SELECT unnest([10.0, 25.0, 50.0, 75.0, 'inf'::DOUBLE]) AS b) WHERE value <= b GROUP BY ALL),
+r AS (SELECT *, 0.9 * max(c) OVER (PARTITION BY event_type) AS rank, lag(b, 1, 0.0) OVER w AS low, lag(c, 1, 0) OVER w AS under FROM b WINDOW w AS (PARTITION BY event_type ORDER BY b))
+SELECT {START}::BIGINT AS step_ms, '{{"event_type":"' || event_type || '"}}' AS labels, round(CASE WHEN isinf(b) THEN low ELSE low + (b - low) * (rank - under) / (c - under) END, 6) AS value
+FROM r WHERE c >= rank QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY b) = 1""")
 def _(s, d):
     e = t(s, d, "events").where("ts < timestamp_ntz'2024-01-02'")
     bounds = [10.0, 25.0, 50.0, 75.0, float("inf")]
@@ -885,15 +975,188 @@ def _(s, d):
     return R.upsert(rows, s.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(7).cast("long").alias("k")), ["event_id"])
 
 
+def _written(s: SparkSession, lines: list[str], what: str) -> str:
+    path = f"{shared_dir(s)}/larkspur/{what}/{uuid.uuid4().hex}"
+    s.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
 @add("sc15_bulk_actions", "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 1 THEN 'new' ELSE n_name END AS n_name FROM nation WHERE n_nationkey % 5 <> 2 UNION ALL SELECT 100, 'made'")
 def _(s, d):
-    from larkspur.sources.ingest import apply_bulk
+    from larkspur.sources.ingest import apply_bulk, bulk
+
+    n, body = t(s, d, "nation").select("n_nationkey", "n_name"), []
+    for k in range(25):
+        if k % 5 in (1, 2, 3):
+            action = ("index", "delete", "create")[k % 5 - 1]
+            body += [f'{{"index": {{"_id": {k}}}}}', '{"n_name": "old"}'] if action == "index" else []
+            body += [f'{{"{action}": {{"_id": "{k}"}}}}', *(['{"n_name": "new"}'] if action != "delete" else [])]
+    body += ['{"create": {"_id": 100}}', '{"n_name": "made"}']
+    return apply_bulk(n, bulk(s, _written(s, body, "bulk")), "n_nationkey", "n_nationkey int, n_name string")
+
+
+@add("sc15_bulk_ids", "SELECT n_name, true AS named FROM nation")
+def _(s, d):
+    """Actions without ids: each document is a row of its own."""
+    from larkspur.sources.ingest import apply_bulk, bulk
 
-    n = t(s, d, "nation").select("n_nationkey", "n_name")
-    doc = F.to_json(F.struct("n_nationkey", F.lit("new").alias("n_name")))
-    act = n.where("n_nationkey % 5 in (1, 2, 3)").select(c("n_nationkey").cast("long").alias("seq"), F.element_at(F.array(F.lit("index"), F.lit("delete"), F.lit("create")), c("n_nationkey") % 5).alias("action"), c("n_nationkey").cast("string").alias("id"), doc.alias("doc"))
-    act = act.unionAll(s.createDataFrame([(99, "create", "100", '{"n_nationkey": 100, "n_name": "made"}')], act.schema))
-    return apply_bulk(n, act, "n_nationkey", "n_nationkey int, n_name string")
+    names = [r.n_name for r in t(s, d, "nation").select("n_name").collect()]  # 25
+    body = [line for n in names for line in ('{"index": {}}', json.dumps({"n_name": n}))]
+    old = s.createDataFrame([], "id string, n_name string")
+    return apply_bulk(old, bulk(s, _written(s, body, "bulk")), "id", "id string, n_name string").select("n_name", (F.length("id") > 0).alias("named"))
+
+
+@add("sc16_remote_write", "SELECT 'nation_keys' AS name, n_name AS nation, 1000::BIGINT + n_regionkey AS ts, n_nationkey::DOUBLE AS value FROM nation")
+def _(s, d):
+    from larkspur.sources.ingest import decoded_writes, encode_write
+
+    samples = [({"__name__": "nation_keys", "nation": r.n_name}, 1000 + r.n_regionkey, float(r.n_nationkey)) for r in t(s, d, "nation").collect()]  # 25
+    bodies = s.createDataFrame([(encode_write(samples[:10]),), (encode_write(samples[10:]),)], "content binary")
+    return decoded_writes(bodies).select(c("labels")["name"].alias("name"), c("labels")["nation"].alias("nation"), "ts", "value")
+
+
+@add("st9_scrape_tick", "SELECT 'nation_keys' AS name, CASE WHEN n_nationkey < 10 THEN 'a:1' ELSE 'b:1' END AS instance, n_name AS nation, n_nationkey::DOUBLE AS value FROM nation UNION ALL SELECT 'up', unnest(['a:1', 'b:1', 'c:1']), NULL, unnest([1.0, 1.0, 0.0])::DOUBLE")
+def _(s, d):
+    from larkspur.sources.ingest import scrape
+
+    body = {"a:1": "# TYPE nation_keys gauge", "b:1": "", "c:1": None}
+    for r in t(s, d, "nation").collect():  # 25
+        body["a:1" if r.n_nationkey < 10 else "b:1"] += f'\nnation_keys{{nation="{r.n_name}",job="other"}} {r.n_nationkey}'
+    got = scrape(s, "geo", body, 5000)
+    return got.where("labels['job'] = 'geo' and ts = 5000").select(c("labels")["__name__"].alias("name"), c("labels")["instance"].alias("instance"), c("labels")["nation"].alias("nation"), "value")
+
+
+@add("sc18_export", "SELECT 'json' AS kind, n_nationkey::BIGINT AS key, n_name AS name FROM nation UNION ALL SELECT 'csv', n_nationkey, n_name FROM nation UNION ALL SELECT 'schema', NULL, 'CREATE TABLE nation (PRIMARY KEY (n_nationkey));'")
+def _(s, d):
+    from larkspur.engine import Engine
+    from larkspur.sources import export
+
+    e, path = Engine(s), f"{shared_dir(s)}/larkspur/export/{uuid.uuid4().hex}"
+    e.register("nation", t(s, d, "nation"), ["n_nationkey"])
+    for kind in ("json", "csv"):
+        export.tables(e, f"{path}/{kind}", kind)
+    read = s.read.schema("n_nationkey long, n_name string, n_regionkey int")
+    j = read.json(f"{path}/json/nation").select(F.lit("json").alias("kind"), c("n_nationkey").alias("key"), c("n_name").alias("name"))
+    v = read.option("header", "true").csv(f"{path}/csv/nation").select(F.lit("csv"), "n_nationkey", "n_name")
+    return j.unionAll(v).unionAll(s.read.text(f"{path}/json/schema.sql").select(F.lit("schema"), F.lit(None).cast("long"), "value"))
+
+
+@add("sc19_streamed_rows", "SELECT 'n_nationkey,n_name' AS header, 3::BIGINT AS chunks, count(*) AS n FROM nation")
+def _(s, d):
+    header, *parts = _engine(s, d).stream("SELECT n_nationkey, n_name FROM nation", chunk=10)
+    return s.createDataFrame([(",".join(header), len(parts), sum(map(len, parts)))], "header string, chunks long, n long")
+
+
+@add("sc20_backup_restore", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0 UNION ALL SELECT -1, -5.0")
+def _(s, d):
+    from larkspur.engine import Engine
+
+    e, path = Engine(s), f"{shared_dir(s)}/larkspur/backup/{uuid.uuid4().hex}"
+    e.register("customer", t(s, d, "customer"), ["c_custkey"])
+    e.sql("INSERT INTO customer (c_custkey, c_acctbal) VALUES (-1, -5.0)")
+    e.do_backup(path)
+    again = Engine(s)
+    again.do_restore(path)
+    return again.sql("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")
+
+
+@add("sc22_table_ttl", "SELECT 'gone' AS name, 0::BIGINT AS n UNION ALL SELECT 'kept', 2 UNION ALL SELECT 'never', 1")
+def _(s, d):
+    import time
+
+    from larkspur.engine import Engine
+
+    e = Engine(s)
+    for name, more in (("gone", " WITH (ttl = 50ms)"), ("kept", " WITH (ttl = 30d)"), ("never", "")):
+        e.sql(f"CREATE TABLE {name} (PRIMARY KEY (id)){more}")
+        e.sql(f"INSERT INTO {name} (id, v) VALUES (1, 'a')")
+    e.sql("INSERT INTO kept (id, v) VALUES (2, 'b')")
+    time.sleep(0.1)
+    out = None
+    for name in ("gone", "kept", "never"):
+        one = e.sql(f"SELECT count(*) AS n FROM {name}").select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@add("sc25_codecs", "SELECT codec, count(*) AS n, sum(n_nationkey)::BIGINT AS keys FROM nation, (SELECT unnest(['none', 'lz4', 'snappy', 'zstd']) AS codec) GROUP BY codec")
+def _(s, d):
+    from larkspur.sources import export
+
+    path, out = f"{shared_dir(s)}/larkspur/codecs/{uuid.uuid4().hex}", None
+    for codec in ("none", "lz4", "snappy", "zstd"):
+        export.parquet(t(s, d, "nation"), f"{path}/{codec}", codec, ["n_nationkey"])
+        one = s.read.parquet(f"{path}/{codec}").agg(F.count(F.lit(1)).alias("n"), F.sum("n_nationkey").alias("keys")).select(F.lit(codec).alias("codec"), "n", "keys")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@add("sc8_geo_index_scan", f"SELECT c_custkey FROM {_POINTS} WHERE lat BETWEEN -20 AND 30 AND (lon >= 150 OR lon <= -170)")
+def _(s, d):
+    index = G.indexed(_points(s, d), "lat", "lon", f"{shared_dir(s)}/larkspur/geo/{uuid.uuid4().hex}")
+    return G.scan(index, "lat", "lon", (-20.0, 150.0, 30.0, -170.0)).select("c_custkey")
+
+
+@add("sf9_score", _HEAD + "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term = 'with' GROUP BY doc_id")
+def _(s, d):
+    e = _engine(s, d)
+    e.sql("CREATE SEARCH INDEX ix ON documents (text) WITH (text.analyzer = 'whitespace | lowercase')")
+    return e.sql("SELECT doc_id, score() AS score FROM documents WHERE MATCH(text, 'with')").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@add("sf10_rrf_score", _RRF.replace("('from', 'the')", "('from')").replace("LIMIT 20", "LIMIT 10"))
+def _(s, d):
+    e = _engine(s, d)
+    e.register("both", t(s, d, "documents").join(t(s, d, "embeddings"), c("doc_id") == c("vec_id")).select("doc_id", "text", "embedding"), ["doc_id"])
+    e.sql("CREATE SEARCH INDEX ix ON both (text) WITH (text.analyzer = 'whitespace | lowercase')")
+    vector = ", ".join(repr(x) for x in _query_vector(s, d))
+    return e.sql(f"SELECT doc_id, rrf_score() AS score FROM both NEAREST(embedding, [{vector}], 40) WHERE MATCH(text, 'from') RANK BY RRF LIMIT 10").select("doc_id", F.round("score", 8).alias("score"))
+
+
+@add("jo9_timeseries_refusals", "SELECT unnest(['JOIN', 'UNION', 'NEAREST', 'UPDATE', 'DELETE']) AS statement, true AS refused")
+def _(s, d):
+    e, rows = _engine(s, d), []
+    for name, text in (
+        ("JOIN", "SELECT e.value FROM events e JOIN nation n ON e.user = n.n_name"), ("UNION", "SELECT user FROM events UNION SELECT n_name FROM nation"),
+        ("NEAREST", "SELECT user FROM events NEAREST(value, [1.0], 2)"), ("UPDATE", "UPDATE events SET value = 1.0"), ("DELETE", "DELETE FROM events WHERE value > 1"),
+    ):
+        try:
+            e.sql(text)
+            rows.append((name, False))
+        except ValueError:
+            rows.append((name, True))
+    return s.createDataFrame(rows, "statement string, refused boolean")
+
+
+@add("dm9_prepared_batch", "SELECT n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 2 UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 3 AND n_nationkey > 10 UNION ALL SELECT 'more'")
+def _(s, d):
+    e = _engine(s, d)
+    last = e.batch("CREATE TABLE made (PRIMARY KEY (id))", ("INSERT INTO made (id, n_name) VALUES (?, ?)", 1, "more"), "SELECT n_name FROM made")[-1]
+    among = e.prepare("SELECT n_name FROM nation WHERE n_regionkey = ? AND n_nationkey > ?")
+    return among(1, 2).unionAll(among(3, 10)).unionAll(last)
+
+
+@add("st8_refresh", "SELECT n_nationkey FROM nation WHERE list_has_any(string_split(lower(n_name), ' '), ['nation_3', 'nation_17'])")
+def _(s, d):
+    """A search index that a stream refreshes: each batch of rows joins the table, and the next search sees it."""
+    from larkspur.engine import Engine
+    from larkspur.streaming.rollups import refreshed
+
+    e = Engine(s)
+    e.sql("CREATE TABLE live (PRIMARY KEY (n_nationkey))")
+    e.sql("CREATE SEARCH INDEX ix ON live (n_name) WITH (n_name.analyzer = 'whitespace | lowercase')")
+    rows = t(s, d, "nation").select("n_nationkey", "n_name")
+    folder = f"{shared_dir(s)}/larkspur/live/{uuid.uuid4().hex}"
+    rows.repartition(3).write.parquet(f"{folder}/rows")
+
+    def build(batch: DataFrame, number: int) -> None:
+        kept = f"{folder}/batch-{number}"
+        batch.write.mode("overwrite").parquet(kept)  # a batch is gone once its turn is over
+        e.append("live", s.read.schema(batch.schema).parquet(kept).withColumn("_seq", F.lit(number)))
+
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/rows")
+    refreshed(stream, build, None).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    return e.sql("SELECT n_nationkey FROM live WHERE MATCH(n_name, 'Nation_3 NATION_17')")
 
 
 @add("sc17_text_exposition", "SELECT 'nation_keys' AS name, n_name AS nation, 1000::BIGINT + n_regionkey AS ts, n_nationkey::DOUBLE AS value FROM nation")
@@ -905,9 +1168,13 @@ def _(s, d):
     return got.select(c("labels")["__name__"].alias("name"), c("labels")["nation"].alias("nation"), "ts", "value")
 
 
-@add("sc21_memory_table", "SELECT r_regionkey, r_name FROM region")
+@add("sc21_memory_table", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 9, 'more'")
 def _(s, d):
-    return t(s, d, "region").select("r_regionkey", "r_name").cache()
+    e = _engine(s, d)
+    e.sql("CREATE TABLE mem (PRIMARY KEY (r_regionkey)) WITH (memory = true)")
+    e.append("mem", t(s, d, "region").select("r_regionkey", "r_name").withColumn("_seq", F.lit(0)))
+    e.sql("INSERT INTO mem (r_regionkey, r_name) VALUES (9, 'more')")
+    return e.sql("SELECT r_regionkey, r_name FROM mem").select(c("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
 
 
 @add("sc24_show_tables", "SELECT unnest(['customer', 'documents', 'embeddings', 'events', 'nation', 'orders', 'part']) AS name, unnest(['table', 'table', 'table', 'timeseries', 'table', 'table', 'table']) AS detail")
@@ -975,10 +1242,10 @@ def _(s, d):
 
 @add("ft30_saved_index", _HEAD + "SELECT doc_id, round(sum(part), 6) AS score FROM scored WHERE term = 'are' GROUP BY doc_id")
 def _(s, d):
-    import tempfile
-
-    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-index-")
-    return _scored(Q.search(_index(s, d).saved(f"{folder}/postings"), Q.Match(["text"], "are")))
+    docs, fields = t(s, d, "documents").select("doc_id", "text"), [Q.TextField("text", "whitespace | lowercase")]
+    path = f"{shared_dir(s)}/larkspur/search/{uuid.uuid4().hex}"
+    Q.Index(docs, "doc_id", fields).saved(path)
+    return _scored(Q.search(Q.Index.opened(docs, "doc_id", fields, path), Q.Match(["text"], "are")))
 
 
 def _dsl(name: str, body: dict, oracle: str | None, table: str = "documents") -> None:

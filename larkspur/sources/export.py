@@ -32,7 +32,7 @@ def tables(engine, path: str, kind: str = "json") -> None:
     for key, t in sorted(engine.tables.items()):
         lines.append(declaration(key, t.pk, t.series))
         if t.rows.columns:
-            write(t.rows, f"{path}/{key}")
+            write(t.rows.drop("_written_at"), f"{path}/{key}")
     engine.spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.mode("overwrite").text(f"{path}/schema.sql")
 
 

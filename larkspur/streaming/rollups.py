@@ -24,8 +24,8 @@ def rollup_stream(stream: DataFrame, labels: Sequence[str], field: str, step: st
     return out.select(*labels, F.col("w.start").alias("bucket"), *(c for c in out.columns if c.startswith(f"{field}_")))
 
 
-def upsert_sink(path: str, keys: Sequence[str]):
-    """A foreachBatch function that keeps the newest row of each key in Parquet under `path`.
+def upsert_sink(path: str):
+    """A foreachBatch function that keeps rows in Parquet under `path`.
 
     Each batch is written to a folder of its own, named by its number, so a batch that runs again replaces
     itself; `current` reads the newest row of each key.
@@ -66,6 +66,7 @@ def accept_stream(stream: DataFrame, series: Sequence[str], ts: str, value: str,
     return rows.groupBy(*series).applyInPandasWithState(judge, out, "newest long", "append", GroupStateTimeout.NoTimeout)
 
 
-def refreshed(stream: DataFrame, build, interval: str = "1 second"):
-    """Near-real-time refresh: every interval `build` gets the rows that came in, to add to an index."""
-    return stream.writeStream.trigger(processingTime=interval).foreachBatch(lambda batch, number: build(batch, number))
+def refreshed(stream: DataFrame, build, interval: str | None = "1 second"):
+    """Near-real-time refresh: every interval `build` gets the rows that came in, to add to an index; without one, what is there now, once."""
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return stream.writeStream.trigger(**trigger).foreachBatch(lambda batch, number: build(batch, number))

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -54,10 +55,40 @@ def test_analyzers(spark):
     assert tokens("keyword") == ["The Dog's naïve-été 42 running!"]
     assert tokens("whitespace | lowercase | stopwords(the)")[0] == "dog's"
     assert df.select(Q.analyze("ngram(2,3)", F.lit("abcd")).alias("x")).first().x == ["ab", "abc", "bc", "bcd", "cd"]
-    for a in ("standard", "folding", "english"):
+    for a in ("standard", "folding", "english", "french", "whitespace | lowercase", "unicode | lowercase | ascii_folding | stopwords(the,42)", "ngram(2,3)", "edge_ngram(1,4)", "regex((dog|run)) | stem(german) | lowercase", "unicode | alphanum_only | remove_long(5) | stop(english)"):
         assert tokens(a) == Q.analyze_text(a, "The Dog's naïve-été 42 running!")
-    with pytest.raises(ValueError):
-        tokens("nosuch")
+    for bad in ("nosuch", "unicode | frobnicate", "unicode | stop(klingon)", "unicode | remove_long(0)", "unicode | | lowercase", "unicode | stopwords()", "whitespace(8) | lowercase", "ngram(3,2)", " | ".join(["unicode", *["lowercase"] * 17])):
+        with pytest.raises((ValueError, re.error)):
+            tokens(bad)
+
+
+def test_words_and_languages(spark):
+    tokens = lambda a, text: Q.analyze_text(a, text)
+    assert tokens("standard", "3.14 or 1,000; a.b c:d x.1 e-mail __ _a 東京カタ") == ["3.14", "or", "1,000", "a.b", "c:d", "x", "1", "e", "mail", "_a", "東", "京", "カタ"]
+    sentence = "Nobody's 2 LAZY cats were happily jumping over five-foot fences."
+    assert tokens("english", sentence) == ["nobodi", "2", "lazi", "cat", "were", "happili", "jump", "over", "five", "foot", "fenc"]
+    assert tokens("french", "les nations magnifiques chantaient") == ["nation", "magnif", "chant"]
+    assert tokens("german", "die Bücher und Kategorien") == ["buch", "kategori"]
+    assert tokens("swedish", "och flickorna") == ["flick"] and tokens("spanish", "las canciones") == ["cancion"]
+    assert tokens("russian", "важнейшими") == ["важн"] and tokens("tamil", "word words") == ["word", "words"]
+
+
+@pytest.mark.parametrize("analyzer,text,found", [("folding", "café", 1), ("ngram(3,5)", "noir", 1), ("english", "CHAIRS", 2), ("unicode | lowercase | stopwords(noir)", "noir", 0), ("standard", "cafe", 0), ("regex([a-z]+)", "noir", 1)])
+def test_queries_are_analyzed_as_the_index_is(spark, analyzer, text, found):
+    docs = spark.createDataFrame([(1, "Cafe noir"), (2, "a chair"), (3, "two chairs"), (4, None)], "id int, t string")
+    ix = Q.Index(docs, "id", [Q.TextField("t", analyzer)])
+    assert Q.search(ix, Q.Match(["t"], text)).count() == found
+
+
+def test_a_saved_index_is_the_same(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} all") for k in range(60)], "id int, t string")
+    fields = [Q.TextField("t", copy_to="every"), Q.TextField("t", "keyword", alias="t.keyword")]
+    plain, saved = Q.Index(docs, "id", fields), Q.Index(docs, "id", fields).saved(str(tmp_path / "ix"))
+    again = Q.Index.opened(docs, "id", fields, str(tmp_path / "ix"))
+    for q in (Q.Match(["t"], "w3 w4"), Q.Match(["every"], "w1"), Q.MatchPhrase("t", "w2 w2"), Q.Match(["t.keyword"], "w1 w1 all"), Q.Match([], "all")):
+        want = sorted((r.id, round(r._score, 9)) for r in Q.search(plain, q).collect())
+        for ix in (saved, again):
+            assert sorted((r.id, round(r._score, 9)) for r in Q.search(ix, q).collect()) == want and want
 
 
 def osa(a, b):
@@ -87,20 +118,33 @@ def test_edit_distance(a, b):
     assert Q.edit_distance("ab", "ba") == 1 and Q.edit_distance("abcd", "badc") == 2
 
 
-def test_least_moves():
-    for _ in range(200):
-        r = random.Random(_)
+def test_slop_is_the_least_total_of_moves(spark):
+    rows = []
+    for k in range(200):
+        r = random.Random(k)
         ps = [sorted(r.sample(range(20), r.randint(1, 4))) for _ in range(r.randint(2, 4))]
         want = min(max(c - k for k, c in enumerate(x)) - min(c - k for k, c in enumerate(x)) for x in itertools.product(*ps))
-        assert Q.least_moves(ps) == want
+        rows.append((ps, want))
+    df = spark.createDataFrame(rows, "ps array<array<int>>, want int")
+    for slop in (0, 1, 3, 6):
+        assert df.where(Q._near(F.col("ps"), slop) != (F.col("want") <= slop)).count() == 0
 
 
 def test_fragments():
     text = "a fox & a dog. " + "x " * 100 + "the fox ran"
-    assert Q.fragments(text, {"fox"}, size=20) == [Q.fragments(text, {"fox"}, size=20)[0]]
-    assert "<b>fox</b> &amp; a" in Q.fragments(text, {"fox"}, size=30)[0]
-    assert len(Q.fragments(text, {"fox"}, size=20, count=2)) == 2
-    assert Q.fragments(text, {"cat"}, no_match=5) == ["a fox"] and Q.fragments("", {"cat"}) == []
+    marked = lambda t, word, **o: Q.fragments(t, [(w, w == word) for w in re.findall(r"\w+", t)], **o)
+    assert marked(text, "fox", size=20) == [marked(text, "fox", size=20)[0]]
+    assert "<b>fox</b> &amp; a" in marked(text, "fox", size=30)[0]
+    assert len(marked(text, "fox", size=20, count=2)) == 2
+    assert marked(text, "cat", no_match=5) == ["a fox"] and marked("", "cat") == []
+
+
+def test_highlight_marks_what_the_analyzer_matches(spark):
+    df = spark.createDataFrame([("A Café & the running fox.",), (None,)], "t string")
+    got = lambda terms, a: df.select(Q.highlight(F.col("t"), terms, a, size=60).alias("h")).collect()
+    assert [r.h for r in got(["cafe"], "folding")] == ["A <b>Café</b> &amp; the running fox.", ""]
+    assert got(["run"], "english")[0].h == "A Café &amp; the <b>running</b> fox."
+    assert got(["fox"], "standard")[0].h == "A Café &amp; the running <b>fox</b>."
 
 
 def test_query_string():
@@ -111,12 +155,29 @@ def test_query_string():
     assert isinstance(Q.query_string("(a OR b) AND c", ["t"]), Q.And)
 
 
-def test_lsh_recall(spark):
+def test_inverted_lists_recall(spark, tmp_path):
     df = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
-    q = [float(x) for x in df.where("vec_id = 3").first().embedding]
-    want = {r.vec_id for r in V.nearest(df, "embedding", q, 10, "vec_id").collect()}
-    got = {r.vec_id for r in V.nearest_lsh(df, "embedding", q, 10, "vec_id").collect()}
-    assert 3 in got and len(want & got) >= 5
+    index = V.InvertedLists.build(df.unionByName(df.limit(1).selectExpr("-1L AS vec_id", "array(1f) AS embedding", "0 AS label")), "embedding", str(tmp_path / "lists"), 8)
+    assert spark.read.parquet(str(tmp_path / "lists")).count() == df.count() + 1
+    hits = 0
+    for r in df.where("vec_id % 5 = 0").collect()[:12]:
+        q = [float(x) for x in r.embedding]
+        want = {x.vec_id for x in V.nearest(df, "embedding", q, 10, "vec_id").collect()}
+        hits += len(want & {x.vec_id for x in index.search("embedding", q, 10, "vec_id").collect()})
+        every = [x.vec_id for x in index.search("embedding", q, 10, "vec_id", 8).collect()]
+        assert set(every) == want and index.search("embedding", q, 90, "vec_id", 1).count() == min(90, df.count())
+    assert hits >= 0.9 * 120
+
+
+def test_geo_index_scan_equals_a_filter(spark, tmp_path):
+    r = random.Random(3)
+    df = spark.createDataFrame([(k, r.uniform(-90, 90), r.uniform(-180, 180)) for k in range(600)], "id int, lat double, lon double")
+    index = G.indexed(df, "lat", "lon", str(tmp_path / "geo"))
+    for box in ((-20.0, 150.0, 30.0, -170.0), (0.0, 0.0, 10.0, 10.0), (-90.0, -180.0, 90.0, 180.0)):
+        want = {x.id for x in df.where(G.geo_bbox(F.col("lat"), F.col("lon"), *box)).collect()}
+        assert {x.id for x in G.scan(index, "lat", "lon", box).collect()} == want
+    assert "GreaterThanOrEqual(_z" in G.scan(index, "lat", "lon", (0.0, 0.0, 10.0, 10.0))._jdf.queryExecution().toString()
+
 
 
 def test_embedder():

@@ -20,6 +20,27 @@ def test_bulk(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 6), (2, 1), (4, 1)]
 
 
+def test_bulk_ids_and_order(spark, tmp_path):
+    body = lambda *lines: "\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines) + "\n"
+    (tmp_path / "1.ndjson").write_text(body({"index": {"_id": "a"}}, {"v": 1}, "", {"index": {}}, {"v": 7}, {"index": {}}, {"v": 8}, {"index": {"_id": "b"}}, {"v": 2}, {"create": {"_id": "b"}}, {"v": 3}))
+    (tmp_path / "2.ndjson").write_text(body({"index": {"_id": "a"}}, {"v": 9}, {"delete": {"_id": "c"}}, {"create": {"_id": "c"}}, {"v": 4}, {"create": {"_id": "c"}}, {"v": 5}, {"create": {"_id": "d"}}, {"v": 6}))
+    old = spark.createDataFrame([("c", 1), ("d", 1)], "id string, v long")
+    acts = ingest.bulk(spark, str(tmp_path), "t")
+    got = sorted(map(tuple, ingest.apply_bulk(old, acts, "id", "id string, v long").collect()))
+    assert [r for r in got if len(r[0]) == 1] == [("a", 9), ("b", 2), ("c", 4), ("d", 1)]
+    made = [r for r in got if len(r[0]) > 1]
+    assert sorted(v for _, v in made) == [7, 8] and len({k for k, _ in made}) == 2
+    assert sorted(map(tuple, acts.collect())) == sorted(map(tuple, acts.collect()))  # ids are the same again
+
+
+def test_scrape_and_encoded_writes(spark):
+    got = ingest.scrape(spark, "j", {"a": 'x{job="k",z="1"} 2 77', "b": None}, 50).collect()
+    assert sorted((r.labels["__name__"], r.labels["instance"], r.ts, r.value) for r in got) == [("up", "a", 50, 1.0), ("up", "b", 50, 0.0), ("x", "a", 77, 2.0)]
+    assert all(r.labels["job"] == "j" for r in got)
+    samples = [({"host": "é"}, -5, 2.5), ({"host": "b", "k": "v" * 300}, 1 << 40, float("inf"))]
+    assert [*ingest.decode_write(ingest.encode_write(samples))] == samples and [*ingest.decode_write(ingest.encode_write([]))] == []
+
+
 def test_exposition(spark):
     text = ["# HELP x y", 'http_total{code="200",path="/a\\"b"} 3', "up 1 1700000000000", 'b{le="+Inf"} +Inf', "junk line here ok"]
     got = ingest.exposition(spark.createDataFrame([(x,) for x in text], "value string"), 5).collect()
@@ -62,7 +83,7 @@ def test_stream_rollup_equals_batch(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = rollups.rollup_stream(stream, ["host"], "v", "10m", "2h")
-    q = out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(rollups.upsert_sink(str(tmp_path / "out"), ["host", "bucket"])).start()
+    q = out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(rollups.upsert_sink(str(tmp_path / "out"))).start()
     q.processAllAvailable()
     q.stop()
     got = rollups.current(spark, str(tmp_path / "out"), ["host", "bucket"])

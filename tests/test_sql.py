@@ -15,61 +15,120 @@ def rows(df):
 
 
 def test_basic(db):
-    db.sql("CREATE TABLE t (PRIMARY KEY (id))")
-    assert db.sql("INSERT INTO t (id, a, c) VALUES (1, 10, 'x'), (2, 20, 'y')").first().affected == 2
-    assert rows(db.sql("SELECT id, a * 2 AS b, c FROM t ORDER BY id")) == [(1, 20, "x"), (2, 40, "y")]
-    db.sql("INSERT INTO t (id, a) VALUES (1, 11)")  # replaces the whole row
-    assert rows(db.sql("SELECT id, a, c FROM t ORDER BY id")) == [(1, 11, None), (2, 20, "y")]
-    assert db.sql("DELETE FROM t WHERE c = 'y'").first().affected == 1
-    assert rows(db.sql("SELECT count(*) FROM t")) == [(1,)]
+    db.sql("CREATE TABLE boats (PRIMARY KEY (hull))")
+    assert db.sql("INSERT INTO boats (hull, crew, name) VALUES (7, 3, 'Ibis'), (8, 12, 'Kestrel'), (9, 1, 'Wren')").first().affected == 3
+    assert rows(db.sql("SELECT hull, crew + hull AS both, name FROM boats WHERE crew < 10 ORDER BY hull")) == [(7, 10, "Ibis"), (9, 10, "Wren")]
+    db.sql("INSERT INTO boats (hull, name) VALUES (9, 'Tern')")  # replaces the whole row
+    assert rows(db.sql("SELECT crew, name FROM boats WHERE hull = 9")) == [(None, "Tern")]
+    assert db.sql("DELETE FROM boats WHERE crew >= 3 AND name LIKE 'K%'").first().affected == 1
+    assert rows(db.sql("SELECT count(*), count(crew) FROM boats")) == [(2, 1)]
     with pytest.raises(KeyError):
-        db.sql("SELECT * FROM missing")
-    assert rows(db.sql("SELECT 1 + 2, 'it''s'")) == [(3, "it's")]
-
-
-def filters(db):
-    db.sql("CREATE TABLE f (PRIMARY KEY (id))")
-    db.sql("INSERT INTO f (id, a, c) VALUES (1, 5, 'apple'), (2, 15, 'Banana'), (4, NULL, 'cherry')")
-    db.sql("INSERT INTO f (id, c) VALUES (3, 'apricot')")
-    return lambda w: [r[0] for r in rows(db.sql(f"SELECT id FROM f WHERE {w} ORDER BY id"))]
+        db.sql("SELECT * FROM nowhere")
+    assert rows(db.sql("SELECT 7 - 2, 'o''clock'")) == [(5, "o'clock")]
 
 
-def test_filters(db):
-    ids = filters(db)
-    assert ids("a > 1") == [1, 2]
-    assert ids("NOT a > 10") == [1]
-    assert ids("a IS NULL") == [3, 4]
-    assert ids("a IN (5, 6)") == [1]
-    assert ids("a NOT IN (5, NULL)") == []
-    assert ids("a BETWEEN 5 AND 15") == [1, 2]
-    assert ids("c LIKE 'ap%'") == [1, 3]
-    assert ids("c ILIKE '%AN%'") == [2]
-    assert ids("c NOT LIKE '%p%'") == [2, 4]
-    assert ids("a = 'apple'") == []  # across types: NULL
-    assert ids("a = 5 OR c = 'cherry'") == [1, 4]
-    assert ids("nope IS NULL") == [1, 2, 3, 4]
+def test_predicates_and_nulls(db):
+    db.sql("CREATE TABLE herbs (PRIMARY KEY (no))")
+    db.sql("INSERT INTO herbs (no, height, name) VALUES (10, 40, 'basil'), (20, 90, 'Borage'), (30, NULL, 'chervil'), (40, 12, NULL)")
+    db.sql("INSERT INTO herbs (no, name) VALUES (50, 'bay')")
+    ids = lambda w: [r[0] for r in rows(db.sql(f"SELECT no FROM herbs WHERE {w} ORDER BY no"))]
+    assert ids("height >= 40") == [10, 20] and ids("NOT height >= 40") == [40]
+    assert ids("height IS NULL") == [30, 50] and ids("height IS NOT NULL AND name IS NULL") == [40]
+    assert ids("height IN (12, 13, 90)") == [20, 40] and ids("height NOT IN (12, NULL)") == []
+    assert ids("height BETWEEN 12 AND 40") == [10, 40]
+    assert ids("name LIKE 'b%'") == [10, 50] and ids("name ILIKE 'B%A%'") == [10, 20, 50] and ids("name NOT LIKE '%a%'") == [30]
+    assert ids("name = 12") == []  # across types: NULL
+    assert ids("height > 50 OR name = 'bay'") == [20, 50] and ids("unheard IS NULL") == [10, 20, 30, 40, 50]
 
 
 def test_aggregates(db):
-    db.sql("CREATE TABLE g (PRIMARY KEY (id))")
-    db.sql("INSERT INTO g (id, dept, price) VALUES (1,'a',10),(2,'a',30),(3,'b',5),(4,'b',7),(5,'c',100)")
-    assert rows(db.sql("SELECT dept, sum(price) AS total FROM g GROUP BY dept HAVING total > 12 ORDER BY total DESC")) == [("c", 100), ("a", 40)]
-    assert rows(db.sql("SELECT avg(price), min(price), max(price), count(DISTINCT dept) FROM g")) == [(30.4, 5, 100, 3)]
-    assert rows(db.sql("SELECT count(*), sum(price) FROM g WHERE id > 99")) == [(0, None)]
-    assert rows(db.sql("SELECT percentile(price, 0.5) AS p FROM g")) == [(10.0,)]
-    assert rows(db.sql("SELECT dept, id FROM g GROUP BY dept TOP 1 BY price DESC ORDER BY dept")) == [("a", 2), ("b", 4), ("c", 5)]
-    assert rows(db.sql("SELECT id FROM g GROUP BY dept TOP 1 BY price HAVING count(*) > 1 ORDER BY id")) == [(2,), (4,)]
+    db.sql("CREATE TABLE trips (PRIMARY KEY (n))")
+    db.sql("INSERT INTO trips (n, line, km) VALUES (1,'red',4),(2,'blue',9),(3,'red',2),(4,'blue',1),(5,'red',6),(6,'tram',NULL)")
+    assert rows(db.sql("SELECT line, sum(km) AS far FROM trips GROUP BY line HAVING far > 11 ORDER BY far DESC")) == [("red", 12)]
+    assert rows(db.sql("SELECT avg(km), min(km), max(km), count(km), count(DISTINCT line) FROM trips")) == [(4.4, 1, 9, 5, 3)]
+    assert rows(db.sql("SELECT count(*), max(km) FROM trips WHERE n > 50")) == [(0, None)]
+    assert rows(db.sql("SELECT percentile(km, 0.5) AS p FROM trips WHERE line = 'blue'")) == [(5.0,)]
+    assert rows(db.sql("SELECT line, n FROM trips GROUP BY line TOP 1 BY km ASC ORDER BY line")) == [("blue", 4), ("red", 3), ("tram", 6)]
 
 
 def test_order_and_limit(db):
-    db.sql("CREATE TABLE o (PRIMARY KEY (id))")
-    db.sql("INSERT INTO o (id, v) VALUES (1, 3), (2, 1), (3, 3), (4, NULL)")
-    assert rows(db.sql("SELECT id FROM o ORDER BY v")) == [(2,), (1,), (3,), (4,)]
-    assert rows(db.sql("SELECT id FROM o ORDER BY v DESC")) == [(4,), (1,), (3,), (2,)]
-    assert rows(db.sql("SELECT id FROM o ORDER BY v LIMIT 2 OFFSET 1")) == [(1,), (3,)]
-    assert rows(db.sql("SELECT DISTINCT v FROM o ORDER BY v")) == [(1,), (3,), (None,)]
-    assert rows(db.sql("SELECT id FROM o WHERE v IS NOT NULL ORDER BY v DESC AFTER (3, 1) LIMIT 5")) == [(3,), (2,)]
-    assert rows(db.sql("SELECT id FROM o WHERE v = ? ORDER BY id LIMIT ?", 3, 1)) == [(1,)]
+    db.sql("CREATE TABLE peaks (PRIMARY KEY (id))")
+    db.sql("INSERT INTO peaks (id, height) VALUES (5, 800), (6, 300), (7, NULL), (8, 800), (9, 650)")
+    ids = lambda text, *p: [r[0] for r in rows(db.sql(f"SELECT id FROM peaks {text}", *p))]
+    assert ids("ORDER BY height") == [6, 9, 5, 8, 7] and ids("ORDER BY height DESC") == [7, 5, 8, 9, 6]
+    assert ids("ORDER BY height LIMIT 2 OFFSET 1") == [9, 5]
+    assert rows(db.sql("SELECT DISTINCT height FROM peaks ORDER BY height")) == [(300,), (650,), (800,), (None,)]
+    assert ids("WHERE height IS NOT NULL ORDER BY height DESC AFTER (800, 5) LIMIT 5") == [8, 9, 6]
+    assert ids("WHERE height = ? ORDER BY id LIMIT ?", 800, 1) == [5]
+
+
+def test_rows_leave_with_time(db):
+    import time
+
+    db.sql("CREATE TABLE brief (PRIMARY KEY (id)) WITH (ttl = 600ms)")
+    db.sql("CREATE TABLE lasting (PRIMARY KEY (id))")
+    for t in ("brief", "lasting"):
+        db.sql(f"INSERT INTO {t} (id, v) VALUES (1, 'a'), (2, 'b')")
+    assert rows(db.sql("SELECT count(*) FROM brief")) == [(2,)]
+    time.sleep(0.7)
+    assert rows(db.sql("SELECT id FROM brief")) == [] and rows(db.sql("SELECT count(*) FROM brief")) == [(0,)]
+    assert db.sql("UPDATE brief SET v = 'c'").first().affected == 0 and db.sql("DELETE FROM brief").first().affected == 0
+    db.sql("INSERT INTO brief (id, v) VALUES (3, 'd')")
+    assert rows(db.sql("SELECT id FROM brief")) == [(3,)]
+    db.sql("ALTER TABLE lasting SET (ttl = 100ms)")
+    assert rows(db.sql("SELECT count(*) FROM lasting")) == [(0,)]
+    db.sql("ALTER TABLE lasting SET (ttl = 1d)")
+    assert rows(db.sql("SELECT id FROM lasting ORDER BY id")) == [(1,), (2,)]
+    assert "_written_at" not in db.sql("SELECT * FROM lasting").columns
+
+
+def test_many_statements_keep_a_short_plan(db):
+    from larkspur.engine import DEPTH
+
+    db.sql("CREATE TABLE log (PRIMARY KEY (id))")
+    for k in range(3 * DEPTH):
+        db.sql("INSERT INTO log (id, v) VALUES (?, ?)", k % 20, k)
+    assert db.table("log").depth < DEPTH
+    assert len(db.table("log").rows._jdf.queryExecution().analyzed().toString().splitlines()) < 12 * DEPTH
+    assert sorted(rows(db.sql("SELECT id, v FROM log"))) == [(k, max(x for x in range(3 * DEPTH) if x % 20 == k)) for k in range(20)]
+
+
+def test_values_of_several_types(db):
+    db.sql("CREATE TABLE mixed (PRIMARY KEY (id))")
+    db.sql("INSERT INTO mixed (id, x, y, z) VALUES (1, 1, NULL, 'a'), (2, 2.5, NULL, NULL), (3, NULL, NULL, 'c')")
+    assert rows(db.sql("SELECT id, x, y, z FROM mixed ORDER BY id")) == [(1, 1.0, None, "a"), (2, 2.5, None, None), (3, None, None, "c")]
+    db.sql("INSERT INTO mixed (id, y) VALUES (4, true)")
+    assert rows(db.sql("SELECT y, x FROM mixed WHERE id = 4")) == [(True, None)]
+    with pytest.raises(SyntaxError):
+        db.sql("INSERT INTO mixed (id, x) VALUES (5)")
+
+
+def test_stream_prepare_batch_and_memory(db):
+    db.sql("CREATE TABLE nums (PRIMARY KEY (id)) WITH (memory = true)")
+    put = db.prepare("INSERT INTO nums (id, v) VALUES (?, ?)")
+    for k in range(5):
+        put(k, k * k)
+    assert db.table("nums").rows.is_cached
+    header, *chunks = db.stream("SELECT id, v FROM nums ORDER BY id", chunk=2)
+    assert header == ["id", "v"] and chunks == [[(0, 0), (1, 1)], [(2, 4), (3, 9)], [(4, 16)]]
+    assert rows(db.batch(("DELETE FROM nums WHERE v > ?", 3), "SELECT count(*) FROM nums")[1]) == [(2,)]
+    with pytest.raises(Exception):
+        db.prepare("SELECT FROM WHERE ?")
+
+
+def test_a_search_sees_later_writes(db):
+    db.sql("CREATE TABLE notes (PRIMARY KEY (id))")
+    db.sql("INSERT INTO notes (id, body, tag) VALUES (1, 'Red fox', 'A b'), (2, 'grey wolf', 'c')")
+    db.sql("CREATE SEARCH INDEX ix ON notes (body, tag) WITH (body.analyzer = 'english', tag.type = 'keyword')")
+    found = lambda w: sorted(r[0] for r in rows(db.sql(f"SELECT id FROM notes WHERE {w}")))
+    assert found("MATCH(body, 'foxes')") == [1] and found("MATCH(tag, 'A b')") == [1] and found("MATCH(tag, 'A')") == []
+    kept = db.search_index("notes")
+    assert db.search_index("notes") is kept  # built once
+    db.sql("INSERT INTO notes (id, body) VALUES (3, 'two Foxes')")
+    assert found("MATCH(body, 'fox')") == [1, 3] and db.search_index("notes") is not kept
+    a = db.sql("SELECT HIGHLIGHT(body) AS h FROM notes WHERE MATCH(body, 'wolf')")
+    b = db.sql("SELECT HIGHLIGHT(body) AS h FROM notes WHERE MATCH(body, 'red')")
+    assert rows(a) == [("grey <b>wolf</b>",)] and rows(b) == [("<b>Red</b> fox",)]  # each its own terms
 
 
 def test_joins_and_unions(db):
