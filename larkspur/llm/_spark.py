@@ -61,10 +61,10 @@ def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFr
     paths = _open.paths = getattr(_open, "paths", None) or []
     paths.append([])
 
-    def keep(df: DataFrame, what: str) -> DataFrame:
+    def keep(df: DataFrame, what: str, most: int | None = None) -> DataFrame:
         mine = paths.pop()
         try:
-            return durable(df, what)
+            return durable(df, what, most=most)
         finally:
             paths.append(mine)
 
@@ -75,13 +75,23 @@ def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFr
             remove(spark, path)
 
 
-def durable(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+#: A plain local file system starts a process to set each file's mode, and writes a checksum file beside each; the
+#: first cannot be helped, the second can.
+WRITING = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Rows of a few numbers that make a file.
+FILE_ROWS = 50_000
+
+
+def durable(df: DataFrame, what: str, codec: str = "zstd", most: int | None = None) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: later stages survive the loss of any executor.
 
-    Shuffle files of the finished part are released at once, so the disk held is that of the largest part.
+    Shuffle files of the finished part are released at once, so the disk held is that of the largest part. most: about
+    how many rows it may have, if that is known, by which small results are written as few files.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
+    if most is not None:
+        df = df.coalesce(max(2, -(-most // FILE_ROWS)))
+    df.write.options(**WRITING).option("compression", codec).parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -108,6 +118,12 @@ def _trim() -> None:
         pass
 
 
+def input_parts(df: DataFrame, file_bytes: int = 8 << 20) -> DataFrame:
+    """A scan's many small partitions as fewer of about file_bytes of input; what is larger stays as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes))) if size < 1 << 50 else df
+
+
 def lean(run: Callable, owner: str = "") -> Callable:
     """`run`, a function for mapInArrow, in a worker that drops other owners' caches and returns what it freed to the
     system: workers are reused by later stages and share an executor's memory with others."""

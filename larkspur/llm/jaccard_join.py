@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
 from larkspur.llm._blocks import BLOCK, blocks, by_range, ensure, gathered, map_array, merged, write_array
-from larkspur.llm._spark import cached, documents, durable, lean, new_path, partitions, release, workspace
+from larkspur.llm._spark import cached, documents, durable, input_parts, lean, new_path, partitions, release, workspace
 from larkspur.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -245,7 +245,8 @@ def _subsets(percent: int):
 
 def light_edges(small: DataFrame, percent: int) -> DataFrame:
     """Links between small sets: rep, small (all tokens)."""
-    subsets = durable(small.select("rep", "small").mapInArrow(lean(_subsets(percent), "jaccard"), "s1 long, s2 long, common long, rep long, size long"), "subsets")
+    n = small.count()
+    subsets = durable(small.select("rep", "small").mapInArrow(lean(_subsets(percent), "jaccard"), "s1 long, s2 long, common long, rep long, size long"), "subsets", most=100 * n)
     least = subsets.groupBy("s1", "s2", "common").agg(F.min(F.struct("size", "rep")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = subsets.join(least, ["s1", "s2", "common"]).where(f"100 * common >= {percent} * (size + least.size - common) and rep <> least.rep")
     return met.select(F.col("rep").alias("a"), F.col("least.rep").alias("b"))
@@ -282,19 +283,20 @@ class _Comparison:
     reps: DataFrame  # rep, size, bitmaps
     percent: int
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose bitmaps allow a link."""
+    def plausible(self, pairs: DataFrame, most: int) -> DataFrame:
+        """Pairs (a, b), of at most `most`, whose bitmaps allow a link."""
         x, y = (self.reps.select("rep", "size", *BITS).alias(n) for n in "xy")
         both = pairs.join(x, F.col("a") == F.col("x.rep"))
         allowed = f"{100 - self.percent} * (x.size + y.size) >= {100 + self.percent} * ({_differ('x', 'y')})"
-        return durable(both.join(y, (F.col("b") == F.col("y.rep")) & F.expr(allowed)).select("a", "b"), "plausible")
+        return durable(both.join(y, (F.col("b") == F.col("y.rep")) & F.expr(allowed)).select("a", "b"), "plausible", most=most)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose Jaccard similarity is at least percent/100."""
-        wanted = durable(pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct(), "wanted")
-        tokens = durable(of_rows(self.sets, wanted), "tokens", "uncompressed")
+        n = pairs.count()
+        wanted = durable(pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct(), "wanted", most=2 * n)
+        tokens = durable(of_rows(self.sets, wanted), "tokens", "uncompressed", 20 * wanted.count())  # a set is some twenty rows of a few numbers
         both = pairs.join(tokens.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b")
-        return durable(both.select("a", "b", "x", "y").mapInArrow(lean(_verifier(self.percent), "jaccard"), "a long, b long"), "links")
+        return durable(both.select("a", "b", "x", "y").mapInArrow(lean(_verifier(self.percent), "jaccard"), "a long, b long"), "links", most=20 * n)
 
 
 def _labelled(live: DataFrame, label: DataFrame) -> DataFrame:
@@ -311,12 +313,12 @@ def _possible(percent: int, x: str, y: str, boundary: int) -> str:
     return f"100 * {low} >= {percent} * {high} and {high} > {boundary} and {common}"
 
 
-def _rest(members: DataFrame, percent: int, boundary: int, block: int) -> DataFrame:
-    """Pairs (a, b) of sets of one list, in different components, that all bounds allow; members: list, rep, size, own, at, c, bitmaps."""
+def _rest(members: DataFrame, percent: int, boundary: int, block: int, n: int) -> DataFrame:
+    """Pairs (a, b) of sets of one list, in different components, that all bounds allow; members (n): list, rep, size, own, at, c, bitmaps."""
     sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rows = members.join(sizes, "list").withColumn("own_block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own_block").alias("i"), F.greatest(k, "own_block").alias("j")))
-    rows = durable(rows.withColumn("cell", F.explode(cells)).drop("blocks"), "cells")
+    rows = durable(rows.withColumn("cell", F.explode(cells)).drop("blocks"), "cells", most=4 * n)
     x, y = rows.alias("x"), rows.alias("y")
     allowed = f"x.rep < y.rep and x.c <> y.c and (x.own_block <> y.own_block or x.cell.i = x.cell.j) and {_possible(percent, 'x', 'y', boundary)} and {100 - percent} * (x.size + y.size) >= {100 + percent} * ({_differ('x', 'y')})"
     pairs = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.cell") == F.col("y.cell")) & F.expr(allowed))
@@ -339,23 +341,24 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """row (unique), doc_id, text_id, k1, k2, size, tokens of documents (doc_id, text), each tokenised once."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    rows = input_parts(docs).select(F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
     return durable(rows.mapInArrow(lean(_tokens(words), "jaccard"), "row long, doc_id long, text_id long, k1 long, k2 long, size long, tokens binary"), "sets", "uncompressed")
 
 
 def one_of_each(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes of equal sets (k1, k2, least: their least doc_id, rep: its row), and those rows' sets."""
-    some = sets.where("size > 0")
-    reps = durable(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("n")).select("k1", "k2", "n", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("least")), "classes")
+    some, n = sets.where("size > 0"), sets.count()
+    reps = durable(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("n")).select("k1", "k2", "n", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("least")), "classes", most=n)
     copied = reps.where("n > 1").select("k1", "k2", "rep")
-    copies = durable(some.select("k1", "k2", "row").join(copied, ["k1", "k2"]).where("row <> rep").select("row"), "copies")
+    copies = durable(some.select("k1", "k2", "row").join(copied, ["k1", "k2"]).where("row <> rep").select("row"), "copies", most=n)
     return reps.select("k1", "k2", "rep", "least"), of_rows(some, copies, anti=True)
 
 
 def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id (NO_ID for null), text_id, size, and the component and its least doc_id (null for empty sets) of each row."""
     with workspace(docs.sparkSession) as keep:
-        return keep(_linked(_sets(documents(docs, id_col, text_col), words), percent), "components")
+        sets = _sets(documents(docs, id_col, text_col), words)
+        return keep(_linked(sets, percent), "components", sets.count())
 
 
 def _linked(sets: DataFrame, percent: int) -> DataFrame:
@@ -363,19 +366,21 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
     order = frequencies(once)
     reps = once.select("row", "tokens").mapInArrow(lean(_list_maker(percent, order), "jaccard"), f"row long, size long, own long, small array<long>, lists array<long>, {', '.join(f'{b} long' for b in BITS)}")
     reps = durable(reps.withColumnRenamed("row", "rep"), "heads")
+    n = reps.agg(F.sum(F.size("lists")).alias("n")).first().n or 0
+    n = 2 * n  # postings
 
     # sizes that can link lie in one or two neighbouring bands; a set joins the lists of its band and the next
     band = F.floor(F.log(F.col("size").cast("double") + 1e-9) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int")
     postings = reps.select("rep", "size", "own", F.posexplode("lists").alias("k", "token")).withColumn("band", F.explode(F.array(band, band + 1)))
     postings = postings.select("rep", "size", "own", (F.col("own") + F.col("k")).alias("at"), F.struct("token", "band").alias("list"))
-    lists = durable(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    lists = durable(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists", most=n)
     mean = lists.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
     histogram = {r["size"]: r["n"] for r in reps.where(F.col("size") <= 2 * BOUNDARIES[-1]).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     boundary = boundary_by_cost(histogram, mean, percent)
 
-    live = durable(postings.where(F.col("size") * 100 > boundary * percent).join(lists.select("list"), "list"), "postings")
+    live = durable(postings.where(F.col("size") * 100 > boundary * percent).join(lists.select("list"), "list"), "postings", most=n)
     compare = _Comparison(sets.select("row", "tokens"), reps, percent)
-    links = durable(light_edges(reps.where(F.col("size") <= boundary), percent), "links")
+    links = durable(light_edges(reps.where(F.col("size") <= boundary), percent), "links", most=100 * sum(histogram.values()))
     tested = label = None
     for turn in range(2):
         members = live.withColumn("c", F.col("rep")) if turn == 0 else _labelled(live, label)
@@ -389,15 +394,15 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = compare.plausible(pairs)
+        pairs = compare.plausible(pairs, n)
         tested = pairs if tested is None else tested.unionAll(pairs)
         links = links.unionAll(compare.links(pairs))
         label = components(links)
     # what is left: pairs of a list that lie in different components and were not compared
     members = _labelled(live, label)
     mixed = members.groupBy("list").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("list")
-    members = durable(members.join(mixed, "list").join(reps.select("rep", *BITS), "rep"), "rest")
-    rest = durable(_rest(members, percent, boundary, LIST_BLOCK).join(tested, ["a", "b"], "left_anti"), "pairs")
+    members = durable(members.join(mixed, "list").join(reps.select("rep", *BITS), "rep"), "rest", most=4 * n)
+    rest = durable(_rest(members, percent, boundary, LIST_BLOCK, n).join(tested, ["a", "b"], "left_anti"), "pairs", most=n)
     label = components(links.unionAll(compare.links(rest)))
 
     named = named.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
