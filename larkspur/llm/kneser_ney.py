@@ -33,6 +33,9 @@ from larkspur.llm._spark import cached, durable, lean, new_path, partitions, sma
 END = np.uint64(0x5EED0FE4D0FE4D01)
 NONE = np.uint64(2**32 - 1)  # the number of an unknown word
 START = np.uint64(2**32 - 2)
+MANY = 2**32 - 1
+#: Bytes of text for which there is a partition: a task merges and holds the n-grams of one.
+PART_BYTES = 48 << 20
 
 
 # --- counting ----------------------------------------------------------------------------------------------
@@ -107,6 +110,14 @@ class Reader:
             out[own] = self.array(kind, k, dtype)[place[own]]
         return out
 
+    def times(self, place: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Counts of the pairs found."""
+        c = self.values("times", place, p, np.uint32).astype(np.int64)
+        for k in np.flatnonzero(c == MANY).tolist():
+            at = self.array("manyat", int(p[k]), np.int64)
+            c[k] = self.array("many", int(p[k]), np.int64)[np.searchsorted(at, place[k])]
+        return c
+
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (NONE if unknown) and training counts."""
         different, inverse = np.unique(hashes, return_inverse=True)
@@ -148,8 +159,9 @@ def train(docs: DataFrame, text: Column) -> Model:
     """Counts the model over all rows of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts, path = partitions(spark), new_path(spark, "kneser-ney")
     texts = docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    parts, path = partitions(spark, -(-size // PART_BYTES)), new_path(spark, "kneser-ney")
     target = by_range(parts)
 
     def word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +202,10 @@ def train(docs: DataFrame, text: Column) -> Model:
         for p, keys, counts in merged(batches):
             c = counts[:, 0]
             write_array(f"{path}/pairs-{p}", keys)
-            write_array(f"{path}/times-{p}", np.minimum(c, 2**32 - 1).astype(np.uint32))
+            write_array(f"{path}/times-{p}", np.minimum(c, MANY).astype(np.uint32))
+            more = np.flatnonzero(c >= MANY)  # counts of more than 32 bits stand apart, by place
+            write_array(f"{path}/manyat-{p}", more)
+            write_array(f"{path}/many-{p}", c[more])
             zero = np.zeros(len(keys), np.int64)
             as_context = np.stack([c, c == 1, c == 2, c >= 3, zero], 1).astype(np.int64)
             as_word = np.stack([zero, zero, zero, zero, zero + 1], 1)
@@ -229,6 +244,8 @@ def train(docs: DataFrame, text: Column) -> Model:
     for p in range(parts):
         ensure(f"{path}/pairs-{p}", np.uint64)
         ensure(f"{path}/times-{p}", np.uint32)
+        ensure(f"{path}/manyat-{p}", np.int64)
+        ensure(f"{path}/many-{p}", np.int64)
     return Model(path, parts, begins, draft.n_tokens, chunk, d2, d1, pairs, rest1)
 
 
@@ -245,7 +262,7 @@ def log10_probabilities(r: Reader, hashes: np.ndarray, begin: np.ndarray) -> tup
     p = m.rest1 / (m.n_words + 1) + (np.maximum(before - discount(before, m.d1), 0) / m.n_pairs if m.n_pairs else 0.0)
     total = r.dense("total", v, np.int64)
     place, part = r.find("pairs", keys, by_hash(m.parts))
-    c = r.values("times", place, part, np.uint32).astype(np.int64)
+    c = r.times(place, part)
     rest = np.where(total > 0, r.dense("rest", v, np.float64), 1.0)
     p = np.maximum(c - discount(c, m.d2), 0) / np.maximum(total, 1) + rest * p
     return np.log10(p)[inverse], counts

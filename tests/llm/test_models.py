@@ -33,6 +33,64 @@ def test_language_edges(spark, docs, nothing):
     assert kept.columns == docs.columns and {53, 54, 55} & {r.doc_id for r in kept.collect()} == set()
 
 
+def test_language_equals_plain_sums(spark, docs, texts):
+    """Against one n-gram at a time: products of rotated letter vectors, roots of counts, unit sums."""
+    dim, n, seed = 96, 3, 5
+    letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (language_id.CLASSES, dim)).astype(float)
+
+    def kind(ch):
+        if not ch.isalpha():
+            return 0
+        low = ord(ch.lower()[0])
+        return low - 96 if 97 <= low <= 122 else 27 + low % (language_id.CLASSES - 27)
+
+    def vector(text):
+        line = [0]
+        for k in map(kind, f" {text or ''} "):
+            line += [k] if k or line[-1] else []
+        line += [0] if line[-1] else []
+        grams = Counter(tuple(line[i : i + n]) for i in range(len(line) - n + 1) if line[i + n // 2])
+        out = np.zeros(dim)
+        for gram, count in grams.items():
+            bound = np.ones(dim)
+            for place, k in enumerate(gram):
+                bound = bound * np.roll(letters[k], place)
+            out += math.sqrt(count) * bound
+        return out / max(np.linalg.norm(out), 1e-9)
+
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+    teach = docs.where("doc_id % 4 <> 2")
+    model = language_id.learn(teach, F.col("text"), F.col("lang"), dim, n, seed)
+    by = defaultdict(lambda: np.zeros(dim))
+    for r in teach.where("lang is not null and text is not null").collect():
+        by[r.lang] += vector(r.text)
+    protos = unit(np.stack([by[x] for x in model[0]]))
+    protos = unit(protos - protos.mean(0))
+    got = {r.row: r for r in language_id.identify(docs, F.col("doc_id"), F.col("text"), *model, dim, n, seed).collect()}
+    assert np.allclose(model[1], protos, atol=1e-4)
+    for d, t in texts.items():
+        if t and any(map(str.isalpha, t)):
+            cosine = protos @ vector(t)
+            assert abs(got[d].score - (1 + cosine.max()) / 2) < 1e-3
+            assert got[d].lang_pred == model[0][int(cosine.argmax())] or np.ptp(np.sort(cosine)[-2:]) < 2e-3
+        else:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+
+
+def test_language_stage_drops_what_no_row_teaches(spark):
+    import random
+
+    r = random.Random(1)
+    docs = spark.read.parquet(TABLE.format("documents"))
+    odd = [(-1, "".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(3000))), (-2, "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3), (-3, "人人生而自由，在尊严和权利上一律平等。" * 9), (-4, "12 34"), (-5, "zq xj")]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    kept = language_id.keep_known(docs.select("doc_id", "text", "lang").unionByName(more, allowMissingColumns=True))
+    ids = {x.doc_id for x in kept.select("doc_id").collect()}
+    assert {d for d in ids if d < 0} == {-5}  # too short to tell
+    spoken = docs.where("lang is not null and text rlike '\\\\p{L}'").count()
+    assert len([d for d in ids if d >= 0]) >= 0.995 * spoken
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(TABLE.format(x)) for x in ("documents", "labels"))
     out = language_id.fold(F.col("doc_id"), 5) == 0
@@ -59,6 +117,46 @@ def test_crf_marginals_equal_enumeration():
         assert np.allclose(got[a:b], p / total) and np.allclose(pair[a + 1 : b], (stay / total)[1:])
 
 
+def test_quality_score_equals_a_line_at_a_time(docs, texts):
+    """Features of each line in plain Python, all label sequences by their weights, and the mean weighed by length."""
+    import itertools
+    import re
+
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", ".,;:?", "'\"()-", "#$%&*@^~+=<>{}[]\\/_`", "|", "!"]
+    kind = lambda b: 10 if b >= 128 else next((k for k, c in enumerate(kinds, 1) if chr(b) in c), 0)
+
+    def own(line, lines):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", line)
+        some = max(1, len(words))
+        share = [sum(kind(b) == k for b in line) / max(1, len(line)) for k in range(11)]
+        return share + [
+            math.log1p(len(line)) / 8, sum(map(len, words)) / some / 10, sum(len(w) <= 3 for w in words) / some, sum(a == b for a, b in zip(words, words[1:])) / some,
+            float(lines.count(line) > 1 and len(line) > 0), float(not line), float(bool(line) and kind(line[-1]) == 5), float(bool(line) and kind(line[0]) == 2),
+        ]
+
+    crf = crf_quality.Crf(np.random.default_rng(8).normal(size=crf_quality.N_FEATURES), 0.6)
+    plain = ["", "One line.", "A\nA\n\n!! 12 12\nthe end ?", "x|y  |\n\tÉté; no\nshort\n", *[t for t in texts.values() if t and len(t) < 90]]
+    rows = docs.sparkSession.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    got = {r.row: r.score for r in crf_quality.score(rows, crf, F.col("doc_id"), F.col("text")).collect()}
+    for d, text in enumerate(plain):
+        lines = text.encode().split(b"\n")
+        each = [own(x, lines) for x in lines]
+        emit = [float(np.dot(crf.weights, e + each[max(0, i - 1)] + each[min(len(each) - 1, i + 1)] + [1.0])) for i, e in enumerate(each)]
+        total, good = 0.0, np.zeros(len(lines))
+        for y in itertools.product([0, 1], repeat=len(lines)):
+            w = math.exp(sum(e * v for e, v in zip(emit, y)) + crf.same * sum(a == b for a, b in zip(y, y[1:])))
+            total, good = total + w, good + w * np.array(y)
+        weight = np.array([len(x) + 1 for x in lines])
+        assert abs(got[d] - (good / total * weight).sum() / weight.sum()) < 1e-6, text
+
+
+def test_quality_sample_is_bounded_by_whole_documents(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    every, few = (crf_quality.learn(docs, labels, max_bytes=n) for n in (1 << 30, 1500))
+    assert len(every.weights) == len(few.weights) and not np.allclose(every.weights, few.weights)
+    assert crf_quality.learn(docs, labels, max_bytes=1).prior is not None  # a single document, so labels of one kind
+
+
 def test_quality_edges(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None), (50, 0), (56, 1)], "doc_id long, quality int")
     crf = crf_quality.learn(docs, labels)
