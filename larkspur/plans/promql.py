@@ -381,6 +381,52 @@ def _quantile(values: Column, phi: float) -> Column:
     return a + (b - a) * (rank - lo)
 
 
+def _grown(before: Column, now: Column) -> Column:
+    """What a counter has grown by; if it fell, it began again at 0."""
+    return F.when(now >= before, now - before).otherwise(now)
+
+
+def _latest(name: str, n: Column, last: Column, before: Column) -> Column:
+    """irate and idelta, of the last two samples (ts, value)."""
+    if name == "idelta":
+        return F.when(n >= 2, last["value"] - before["value"])
+    return F.when((n >= 2) & (last["ts"] > before["ts"]), F.try_divide(_grown(before["value"], last["value"]), (last["ts"] - before["ts"]) / 1000.0))
+
+
+def _extrapolated(name: str, n: Column, first: Column, last: Column, change: Column, step: Column, window: int) -> Column:
+    """rate, increase and delta: the change, stretched to the window's ends where samples come close to them."""
+    span = (last["ts"] - first["ts"]).cast("double")
+    mean = F.try_divide(span, n - 1)
+    start, end = (first["ts"] - (step - window)).cast("double"), (step - last["ts"]).cast("double")
+    if name != "delta":
+        zero = F.try_divide(span * first["value"], change)
+        start = F.when((change > 0) & (first["value"] >= 0) & (zero < start), zero).otherwise(start)
+    reach = span + F.when(start < mean * 1.1, start).otherwise(mean / 2) + F.when(end < mean * 1.1, end).otherwise(mean / 2)
+    factor = F.try_divide(reach, span)
+    if name == "rate":
+        factor = factor / (window / 1000.0)
+    return F.when((n >= 2) & (span > 0), change * factor)
+
+
+#: Range functions of a window's ends and of sums that grow along a series: no window is gathered for them.
+RUNNING = ("rate", "increase", "delta", "irate", "idelta", "count_over_time", "last_over_time", "present_over_time", "changes", "resets")
+
+
+def running_function(name: str, first: Column, last: Column, step: Column, window: int) -> Column:
+    """The same over a window's first and last sample, with what has been counted along the series up to each."""
+    n = last["n"] - first["n"] + 1
+    if name in ("irate", "idelta"):
+        return _latest(name, n, last, last["before"])
+    if name == "delta":
+        return _extrapolated(name, n, first, last, last["value"] - first["value"], step, window)
+    if name in ("rate", "increase"):
+        some = lambda k: last[k] > first[k]
+        grown = F.when(some("nans") | (some("highs") & some("lows")), NAN).when(some("highs"), INF).when(some("lows"), -INF).otherwise(last["grown"] - first["grown"])
+        return _extrapolated(name, n, first, last, grown, step, window)
+    simple = {"count_over_time": n.cast("double"), "last_over_time": last["value"], "present_over_time": F.lit(1.0), "changes": (last["changes"] - first["changes"]).cast("double"), "resets": (last["resets"] - first["resets"]).cast("double")}
+    return simple[name]
+
+
 def window_function(name: str, w: Column, step: Column, window: int, arg: float | None) -> Column:
     """A range function over w, the sorted array of (ts, value) of one series and step; NULL drops the sample."""
     n, v = F.size(w), F.transform(w, lambda s: s["value"])
@@ -388,25 +434,10 @@ def window_function(name: str, w: Column, step: Column, window: int, arg: float
     sums = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     pairs = F.zip_with(F.slice(v, 1, F.greatest(n - 1, F.lit(0))), F.slice(v, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     if name in ("irate", "idelta"):
-        before = F.try_element_at(w, F.lit(-2))
-        if name == "idelta":
-            return F.when(n >= 2, last["value"] - before["value"])
-        inc = F.when(last["value"] >= before["value"], last["value"] - before["value"]).otherwise(last["value"])
-        return F.when((n >= 2) & (last["ts"] > before["ts"]), F.try_divide(inc, (last["ts"] - before["ts"]) / 1000.0))
+        return _latest(name, n, last, F.try_element_at(w, F.lit(-2)))
     if name in ("rate", "increase", "delta"):
-        span = (last["ts"] - first["ts"]).cast("double")
-        counter = name != "delta"
-        change = sums(F.transform(pairs, lambda p: F.when(p["b"] >= p["a"], p["b"] - p["a"]).otherwise(p["b"]))) if counter else last["value"] - first["value"]
-        mean = F.try_divide(span, n - 1)
-        start, end = (first["ts"] - (step - window)).cast("double"), (step - last["ts"]).cast("double")
-        if counter:
-            zero = F.try_divide(span * first["value"], change)
-            start = F.when((change > 0) & (first["value"] >= 0) & (zero < start), zero).otherwise(start)
-        reach = span + F.when(start < mean * 1.1, start).otherwise(mean / 2) + F.when(end < mean * 1.1, end).otherwise(mean / 2)
-        factor = F.try_divide(reach, span)
-        if name == "rate":
-            factor = factor / (window / 1000.0)
-        return F.when((n >= 2) & (span > 0), change * factor)
+        change = last["value"] - first["value"] if name == "delta" else sums(F.transform(pairs, lambda p: _grown(p["a"], p["b"])))
+        return _extrapolated(name, n, first, last, change, step, window)
     if name in ("deriv", "predict_linear"):
         x = F.transform(w, lambda s: (s["ts"] - step) / 1000.0)
         mx, my = sums(x) / n, sums(v) / n
@@ -482,8 +513,8 @@ class Evaluator:
         rows = self.spread(rows, LOOKBACK, sel.offset, sel.at)
         return rows.groupBy("step", "labels").agg(F.max_by("value", "ts").alias("value"))
 
-    def windows(self, node: Selector | Subquery) -> DataFrame:
-        """(step, eval, labels, w) with the sorted samples of each series' window."""
+    def ranged(self, node: Selector | Subquery) -> DataFrame:
+        """The samples (labels, ts, value) that a range is taken of."""
         if isinstance(node, Subquery):
             g, pin = self.grid, self.pinned(node.at)
             low = (g.start if pin is None else pin) - node.offset - node.window
@@ -492,7 +523,49 @@ class Evaluator:
             rows = self.on(inner).vector(node.inner).select("labels", F.col("step").alias("ts"), "value")
         else:
             rows = self.matching(node)
-        rows = self.spread(rows.select("labels", "ts", "value"), node.window, node.offset, node.at)
+        return rows.select("labels", "ts", "value")
+
+    def ends(self, node: Selector | Subquery) -> DataFrame:
+        """(step, labels, first, last): the first and the last sample of each series' window, each with what has been
+        counted along the series up to it.
+
+        A series is sorted once, with two marks a step among its samples: one before its window's start, one behind its
+        end. A mark sees the sample before it, which knows the sample after; so no sample is copied for a step.
+        """
+        g = self.grid
+        rows = self.ranged(node).withColumn("ts", F.col("ts") + node.offset)
+        rows = rows.where((F.col("ts") <= g.end) & (F.col("ts") >= g.start - node.window))
+        order = W.partitionBy("labels").orderBy("ts", "value")
+        so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+        before = F.lag(F.struct("ts", "value")).over(order)
+        rows = rows.select("labels", "ts", "value", F.row_number().over(order).alias("n"), before.alias("before"))
+        grown = F.coalesce(_grown(F.col("before.value"), F.col("value")), F.lit(0.0))
+        grown = F.when(F.col("before").isNull(), 0.0).otherwise(grown)
+        odd = F.isnan(grown) | (F.abs(grown) == INF)
+        total = lambda c: F.sum(c).over(so_far)
+        one = lambda c: total(F.when(c, 1).otherwise(0))
+        sample = F.struct(
+            "ts", "value", "n", "before", total(F.when(odd, 0.0).otherwise(grown)).alias("grown"), one(F.isnan(grown)).alias("nans"), one(grown == INF).alias("highs"), one(grown == -INF).alias("lows"),
+            one(F.col("before.value") != F.col("value")).alias("changes"), one(F.col("value") < F.col("before.value")).alias("resets"),
+        )
+        samples = rows.select("labels", sample.alias("s"))
+        samples = samples.withColumn("state", F.struct("s", F.lead("s").over(W.partitionBy("labels").orderBy("s.n")).alias("next")))
+        reach = samples.groupBy("labels").agg(F.min("s.ts").alias("low"), F.max("s.ts").alias("high"), F.min_by("s", "s.n").alias("head"))
+        low = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("low") - g.start) / g.step).cast("long"))
+        high = F.least(F.lit((g.end - g.start) // g.step).cast("long"), F.floor((F.col("high") + node.window - g.start) / g.step).cast("long"))
+        steps = reach.where(low <= high).select("labels", "head", F.explode(F.sequence(low, high)).alias("k")).select("labels", "head", (F.col("k") * g.step + g.start).alias("step"))
+        ends = F.array(F.struct((F.col("step") - node.window).alias("ts"), F.lit(0).alias("place")), F.struct(F.col("step").alias("ts"), F.lit(2).alias("place")))
+        marks = steps.select("labels", "step", "head", F.explode(ends).alias("m")).select("labels", "m.ts", "m.place", "step", "head", F.lit(None).cast(samples.schema["state"].dataType).alias("state"))
+        every = samples.select("labels", "s.ts", F.lit(1).alias("place"), F.lit(None).cast("long").alias("step"), F.lit(None).cast(samples.schema["s"].dataType).alias("head"), "state").unionByName(marks)
+        along = W.partitionBy("labels").orderBy("ts", "place", "state.s.n").rowsBetween(W.unboundedPreceding, W.currentRow)
+        seen = every.withColumn("seen", F.last("state", True).over(along)).where("step is not null")
+        first = F.when(F.col("place") == 0, F.when(F.col("seen").isNull(), F.col("head")).otherwise(F.col("seen.next")))
+        last = F.when(F.col("place") == 2, F.col("seen.s"))
+        return seen.groupBy("labels", "step").agg(F.first(first, True).alias("first"), F.first(last, True).alias("last")).where("last.n >= first.n").select("step", "labels", "first", "last")
+
+    def windows(self, node: Selector | Subquery) -> DataFrame:
+        """(step, eval, labels, w) with the sorted samples of each series' window."""
+        rows = self.spread(self.ranged(node), node.window, node.offset, node.at)
         return rows.groupBy("step", "eval", "labels").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("w"))
 
     # expressions
@@ -536,7 +609,10 @@ class Evaluator:
                 arg, a = self.number(a[0]), a[1:]
             elif name == "predict_linear":
                 arg = self.number(a[1])
-            rows = self.windows(a[0]).withColumn("value", window_function(name, F.col("w"), F.col("eval"), a[0].window, arg)).where("value is not null")
+            if name in RUNNING and a[0].at is None:
+                rows = self.ends(a[0]).withColumn("value", running_function(name, F.col("first"), F.col("last"), F.col("step"), a[0].window)).where("value is not null")
+            else:
+                rows = self.windows(a[0]).withColumn("value", window_function(name, F.col("w"), F.col("eval"), a[0].window, arg)).where("value is not null")
             rows = rows.select("step", "labels", "value")
             return rows if name == "last_over_time" else self.unnamed(rows)
         if name == "time":

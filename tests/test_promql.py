@@ -1,8 +1,10 @@
 """PromQL on a small table, with values worked out by hand."""
 
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.plans import promql as P
 
@@ -87,3 +89,30 @@ def test_errors(data):
         P.query_range(data, "usage", 0, 10**9, 1)
     with pytest.raises(Exception, match="many-to-many"):
         P.query(data, "usage + on(host) temp", 105000).collect()
+
+
+@pytest.mark.parametrize("step,window,offset", [(7, 30, 0), (40, 25, 11), (1, 1, 0), (13, 300, -20)])
+def test_running_functions_equal_gathered_windows(spark, step, window, offset):
+    r = random.Random(step)
+    odd = [float("nan"), float("inf"), float("-inf")]
+    rows = []
+    for name, n in (("plain", 60), ("odd", 60), ("twice", 20), ("one", 1)):
+        for k in range(n):
+            ts = r.randrange(400) if name != "twice" else k // 2 * 9
+            rows.append(([("__name__", "m"), ("s", name)], ts, r.choice(odd) if name == "odd" and r.random() < 0.1 else float(r.randrange(12))))
+    data = spark.createDataFrame([([{"k": k, "v": v} for k, v in labels], ts, v) for labels, ts, v in rows], "labels array<struct<k:string,v:string>>, ts long, value double")
+    ev = P.Evaluator(data, P.Grid(-50, 460, step))
+    node = P.Selector([("__name__", "=", "m")], window=window, offset=offset)
+    same = lambda a, b: a == b or a is not None and b is not None and (math.isnan(a) and math.isnan(b) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
+    gathered, ends = ev.windows(node).persist(), ev.ends(node).persist()
+    for name in P.RUNNING:
+        want = {(x.step, str(x.labels)): x.v for x in gathered.select("step", "labels", P.window_function(name, F.col("w"), F.col("eval"), window, None).alias("v")).collect() if x.v is not None}
+        got = {(x.step, str(x.labels)): x.v for x in ends.select("step", "labels", P.running_function(name, F.col("first"), F.col("last"), F.col("step"), window).alias("v")).collect() if x.v is not None}
+        assert want.keys() == got.keys(), name
+        assert all(same(want[k], got[k]) for k in want), (name, [(k, want[k], got[k]) for k in want if not same(want[k], got[k])][:3])
+
+
+def test_running_functions_copy_no_samples(spark):
+    data = spark.createDataFrame([([{"k": "__name__", "v": "m"}], 5, 1.0)], "labels array<struct<k:string,v:string>>, ts long, value double")
+    plan = P.query_range(data, "rate(m[1d])", 0, 86400000, 15000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Generate explode") == 2  # steps of a series, and two marks for each
