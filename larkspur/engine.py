@@ -236,8 +236,53 @@ class Engine:
         return self.spark.createDataFrame(keyed, "column string, role string")
 
     def do_explain(self, of: Any) -> DataFrame:
-        plan = self.run(of)._jdf.queryExecution().toString()
-        return self.spark.createDataFrame([(line.strip(" +-*:"),) for line in plan.splitlines() if line.strip()], "decision string")
+        """aspect and decision of a statement, which is planned and not run; of a SELECT, also Spark's physical plan."""
+        out: list[tuple[str, str]] = []
+        if isinstance(of, A.Select):
+            out += [("statement", "select"), ("table", of.table or "none"), ("access", self.access(of.table, of.where, of))]
+            out += [("join", f"{j.kind} {j.table}") for j in of.joins]
+            out += [("group", f"{len(of.group)} keys")] if of.group else []
+            out += [("top", f"{of.top[0]} a group")] if of.top else []
+            out += [("order", f"{len(of.order)} keys, ties by primary key")] if of.order else []
+            out += [("limit", f"{of.limit} after {of.offset}")] if of.limit is not None else []
+            plan = self.select(of)._jdf.queryExecution().sparkPlan().toString()
+            out += [("plan", line.rstrip()) for line in plan.splitlines() if line.strip()]
+        elif of.kind in ("insert", "update", "delete"):
+            out += [("statement", of.kind), ("table", of.args["table"])]
+            out += [] if of.kind == "insert" else [("access", self.access(of.args["table"], of.args["where"], None))]
+        else:
+            raise ValueError("EXPLAIN takes SELECT, INSERT, UPDATE or DELETE")
+        return self.spark.createDataFrame(out, "aspect string, decision string")
+
+    def access(self, table: str | None, where: Any, s: A.Select | None) -> str:
+        """How a table's rows are found."""
+        if table is None:
+            return "no table"
+        t, parts = self.table(table), A.conjuncts(where)
+        mine = [i for i in self.indexes.values() if i.table == table]
+        if s is not None and s.nearest:
+            path = s.nearest[0]
+            ix = next((i.name for i in mine if i.kind == "vector" and path in i.columns), None)
+            return f"nearest {s.nearest[2]} by {f'vector index {ix}' if ix else 'exact scan'}"
+        if any(isinstance(y, A.Func) and y.name in A.SEARCH for x in parts for y in A.walk(x)):
+            ix = next((i.name for i in mine if i.kind == "search"), "none")
+            if s is not None and (s.group or any(isinstance(x, A.Func) and x.name in A.AGGREGATES for i in s.items for x in A.walk(i.expr))):
+                return f"search index {ix}: aggregation"
+            ranked = s is not None and s.limit is not None and any(isinstance(x, A.Func) and x.name == "score" for e, _ in s.order for x in A.walk(e))
+            return f"search index {ix}: {'BM25 top-k' if ranked else 'matching keys'}"
+        equal = {p.left.path for p in parts if isinstance(p, A.Bin) and p.op == "=" and isinstance(p.left, A.Col) and isinstance(p.right, A.Lit)}
+        within = {p.arg.path: len(p.items) for p in parts if isinstance(p, A.In) and not p.negated and isinstance(p.arg, A.Col)}
+        some = {p.left.path for p in parts if isinstance(p, A.Bin) and p.op in ("<", "<=", ">", ">=") and isinstance(p.left, A.Col)} | {p.arg.path for p in parts if isinstance(p, A.Between) and isinstance(p.arg, A.Col)}
+        if t.pk and set(t.pk) <= equal:
+            return f"point read by primary key ({', '.join(t.pk)})"
+        if t.pk and set(t.pk) <= equal | set(within):
+            return f"point reads by primary key ({', '.join(t.pk)})"
+        if t.pk and t.pk[0] in equal | some:
+            return f"slice of primary key ({', '.join(t.pk)})"
+        for i in mine:
+            if i.kind == "plain" and i.columns[0] in equal | some | set(within):
+                return f"index {i.name} on ({', '.join(i.columns)})"
+        return "time and series filter" if t.timeseries and (some & {"ts"} or equal & set(t.series)) else "full table scan"
 
     def do_begin(self) -> DataFrame:
         self.saved = dict(self.tables), dict(self.indexes)
@@ -636,7 +681,7 @@ class Planner:
         if s.rrf:
             path, vector, k = s.nearest
             legs_from = df if cond is None else df.where(cond)
-            near = V.nearest(legs_from, path, self.vector(vector, df, path), k, pk)
+            near = V.nearest(legs_from, path, self.vector(vector, df, path), k, pk, self.metric(s.table, path))
             near = near.withColumn("_rank", F.row_number().over(W.orderBy("_distance", pk)))
             hits = query.score(ix).withColumnRenamed("doc", pk).withColumnRenamed("score", "_score")
             text = V.ranked(legs_from.join(hits, pk), F.col("_score").desc(), pk, k)
@@ -650,7 +695,7 @@ class Planner:
                 df = df.where(cond)
             if s.nearest:
                 path, vector, k = s.nearest
-                df = V.nearest(df, path, self.vector(vector, df, path), k, pk)
+                df = V.nearest(df, path, self.vector(vector, df, path), k, pk, self.metric(s.table, path))
         if s.rerank:
             r = s.rerank
             by = F.col("_rrf_score").desc() if s.rrf else F.col("_score").desc() if query is not None else F.col("_distance").asc()
@@ -662,6 +707,11 @@ class Planner:
         out.highlighted = marks
         return df, out
 
+    def metric(self, table: str, path: str) -> str:
+        """That of the column's vector index; cosine without one."""
+        mine = (i for i in self.engine.indexes.values() if i.kind == "vector" and i.table == table and path in i.columns)
+        return next((i.options.get("metric", "cosine") for i in mine), "cosine")
+
     def vector(self, v: Any, df: DataFrame, path: str) -> list[float]:
         if isinstance(v, str):
             dim = len(df.select(path).first()[0])

@@ -1207,9 +1207,14 @@ def _(s, d):
     return e.sql("SELECT host, count(v) AS n, last(v) AS last FROM m GROUP BY host")
 
 
-@add("dm8_explain")
+@add("dm8_explain", "SELECT unnest(['statement', 'table', 'access', 'limit', 'access', 'access', 'access']) AS aspect, unnest(['select', 'customer', 'point read by primary key (c_custkey)', '3 after 0', 'full table scan', 'search index ix: matching keys', 'point read by primary key (n_nationkey)']) AS decision")
 def _(s, d):
-    return _engine(s, d).sql("EXPLAIN SELECT c_custkey FROM customer WHERE c_custkey = 5")
+    e = _engine(s, d)
+    e.sql("CREATE SEARCH INDEX ix ON documents (text)")
+    out = e.sql("EXPLAIN SELECT c_custkey FROM customer WHERE c_custkey = 5 LIMIT 3").where("aspect <> 'plan'")
+    for text in ("SELECT c_name FROM customer WHERE c_name = 'x'", "SELECT doc_id FROM documents WHERE MATCH(text, 'the')", "DELETE FROM nation WHERE n_nationkey = 3"):
+        out = out.unionAll(e.sql(f"EXPLAIN {text}").where("aspect = 'access'"))
+    return out
 
 
 @add("dm10_databases", "SELECT 'default' AS name, '' AS detail UNION ALL SELECT 'other', ''")

@@ -254,3 +254,31 @@ def test_transactions_and_catalog(db, tmp_path):
     assert ("t", "table") in rows(db.sql("SHOW TABLES"))
     assert db.sql("DESCRIBE t FULL").count() == 2
     assert db.sql("EXPLAIN SELECT * FROM t WHERE id = 1").count() > 0
+
+
+def test_a_vector_index_sets_the_metric(db):
+    db.sql("CREATE TABLE pts (PRIMARY KEY (id))")
+    db.sql("INSERT INTO pts (id, v) VALUES (1, [10.0, 1.0]), (2, [1.0, 1.0])")
+    near = "SELECT id FROM pts NEAREST(v, [1.0, 0.0], 1)"
+    assert rows(db.sql(near)) == [(1,)]  # by angle
+    db.sql("CREATE VECTOR INDEX pv ON pts (v) DIM 2 USING l2 QUANTIZED")
+    assert rows(db.sql(near)) == [(2,)]  # by distance
+
+
+def test_explain_decides_and_does_not_run(db):
+    db.sql("CREATE TABLE tools (PRIMARY KEY (id))")
+    db.sql("INSERT INTO tools (id, age, body, emb) VALUES (1, 30, 'claw hammer', [1.0, 0.0]), (2, 40, 'saw', [0.0, 1.0])")
+    db.sql("CREATE INDEX by_age ON tools (age)")
+    db.sql("CREATE SEARCH INDEX words ON tools (body)")
+    db.sql("CREATE VECTOR INDEX near ON tools (emb) DIM 2")
+    decision = lambda text: dict(rows(db.sql(f"EXPLAIN {text}").where("aspect <> 'plan'")))["access"]
+    assert db.sql("EXPLAIN SELECT id FROM tools").columns == ["aspect", "decision"]
+    assert "point read" in decision("SELECT * FROM tools WHERE id = 1") and "point reads" in decision("SELECT * FROM tools WHERE id IN (1, 2)")
+    assert "by_age" in decision("SELECT * FROM tools WHERE age > 10") and decision("SELECT * FROM tools WHERE nope = 'x'") == "full table scan"
+    assert "BM25 top-k" in decision("SELECT id, score() FROM tools WHERE MATCH(body, 'saw') ORDER BY score() DESC LIMIT 5")
+    assert "aggregation" in decision("SELECT count(*) FROM tools WHERE MATCH(body, 'saw') GROUP BY age")
+    assert "near" in decision("SELECT id FROM tools NEAREST(emb, [1.0, 0.0], 1)") and "point read" in decision("DELETE FROM tools WHERE id = 1")
+    assert rows(db.sql("SELECT count(*) FROM tools")) == [(2,)]
+    for bad in ("EXPLAIN EXPLAIN SELECT * FROM tools", "EXPLAIN CREATE TABLE more (PRIMARY KEY (id))"):
+        with pytest.raises((ValueError, SyntaxError)):
+            db.sql(bad)
