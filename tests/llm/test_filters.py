@@ -192,6 +192,32 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted(r.doc_id for r in ran.collect()) == ids
 
 
+def test_pipeline_keeps_clean_rows_whatever_their_ids(spark, tmp_path):
+    """Null and repeated ids, copies among them, empty texts; and an empty table through all stages."""
+    import random
+
+    r = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    a, b, c, d = (text(120) for _ in range(4))
+    rows = [(None, a), (None, b), (3, c), (3, d), (4, c), (None, d), (5, None), (5, ""), (6, text(40)), (6, text(40))]
+    docs = spark.createDataFrame([(k, t, "x", "s", None if t is None else len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "full" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    bench = spark.createDataFrame([(1, text(12))], "item_id long, text string")
+    for name in ("full", "none"):
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "full"))
+    assert got.columns == docs.columns
+    kept = {(x.doc_id, x.text) for x in got.collect()}
+    # of copies, the row of the least id stays; the mix may leave out some and take others twice
+    clean = {(None, a), (None, b), (3, c), (3, d), *((k, t) for k, t in rows if k == 6)}
+    assert kept <= clean and len(kept) >= 4
+    one = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert {(x.doc_id, x.text) for x in one.collect() if x.text} == clean
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline_drops_documents_with_one_whole_item(spark, tmp_path):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     spark.createDataFrame([(1, item), (2, "one two three four five six seven eight")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
