@@ -5,9 +5,11 @@ windows have equal minimizers at equal places, so a window can repeat only where
 repeats. Only the surroundings of repeated minimizers ("regions": the symbols of a run of windows with one
 minimizer) travel to the shards, where an index over their symbols decides each window exactly.
 
-A minimizer that very many documents hold is split into blocks by the window's distance from it, so that one
-common passage becomes up to L-k+1 independent groups; equal regions collapse to one row with a count before
-they are shuffled. Nothing is dropped: a hash collision only makes a region a candidate.
+A minimizer that very many documents hold is split into blocks by the window's distance from it. Beyond one block
+for each distance, a region is a single window, equal to another only as a whole, and its group is split further
+by its content's hash. So a group holds some HOT regions of a bounded length, however often its minimizer
+occurs, and a shard of whole groups fits a task. Equal regions collapse to one row with a count before they are
+shuffled. Nothing is dropped: a hash collision only makes a region a candidate.
 """
 
 from __future__ import annotations
@@ -104,6 +106,7 @@ def _regions(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     for it in dict.fromkeys((x["h"], x["at"], x["parts"]) for x in lists[r].as_py()):
                         h, at, parts = it
                         s, n, back = at >> 24, (at >> 12) & 0xFFF, at & 0xFFF
+                        more, parts = max(1, parts // width), min(parts, width)
                         # windows s .. s+n-1 lie back .. back-n+1 before the minimizer
                         while n > 0:
                             b = back * parts // width
@@ -111,6 +114,7 @@ def _regions(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                             m = min(n, back - lowest + 1)
                             content = raw[(base + s) * scale : (base + s + m + tail) * scale]
                             c = xxhash.xxh3_64_intdigest(content)
+                            b = b * more + c % more
                             c -= (c >> 63) << 64
                             got = held.get((h, b, c))
                             if got is None:
@@ -132,13 +136,13 @@ def _regions(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return cut
 
 
-def candidates(docs: DataFrame, units: Units, hot: int = HOT) -> DataFrame:
+def candidates(docs: DataFrame, units: Units, hot: int | None = None) -> DataFrame:
     """Rows of REGIONS: kind 1, where a region lies (document key, first window, windows); kind 0, a region's
     symbols, with the copies that one task saw and the least doc_id among them."""
     texts = docs.select(identity().alias("key"), "text")
     found = texts.mapInArrow(lean(_finder(units)), "h long, key long, at long")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    parts = F.least(F.lit(units.width), F.greatest(F.lit(1), F.ceil(F.col("c") / hot))).cast("int")
+    parts = F.least(F.lit(2**31 // units.width), F.greatest(F.lit(1), F.ceil(F.col("c") / (hot or HOT)))).cast("int")
     # a table of its own, so that the join's large partitions can be split
     often = durable(often.select("h", parts.alias("parts")), "minimizers")
     per_doc = found.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "parts")).alias("found"))

@@ -114,6 +114,25 @@ def test_substring_dedup(docs, texts, split, monkeypatch):
     assert sorted(map(tuple, got), key=str) == earlier_words(texts.items(), 20)
 
 
+@pytest.mark.parametrize("hot", [1e-2, 0.5, 3])
+def test_hot_minimizers_in_bounded_groups(spark, hot, monkeypatch):
+    """One passage in many documents: blocks by distance, then by content."""
+    monkeypatch.setattr(_anchors, "HOT", hot)
+    r = random.Random(7)
+    text = lambda n: " ".join(r.choice("abcdefghij") + str(r.randrange(40)) for _ in range(n))
+    passage = text(30)
+    rows = [(k, f"{text(k % 7)} {passage} {text(k % 5 + 3)}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup(df, 60, digest=True, shard_bytes=2000).select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == repeated_bytes(rows, 60)
+    got = substring_dedup(df, 12, digest=True, shard_bytes=2000).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == earlier_words(rows, 12)
+    units = _anchors.Units("bytes", 60, 30)
+    groups = _anchors.candidates(df, units).where("kind = 0").groupBy("h", "b").agg(F.count_distinct("ckey").alias("n"), F.max(F.octet_length("content")).alias("size")).agg(F.max("n").alias("n"), F.max("size").alias("size")).first()
+    if hot < 0.1:
+        assert groups["size"] <= 60 and groups.n <= 12  # single windows, dealt by content
+
+
 def test_repeated_rows_and_null_ids(spark):
     t = " ".join(f"x{i}" for i in range(60))
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (2, t + " y")], "doc_id long, text string")
