@@ -8,6 +8,7 @@ import gc
 import os
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -144,8 +145,15 @@ def lean(run: Callable, owner: str = "") -> Callable:
     return trimmed
 
 
+RELEASE_S = 2.0
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more; parts that took no time left none worth it."""
+    now = time.monotonic()
+    if now - getattr(release, "last", 0.0) < RELEASE_S:
+        return
+    release.last = now
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
