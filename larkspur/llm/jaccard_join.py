@@ -43,6 +43,8 @@ BOUNDARIES = (9, 19, 29)
 HOLD = 1 << 19
 #: Tokens, copies of a token in several tasks among them, of a partition that one task merges.
 MERGED = 1 << 20
+#: Sets of a list whose bounds a join checks at the cost of making and shuffling one subset.
+CHECKS = 10
 #: Words of 64 bits in a parity bitmap.
 PARITY = 16
 #: Sets of one list that are compared in one group; of longer lists, each pair of blocks is a group.
@@ -326,14 +328,14 @@ def _rest(members: DataFrame, percent: int, boundary: int, block: int, n: int) -
 
 
 def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) -> int:
-    """The size up to which subsets cost less: their number against tokens scanned times the mean list met."""
+    """The size up to which subsets cost less: their number against tokens scanned and the bounds checked in the mean list met."""
 
     def subsets(s: int) -> int:
         d = lacking(s, percent)
         return 1 + (s if d >= 1 else 0) + (s * (s - 1) // 2 if d >= 2 else 0)
 
     def cost(x: int) -> float:
-        return sum(n * (subsets(s) if s <= x else prefix_length(s, percent) * (1 + list_length)) for s, n in sizes.items())
+        return sum(n * (subsets(s) if s <= x else prefix_length(s, percent) * (1 + list_length / CHECKS)) for s, n in sizes.items())
 
     usable = [b for b in BOUNDARIES if lacking(b, percent) <= 2]
     return min(usable, key=lambda b: (cost(b), b)) if usable else 0
