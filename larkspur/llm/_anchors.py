@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import _text as X
-from larkspur.llm._spark import durable, identity, lean, partitions
+from larkspur.llm._spark import durable, lean, partitions
 
 #: Occurrences of one minimizer that a single group may hold before it is split by distance.
 HOT = 2000
@@ -67,14 +67,14 @@ def _segments(bounds: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray
 def _finder(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, data, offsets in X.chunks(batch.column(1)):
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, _, data, offsets in X.chunks(batch.column(2)):
                 symbols, bounds = units.symbols(data, offsets)
                 for a, local, at in _segments(bounds, units.length):
                     doc, start, count, back, h = X.minimizers(symbols[at : at + int(local[-1])], local, units.length, units.k)
                     if len(doc):
                         rel = start + at - bounds[doc + a]
-                        yield pa.RecordBatch.from_arrays([pa.array(X.signed(h)), pa.array(keys[i + a + doc]), pa.array((rel << 24) | (count << 12) | back)], ["h", "key", "at"])
+                        yield pa.RecordBatch.from_arrays([pa.array(X.signed(h)), pa.array(ids[i + a + doc]), pa.array(keys[i + a + doc]), pa.array((rel << 24) | (count << 12) | back)], ["h", "id", "key", "at"])
 
     return find
 
@@ -123,7 +123,7 @@ def _regions(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                             else:
                                 got[1] += 1
                                 got[2] = min(got[2], doc)
-                            found.append((1, h, b, c, key, s, m, None, None, None))
+                            found.append((1, h, b, c, key, s, m, None, doc, None))
                             s, n, back = s + m, n - m, back - m
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
@@ -136,19 +136,24 @@ def _regions(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return cut
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """With `id` and `key`, by which a row is known: its id (the largest for null) and a hash of its text, so that only
+    rows of one id could be taken for one another."""
+    return docs.withColumn("id", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("key", F.xxhash64("text"))
+
+
 def candidates(docs: DataFrame, units: Units, hot: int | None = None) -> DataFrame:
-    """Rows of REGIONS: kind 1, where a region lies (document key, first window, windows); kind 0, a region's
-    symbols, with the copies that one task saw and the least doc_id among them."""
-    texts = docs.select(identity().alias("key"), "text")
-    found = texts.mapInArrow(lean(_finder(units)), "h long, key long, at long")
+    """Rows of REGIONS: kind 1, where a region lies (document's key and, as least, id; first window, windows); kind 0, a
+    region's symbols, with the copies that one task saw and the least doc_id among them."""
+    texts = named(docs).select("id", "key", "text")
+    found = texts.mapInArrow(lean(_finder(units)), "h long, id long, key long, at long")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     parts = F.least(F.lit(2**31 // units.width), F.greatest(F.lit(1), F.ceil(F.col("c") / (hot or HOT)))).cast("int")
     # a table of its own, so that the join's large partitions can be split
     often = durable(often.select("h", parts.alias("parts")), "minimizers")
-    per_doc = found.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "parts")).alias("found"))
+    per_doc = found.join(often, "h").groupBy("id", "key").agg(F.collect_list(F.struct("h", "at", "parts")).alias("found"))
     per_doc = durable(per_doc, "anchors")
-    joined = docs.select(identity().alias("key"), "doc_id", "text").join(per_doc, "key")
-    joined = joined.select("key", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text", "found")
+    joined = texts.join(per_doc, ["id", "key"]).select("key", "id", "text", "found")
     return durable(joined.mapInArrow(lean(_regions(units)), REGIONS), "regions")
 
 
@@ -187,6 +192,6 @@ def sharded(regions: DataFrame, index: Callable, schema: str, shard_bytes: int)
 
 def spread(docs: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
     """Documents with `spans`: what the shards found (h, b, ckey, runs), at each place where such a region lies."""
-    places = regions.where("kind = 1").select("h", "b", "ckey", "key", "s")
-    spans = durable(places.join(found, ["h", "b", "ckey"]).groupBy("key").agg(F.collect_list(F.struct("s", "runs")).alias("spans")), "spans")
-    return docs.withColumn("key", identity()).join(spans, "key", "left").select("doc_id", "text", "spans", *(c for c in docs.columns if c == "row"))
+    places = regions.where("kind = 1").select("h", "b", "ckey", F.col("least").alias("id"), "key", "s")
+    spans = durable(places.join(found, ["h", "b", "ckey"]).groupBy("id", "key").agg(F.collect_list(F.struct("s", "runs")).alias("spans")), "spans")
+    return named(docs).join(spans, ["id", "key"], "left").select("doc_id", "text", "spans", *(c for c in docs.columns if c == "row"))

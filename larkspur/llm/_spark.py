@@ -174,11 +174,6 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [by.get(k, -1 - k) for k in range(n)]
 
 
-def identity(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """One long for a row's id and text, the same in each scan; rows equal in both share it."""
-    return F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit("")))
-
-
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """Only the id and the text, under the names that operators use; other columns may be named anything.
 
