@@ -17,6 +17,9 @@ from larkspur.plans import sql as A
 #: The percentiles that a request without any gets.
 PERCENTS = (1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0)
 
+#: Buckets that one aggregation may answer with; beyond that it is refused.
+MAX_BUCKETS = 65_536
+
 
 def _one(kind: str, body: dict) -> tuple[str, Any]:
     if not isinstance(body, dict) or not body:
@@ -199,7 +202,9 @@ def buckets(rows: DataFrame, pk: str, kind: str, body: dict, inner: dict) -> dic
         found = found.limit(int(body.get("size", 10)))
     else:
         found = found.orderBy("_k")
-    got = found.collect()
+    got = found.limit(MAX_BUCKETS + 1).collect()
+    if len(got) > MAX_BUCKETS:
+        raise ValueError(f"more than {MAX_BUCKETS} buckets")
     tops: dict = {}
     for name, b in hits.items():
         by, way = next(iter((_list(b.get("sort")) or [{pk: "asc"}])[0].items()))

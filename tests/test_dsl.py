@@ -83,3 +83,11 @@ def test_count_doc_mapping_and_errors(db):
     for bad in ({"nope": {}}, {"bool": {"filter": [{"term": {"region": "eu"}}], "should": [{"match": {"product": "x"}}]}}):
         with pytest.raises(ValueError):
             dsl.search(db, "sales", {"query": bad})
+
+
+def test_buckets_are_bounded(db, monkeypatch):
+    body = {"size": 0, "aggs": {"by": {"terms": {"field": "region", "size": 10}}}}
+    assert len(dsl.search(db, "sales", body)["aggregations"]["by"]["buckets"]) >= 2
+    monkeypatch.setattr(dsl, "MAX_BUCKETS", 1)
+    with pytest.raises(ValueError):
+        dsl.search(db, "sales", body)
