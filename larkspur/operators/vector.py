@@ -6,6 +6,7 @@ come before the top-k, which makes filtered searches exact.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -77,7 +78,8 @@ class InvertedLists:
         rows = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
         want = lists * cls.SAMPLE_PER_LIST
         sample = rows.select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("v", F.lit(seed))).limit(want).collect()  # at most `want` vectors
-        centroids = _kmeans(np.array([r.v for r in sample], float), lists, metric, seed) if sample else np.zeros((0, 0))
+        dim = Counter(len(r.v) for r in sample).most_common(1)[0][0] if sample else 0  # the usual length
+        centroids = _kmeans(np.array([r.v for r in sample if len(r.v) == dim], float), lists, metric, seed) if sample else np.zeros((0, 0))
         shared = df.sparkSession.sparkContext.broadcast(centroids)
 
         @F.pandas_udf("int")

@@ -51,7 +51,7 @@ def test_analyzers(spark):
     tokens = lambda a: df.select(Q.analyze(a, F.col("t")).alias("x")).first().x
     assert tokens("standard") == ["the", "dog's", "naïve", "été", "42", "running"]
     assert tokens("folding")[2:4] == ["naive", "ete"]
-    assert tokens("english") == ["dog", "naïve", "été", "42", "run"]
+    assert tokens("english") == ["dog", "naïv", "été", "42", "run"]
     assert tokens("keyword") == ["The Dog's naïve-été 42 running!"]
     assert tokens("whitespace | lowercase | stopwords(the)")[0] == "dog's"
     assert df.select(Q.analyze("ngram(2,3)", F.lit("abcd")).alias("x")).first().x == ["ab", "abc", "bc", "bcd", "cd"]
@@ -73,7 +73,7 @@ def test_words_and_languages(spark):
     assert tokens("russian", "важнейшими") == ["важн"] and tokens("tamil", "word words") == ["word", "words"]
 
 
-@pytest.mark.parametrize("analyzer,text,found", [("folding", "café", 1), ("ngram(3,5)", "noir", 1), ("english", "CHAIRS", 2), ("unicode | lowercase | stopwords(noir)", "noir", 0), ("standard", "cafe", 0), ("regex([a-z]+)", "noir", 1)])
+@pytest.mark.parametrize("analyzer,text,found", [("folding", "café", 1), ("ngram(3,5)", "noir", 1), ("english", "CHAIRS", 2), ("unicode | lowercase | stopwords(noir)", "noir", 0), ("standard", "café", 0), ("regex([a-z]+)", "noir", 1)])
 def test_queries_are_analyzed_as_the_index_is(spark, analyzer, text, found):
     docs = spark.createDataFrame([(1, "Cafe noir"), (2, "a chair"), (3, "two chairs"), (4, None)], "id int, t string")
     ix = Q.Index(docs, "id", [Q.TextField("t", analyzer)])
