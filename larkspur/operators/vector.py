@@ -94,8 +94,10 @@ class InvertedLists:
         rows.withColumn("_list", nearest_list(vector)).repartition("_list").write.mode("overwrite").partitionBy("_list").parquet(path)
         return cls(df.sparkSession, path, centroids, metric)
 
-    def search(self, vector: str, query: Sequence[float], k: int, pk: str, probes: int = 4) -> DataFrame:
-        """The k rows found nearest, with `_distance`."""
+    def search(self, vector: str, query: Sequence[float], k: int, pk: str, probes: int | None = None) -> DataFrame:
+        """The k rows found nearest, with `_distance`. Without probes, three lists of four: enough for nine of ten
+        neighbours of vectors that hardly cluster; of vectors that do, far fewer are."""
+        probes = probes or -(-3 * len(self.centroids) // 4)
         rows = self.spark.read.parquet(self.path)
         order = np.argsort(_distances(np.array([query], float), self.centroids, self.metric)[0]).tolist()
         while True:

@@ -504,7 +504,7 @@ def _lists(s: SparkSession, d: str) -> V.InvertedLists:
 
 @add("ve4_approximate_nearest")
 def _(s, d):
-    return _lists(s, d).search("embedding", _query_vector(s, d), 10, "vec_id", 4).select("vec_id")
+    return _lists(s, d).search("embedding", _query_vector(s, d), 10, "vec_id").select("vec_id")
 
 
 @add("ve4_all_lists", f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, {_METRICS['cosine']} AS d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)) ORDER BY d, vec_id LIMIT 10")
