@@ -339,6 +339,6 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.withColumn("part", above).join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left")
     to = F.array(F.struct("part", F.lit(0).alias("donor")), F.struct(F.col("before").alias("part"), F.lit(1).alias("donor")))
     rows = rows.withColumn("to", F.explode(to)).where("to.part is not null").select("to.part", "to.donor", "doc_id", "text")
-    place = F.element_at(F.array(*map(F.lit, even_keys(docs.sparkSession, n))), F.col("part") + 1)
+    place = F.element_at(F.array(*(F.lit(k).cast("long") for k in even_keys(docs.sparkSession, n))), F.col("part") + 1)
     rows = rows.repartition(n, place).sortWithinPartitions("part", "donor", F.col("doc_id").desc_nulls_last(), "text")
     return rows.mapInArrow(lean(_in_order), EDITED)

@@ -289,3 +289,11 @@ def test_walks_equal_steps(few, monkeypatch):
             steps.append(s)
             s += int(leaves[((c * 2654435761) & 0xFFFFFFFF) >> 24, s % edit_fingerprint.PERIOD]) + 1
         assert steps == w.arrive[a:b].tolist() and s == end
+
+
+def test_even_keys_deal_to_partitions_of_their_own(spark):
+    from larkspur.llm._spark import even_keys
+
+    keys = even_keys(spark, 23)
+    rows = spark.range(23).repartition(23, F.element_at(F.array(*(F.lit(k).cast("long") for k in keys)), F.col("id").cast("int") + 1))
+    assert {r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()} == {1}
