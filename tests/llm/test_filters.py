@@ -176,7 +176,8 @@ def test_pipeline_stages(spark, docs, tmp_path):
         after = [(r.doc_id, r.text, r.n_chars) for r in now.collect()]
         ids = sorted(d for d, _, _ in after)
         if name == "language":
-            assert ids == sorted(d for d, t in before.items() if t and any(c.isalpha() for c in t))
+            # a text without letters goes, and so do hundreds of one letter, which no language has
+            assert ids == sorted(d for d, t in before.items() if t and any(c.isalpha() for c in t) and (len(t) < 60 or len(set(t)) > 1))
         elif name == "near_duplicates":
             assert ids == sorted(d for d, (_, c) in brute(before.items()).items() if c == d)
         elif name == "repeated_bytes":
