@@ -262,11 +262,12 @@ class Index:
             self.postings = self.postings.unionAll(p)
 
     def saved(self, path: str) -> Index:
-        """Writes the postings, ordered by field and term, with the fields' statistics beside them, and reads from there from then on.
+        """Writes the postings with the fields' statistics beside them, and reads from there from then on.
 
-        A range of terms is a file, so that a query's terms prune files and row groups by their least and greatest term.
+        A term's postings are in one file, each of which is in order of field and term, so that a query's terms prune
+        row groups by their least and greatest term.
         """
-        rows = self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+        rows = self.postings.repartition("field", "term").sortWithinPartitions("field", "term")
         rows.write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
         spark = self.docs.sparkSession
         self.postings = spark.read.schema(rows.schema).parquet(f"{path}/postings")
