@@ -109,6 +109,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     units = A.Units("words", window, min(GRAM, max(1, window // 2)))
     docs = documents(docs, id_col, text_col)
     regions = A.candidates(docs, units)
-    found = A.sharded(regions, _shard(window), FOUND, shard_bytes)
+    found = A.spread(docs, regions, lambda some: A.sharded(some, _shard(window), FOUND, shard_bytes), 3)
     last = "kept_sha256 string" if digest else "kept string"
-    return A.spread(docs, regions, found).mapInArrow(lean(_cutter(window, not digest)), f"doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, {last}")
+    return found.mapInArrow(lean(_cutter(window, not digest)), f"doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, {last}")

@@ -124,7 +124,7 @@ def _cutter(length: int, keep: bool):
 def _spans(docs: DataFrame, min_bytes: int, shard_bytes: int) -> DataFrame:
     """documents() with `spans`; docs: documents()."""
     regions = A.candidates(docs.select("doc_id", "text"), A.Units("bytes", min_bytes, min(GRAM, max(1, min_bytes // 2))))
-    return A.spread(docs, regions, A.sharded(regions, _shard(min_bytes), FOUND, shard_bytes))
+    return A.spread(docs, regions, lambda some: A.sharded(some, _shard(min_bytes), FOUND, shard_bytes), 2)
 
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -133,6 +133,25 @@ def test_hot_minimizers_in_bounded_groups(spark, hot, monkeypatch):
         assert groups["size"] <= 60 and groups.n <= 12  # single windows, dealt by content
 
 
+@pytest.mark.parametrize("units", [_anchors.Units("bytes", 60, 30), _anchors.Units("words", 12, 6)])
+def test_rows_of_a_hot_group_grow_with_the_group(spark, units):
+    """One passage in 20 and in 80 documents: four times as many rows, not sixteen, and a place a region."""
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("abcdefghij") + str(r.randrange(40)) for _ in range(n))
+    passage = text(30)
+    rows = [(k, f"{text(14)} {passage} {text(14)}") for k in range(80)]
+
+    def counted(n, hot):
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(3)
+        made = _anchors.candidates(df, units, hot).groupBy("kind").count().collect()
+        return {x["kind"]: x["count"] for x in made}
+
+    few, many, whole = counted(20, 2), counted(80, 2), counted(80, 1000)
+    assert many[1] == whole[1]
+    assert sum(many.values()) < 5 * sum(few.values())
+    assert len(many) > len(whole)  # the group was refined
+
+
 def test_repeated_rows_and_null_ids(spark):
     t = " ".join(f"x{i}" for i in range(60))
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (2, t + " y")], "doc_id long, text string")
