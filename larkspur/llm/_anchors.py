@@ -106,6 +106,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
 
+def _places(found: list[tuple]) -> pa.RecordBatch:
+    """Rows of kind PLACE from (h, ckey, key, s, n, id)."""
+    named = dict(zip(("h", "ckey", "key", "s", "n", "least"), zip(*found, strict=True), strict=True))
+    named |= {"kind": np.full(len(found), PLACE), "b": np.zeros(len(found), np.int32)}
+    return pa.RecordBatch.from_arrays([pa.array(named[f.name], f.type) if f.name in named else pa.nulls(len(found), f.type) for f in SCHEMA], schema=SCHEMA)
+
+
 def _hash(content: bytes) -> int:
     c = xxhash.xxh3_64_intdigest(content)
     return c - ((c >> 63) << 64)
@@ -124,6 +131,7 @@ def _regions(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for batch in batches:
             keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lists = batch.column(3)
+            ends, anchors = lists.offsets.to_pylist(), [lists.values.field(k).to_pylist() for k in range(3)]
             for i, j, data, offsets in X.chunks(batch.column(2)):
                 if units.kind == "words":
                     symbols, bounds = units.symbols(data, offsets)
@@ -133,7 +141,7 @@ def _regions(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 found: list[tuple] = []
                 for r in range(i, j):
                     base, key, doc = int(bounds[r - i]), keys[r], ids[r]
-                    for h, at, hot in dict.fromkeys((x["h"], x["at"], x["hot"]) for x in lists[r].as_py()):
+                    for h, at, hot in dict.fromkeys(zip(*(x[ends[r] : ends[r + 1]] for x in anchors), strict=True)):
                         # windows s .. s+n-1 lie back .. back-n+1 before the minimizer
                         s, n, back = at >> 24, (at >> 12) & 0xFFF, at & 0xFFF
                         content = raw[(base + s) * scale : (base + s + n + tail) * scale]
@@ -145,9 +153,9 @@ def _regions(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                         else:
                             got[3] += 1
                             got[4] = min(got[4], doc)
-                        found.append((PLACE, h, 0, c, key, s, n, None, None, doc, None, None))
+                        found.append((h, c, key, s, n, doc))
                 if found:
-                    yield _rows(found)
+                    yield _places(found)
                 if size > FLUSH:
                     yield flush()
                     held, size = {}, 0
@@ -290,13 +298,14 @@ def _joined_runs(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def spread(docs: DataFrame, regions: DataFrame, shards: Callable[[DataFrame], DataFrame], columns: int) -> DataFrame:
     """Documents with `spans`: what the shards find (h, b, ckey, runs of so many columns, the start first), at each place
     where such a region lies."""
-    keys, of = ["h", "b", "ckey"], F.shiftright("b", LEVEL_BITS)
+    keys = ["h", "b", "ckey"]
     if regions.where(F.col("kind") >= LINK).isEmpty():
         found = shards(regions)
     else:
         whole = None
         for level in range(LEVELS, -1, -1):
-            found = shards(regions.where(of == level))
+            # a range, by which a scan can leave out files of other levels
+            found = shards(regions.where(F.col("b").between(level << LEVEL_BITS, (level + 1 << LEVEL_BITS) - 1)))
             found = found if whole is None else found.unionAll(whole)
             if level:
                 links = regions.where(F.col("kind") == LINK + level - 1).select(*keys, "s", "up")
