@@ -369,6 +369,11 @@ MATH: dict[str, Callable[[Column], Column]] = {
 CALENDAR = ("minute", "hour", "day_of_week", "day_of_month", "day_of_year", "days_in_month", "month", "year")
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once a row: an expression within a lambda is evaluated for each element."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _quantile(values: Column, phi: float) -> Column:
     """Interpolated quantile of a sorted array."""
     if math.isnan(phi):
@@ -440,21 +445,26 @@ def window_function(name: str, w: Column, step: Column, window: int, arg: float
         return _extrapolated(name, n, first, last, change, step, window)
     if name in ("deriv", "predict_linear"):
         x = F.transform(w, lambda s: (s["ts"] - step) / 1000.0)
-        mx, my = sums(x) / n, sums(v) / n
-        cov = sums(F.zip_with(x, v, lambda a, b: (a - mx) * (b - my)))
-        var = sums(F.transform(x, lambda a: (a - mx) * (a - mx)))
-        slope = F.try_divide(cov, var)
-        return F.when((n >= 2) & (var != 0), slope if name == "deriv" else (my - slope * mx) + slope * F.lit(float(arg)))
+
+        def moments(m: Column) -> Column:
+            cov = sums(F.zip_with(x, v, lambda a, b: (a - m["x"]) * (b - m["y"])))
+            var = sums(F.transform(x, lambda a: (a - m["x"]) * (a - m["x"])))
+            return F.struct(m["x"].alias("x"), m["y"].alias("y"), var.alias("var"), F.try_divide(cov, var).alias("slope"))
+
+        def value(m: Column) -> Column:
+            return F.when(m["var"] != 0, m["slope"] if name == "deriv" else (m["y"] - m["slope"] * m["x"]) + m["slope"] * F.lit(float(arg)))
+
+        return F.when(n >= 2, _let(F.struct((sums(x) / n).alias("x"), (sums(v) / n).alias("y")), lambda m: _let(moments(m), value)))
     real = F.filter(v, lambda x: ~F.isnan(x))
     mean = sums(v) / n
-    var = sums(F.transform(v, lambda x: (x - mean) * (x - mean))) / n
-    median = lambda a: _quantile(F.array_sort(a), 0.5)
+    var = _let(mean, lambda m: sums(F.transform(v, lambda x: (x - m) * (x - m)))) / n
+    quantile = lambda a, phi: _let(F.sort_array(a), lambda s: _quantile(s, phi))
     simple = {
         "avg_over_time": lambda: mean, "min_over_time": lambda: F.coalesce(F.array_min(real), F.lit(INF)), "max_over_time": lambda: F.coalesce(F.array_max(real), F.lit(-INF)),
         "sum_over_time": lambda: sums(v), "count_over_time": lambda: n.cast("double"), "last_over_time": lambda: last["value"], "present_over_time": lambda: F.lit(1.0),
         "changes": lambda: F.size(F.filter(pairs, lambda p: p["a"] != p["b"])).cast("double"), "resets": lambda: F.size(F.filter(pairs, lambda p: p["b"] < p["a"])).cast("double"),
-        "stddev_over_time": lambda: F.sqrt(var), "stdvar_over_time": lambda: var, "mad_over_time": lambda: median(F.transform(v, lambda x: F.abs(x - median(v)))),
-        "quantile_over_time": lambda: _quantile(F.array_sort(v), arg),
+        "stddev_over_time": lambda: F.sqrt(var), "stdvar_over_time": lambda: var, "mad_over_time": lambda: _let(quantile(v, 0.5), lambda m: quantile(F.transform(v, lambda x: F.abs(x - m)), 0.5)),
+        "quantile_over_time": lambda: quantile(v, arg),
     }
     return F.when(n > 0, simple[name]())
 
@@ -566,7 +576,7 @@ class Evaluator:
     def windows(self, node: Selector | Subquery) -> DataFrame:
         """(step, eval, labels, w) with the sorted samples of each series' window."""
         rows = self.spread(self.ranged(node), node.window, node.offset, node.at)
-        return rows.groupBy("step", "eval", "labels").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("w"))
+        return rows.groupBy("step", "eval", "labels").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("w"))
 
     # expressions
 

@@ -2,6 +2,8 @@
 
 import math
 import random
+import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,21 @@ def test_running_functions_copy_no_samples(spark):
     data = spark.createDataFrame([([{"k": "__name__", "v": "m"}], 5, 1.0)], "labels array<struct<k:string,v:string>>, ts long, value double")
     plan = P.query_range(data, "rate(m[1d])", 0, 86400000, 15000)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and plan.count("Generate explode") == 2  # steps of a series, and two marks for each
+
+
+def test_long_windows_take_linear_time(spark):
+    """A window's mean, median and moments are worked out once, not for each of its samples."""
+    n = 20_000
+    data = spark.range(n).select(F.expr("array(named_struct('k', '__name__', 'v', 'm'))").alias("labels"), F.col("id").alias("ts"), (F.col("id") % 1000).cast("double").alias("value")).coalesce(1)
+    began, v = time.monotonic(), [float(k % 1000) for k in range(n)]
+    x = [(k - n) / 1000 for k in range(n)]
+    mx, my = statistics.fmean(x), statistics.fmean(v)
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, v, strict=True)) / sum((a - mx) ** 2 for a in x)
+    middle = statistics.median(v)
+    want = {
+        "mad_over_time(m[1h])": statistics.median(abs(a - middle) for a in v), "deriv(m[1h])": slope, "predict_linear(m[1h], 9)": my - slope * mx + slope * 9,
+        "stddev_over_time(m[1h])": statistics.pstdev(v), "quantile_over_time(0.5, m[1h])": middle,
+    }
+    for q, value in want.items():
+        assert math.isclose(next(iter(at(data, q, n).values())), value, rel_tol=1e-9), q
+    assert time.monotonic() - began < 30
