@@ -60,10 +60,8 @@ def nearest_points(df: DataFrame, lat: str, lon: str, to_lat: float, to_lon: flo
 
 
 def _spread(x: Column) -> Column:
-    # The masks and shifts that move the bits of a 32-bit number to the even places.
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    # Binary digits read to base 4 move to the even places. x stands here once: masks and shifts would name it 32 times.
+    return F.conv(F.bin(x), 4, 10).cast("long")
 
 
 def morton(lat: Column, lon: Column) -> Column:
@@ -94,6 +92,14 @@ def scan(index: DataFrame, lat: str, lon: str, box: tuple[float, float, float, f
     return index.where(near).where(geo_bbox(F.col(lat), F.col(lon), *box)).drop("_z")
 
 
+def covered(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether a point's Morton code is in the cover of a box that does not wrap. The code is worked out once a row: within
+    a lambda or a chain of ranges it would be for each range."""
+    ranges = F.array(*(F.struct(F.lit(a - 2**63).alias("a"), F.lit(b - 2**63).alias("b")) for a, b in cover(box)))
+    z = morton(lat, lon).bitwiseXOR(F.lit(-(2**63)))  # signed order of unsigned codes
+    return F.exists(F.array(z), lambda z: F.exists(ranges, lambda r: z.between(r["a"], r["b"])))
+
+
 def cover(box: tuple[float, float, float, float], most: int = 32) -> list[tuple[int, int]]:
     """At most `most` ranges of Morton codes (unsigned, both ends included) that hold a box that does not wrap.
 
