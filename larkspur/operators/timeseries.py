@@ -99,11 +99,12 @@ def stitched(aged: DataFrame, raw: DataFrame, split: Column, labels: Sequence[st
 # --- late and repeated samples -----------------------------------------------------------------------------
 
 
-def accepted(df: DataFrame, series: Sequence[str], ts: str, arrival: str, ooo: str | int) -> DataFrame:
+def accepted(df: DataFrame, series: Sequence[str], ts: str, arrival: str | Sequence[str], ooo: str | int) -> DataFrame:
     """Adds `accepted`: a sample that arrives later than newer ones counts if it is newer than the newest so far
-    less the out-of-order window; one at the newest time itself is rejected."""
+    less the out-of-order window; one at the newest time itself is rejected. Where several can arrive at once,
+    `arrival` names a key too: without it their order, and so the answer, would be left open."""
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    newest = F.max(ms).over(W.partitionBy(*series).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1))
+    newest = F.max(ms).over(W.partitionBy(*series).orderBy(*([arrival] if isinstance(arrival, str) else arrival)).rowsBetween(W.unboundedPreceding, -1))
     ok = newest.isNull() | (ms > newest) | ((ms < newest) & (ms > newest - duration(ooo)))
     return df.withColumn("accepted", ok)
 
