@@ -458,20 +458,50 @@ def edit_distance(a: str, b: str, most: int = 2) -> int:
     return last[-1]
 
 
-def _edits(word: str, most: int):
+def byte_distance(a: str, b: str, most: int = 2) -> int:
+    """The same over UTF-8 bytes, and with edits between transposed neighbours, as DuckDB's damerau_levenshtein counts."""
+    x, y = a.encode(), b.encode()
+    if abs(len(x) - len(y)) > most:
+        return most + 1
+    far = len(x) + len(y)
+    d = [[far] * (len(y) + 2), *([far, i, *[0] * len(y)] for i in range(len(x) + 1))]
+    d[1][1:] = range(len(y) + 1)
+    seen: dict[int, int] = {}
+    for i, p in enumerate(x, 1):
+        match = 0
+        for j, q in enumerate(y, 1):
+            k, m = seen.get(q, 0), match
+            match = j if p == q else match
+            d[i + 1][j + 1] = min(d[i][j] + (p != q), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
+        seen[p] = i
+    return min(d[-1][-1], most + 1)
+
+
+def _edits(word: str, most: int, distance: Callable[[str, str, int], int]):
     @F.pandas_udf("int")
-    def run(terms: pd.Series) -> pd.Series:
-        return terms.map(lambda t: edit_distance(word, t, most))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict[str, int] = {}  # a term comes once for each of its documents
+
+        def one(t: str) -> int:
+            got = cache.get(t)
+            if got is None:
+                got = cache[t] = distance(word, t, most)
+            return got
+
+        for terms in parts:
+            if len(cache) > 200_000:
+                cache.clear()
+            yield terms.map(one)
 
     return run
 
 
-def fuzzy(name: str, text: str, edits: int = 1) -> Query:
+def fuzzy(name: str, text: str, edits: int = 1, distance: Callable[[str, str, int], int] = edit_distance) -> Query:
     if not 0 <= edits <= 2:
         raise ValueError("fuzzy takes up to 2 edits")
     word = text.lower()
     # levenshtein counts a transposition as two, so it bounds what can be near before Python looks at it
-    return Terms(name, lambda t: (F.levenshtein(t, F.lit(word), 2 * edits) >= 0) & (_edits(word, edits)(t) <= edits))
+    return Terms(name, lambda t: (F.levenshtein(t, F.lit(word), 2 * edits) >= 0) & (_edits(word, edits, distance)(t) <= edits))
 
 
 @dataclass
@@ -658,13 +688,13 @@ def explain_score(ix: Index, name: str, text: str, pk_value: object) -> DataFram
     return rows.where(F.col("doc") == F.lit(pk_value)).select("term", "score").orderBy("term")
 
 
-def suggest(ix: Index, name: str, text: str, limit: int = 5) -> DataFrame:
+def suggest(ix: Index, name: str, text: str, limit: int = 5, distance: Callable[[str, str, int], int] = edit_distance) -> DataFrame:
     """input, suggestion, distance (at most 2) and doc_freq; nearest first, then most common, then by term."""
     terms = list(dict.fromkeys(ix.field(name).query_terms(text)))
     freq = ix.of(name).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
     parts = []
     for t in terms:
-        near = freq.where((F.levenshtein(F.col("term"), F.lit(t), 4) >= 0) & (F.col("term") != t)).withColumn("distance", _edits(t, 2)(F.col("term"))).where("distance <= 2")
+        near = freq.where((F.levenshtein(F.col("term"), F.lit(t), 4) >= 0) & (F.col("term") != t)).withColumn("distance", _edits(t, 2, distance)(F.col("term"))).where("distance <= 2")
         near = near.orderBy("distance", F.col("doc_freq").desc(), "term").limit(limit)
         parts.append(near.select(F.lit(t).alias("input"), F.col("term").alias("suggestion"), "distance", "doc_freq"))
     return _union(parts)

@@ -221,3 +221,25 @@ def test_approximate_counts_keep_no_sketch_per_value(spark):
     plan = registry.QUERIES["ag4_approx_count_distinct"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     sketches = [x for x in plan.splitlines() if "approx_count_distinct" in x]
     assert sketches and not any(re.search(r"keys=\[[^\]]*l_partkey", x) for x in sketches)
+
+
+def test_byte_distance_is_that_of_sql(con):
+    r = random.Random(5)
+    words = ["tehm", "techß", "teö,", "teßö", "ca", "abc", "é", "e", ""] + ["".join(r.choice("abtehmöß") for _ in range(r.randrange(7))) for _ in range(60)]
+    for a, b, d in con.sql(f"SELECT a, b, damerau_levenshtein(a, b) FROM (SELECT unnest({words}) AS a), (SELECT unnest({words}) AS b)").fetchall():
+        assert Q.byte_distance(a, b) == min(d, 3), (a, b)
+
+
+def test_fuzzy_counts_as_it_is_told_to(spark):
+    ix = Q.Index(spark.createDataFrame([(1, "techß"), (2, "then"), (3, "teß.")], "id int, t string"), "id", [Q.TextField("t", "whitespace | lowercase")])
+    found = lambda q: sorted(r.id for r in Q.search(ix, q).collect())
+    assert found(Q.fuzzy("t", "tehm", 2)) == [1, 2, 3] and found(Q.fuzzy("t", "tehm", 2, Q.byte_distance)) == [2]
+
+
+def test_samples_that_arrive_at_once_are_ordered_by_key(spark):
+    from larkspur.operators import timeseries as TS
+
+    rows = spark.createDataFrame([(k, "a", 5, 1000 * (k if k < 2 else 5 - k)) for k in range(4)], "id int, s string, arrived int, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    for df in (rows.orderBy("id"), rows.orderBy(F.desc("id"))):
+        got = TS.accepted(df.coalesce(1), ["s"], "ts", ["arrived", "id"], 500).collect()
+        assert {r.id: r.accepted for r in got} == {0: True, 1: True, 2: True, 3: False}
