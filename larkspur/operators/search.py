@@ -16,7 +16,10 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ from larkspur.functions.stemming import LANGUAGES, STEMMERS, STOP, stem
 
 K1, B = 1.2, 0.75
 MAX_TOKEN = 255
+RUN_TOKENS = 1 << 21
 
 # Words by the Unicode segmentation rules: letters joined by ' . : between letters, digits by , . ; ' between
 # digits, underscores join both; Han and Hiragana one by one, Katakana in runs.
@@ -238,6 +242,48 @@ class TextField:
         return out
 
 
+def _postings(held: list[pa.RecordBatch], labels: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The postings of some documents (doc, tokens), by term and then in the documents' order."""
+    docs, lists = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+    lengths, coded = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32), lists.flatten().dictionary_encode()
+    by_name = pc.sort_indices(coded.dictionary)
+    names, rank = coded.dictionary.take(by_name), np.empty(len(by_name), np.int32)
+    rank[by_name.to_numpy()] = np.arange(len(by_name), dtype=np.int32)
+    term = rank[coded.indices.to_numpy()]
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    at = np.arange(len(term), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    order = np.argsort(term, kind="stable")  # of a term, documents and places stay in their order
+    term, doc, at = term[order], doc[order], at[order]
+    starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]))
+    ends = np.append(starts[1:], len(term))
+    for label in labels:
+        for a in range(0, len(starts), 1 << 16):
+            s, e = starts[a : a + (1 << 16)], ends[a : a + (1 << 16)]
+            positions = pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]) - s[0], pa.int32()), pa.array(at[s[0] : e[-1]]))
+            parts = [pa.array([label]).take(pa.array(np.zeros(len(s), np.int32))), docs.take(pa.array(doc[s])), names.take(pa.array(term[s])), pa.array(e - s, pa.int64()), positions, pa.array(lengths[doc[s]])]
+            yield pa.RecordBatch.from_arrays(parts, ["field", "doc", "term", "tf", "positions", "length"])
+
+
+def _runs(labels: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of one task's documents, in sorted runs of RUN_TOKENS tokens or a little more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            sizes = pc.list_value_length(b.column(1))
+            some = pc.fill_null(pc.greater(sizes, 0), False)
+            if pc.any(some).as_py():
+                held.append(b.filter(some))  # a condition on the tokens in the plan would have them worked out twice
+                n += pc.sum(sizes).as_py()
+            if n >= RUN_TOKENS:
+                yield from _postings(held, labels)
+                held, n = [], 0
+        if held:
+            yield from _postings(held, labels)
+
+    return run
+
+
 @dataclass
 class Index:
     """Postings of the text fields of `docs`, whose primary key is `pk`."""
@@ -251,7 +297,7 @@ class Index:
     def __post_init__(self) -> None:
         parts = []
         for f in self.fields:
-            tokens = self.docs.select(F.col(self.pk).alias("doc"), analyze(f.analyzer, F.col(f"`{f.name}`")).alias("tokens")).where("size(tokens) > 0")
+            tokens = self._tokens(f).where("size(tokens) > 0")
             rows = tokens.select("doc", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "term"))
             part = rows.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"), F.first("length").alias("length"))
             parts.append(part.select(F.lit(f.label).alias("field"), "doc", "term", "tf", "positions", "length"))
@@ -261,18 +307,36 @@ class Index:
         for p in parts[1:]:
             self.postings = self.postings.unionAll(p)
 
+    def _tokens(self, f: TextField) -> DataFrame:
+        return self.docs.select(F.col(self.pk).alias("doc"), analyze(f.analyzer, F.col(f"`{f.name}`")).alias("tokens"))
+
+    @staticmethod
+    def _schema(docs: DataFrame, pk: str) -> str:
+        return f"field string, doc {docs.schema[pk].dataType.simpleString()}, term string, tf long, positions array<int>, length int"
+
     def saved(self, path: str) -> Index:
         """Writes the postings with the fields' statistics beside them, and reads from there from then on.
 
-        A term's postings are in one file, each of which is in order of field and term, so that a query's terms prune
-        row groups by their least and greatest term.
+        Each task inverts the documents that it reads and writes their postings in runs sorted by term, so nothing is shuffled
+        or spilled and a frequent term is spread over all files; a query's terms prune row groups and pages by their least
+        and greatest term.
         """
-        rows = self.postings.repartition("field", "term").sortWithinPartitions("field", "term")
-        rows.write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
-        spark = self.docs.sparkSession
-        self.postings = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-        counted = self.postings.groupBy("field", "doc").agg(F.first("length").alias("n")).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
+        spark, schema = self.docs.sparkSession, self._schema(self.docs, self.pk)
+        rows = _union([self._tokens(f).mapInArrow(_runs([x for x in (f.label, f.copy_to) if x]), schema) for f in self.fields])
+
+        def write(rows: DataFrame) -> None:
+            rows.write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+
+        write(rows)
+        kept = spark.read.schema(schema).parquet(f"{path}/postings")
+        per_doc = kept.groupBy("field", "doc").agg(F.max("length").alias("n"), F.sum("tf").alias("tokens"))
+        counted = per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), F.count_if(F.col("tokens") != F.col("n")).alias("repeated"))
         counted.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        if spark.read.schema("repeated long").parquet(f"{path}/stats").where("repeated > 0").limit(1).count():
+            # a key that several rows share is one document, which only a shuffle brings together
+            write(self.postings.repartition("field", "term").sortWithinPartitions("field", "term"))
+            kept = spark.read.schema(schema).parquet(f"{path}/postings")
+        self.postings = kept
         self._read_stats(path)
         return self
 
@@ -285,8 +349,7 @@ class Index:
         """An index that saved() wrote for these documents and fields."""
         ix = cls.__new__(cls)
         ix.docs, ix.pk, ix.fields = docs, pk, fields
-        kind = docs.schema[pk].dataType.simpleString()
-        ix.postings = docs.sparkSession.read.schema(f"field string, doc {kind}, term string, tf long, positions array<int>, length int").parquet(f"{path}/postings")
+        ix.postings = docs.sparkSession.read.schema(cls._schema(docs, pk)).parquet(f"{path}/postings")
         ix._read_stats(path)
         return ix
 

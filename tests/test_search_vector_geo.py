@@ -243,3 +243,22 @@ def test_samples_that_arrive_at_once_are_ordered_by_key(spark):
     for df in (rows.orderBy("id"), rows.orderBy(F.desc("id"))):
         got = TS.accepted(df.coalesce(1), ["s"], "ts", ["arrived", "id"], 500).collect()
         assert {r.id: r.accepted for r in got} == {0: True, 1: True, 2: True, 3: False}
+
+
+def test_saving_an_index_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    """Postings by runs equal those by groups: with short runs, a second field, a copy, empty texts and keys that repeat."""
+    monkeypatch.setattr(Q, "RUN_TOKENS", 50)
+    rows = [(k, " ".join(f"w{k * j % 11}" for j in range(k % 9)), None if k % 4 else "ä b") for k in range(80)]
+    fields = [Q.TextField("t", "whitespace | lowercase", copy_to="every"), Q.TextField("u", "standard")]
+    for more in ([], [(3, "w1 w99 w1", "b"), (None, "w1", None)]):
+        docs = spark.createDataFrame(rows + more, "id int, t string, u string").repartition(3)
+        plain = Q.Index(docs, "id", fields)
+        want = plain.postings.drop("length") if more else plain.postings
+        seen = []
+        monkeypatch.setattr(type(docs), "repartition", lambda self, *a, f=type(docs).repartition: seen.append(a) or f(self, *a))
+        got = Q.Index(docs, "id", fields).saved(str(tmp_path / f"ix{len(more)}"))
+        monkeypatch.undo()
+        monkeypatch.setattr(Q, "RUN_TOKENS", 50)
+        assert bool(seen) == bool(more)
+        cells = lambda df: sorted(map(repr, df.collect()))
+        assert cells(want) == cells(got.postings.select(*want.columns))
