@@ -262,3 +262,11 @@ def test_saving_an_index_shuffles_no_postings(spark, tmp_path, monkeypatch):
         assert bool(seen) == bool(more)
         cells = lambda df: sorted(map(repr, df.collect()))
         assert cells(want) == cells(got.postings.select(*want.columns))
+
+
+def test_languages_share_their_words(spark):
+    df = spark.createDataFrame([("The Dog's naïve-été 42 running chevaux Häuser",), (None,), ("",), ("les nations magnifiques",)], "t string")
+    languages = ("french", "german", "english")
+    shared = Q.analyzed(df, "t", {x: x for x in languages}).select(*languages)
+    assert shared.collect() == df.select(*(Q.analyze(x, F.col("t")).alias(x) for x in languages)).collect()
+    assert shared._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
